@@ -6,12 +6,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townsheet.llm import bpe, secrets
-from townsheet.llm.common import documents
+from townsheet.llm import bpe, langid, quality, secrets, sharding, simhash, templates
+from townsheet.llm.common import crc_mod, documents
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.flag(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"))
+    model = langid.fit(docs.where("not held_out"))
+    return langid.predict(docs.select("doc_id", "text", "held_out"), model)
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
@@ -23,6 +38,16 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.judge(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign(documents(spark, sf_dir), sharding.base_tree(40), sharding.base_tree(40, extra=1))
+    return found.withColumn("law", F.lit("key"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
