@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townsheet.llm import bpe, langid, quality, secrets, sharding, simhash, templates
-from townsheet.llm.common import crc_mod, documents
+from townsheet.llm import bpe, langid, quality, repair, secrets, sharding, simhash, templates
+from townsheet.llm.common import crc_mod, documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_repair_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/grammar-{uuid.uuid4().hex}"
+    repair.write(documents(spark, sf_dir), path, public_tokenizers.path(TOKENIZER))
+    return repair.read(spark, path)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return templates.flag(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
