@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townsheet.llm import bpe, langid, quality, repair, secrets, sharding, simhash, templates
+from townsheet.llm import anchors, bpe, langid, quality, repair, secrets, sharding, simhash, templates
 from townsheet.llm.common import crc_mod, documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -60,6 +60,10 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
+def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.dedup(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
