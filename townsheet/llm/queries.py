@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from townsheet.llm import anchors, bpe, langid, quality, repair, secrets, sharding, simhash, templates
+from townsheet.llm import anchors, bpe, katz, langid, quality, repair, secrets, sharding, simhash, templates
 from townsheet.llm.common import crc_mod, documents, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,6 +51,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op7_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out"))
+    model = katz.fit(docs.where("not held_out"))
+    found = katz.score(docs, model)
+    held = (crc_mod(F.col("doc_id"), 5) == 1).alias("held_out")
+    return found.select("doc_id", held, "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op8_hash_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.assign(documents(spark, sf_dir), sharding.base_tree(40), sharding.base_tree(40, extra=1))
     return found.withColumn("law", F.lit("key"))
