@@ -1,0 +1 @@
+"""Incremental entry: files as they arrive, in the batch jobs' own terms."""
