@@ -229,8 +229,12 @@ def _table(values: dict[str, str]) -> Column:
 
 def _class(code: Column, source: Column) -> Column:
     """category/subcategory and where it came from, or null."""
-    made = F.struct(F.substring_index(code, "/", 1).alias("category"), F.substring_index(code, "/", -1).alias("subcategory"), source.alias("source"))
-    return F.when(code.isNotNull(), made)
+    return _once(code, lambda c: F.struct(F.substring_index(c, "/", 1).alias("category"), F.substring_index(c, "/", -1).alias("subcategory"), source.alias("source")))
+
+
+def _once(c: Column, make) -> Column:
+    """make(c) where c is not null; c stands in the plan once, however often make uses it."""
+    return F.get(F.transform(F.array(c), lambda x: F.when(x.isNotNull(), make(x))), F.lit(0))
 
 
 def first_of(classes: Column) -> Column:
@@ -313,8 +317,8 @@ def from_schema_default(kind: Column) -> Column:
     return _class(F.try_element_at(_table(SCHEMA_DEFAULTS), _key(kind)), F.concat(F.lit("schema-default:"), _key(kind)))
 
 
-def from_term(word: Column) -> Column:
-    return _class(F.try_element_at(_table(TERMS), _key(word)), F.concat(F.lit("term:"), _key(word)))
+def from_term(word: Column, prefix: str = "term:") -> Column:
+    return _class(F.try_element_at(_table(TERMS), _key(word)), F.concat(F.lit(prefix), _key(word)))
 
 
 def from_title(c: Column, groups=TITLE_WORDS) -> Column:
@@ -323,12 +327,12 @@ def from_title(c: Column, groups=TITLE_WORDS) -> Column:
 
 def renamed(found: Column, source: str) -> Column:
     """The same class, found in another way."""
-    return F.when(found.isNotNull(), F.struct(found["category"].alias("category"), found["subcategory"].alias("subcategory"), F.lit(source).alias("source")))
+    return _once(found, lambda f: F.struct(f["category"].alias("category"), f["subcategory"].alias("subcategory"), F.lit(source).alias("source")))
 
 
 def title_over(words: Column, source: str) -> Column:
     """Title rules over an array of words; the first word that hits."""
-    return renamed(first_of(F.transform(words, from_title)), source)
+    return renamed(first_of(F.transform(words, lambda w: from_title(w))), source)
 
 
 def valid(category: Column, subcategory: Column) -> Column:

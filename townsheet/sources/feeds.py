@@ -84,7 +84,9 @@ def parks(df: DataFrame, zone: str) -> DataFrame:
     pair = (F.size(at) == 2) & F.get(at, F.lit(0)).try_cast("double").isNotNull() & F.get(at, F.lit(1)).try_cast("double").isNotNull()
     name = F.coalesce(F.nullif("location", F.lit("")), F.nullif("parknames", F.lit("")))
     found = F.coalesce(rules.from_parks(F.col("categories")), rules.from_title(title), rules.fixed("outdoors/park-programming", "default:parks"))
-    reject = first_reject((rules.rejected_title(title).isNotNull(), rules.rejected_title(title)), (start.isNull(), F.lit("unparseable start time")), (name.isNull(), F.lit("no location named")))
+    df = df.withColumns({"_found": found, "_bad": rules.rejected_title(title)})  # once in the plan
+    found = F.col("_found")
+    reject = first_reject((F.col("_bad").isNotNull(), F.col("_bad")), (start.isNull(), F.lit("unparseable start time")), (name.isNull(), F.lit("no location named")))
     return _common(
         df, title=title, start=start, end=times.repaired_end(start, end), venue_name=text.clean(name), venue_kind=F.lit("park"),
         lat=F.when(pair, F.get(at, F.lit(0)).try_cast("double")), lon=F.when(pair, F.get(at, F.lit(1)).try_cast("double")), flags=rules.park_flags(F.col("categories")),
@@ -98,9 +100,11 @@ def permits(df: DataFrame, zone: str) -> DataFrame:
     by_title = rules.from_title(title)
     special = F.when(F.lower(F.trim(kind)) == "special event", rules.renamed(by_title, "permit+title"))
     found = F.coalesce(special, rules.from_permit(kind), by_title)
+    df = df.withColumns({"_found": found, "_bad": rules.rejected_title(title)})  # once in the plan
+    found = F.col("_found")
     place = F.nullif(F.trim(F.substring_index(F.coalesce("event_location", F.lit("")), ":", 1)), F.lit(""))
     reject = first_reject(
-        (rules.rejected_title(title).isNotNull(), rules.rejected_title(title)), (rules.rejected_permit(kind).isNotNull(), rules.rejected_permit(kind)),
+        (F.col("_bad").isNotNull(), F.col("_bad")), (rules.rejected_permit(kind).isNotNull(), rules.rejected_permit(kind)),
         (start.isNull(), F.lit("unparseable start time")), (found.isNull(), F.concat(F.lit("unclassified event_type: "), F.coalesce(kind, F.lit("None")))),
     )
     return _common(df, title=title, start=start, end=times.repaired_end(start, end), venue_name=text.clean(F.coalesce(place, F.lit("Unknown location"))), venue_kind=F.lit("venue"), borough=F.col("event_borough"), reject=reject, **_classed(found))
@@ -111,7 +115,9 @@ def squarespace(df: DataFrame, zone: str) -> DataFrame:
     start, end = times.local_from_millis(F.col("startDate"), zone), times.local_from_millis(F.col("endDate"), zone)
     words = F.concat(F.coalesce("categories", F.array().cast("array<string>")), F.coalesce("tags", F.array().cast("array<string>")))
     found = F.coalesce(rules.title_over(words, "squarespace:tags"), rules.from_title(title))
-    reject = first_reject((rules.rejected_title(title).isNotNull(), rules.rejected_title(title)), (start.isNull(), F.lit("unparseable start time")), (found.isNull(), F.lit("unclassified squarespace event")))
+    df = df.withColumns({"_found": found, "_bad": rules.rejected_title(title)})  # once in the plan
+    found = F.col("_found")
+    reject = first_reject((F.col("_bad").isNotNull(), F.col("_bad")), (start.isNull(), F.lit("unparseable start time")), (found.isNull(), F.lit("unclassified squarespace event")))
     return _common(
         df, title=title, start=start, end=times.dropped_end(start, end), venue_name=text.clean(F.coalesce(F.nullif("venue_name", F.lit("")), "venue_host")), venue_kind=F.lit("venue"), lat=F.col("location.mapLat"), lon=F.col("location.mapLng"),
         url=text.joined_url(F.col("origin"), F.col("fullUrl")), description=text.strip_tags(F.col("excerpt")), image=F.col("assetUrl"), reject=reject, **_classed(found),
@@ -132,6 +138,8 @@ def ticketmaster(df: DataFrame, zone: str) -> DataFrame:
     status = F.lower(F.col("dates.status.code"))
     venue = text.clean(F.coalesce(F.nullif(at["name"], F.lit("")), F.lit("Unknown venue")))
     found = F.coalesce(rules.from_genres(F.col("classifications")), rules.from_title(title), rules.from_venue(venue))
+    kept = kept.withColumn("_found", found)
+    found = F.col("_found")
     price = text.least_price(F.transform("priceRanges", lambda p: p["min"]))
     unset = F.coalesce(s["dateTBA"], F.lit(False)) | F.coalesce(s["dateTBD"], F.lit(False)) | F.coalesce(s["noSpecificTime"], F.lit(False))
     reject = first_reject(
@@ -145,9 +153,11 @@ def luma(df: DataFrame, zone: str) -> DataFrame:
     title = text.clean(F.col("summary"))
     start, end = times.local_from_iso(F.col("start"), zone), times.local_from_iso(F.col("end"), zone)
     found = F.coalesce(rules.from_title(title), rules.renamed(rules.from_title(F.col("calendar_name")), "luma:calendar-name"))
+    df = df.withColumns({"_found": found, "_bad": rules.rejected_title(title)})  # once in the plan
+    found = F.col("_found")
     link = F.nullif(F.regexp_extract(F.coalesce("description", F.lit("")), r"https://(?:luma\.com|lu\.ma)/[A-Za-z0-9_-]+", 0), F.lit(""))
     reject = first_reject(
-        (rules.rejected_title(title).isNotNull(), rules.rejected_title(title)), (F.upper("status") == "CANCELLED", F.lit("status: cancelled")), (start.isNull(), F.lit("unparseable start time")),
+        (F.col("_bad").isNotNull(), F.col("_bad")), (F.upper("status") == "CANCELLED", F.lit("status: cancelled")), (start.isNull(), F.lit("unparseable start time")),
         (F.col("lat").isNull() | F.col("lon").isNull(), F.lit("no coordinates, cannot place")), (found.isNull(), F.lit("unclassified luma event")),
     )
     name = F.coalesce(F.nullif("organizer", F.lit("")), F.nullif("calendar_name", F.lit("")), F.lit("Luma"))
@@ -161,8 +171,10 @@ def _status(c: Column) -> Column:
 def _marked_up(df: DataFrame, zone: str, title: Column, start: Column, end: Column, venue: Column, status: Column, missing: Column, source: str, **more: Column) -> DataFrame:
     """What both schema.org sources share: status, type, then title, then venue."""
     found = F.coalesce(rules.from_schema(F.col("type")), rules.from_schema_default(F.col("type")), rules.from_title(title), rules.from_venue(venue))
+    df = df.withColumns({"_found": found, "_bad": rules.rejected_title(title)})  # once in the plan
+    found = F.col("_found")
     reject = first_reject(
-        (rules.rejected_title(title).isNotNull(), rules.rejected_title(title)), (_status(status).isin("eventcancelled", "eventpostponed"), F.concat(F.lit("status: "), _status(status))),
+        (F.col("_bad").isNotNull(), F.col("_bad")), (_status(status).isin("eventcancelled", "eventpostponed"), F.concat(F.lit("status: "), _status(status))),
         (start.isNull(), F.lit("unparseable start time")), (missing, F.lit("no coordinates, cannot place")), (found.isNull(), F.lit(f"unclassified {source} event")),
     )
     return _common(df, title=title, start=start, end=end, venue_name=venue, venue_kind=F.lit("venue"), url=F.col("url"), image=F.col("image"), lat=F.col("lat"), lon=F.col("lon"), needs_area=F.lit(True), reject=reject, **_classed(found), **more)
@@ -188,9 +200,11 @@ def library(df: DataFrame, zone: str) -> DataFrame:
     where = F.coalesce(F.nullif("location", F.lit("")), F.get("branches", F.lit(0)))
     kind = F.trim(F.coalesce("kind", F.lit("")))
     found = F.coalesce(rules.title_over(F.col("tags"), "bpl:tags"), rules.from_title(title), rules.fixed("learning/class", "default:bpl"))
+    df = df.withColumns({"_found": found, "_bad": rules.rejected_title(title)})  # once in the plan
+    found = F.col("_found")
     service = rules.rejected_library(title, F.col("tags"))
     reject = first_reject(
-        (rules.rejected_title(title).isNotNull(), rules.rejected_title(title)), (~kind.isin("", "Program"), F.concat(F.lit("internal record: "), kind)), (service.isNotNull(), service),
+        (F.col("_bad").isNotNull(), F.col("_bad")), (~kind.isin("", "Program"), F.concat(F.lit("internal record: "), kind)), (service.isNotNull(), service),
         (F.coalesce("virtual", F.lit(False)) & ~F.coalesce("hybrid", F.lit(False)), F.lit("virtual only, has no place")), (start.isNull(), F.lit("unparseable start time")), (where.isNull(), F.lit("no branch named")),
     )
     flags = F.transform(F.filter(F.coalesce("audience", F.array().cast("array<string>")), lambda a: a.isNotNull() & (a != "")), text.event_slug)
@@ -207,14 +221,14 @@ def wordpress(df: DataFrame, zone: str) -> DataFrame:
     venue = text.clean(F.coalesce(F.nullif("venue_name", F.lit("")), "venue_host"))
 
     def term(w: Column) -> Column:
-        exact = rules.from_term(w)
-        named = F.when(exact.isNotNull(), F.struct(exact["category"].alias("category"), exact["subcategory"].alias("subcategory"), F.concat(F.lit("wordpress:"), exact["source"]).alias("source")))
-        return F.coalesce(named, rules.renamed(rules.from_title(w), "wordpress:terms"))
+        return F.coalesce(rules.from_term(w, "wordpress:term:"), rules.renamed(rules.from_title(w), "wordpress:terms"))
 
     found = F.coalesce(rules.first_of(F.transform(words, term)), rules.from_title(title), rules.from_venue(venue))
+    df = df.withColumns({"_found": found, "_bad": rules.rejected_title(title)})  # once in the plan
+    found = F.col("_found")
     status = F.lower(F.coalesce("status", F.lit("")))
     reject = first_reject(
-        (rules.rejected_title(title).isNotNull(), rules.rejected_title(title)), (~status.isin("", "publish", "confirmed"), F.concat(F.lit("status: "), F.col("status"))), (start.isNull(), F.lit("unparseable start time")),
+        (F.col("_bad").isNotNull(), F.col("_bad")), (~status.isin("", "publish", "confirmed"), F.concat(F.lit("status: "), F.col("status"))), (start.isNull(), F.lit("unparseable start time")),
         (F.coalesce(venue, F.lit("")) == "", F.lit("no venue could be resolved")), (found.isNull(), F.lit("unclassified wordpress event")),
     )
     return _common(df, title=title, start=start, end=end, venue_name=venue, venue_kind=F.lit("venue"), lat=F.col("lat"), lon=F.col("lon"), own_lat=F.when(both, own[0]), own_lon=F.when(both, own[1]), borough=F.col("borough"), is_free=text.stated_free(F.col("cost")), url=F.col("url"), description=text.strip_tags(F.col("description")), needs_area=F.lit(True), reject=reject, **_classed(found))
