@@ -34,7 +34,7 @@ FEATURES = ("x1", "x2", "x3", "x4")
 PRIOR_WORDS, PRIOR_LENGTH = 60.0, 6.0
 #: Share of a group in the subset; scale floors by feature; cut-off of the squared distance, well past
 #: the 0.9999 point of chi-squared with four degrees (23.5) as texts are not normal; bins to a unit.
-SHARE, FLOORS, CUT, BINS, STEPS, LEAST_ROWS = 0.75, (0.25, 0.25, 0.05, 0.05), 40.0, 200, 3, 50
+SHARE, FLOORS, CUT, BINS, STEPS, LEAST_ROWS = 0.75, (0.25, 0.25, 0.1, 0.1), 40.0, 200, 3, 50
 
 
 def statistics(docs: DataFrame) -> DataFrame:
