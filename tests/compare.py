@@ -13,7 +13,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df: pd.DataFrame) -> list[tuple]:
     df = df[sorted(df.columns)]
-    plain = lambda v: None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else (round(v, 6) if isinstance(v, float) else (str(pd.Timestamp(v)) if hasattr(v, "year") else (v.item() if hasattr(v, "item") else v)))
+    plain = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else (round(v, 6) if isinstance(v, float) else (str(pd.Timestamp(v)) if hasattr(v, "year") else (v.item() if hasattr(v, "item") else v)))
     return sorted((tuple(plain(v) for v in r) for r in df.itertuples(index=False)), key=repr)
 
 

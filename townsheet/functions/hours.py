@@ -33,37 +33,40 @@ def _day_set(selector: Column) -> Column:
     return F.flatten(F.transform(F.split(selector, ","), one))
 
 
-def _interval(chunk: Column) -> Column:
-    """Band bits of a time range today and past midnight; ok is false for anything else."""
-    text = F.trim(chunk)
-    h0, m0, h1, m1 = (F.expr("0") + F.try_to_number(F.nullif(F.regexp_extract(text, _TIME, i), F.lit("")), F.lit("99")).cast("int") for i in (1, 2, 3, 4))
-    ok = F.coalesce((h0 <= 24) & (h1 <= 24) & (m0 <= 59) & (m1 <= 59), F.lit(False))
-    start, end = h0 * 60 + m0, h1 * 60 + m1
-    end = F.when(end <= start, end + 1440).otherwise(end)
+def _clock(chunk: Column) -> Column:
+    part = lambda i: F.nullif(F.regexp_extract(F.trim(chunk), _TIME, i), F.lit("")).try_cast("int").alias(f"p{i}")
+    return F.struct(*[part(i) for i in (1, 2, 3, 4)])
+
+
+def _range(c: Column) -> Column:
+    ok = F.coalesce((c["p1"] <= 24) & (c["p3"] <= 24) & (c["p2"] <= 59) & (c["p4"] <= 59), F.lit(False))
+    return F.struct(ok.alias("ok"), (c["p1"] * 60 + c["p2"]).alias("start"), (c["p3"] * 60 + c["p4"]).alias("end"))
+
+
+def _bits(r: Column) -> Column:
+    """Band bits of a time range today and past midnight; an end at or before the start is tomorrow's."""
+    end = F.when(r["end"] <= r["start"], r["end"] + 1440).otherwise(r["end"])
     bit = lambda cond, b: F.when(cond, F.lit(b)).otherwise(F.lit(0))
-    today = sum((bit((start < b1 * 60) & (end > b0 * 60), b) for b, b0, b1 in BANDS), F.lit(0))
+    today = sum((bit((r["start"] < b1 * 60) & (end > b0 * 60), b) for b, b0, b1 in BANDS), F.lit(0))
     after = sum((bit(end - 1440 > b0 * 60, b) for b, b0, _ in BANDS), F.lit(0))
-    return F.struct(ok.alias("ok"), F.coalesce(today, F.lit(0)).alias("today"), F.coalesce(after, F.lit(0)).alias("after"))
-
-
-def _rule(text: Column) -> Column:
-    """days, shut, ok and the bits that a rule adds to its days and to the days after."""
-    holiday = text.rlike(_HOLIDAY)
-    body = F.trim(F.regexp_replace(F.trim(F.regexp_replace(text, _HOLIDAY, " ")), "^,+|,+$", ""))
-    selector = F.regexp_extract(body, _DAYS, 1)
-    rest = F.trim(F.regexp_replace(F.substr(body, F.length(selector) + 1), "^[ ,]+|[ ,]+$", ""))
-    low = F.lower(rest)
-    spans = F.transform(F.split(rest, ","), _interval)
-    bits = lambda name: F.aggregate(spans, F.lit(0), lambda acc, s: acc.bitwiseOR(s[name]))
-    shut = low.isin("off", "closed")
-    return F.struct(
-        ((body != "") & ~(holiday & (selector == ""))).alias("used"),
-        F.when(selector == "", F.sequence(F.lit(0), F.lit(6))).otherwise(_day_set(selector)).alias("days"),
-        shut.alias("shut"),
-        (shut | (~low.isin("", "open", "unknown") & F.forall(spans, lambda s: s["ok"]))).alias("ok"),
-        bits("today").alias("today"),
-        bits("after").alias("after"),
-    )
+    return F.struct(r["ok"].alias("ok"), today.alias("today"), after.alias("after"))
+
+
+def _rules(text: Column) -> Column:
+    """An array of (days, shut, ok, today, after). Each step reads the fields of the one before, so
+    that no expression is copied."""
+    body = lambda t: F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, _HOLIDAY, " ")), "^,+|,+$", ""))
+    a = F.transform(F.split(text, ";"), lambda t: F.struct(t.rlike(_HOLIDAY).alias("holiday"), body(t).alias("body")))
+    b = F.transform(a, lambda r: F.struct(r["holiday"].alias("holiday"), r["body"].alias("body"), F.regexp_extract(r["body"], _DAYS, 1).alias("days")))
+    b = F.filter(b, lambda r: (r["body"] != "") & ~(r["holiday"] & (r["days"] == "")))
+    rest = lambda r: F.trim(F.regexp_replace(F.substr(r["body"], F.length(r["days"]) + 1), "^[ ,]+|[ ,]+$", ""))
+    c = F.transform(b, lambda r: F.struct(F.when(r["days"] == "", F.sequence(F.lit(0), F.lit(6))).otherwise(_day_set(r["days"])).alias("days"), rest(r).alias("rest")))
+    spans = lambda r: F.transform(F.transform(F.transform(F.split(r["rest"], ","), _clock), _range), _bits)
+    d = F.transform(c, lambda r: F.struct(r["days"].alias("days"), F.lower(r["rest"]).alias("low"), spans(r).alias("spans")))
+    bits = lambda r, name: F.aggregate(r["spans"], F.lit(0), lambda acc, s: acc.bitwiseOR(s[name]))
+    shut = lambda r: r["low"].isin("off", "closed")
+    fine = lambda r: shut(r) | (~r["low"].isin("", "open", "unknown") & F.forall(r["spans"], lambda s: s["ok"]))
+    return F.transform(d, lambda r: F.struct(r["days"].alias("days"), shut(r).alias("shut"), fine(r).alias("ok"), bits(r, "today").alias("today"), bits(r, "after").alias("after")))
 
 
 def _apply(week: Column, rule: Column) -> Column:
@@ -78,11 +81,10 @@ def _apply(week: Column, rule: Column) -> Column:
 
 def week_mask(spec: Column) -> Column:
     text = F.trim(F.regexp_replace(spec, '"[^"]*"', " "))
-    rules = F.filter(F.transform(F.split(text, ";"), _rule), lambda r: r["used"])
-    week = F.aggregate(rules, F.array_repeat(F.lit(0), 7), _apply)
-    digits = F.array_join(F.transform(week, lambda d: F.lower(F.hex(d.cast("long")))), "")
-    fine = F.forall(rules, lambda r: r["ok"]) & F.exists(week, lambda d: d > 0)
-    return F.when(F.replace(text, F.lit(" ")).isin("24/7", "00:00-24:00"), "fffffff").when(fine, digits)
+    folded = F.transform(F.array(_rules(text)), lambda rs: F.struct(F.forall(rs, lambda r: r["ok"]).alias("ok"), F.aggregate(rs, F.array_repeat(F.lit(0), 7), _apply).alias("week")))
+    digits = lambda w: F.array_join(F.transform(w, lambda d: F.lower(F.hex(d.cast("long")))), "")
+    masks = F.transform(folded, lambda f: F.when(f["ok"] & F.exists(f["week"], lambda d: d > 0), digits(f["week"])))
+    return F.when(F.replace(text, F.lit(" ")).isin("24/7", "00:00-24:00"), "fffffff").when(spec.isNotNull(), F.get(masks, F.lit(0)))
 
 
 def day_bits(mask: Column, weekday: Column) -> Column:

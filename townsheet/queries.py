@@ -421,10 +421,11 @@ def week_masks(spark, d):
     return _places(spark, d).select("ord", "hours_mask")
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS ord, {MASK_SQL} AS m FROM part) SELECT ord, CASE WHEN m IS NULL THEN NULL ELSE (strpos('0123456789abcdef', substr(m, 5, 1)) - 1) & 8 > 0 END AS open FROM p WHERE m IS NULL OR (strpos('0123456789abcdef', substr(m, 5, 1)) - 1) & 8 > 0""")
+@query(f"""WITH p AS (SELECT p_partkey AS ord, {MASK_SQL} AS m FROM part) SELECT ord, CASE WHEN m IS NULL THEN 'unknown' ELSE 'open' END AS open FROM p WHERE m IS NULL OR (strpos('0123456789abcdef', substr(m, 5, 1)) - 1) & 8 > 0""")
 def open_late_friday(spark, d):
     """Shut places go, unknown ones stay unknown."""
-    return facets.places_open(_places(spark, d), 4, ["late"], strict=False).select("ord", "open")
+    found = facets.places_open(_places(spark, d), 4, ["late"], strict=False)
+    return found.select("ord", F.when(F.col("open"), "open").when(F.col("open").isNull(), "unknown").otherwise("shut").alias("open"))
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS ord, p_type AS kind, p_size, {MASK_SQL} AS m FROM part) SELECT kind, count(*) FILTER (m IS NOT NULL AND substr(m, 1, 1) <> '0') AS open, count(*) FILTER (m IS NULL) AS quiet FROM p GROUP BY 1""")
