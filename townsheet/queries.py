@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from townsheet.functions import hours, rules, text, times
 from townsheet.operators import dedup, geo, resolve, snapshots
 from townsheet.plans import events as listings
-from townsheet.plans import facets, lines, quality
+from townsheet.plans import facets, lines, places, quality
 from townsheet.sources import calendars, feeds, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -760,3 +760,86 @@ def whole_path_listings(spark, d):
 def serving_extract(spark, d):
     """Compact JSON lines."""
     return listings.extract(listings.listings(built(spark, d)))
+
+
+# ---- places from map elements ----
+
+
+def _elements(spark, d):
+    """Parts as map elements: tags by size, points by key."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    pairs = [("tourism", "museum"), ("amenity", "theatre"), ("leisure", "sports_centre"), ("leisure", "dance"), ("amenity", "nightclub"), ("shop", "books")]
+    at = lambda i: F.get(F.array(*[F.lit(p[i]) for p in pairs]), n % 6)
+    sport = F.when(n % 12 == 2, "yoga;bouldering").when(n % 12 == 4, "roller_skating").otherwise("none")
+    tags = F.map_concat(F.create_map(at(0), at(1)), F.create_map(F.lit("name"), F.when(n % 12 == 1, F.concat("p_name", F.lit(" improv"))).otherwise(F.col("p_name")), F.lit("sport"), sport, F.lit("image"), F.when(n % 2 == 0, F.concat(F.lit("File:A "), k.cast("string"), F.lit(".jpg"))).otherwise("https://drive.example/x")))
+    return table(spark, d, "part").select(k.alias("ord"), k.alias("osm_id"), (k * 91 % 1100 / 200.0).alias("lat"), (k * 37 % 1100 / 200.0).alias("lon"), tags.alias("tags"))
+
+
+KIND_SQL = "CASE p_size % 6 WHEN 0 THEN 'museum' WHEN 1 THEN CASE WHEN p_size % 12 = 1 THEN 'comedy-club' ELSE 'theatre' END WHEN 2 THEN CASE WHEN p_size % 12 = 2 THEN 'climbing' END WHEN 4 THEN CASE WHEN p_size % 12 = 4 THEN 'roller-rink' ELSE 'nightclub' END END"
+
+
+@query(f"""WITH k AS (SELECT p_partkey AS ord, {KIND_SQL} AS kind FROM part) SELECT ord, kind, CASE kind WHEN 'museum' THEN 'art' WHEN 'nightclub' THEN 'music' WHEN 'climbing' THEN 'sports' WHEN 'roller-rink' THEN 'sports' ELSE 'performance' END AS category FROM k WHERE kind IS NOT NULL""")
+def place_kinds(spark, d):
+    """Activity beats building; kinds map to categories."""
+    rows = _elements(spark, d).withColumn("kind", places.kind_of(F.col("tags"), places._tag(F.col("tags"), "name"))).where("kind is not null")
+    return rows.select("ord", "kind", places.category_of(F.col("kind")).alias("category"))
+
+
+@query("""SELECT p_partkey AS ord, CASE WHEN p_size % 2 = 0 THEN 'A ' || p_partkey || '.jpg' END AS file, 'https://upload.wikimedia.org/wikipedia/commons/thumb/a/ab/X' || p_partkey || '.jpg/500px-X' || p_partkey || '.jpg' AS thumb, CAST(3 * (p_size % 2) + 2 * (p_size % 3 = 0)::INT + (p_size % 5 = 0)::INT AS INT) AS score FROM part""")
+def place_images(spark, d):
+    """Stated files, smaller renditions, notability."""
+    k, n = F.col("osm_id"), F.col("p_size")
+    rows = _elements(spark, d).join(table(spark, d, "part").select("p_partkey", "p_size"), F.col("ord") == F.col("p_partkey"))
+    url = F.concat(F.lit("https://upload.wikimedia.org/wikipedia/commons/a/ab/X"), k.cast("string"), F.lit(".jpg"))
+    flag = lambda cond: F.when(cond, "x")
+    score = places.notability(flag(n % 2 == 1), flag(n % 3 == 0), flag(F.lit(False)), flag(n % 5 == 0), F.lit(""))
+    return rows.select("ord", places.image_ref(F.col("tags")).alias("file"), places.thumb(url).alias("thumb"), score.alias("score"))
+
+
+@query(f"""WITH k AS (SELECT *, {KIND_SQL} AS kind, CASE WHEN p_size % 12 = 1 THEN p_name || ' improv' ELSE p_name END AS name, p_partkey * 91 % 1100 / 200.0 AS lat, p_partkey * 37 % 1100 / 200.0 AS lon FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY name, round(lat, 4) ORDER BY p_partkey) AS rn FROM k WHERE kind IS NOT NULL),
+g AS (SELECT p_partkey, CAST(floor(lat) * 5 + floor(lon) AS INT) AS a, lon - floor(lon) AS fx, lat - floor(lat) AS fy, lat < 5 AND lon < 5 AS inside FROM f WHERE rn = 1)
+SELECT count(*) AS places, count(*) FILTER (inside AND NOT (a % 2 = 1 AND fx >= 0.25 AND fx < 0.75 AND fy >= 0.25 AND fy < 0.75)) AS in_area FROM g""")
+def place_summary(spark, d):
+    """Elements to places."""
+    stations = _stations(spark, d).select("id", (F.col("lat") - 40.5).alias("lat"), (F.col("lon") + 74.2).alias("lon"))
+    return places.summary(places.build(_elements(spark, d), _areas(spark, d), stations).withColumn("image", F.lit(None).cast("string"))).select("places", "in_area")
+
+
+@query("""SELECT p_name AS name, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'invalid' ELSE 'superseded' END AS warning FROM part WHERE p_partkey % 9 = 0 AND (p_size % 5 = 0 OR p_size % 7 = 0 OR p_name IN (SELECT p_name FROM part WHERE p_partkey % 9 = 1 AND p_size > 40))""")
+def curated_warnings(spark, d):
+    """Curated rows that are faulty or that the map has by now."""
+    part = table(spark, d, "part")
+    n = F.col("p_size")
+    curated = part.where("p_partkey % 9 = 0").select(F.col("p_name").alias("name"), F.when(n % 5 == 0, "nonsense").otherwise("museum").alias("kind"), F.when(n % 7 != 0, "1 Main St").alias("address"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"))
+    return places.extras(part.where("p_partkey % 9 = 1 and p_size > 40").select(F.col("p_name").alias("name")), curated, ["museum"])[1]
+
+
+@query("""SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'new-york' WHEN page_id % 3 = 1 THEN 'brooklyn' END AS city FROM pages""")
+def city_suffix(spark, d):
+    """The whole listing suffix, so that a band named after a city does not match."""
+    k = F.col("page_id")
+    url = F.when(k % 3 == 0, "https://x/a-new-york-tickets").when(k % 3 == 1, "https://x/b-brooklyn-tickets/").otherwise("https://x/brooklyn-bristol-tickets")
+    return table(spark, d, "pages").select("page_id", pages.city_listing(url, ["brooklyn", "new-york"]).alias("city"))
+
+
+@query(LINKS + """, e AS (SELECT page_id, link, length(regexp_replace(regexp_extract(link, '^https?://[^/]+([^?]*)', 1), '[^/]', '', 'g')) AS depth FROM l WHERE regexp_matches(lower(regexp_extract(link, '^https?://[^/]+([^?]*)', 1)), 'th|re'))
+SELECT page_id, arg_min(link, (depth, length(link), link)) AS listing FROM e GROUP BY 1""")
+def listing_pages(spark, d):
+    """the shallowest, shortest event-like link of each page."""
+    found = pages.links(table(spark, d, "pages"), "page_id")
+    return pages.listing_and_detail(found, "page_id", "th|re").select("page_id", "listing")
+
+
+@query(LISTED + """, h AS (SELECT DISTINCT station AS area FROM listed) SELECT neighborhood AS area, count(*) AS n FROM listed WHERE neighborhood IS NOT NULL GROUP BY 1""")
+def area_cards(spark, d):
+    """Events, routes and stations of each area."""
+    located = _stations(spark, d).select("id", F.concat(F.lit("n"), (F.col("id") % 25).cast("string")).alias("area"))
+    stations = _stations(spark, d).select("id", "name", F.array(F.lit("A")).alias("routes"))
+    return lines.area_card(listed(spark, d), located, stations).select("area", "n")
+
+
+@query("""SELECT 'part' AS kind, count(*) AS asked, count(*) FILTER (p_size % 3 > 0) AS placed, CAST(round_even(count(*) FILTER (p_size % 3 > 0) * 100.0 / greatest(count(*), 1), 1) AS DOUBLE) AS share FROM part""")
+def geocode_report(spark, d):
+    """What was asked and what was placed, weighted by rows."""
+    part = table(spark, d, "part").withColumn("hit", F.col("p_size") % 3 > 0)
+    return part.agg(F.count("*").alias("asked"), F.count_if("hit").alias("placed"), F.bround(F.count_if("hit") * 100.0 / F.greatest(F.count("*"), F.lit(1)), 1).cast("double").alias("share")).select(F.lit("part").alias("kind"), "asked", "placed", "share")

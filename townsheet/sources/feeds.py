@@ -27,7 +27,7 @@ SCHEMAS = {
 }
 
 #: Where an event stands in its own right (touring hosts, feeds with coordinates) it has own_lat, own_lon.
-COMMON = "source_id string, row_pos int, title string, start timestamp_ntz, end timestamp_ntz, venue_name string, venue_kind string, lat double, lon double, own_lat double, own_lon double, place_name string, borough string, category string, subcategory string, category_source string, flags array<string>, price_min double, is_free boolean, url string, description string, image string, needs_area boolean, reject string"
+COMMON = "source_id string, row_pos bigint, title string, start timestamp_ntz, end timestamp_ntz, venue_name string, venue_kind string, lat double, lon double, own_lat double, own_lon double, place_name string, borough string, category string, subcategory string, category_source string, flags array<string>, price_min double, is_free boolean, url string, description string, image string, needs_area boolean, reject string"
 
 
 def scan(spark: SparkSession, path: str, source_id: str, schema: str) -> DataFrame:

@@ -19,7 +19,7 @@ def run(spark: SparkSession, folder: str, feed: str, zone: str, checkpoint: str,
     """A query that hands each batch of common rows to ``sink``; rows are ordered by file within a batch."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("source_id", F.lit(feed)).withColumn("row_pos", F.monotonically_increasing_id().cast("int"))
+        rows = batch.withColumn("source_id", F.lit(feed)).withColumn("row_pos", F.monotonically_increasing_id())
         sink(feeds.TRANSFORMS[feed](rows, zone), number)
 
     stream = arriving(spark, folder, feeds.SCHEMAS[feed])
