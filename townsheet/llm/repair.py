@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from townsheet.llm.common import partitions, small_batches
 
 BLOCK, END, ROUNDS, BAND, LEAST = 1_000_000, 1, 6, 8, 8
-CACHE, KEEP, JOINED, TEXT_PIECE = 300_000, 60_000, 2_000, 4_000_000
+CACHE, KEEP, JOINED, TEXT_PIECE = 1_200_000, 600_000, 2_000, 4_000_000
 
 
 class Encoder:
