@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import small_batches
+from townsheet.llm.common import saved, small_batches
+from townsheet.llm.templates import sized
 
 #: Buckets for 1-grams and 2-grams (exact pairs folded) and for 3-grams.
 WIDTH = 8192
@@ -112,6 +113,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
     # the sample: smallest hashes of each language, kept by a top-k a task before they meet
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash")
     keyed = docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("text_hash"))
+    # a common language is thinned by hash to about four times the sample before its rows meet
+    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    part = F.shiftrightunsigned("h", 12) / float(1 << 52)
+    keyed = keyed.join(sized(saved(sizes, "languages")), "lang").where(part * F.col("n") <= 4 * sample).drop("n")
     chosen = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang", "text_hash").distinct()
     langs = sorted(r.lang for r in chosen.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
