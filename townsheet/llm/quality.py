@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townsheet.llm.common import SPACES, saved
+from townsheet.llm.templates import sized
 
 WINDOW = 5
 FEATURES = ("x1", "x2", "x3", "x4")
@@ -96,8 +97,8 @@ def _histogram(df: DataFrame, group: list[str]) -> DataFrame:
 
 
 def _with(rows: DataFrame, params: DataFrame) -> DataFrame:
-    """Rows with their group's parameters; the key is never null."""
-    return rows.join(params, "group", "left")
+    """Rows with their group's saved parameters; the key is never null. Few groups are broadcast, many shuffled."""
+    return rows.join(sized(params), "group", "left")
 
 
 def _distance() -> Column:
@@ -140,7 +141,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     params = saved(_cholesky(start), "mcd")
     for _ in range(steps):
         far = _with(rows, params).withColumn("bin", F.floor(F.log1p(_distance()) * BINS).cast("long"))
-        limit = _quantile(_histogram(far, ["group", "bin"]), ["group"], SHARE, "limit")
+        limit = saved(_quantile(_histogram(far, ["group", "bin"]), ["group"], SHARE, "limit"), "mcd")
         inside = _with(far, limit).where(F.col("bin") <= F.col("limit"))
         sums = [F.count("*").alias("n"), *[F.sum(F.col(FEATURES[i]) - F.col(f"m{i}")).alias(f"s{i}") for i in p], *[F.first(f"m{i}").alias(f"o{i}") for i in p]]
         sums += [F.sum((F.col(FEATURES[i]) - F.col(f"m{i}")) * (F.col(FEATURES[j]) - F.col(f"m{j}"))).alias(f"q{i}{j}") for i in p for j in range(i + 1)]
@@ -151,7 +152,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     middle = _quantile(_histogram(_with(rows, params).withColumn("bin", F.floor(F.log1p(_distance()) * BINS).cast("long")), ["group", "bin"]), ["group"], 0.5, "mid")
     scaled = params.join(middle, "group").withColumn("scale", F.greatest(F.expm1((F.col("mid") + 0.5) / BINS) / 3.357, F.lit(1.0)))
     sizes = rows.groupBy("group").agg(F.count("*").alias("rows"))
-    return saved(scaled.join(sizes, "group").drop("mid"), "mcd")
+    return scaled.join(sizes, "group").drop("mid")
 
 
 def judge(docs: DataFrame, least_rows: int = LEAST_ROWS, cut: float = CUT) -> DataFrame:
@@ -160,7 +161,7 @@ def judge(docs: DataFrame, least_rows: int = LEAST_ROWS, cut: float = CUT) -> Da
     key = F.xxhash64(lang, source)
     stats = saved(features(statistics(docs)).withColumn("base_failed", base_failed()).withColumn("group", key), "quality")
     params = estimates(stats.where(~F.col("base_failed")).select("group", *FEATURES))
-    params = params.where(F.col("rows") >= least_rows)
+    params = saved(params.where(F.col("rows") >= least_rows), "mcd")
     scored = _with(stats, params).withColumn("distance", _distance() / F.col("scale"))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
     drop = [c for c in scored.columns if c not in (*stats.columns, "distance")]
