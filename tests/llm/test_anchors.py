@@ -48,7 +48,7 @@ def test_pack_round_trip():
     rnd = np.random.default_rng(1)
     docs = np.sort(rnd.integers(0, 9, 500))
     places = np.concatenate([np.sort(rnd.choice(90000, n, replace=False)) for n in np.unique(docs, return_counts=True)[1]])
-    keys, ids, h, c = rnd.integers(-9, 9, 9), np.arange(9), rnd.integers(0, 1 << 60, 500).astype("<u8"), rnd.integers(0, 99, 500).astype("<u4")
+    keys, ids, h, c = rnd.integers(-9, 9, 9), np.arange(9), rnd.integers(0, 1 << 60, 500).astype("<u8"), rnd.integers(0, 99, 500).astype("<u2")
     k, i, d, p, h2, c2 = anchors.unpack(anchors.pack(keys, ids, docs, places, h, c))
     assert (k[d] == keys[docs]).all() and (i[d] == ids[docs]).all() and (p == places).all() and (h2 == h).all() and (c2 == c).all()
 

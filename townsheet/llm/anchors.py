@@ -6,7 +6,7 @@ A window of 13 words that starts in two documents holds, in each, one of that do
 1. hashes every rolling window of 7 words of every document, dealt into buckets by hash; those at
    block places are the index, all of them are probes; hits are hashes that two documents hold, one
    of them at a block place;
-2. extends each hit to the 13-word windows around it and deals those, with 96 hash bits, into
+2. extends each hit to the 13-word windows around it and deals those, with 80 hash bits, into
    buckets; a window is repeated if a document with a smaller id holds it. Overlapping repeated
    windows are the maximal repeats;
 3. removes the words that repeated windows cover.
@@ -97,8 +97,9 @@ def pack(keys: np.ndarray, ids: np.ndarray, docs: np.ndarray, places: np.ndarray
     return head + keys[used].astype("<i8").tobytes() + (ids[used].astype("<i8").tobytes() if len(checks) else b"") + _planes(counts) + _planes(gaps) + hashes.tobytes() + checks.tobytes()
 
 
-def unpack(data: bytes):
+def unpack(data: bytes, hashed: bool = True):
     n_docs, n, size, n_checks = np.frombuffer(data, "<u4", 4).tolist()
+    size = size if hashed else 0
     at = 16
     keys = np.frombuffer(data, "<i8", n_docs, at)
     at += 8 * n_docs
@@ -108,8 +109,8 @@ def unpack(data: bytes):
     at += 4 * n_docs
     gaps = _unplaned(data, n, at)
     at += 4 * n
-    hashes = np.frombuffer(data, f"<u{size}", n, at)
-    checks = np.frombuffer(data, "<u4", n_checks, at + size * n)
+    hashes = np.frombuffer(data, f"<u{size}" if hashed else "<u4", n if hashed else 0, at)
+    checks = np.frombuffer(data, "<u2", n_checks, at + size * n)
     starts = np.cumsum(counts) - counts
     total = np.cumsum(gaps)
     places = total - np.repeat(total[starts] - gaps[starts], counts) if n else gaps
@@ -165,7 +166,7 @@ def probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 fits = place[: len(h)] + width <= sizes[doc[: len(h)]]
                 h, doc, place = h[fits], doc[: len(fits)][fits], place[: len(fits)][fits]
                 keys = all_keys[at : at + len(lists)]
-                rows = list(_deal(keys, keys, doc, place, h, np.empty(0, "<u4"), True, buckets))
+                rows = list(_deal(keys, keys, doc, place, h, np.empty(0, "<u2"), True, buckets))
                 if rows:
                     yield _packed_rows(rows)
 
@@ -179,20 +180,42 @@ def _opened(table: pa.Table):
     return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] + s for p, s in zip(parts, shift)]), *(np.concatenate([p[i] for p in parts]) for i in (3, 4, 5)))
 
 
-def _places_table(keys, ids, docs, places) -> pa.Table:
-    """A row for each document, with its places."""
-    cuts = np.flatnonzero(np.diff(docs)) + 1
-    lists = np.split(places.astype("<u4"), cuts) if len(docs) else []
-    owners = docs[np.r_[0, cuts]] if len(docs) else docs
-    return pa.table({"key": pa.array(keys[owners], pa.int64()), "id": pa.array(ids[owners], pa.int64()), "places": pa.array([x.tobytes() for x in lists], pa.binary())})
+def _sent_places(keys, ids, docs, places, buckets: int) -> pa.Table:
+    """Places of a bucket's documents, packed into a row for each bucket of documents."""
+    target = np.mod(keys[docs], buckets)
+    order = np.argsort(target, kind="stable")
+    cuts = np.flatnonzero(np.diff(target[order])) + 1
+    none = np.empty(0, "<u4")
+    rows = [(int(target[some[0]]), pack(keys, keys, docs[some], places[some], none, none) + ids[np.unique(docs[some])].astype("<i8").tobytes()) for some in (np.split(order, cuts) if len(order) else [])]
+    return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
 
-def hits(packed: DataFrame, window: int) -> DataFrame:
+def _gathered(sent: DataFrame) -> DataFrame:
+    """A row for each document with its places."""
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = []
+        for x in table.column("payload"):
+            data = x.as_py()
+            keys, _, docs, places, _, _ = unpack(data, False)
+            ids = np.frombuffer(data, "<i8", len(keys), len(data) - 8 * len(keys))
+            parts.append((keys[docs], ids[docs], places))
+        keys, ids, places = map(np.concatenate, zip(*parts))
+        order = np.lexsort((places, ids, keys))
+        keys, ids, places = keys[order], ids[order], places[order].astype("<u4")
+        cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(ids) != 0)) + 1
+        first = np.r_[0, cuts]
+        return pa.table({"key": pa.array(keys[first], pa.int64()), "id": pa.array(ids[first], pa.int64()), "places": pa.array([p.tobytes() for p in np.split(places, cuts)], pa.binary())})
+
+    return sent.groupBy("bucket").applyInArrow(run, PLACES)
+
+
+def hits(packed: DataFrame, window: int, buckets: int) -> DataFrame:
     """Places of block-length windows that two documents hold, one at a block place."""
     width = _block(window)
 
     def run(table: pa.Table) -> pa.Table:
-        keys, ids, docs, places, h, _ = _opened(table)
+        keys, _, docs, places, h, _ = _opened(table)
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
         owner = keys[docs[order]]
@@ -200,9 +223,9 @@ def hits(packed: DataFrame, window: int) -> DataFrame:
         indexed = np.maximum.reduceat((places[order] % width == 0).astype(np.int8), starts) > 0
         hit = np.zeros(len(h), bool)
         hit[order] = np.repeat(shared & indexed, np.diff(np.r_[starts, len(h)]))
-        return _places_table(keys, ids, docs[hit], places[hit])
+        return _sent_places(keys, keys, docs[hit], places[hit], buckets)
 
-    return packed.groupBy("bucket").applyInArrow(run, PLACES)
+    return _gathered(packed.groupBy("bucket").applyInArrow(run, PACKED))
 
 
 def _marked(n: int, stored: list[bytes], before: int, after: int) -> np.ndarray:
@@ -227,23 +250,22 @@ def extensions(docs: DataFrame, found: DataFrame, window: int, buckets: int) ->
                     n = len(words) - window + 1
                     if n < 1:
                         continue
-                    near = np.flatnonzero(_marked(n, stored[at + i].as_py(), window - width, 0))
+                    near = np.flatnonzero(_marked(n, [stored[at + i].as_py()], window - width, 0))
                     if len(near):
                         w = WORD_HASHES.of([words], len(words))
                         doc.append(np.full(len(near), i))
                         place.append(near)
                         hashes.append(rolling(w, window)[near])
-                        checks.append((rolling(w, window, _BASE2)[near] >> np.uint64(32)).astype("<u4"))
+                        checks.append((rolling(w, window, _BASE2)[near] >> np.uint64(48)).astype("<u2"))
                 if doc:
                     keys, ids = all_keys[at : at + len(lists)], all_ids[at : at + len(lists)]
                     yield _packed_rows(list(_deal(keys, ids, *map(np.concatenate, (doc, place, hashes, checks)), False, buckets)))
 
-    lists = found.groupBy("key").agg(F.collect_list("places").alias("places"))  # at most a document's places
     # doc_id comes along so that this join and the last one read the same shuffle
-    return docs.join(lists, "key").select("key", "id", "text", "places", "doc_id").mapInArrow(run, PACKED)
+    return docs.join(found.select("key", "places"), "key").select("key", "id", "text", "places", "doc_id").mapInArrow(run, PACKED)
 
 
-def repeated(packed: DataFrame) -> DataFrame:
+def repeated(packed: DataFrame, buckets: int) -> DataFrame:
     """Places of windows that a document with a smaller id holds."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -255,9 +277,9 @@ def repeated(packed: DataFrame) -> DataFrame:
         least = np.repeat(np.minimum.reduceat(owner, starts), np.diff(np.r_[starts, len(h)]))
         gone = np.zeros(len(h), bool)
         gone[order] = owner > least
-        return _places_table(keys, ids, docs[gone], places[gone])
+        return _sent_places(keys, ids, docs[gone], places[gone], buckets)
 
-    return packed.groupBy("bucket").applyInArrow(run, PLACES)
+    return _gathered(packed.groupBy("bucket").applyInArrow(run, PACKED))
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -267,8 +289,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = partitions(spark)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text", F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), F.coalesce("text", F.lit(""))).alias("key"))
     dealt = rows.repartition(n, "key")  # one shuffle of the texts, used by both joins
-    found = hits(probes(rows, window, n), window)
-    gone = repeated(extensions(dealt, found, window, n)).groupBy("key").agg(F.collect_list(F.struct("id", "places")).alias("places"))
+    found = hits(probes(rows, window, n), window, n)
+    gone = repeated(extensions(dealt, found, window, n), n).groupBy("key").agg(F.collect_list(F.struct("id", "places")).alias("places"))
 
     def run(batches):
         for batch in batches:
