@@ -1,6 +1,7 @@
 """Spark against DuckDB on one folder of tables: python tests/compare.py DIR [NAME...]"""
 
 import os
+import re
 import sys
 import time
 
@@ -40,7 +41,7 @@ if __name__ == "__main__":
     spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     queries, sqls = entry.queries(), entry.oracle_sql()
-    for name in sys.argv[2:] or [n for n in queries if not n.startswith("op") and n != "pipeline"]:
+    for name in sys.argv[2:] or [n for n in queries if not re.match(r"op\d+_", n) and n != "pipeline"]:
         began = time.time()
         try:
             said = compare(spark, sys.argv[1], name, queries[name], sqls[name]) if name in sqls else f"rows {queries[name](spark, sys.argv[1]).count()}"
