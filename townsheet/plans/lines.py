@@ -121,3 +121,8 @@ def area_card(events: DataFrame, located: DataFrame, stations: DataFrame) -> Dat
     n = events.where("neighborhood is not null").groupBy(F.col("neighborhood").alias("area")).agg(F.count("*").alias("n"))
     s = located.join(stations, "id").groupBy("area").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("routes")))).alias("routes"), F.transform(F.sort_array(F.collect_list(F.struct("name", "id"))), lambda x: x["name"]).alias("stations"))
     return n.join(s, "area", "left")
+
+
+def line_index(stations: DataFrame, lines: DataFrame, located: DataFrame) -> DataFrame:
+    """Stations on any line, with the area they lie in. located: id, area."""
+    return stations.join(lines.select(F.col("station").alias("id")).distinct(), "id", "left_semi").join(located, "id", "left")

@@ -843,3 +843,39 @@ def geocode_report(spark, d):
     """What was asked and what was placed, weighted by rows."""
     part = table(spark, d, "part").withColumn("hit", F.col("p_size") % 3 > 0)
     return part.agg(F.count("*").alias("asked"), F.count_if("hit").alias("placed"), F.bround(F.count_if("hit") * 100.0 / F.greatest(F.count("*"), F.lit(1)), 1).cast("double").alias("share")).select(F.lit("part").alias("kind"), "asked", "placed", "share")
+
+
+@query("""WITH w AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://www.facebook.com/p' || c_custkey WHEN 1 THEN 'www.Site' || (c_custkey % 50) || '.org/a' WHEN 2 THEN 'http://site' || (c_custkey % 50) || '.org/b' ELSE '' END AS raw FROM customer),
+u AS (SELECT c_custkey, CASE WHEN starts_with(raw, 'http') THEN raw ELSE 'https://' || raw END AS url FROM w WHERE raw <> ''), h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^https?://([^/]+)', 1)), '^www\\.', '') AS host FROM u)
+SELECT host, arg_min(url, c_custkey) AS url, min(c_custkey) AS c_custkey FROM h WHERE host <> 'facebook.com' GROUP BY 1""")
+def website_candidates(spark, d):
+    """Own websites, first place of each host."""
+    k = F.col("c_custkey")
+    n = (k % 50).cast("string")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("https://www.facebook.com/p"), k.cast("string"))).when(k % 4 == 1, F.concat(F.lit("www.Site"), n, F.lit(".org/a"))).when(k % 4 == 2, F.concat(F.lit("http://site"), n, F.lit(".org/b"))).otherwise("")
+    return pages.website_candidates(table(spark, d, "customer").select("c_custkey", raw.alias("website")), "c_custkey")
+
+
+@query("""SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey % 3 > 0 AND NOT (c_nationkey IN (1, 3) OR c_custkey % 10 = 0) AND c_mktsegment = 'BUILDING'""")
+def signal_candidates(spark, d):
+    """Readable, not refused, with a signal."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    status = F.when(n == 1, 401).when(n == 3, 403).otherwise(200)
+    rows = table(spark, d, "customer").withColumns({"readable": k % 3 > 0, "blocked": pages.blocked(status, F.when(k % 10 == 0, "Robots say no"))})
+    return pages.candidates(rows, F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_mktsegment")
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 3 > 0 THEN 'n' || s_nationkey END AS area FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 48)""")
+def line_index(spark, d):
+    """Stations on lines, with their areas."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("n"))
+    located = s.where("id % 3 > 0").select("id", F.concat(F.lit("n"), F.col("n").cast("string")).alias("area"))
+    served = table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_suppkey").alias("station"))
+    return lines.line_index(s.select("id", "name"), served, located)
+
+
+@query("""SELECT page_id, CAST(len(regexp_extract_all(lower(html), '(<a )', 1)) AS INT) AS anchors, page_id % 2 = 0 AS ical FROM pages""")
+def redetected_signals(spark, d):
+    """Signals from saved pages, network-only ones carried."""
+    p = table(spark, d, "pages")
+    return pages.redetected(pages.capabilities(p, "page_id").select("page_id", "anchors"), p.select("page_id", (F.col("page_id") % 2 == 0).alias("ical")), "page_id", ["ical"])

@@ -93,3 +93,30 @@ def listing_and_detail(found: DataFrame, key: str, eventish: str) -> DataFrame:
     top = some.groupBy(key).agg(F.min(F.struct("depth", F.length("link").alias("len"), F.col("link").alias("listing"))).alias("top"))
     deep = some.join(top, key).where(F.col("depth") > F.col("top.depth")).groupBy(key).agg(F.min(F.struct(F.length("link").alias("len"), F.col("link").alias("detail"))).alias("d"))
     return top.join(deep, key, "left").select(key, "top.listing", "d.detail")
+
+
+#: Hosts that are no site of a place's own. Fixed values.
+SOCIAL = ("facebook.com", "instagram.com", "twitter.com", "x.com", "linktr.ee", "yelp.com", "youtube.com", "tiktok.com")
+
+
+def website_candidates(places: DataFrame, order: str, website: str = "website") -> DataFrame:
+    """host, url and the first place (by order) of each own website; a missing scheme is https."""
+    raw = F.trim(F.col(website))
+    url = F.when(raw.rlike("(?i)^https?://"), raw).otherwise(F.concat(F.lit("https://"), raw))
+    rows = places.where(raw != "").select(F.col(order), url.alias("url")).withColumn("host", registrable_host(F.col("url"))).where(F.col("host").isNotNull() & ~F.col("host").isin(*SOCIAL))
+    return rows.groupBy("host").agg(F.min_by("url", order).alias("url"), F.min(order).alias(order))
+
+
+def blocked(status: Column, error: Column) -> Column:
+    """Whether a site refused to be read, as opposed to having nothing to read."""
+    return F.coalesce(status.isin(401, 403), F.lit(False)) | F.coalesce(F.lower(error).contains("robots"), F.lit(False))
+
+
+def candidates(capabilities: DataFrame, signal: Column) -> DataFrame:
+    """Readable sites that were not refused and show a signal."""
+    return capabilities.where(F.col("readable") & ~F.col("blocked") & signal)
+
+
+def redetected(fresh: DataFrame, before: DataFrame, key: str, network_only: list[str]) -> DataFrame:
+    """Signals read again from saved pages, with those that only the network tells carried over."""
+    return fresh.join(before.select(key, *network_only), key, "left")
