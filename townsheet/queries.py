@@ -422,7 +422,7 @@ def week_masks(spark, d):
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS ord, {MASK_SQL} AS m FROM part) SELECT ord, CASE WHEN m IS NULL THEN 'unknown' ELSE 'open' END AS open FROM p WHERE m IS NULL OR (strpos('0123456789abcdef', substr(m, 5, 1)) - 1) & 8 > 0""")
-def open_late_friday(spark, d):
+def late_friday_open(spark, d):
     """Shut places go, unknown ones stay unknown."""
     found = facets.places_open(_places(spark, d), 4, ["late"], strict=False)
     return found.select("ord", F.when(F.col("open"), "open").when(F.col("open").isNull(), "unknown").otherwise("shut").alias("open"))
