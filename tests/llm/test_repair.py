@@ -48,6 +48,15 @@ def test_encoder_like_library(monkeypatch):
         assert (np.frombuffer(data, "<u4") == ids_of(t)[:-1]).all()
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abTHé'sßœıİ,.1²½ªΣ-|"), min_size=1, max_size=8), max_size=12))
+def test_spaced_chunks_like_library(chunks):
+    found = repair.encoder(PATH)
+    found.cache.clear()
+    text = " ".join(chunks)
+    assert (np.frombuffer(found.encode([text])[0], "<u4") == ids_of(text)[:-1]).all()
+
+
 def brute(rows):
     out, start = [], 0
     for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):

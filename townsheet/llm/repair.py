@@ -23,7 +23,9 @@ ignored. Memory is a block and the encoder's bounded cache; a document is never
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,6 +33,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -41,6 +44,10 @@ BLOCK, END, ROUNDS, BAND, LEAST = 1_000_000, 1, 6, 8, 8
 CACHE, KEEP, JOINED, TEXT_PIECE = 1_200_000, 600_000, 2_000, 4_000_000
 
 
+#: Visible characters up to the end of Latin Extended-B, but for the one whose lower case is two.
+PLAIN = re.compile("[!-~" + chr(0xA1) + "-" + chr(0x12F) + chr(0x131) + "-" + chr(0x24F) + "]+").fullmatch
+
+
 class Encoder:
     """The tokenizers library over whole texts. It never merges across white space, so each chunk
     between white space is encoded by the library once and looked up after; texts with special
@@ -56,11 +63,33 @@ class Encoder:
         self.mark, self.mark_id = "<|startoftext|>", self.library.token_to_id("<|startoftext|>")
         self.size = self.library.get_vocab_size()
         self.cache: dict[str, bytes] = {}
+        # with word ends in the vocabulary, pieces can be told apart without marks between chunks
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"].get("end_of_word_suffix")
+        splits = [p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        self.pieces_of = regex.compile(splits[0]).findall if suffix and len(splits) == 1 else None
+        self.ends = np.zeros(self.size, bool)
+        if self.pieces_of:
+            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def learn(self, chunks: list[str]) -> None:
+        """Plain Latin chunks, whose case and form change letter by letter, go spaced; others marked."""
+        plain = [c for c in chunks if PLAIN(c)] if self.pieces_of else []
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            pieces = np.cumsum([len(self.pieces_of(c.lower())) for c in some])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == pieces[-1]:
+                stops = ends[pieces - 1].tolist()
+                self.cache.update((c, ids[a:b].tobytes()) for c, a, b in zip(some, [0, *stops], stops))
+        self.learn_marked([c for c in chunks if c not in self.cache])
+
+    def learn_marked(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), JOINED):
             some = chunks[at : at + JOINED]
             ids = np.array(self.library.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids, "<u4")
