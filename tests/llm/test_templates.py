@@ -80,6 +80,16 @@ def test_literal_texts_like_brute_force(spark, tmp_path):
     assert got == brute([d[:2] for d in docs], items) and len(got) > 10
 
 
+def test_every_item_of_a_template(spark, tmp_path):
+    text = "{} has {} apples and {} pears in the small basket that stands by the old kitchen door all day long"
+    items = [(0, text.format("Ann", 5, 5)), (1, text.format("Bob", 3, 5)), (2, text.format("Bob", 3, 5)), (3, text.format("Eve", 7, 8))]
+    docs = [(i, f"so it goes that {text.format(*v)} and so on", "en", "s", 0) for i, v in enumerate([("Bob", 3, 5), ("Ann", 5, 5), ("Joe", 9, 9), ("Joe", 1, 2)])]
+    got = {r.doc_id: (r.item_ids, r.n_items, r.changed) for r in run(spark, tmp_path, docs, items)}
+    # an item with one value in two slots does not fit two values; equal values in the document fit any item
+    assert got == {0: ("1,3", 2, False), 1: ("0,1,3", 3, False), 2: ("0,1,3", 3, True), 3: ("1,3", 2, True)}
+    assert templates.clean(*[spark.createDataFrame(r, s) for r, s in ((docs, "doc_id long, text string, lang string, source string, n_chars long"), (items, "item_id long, text string"))]).count() == 0
+
+
 def test_template(spark):
     text = "In 2020, Ana-Maria ran 3.5 km (5km) iPhone, 7 days. NASA's 1,000"
     r = spark.createDataFrame([(text,)], "t string").select(templates.tokens(templates.template(templates.base_text(F.col("t")))).alias("x")).first()

@@ -6,11 +6,11 @@ tokens of every benchmark item (with at least five literal tokens) are hashed an
 windows of every document. Hits on one diagonal (place in document minus place in item) that reach
 ``least`` windows, or all of a shorter item, are a candidate: the tokens at the item's placeholders
 are compared, and the candidate stands if each of the item's values always meets one value in the
-document and the other way round. Verbatim copies pass by nature; a re-parameterised question passes
-with other values. ``matches`` gives (doc, item) rows, ``flag`` one row per document, ``clean`` drops
-the flagged ones.
+document. Verbatim copies pass by nature; a re-parameterised question passes with other values.
+``matches`` gives (doc, item) rows, ``flag`` one row per document, ``clean`` drops the flagged ones.
 
-Items with one template are folded into one (smallest item_id) before the join. Defined results:
+Items with one template share its windows in the join; the candidates then meet every item of the
+template, each with its own values. Items of one text are one item (smallest item_id). Defined results:
 null and empty texts or items, and items under eight tokens, match nothing; a null doc_id is matched
 by its text; repeated rows get repeated verdicts; empty tables give empty results; other columns do
 not matter. The benchmark side is broadcast only after its rows were counted, else it is shuffled.
@@ -51,17 +51,17 @@ def _windows(t: str) -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """One row per distinct template: item_id, members, raw and template tokens."""
+    """One row per distinct text: tid (of its template), item_id, raw and template tokens."""
     base = benchmark.select("item_id", base_text(F.col("text")).alias("base")).withColumn("t", template(F.col("base")))
-    first = base.groupBy("t").agg(F.min(F.struct("item_id", "base")).alias("f"), F.count("*").alias("members"))
-    return first.select(F.col("f.item_id").alias("item_id"), "members", tokens(F.col("f.base")).alias("raw"), tokens(F.col("t")).alias("t"))
+    members = base.groupBy("t", "base").agg(F.min("item_id").alias("item_id"))
+    return members.select(F.xxhash64("t").alias("tid"), "item_id", tokens(F.col("base")).alias("raw"), tokens(F.col("t")).alias("t"))
 
 
 def _item_windows(of: DataFrame) -> DataFrame:
-    rows = of.withColumn("h", _windows("t")).select("item_id", "t", F.posexplode_outer("h").alias("ipos", "h"))
+    rows = of.select("tid", "t").dropDuplicates(["tid"]).withColumn("h", _windows("t")).select("tid", "t", F.posexplode_outer("h").alias("ipos", "h"))
     literal = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin("@", "#", "$")))
-    rows = rows.where(F.col("h").isNotNull() & (literal >= LITERALS)).select("item_id", "ipos", "h")
-    return rows.join(rows.groupBy("item_id").agg(F.count("*").alias("n_windows")), "item_id")
+    rows = rows.where(F.col("h").isNotNull() & (literal >= LITERALS)).select("tid", "ipos", "h")
+    return rows.join(rows.groupBy("tid").agg(F.count("*").alias("n_windows")), "tid")
 
 
 def sized(table: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """key, item_id, windows (hits on the best diagonal) and changed (placeholders differ)."""
+    """key, tid, item_id, windows (hits on the best diagonal) and changed (placeholders differ)."""
     of = saved(items(benchmark), "items")
     probe = saved(_item_windows(of), "item-windows")
     keyed = _keyed(docs)
@@ -82,27 +82,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFr
     windows = keyed.select("key", tokens(template(base_text(F.col("text")))).alias("t")).select("key", _windows("t").alias("h")).select("key", F.posexplode_outer("h").alias("dpos", "h"))
     hits = windows.join(sized(probe), "h")
     # a diagonal's hits: at most as many as its item has windows
-    lines = hits.groupBy("key", "item_id", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "n_windows").agg(F.sort_array(F.collect_set("ipos")).alias("at"))
+    lines = hits.groupBy("key", "tid", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "n_windows").agg(F.sort_array(F.collect_set("ipos")).alias("at"))
     lines = saved(lines.where(F.size("at") >= F.least(F.lit(least), F.col("n_windows"))).drop("n_windows"), "diagonals")
     texts = keyed.join(sized(saved(lines.select("key").distinct(), "hit-docs")), "key", "left_semi")
     raw = texts.dropDuplicates(["key"]).select("key", tokens(base_text(F.col("text"))).alias("d"))
-    both = lines.join(raw, "key").join(sized(of.select("item_id", F.col("raw").alias("i"), "t")), "item_id")
+    both = lines.join(raw, "key").join(sized(of.select("tid", "item_id", F.col("raw").alias("i"), "t")), "tid")
     places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
     both = both.withColumn("slots", F.filter(places, lambda p: F.get("t", p).isin("@", "#", "$")))
     pair = lambda p: F.struct(F.get("t", p).alias("k"), F.get("i", p).alias("i"), F.get("d", p + F.col("diagonal")).alias("d"))
     both = both.withColumn("pairs", F.array_distinct(F.transform("slots", pair)))
-    side = lambda c: F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["k"], s[c]))))
-    fits = both.where((F.size("pairs") == side("i")) & (F.size("pairs") == side("d")))
+    fits = both.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["k"], s["i"])))))
     changed = F.exists("pairs", lambda s: s["i"] != s["d"])
-    return fits.groupBy("key", "item_id").agg(F.max(F.size("at")).cast("long").alias("windows"), F.min(changed).alias("changed"))
+    return fits.groupBy("key", "tid", "item_id").agg(F.max(F.size("at")).cast("long").alias("windows"), F.min(changed).alias("changed"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending, comma-joined), windows and changed by row of docs."""
-    found = matches(docs, benchmark).groupBy("key").agg(
-        F.count("*").alias("n_items"), F.array_join(F.sort_array(F.collect_set("item_id")), ",").alias("item_ids"),
-        F.sum("windows").alias("windows"), F.min("changed").alias("changed"),
-    )
+    # a template's windows count once, however many of its items fit
+    shared = matches(docs, benchmark).groupBy("key", "tid").agg(F.collect_set("item_id").alias("ids"), F.max("windows").alias("windows"), F.min("changed").alias("changed"))
+    found = shared.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"), F.sum("windows").alias("windows"), F.min("changed").alias("changed"))
+    found = found.select("key", F.size("ids").alias("n_items"), F.array_join("ids", ",").alias("item_ids"), "windows", "changed")
     found = saved(found, "flags")
     rows = _keyed(docs).select("doc_id", "key").join(sized(found), "key", "left")
     return rows.select(
