@@ -76,6 +76,17 @@ def test_keep_one(spark):
     assert len([r for r in kept if r.doc_id == 1]) == 1 and 6 not in {r.doc_id for r in kept}
 
 
+def test_keep_one_of_every_component_without_usable_ids(spark):
+    rnd = random.Random(9)
+    text = lambda: " ".join(rnd.choice("abcdefghij") * rnd.randint(1, 4) for _ in range(60))
+    same = text()
+    rows = [(i if i % 3 else None, text(), "en", "s", 1) for i in range(30)] + [(7, text(), "en", "s", 1), (None, same, "en", None, 1), (None, same, None, "en", 1), (None, same, "en", None, 1), (99, same, "en", "s", 1)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(tuple(r) for r in kept if r.text != same and r.doc_id is not None) == sorted(r for r in rows if r[1] != same and r[0] is not None)
+    assert sorted(r.text for r in kept if r.doc_id is None) == sorted(r[1] for r in rows[:30] if r[0] is None)
+    assert [r.doc_id for r in kept if r.text == same] == [99]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 90)] + [(1000, i) for i in range(2000, 2100)] + [(7, 7), (None, 3)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -22,7 +22,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townsheet.llm.common import saved, small_batches
@@ -71,21 +71,28 @@ def links(prints: DataFrame) -> DataFrame:
     return met.where((F.col("before").isNotNull()) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("before"))) <= 2)).select(F.col("fp").alias("a"), F.col("before").alias("b"))
 
 
+def _named(prints: DataFrame, first: Column) -> DataFrame:
+    """fp, first (the smallest of its rows) and label of its component, for every distinct fingerprint."""
+    firsts = prints.groupBy("fp").agg(F.min(first).alias("first"))
+    labels = components(links(prints))
+    return firsts.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+
+
 def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, fp and component_id of every row."""
     prints = saved(fingerprints(docs.select("doc_id", "text"), width), "prints")
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(prints))
-    named = firsts.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    named = _named(prints, F.col("doc_id"))
     least = named.groupBy("label").agg(F.min("first").alias("component_id"))
     ids = named.join(least, "label").select("fp", "component_id")
     return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """The rows of docs that are first of their component (repeated rows once); columns unchanged."""
-    first = groups(docs, width).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    same = docs.join(first.withColumnRenamed("doc_id", "_d"), docs["doc_id"].eqNullSafe(F.col("_d")), "left_semi")
-    # one row for an id: rows that share an id are told apart by their whole content
-    rank = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    return same.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
+    """One row of each component, the smallest doc_id first and a null one last; columns unchanged."""
+    # a row is known by its whole content (a hash of values passes over nulls, so they are hashed too)
+    row = F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())])
+    marked = docs.withColumn("_row", row)
+    prints = saved(fingerprints(marked.select("doc_id", "text", "_row"), width), "prints")
+    named = _named(prints, F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "_row"))
+    first = named.groupBy("label").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
+    return marked.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
