@@ -52,6 +52,19 @@ def test_outliers_go_and_the_rest_stay(spark):
     assert not any(got[1000 + i].kept for i in range(30))
 
 
+def test_small_sources_are_judged(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(2, 9)))
+    odd = lambda: " ".join(word() + "#$%|" * 6 for _ in range(200))
+    rows = [(i, " ".join(word() for _ in range(rnd.randint(60, 300))), "en", f"s{i % 40}", 0) for i in range(200)]
+    rows += [(1000, odd(), "en", "s3", 0), (1001, odd(), "en", "alone", 0), (1002, odd(), "xx", "alone", 0), (1003, odd(), None, None, 0)]
+    block = [word() + "q" for _ in range(180)]
+    rows.append((1004, " ".join([word() + "z" for _ in range(1640)] + block + ["between"] + block), "en", "s4", 0))  # 18 % of its words repeat
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(r.base_failed for r in got.values()) and all(r.distance is not None for r in got.values())
+    assert all(got[i].kept for i in range(200)) and not any(got[i].kept for i in range(1000, 1005))
+
+
 def test_estimate_like_numpy(spark):
     rng = np.random.default_rng(2)
     x = rng.normal([5, 1, 2, 3], [1, 0.5, 0.3, 0.4], (600, 4))

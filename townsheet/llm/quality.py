@@ -3,7 +3,9 @@
 ``statistics(docs)`` counts words, characters, symbols, repeated lines and repeated windows of every
 whole text. ``judge(stats)`` fails texts by the base rules, then estimates for each (lang, source) a
 minimum-covariance-determinant centre and scatter of transformed statistics and rejects rows whose
-squared Mahalanobis distance passes a cut-off.
+squared Mahalanobis distance passes a cut-off. The estimate of a group under ``least_rows`` rows is
+shrunk towards its language's, and that of a small language towards the one of all rows, by the
+group's share of ``least_rows``, so every row is judged by some estimate and none switches by size.
 
 The vector is mean word length, log symbol share, repeated-line share and repeated-window share,
 each shrunk towards a fixed prior by the text's words (a short text says little). The estimate is a
@@ -15,7 +17,7 @@ Every group statistic is a count or sum by histogram bin, so a group with a thir
 pre-aggregated where it lies; nothing is gathered by row. Ties fall into one bin and are kept together.
 
 Defined results: a null or empty text has zero counts and fails; null lang or source is a group of
-its own; groups under ``least_rows`` rows that pass the base rules reject nobody; repeated rows get
+its own; distances are null only where no row at all passes the base rules; repeated rows get
 repeated verdicts; an empty table gives an empty result. Extra columns stay in ``keep``.
 """
 
@@ -35,7 +37,9 @@ FEATURES = ("x1", "x2", "x3", "x4")
 PRIOR_WORDS, PRIOR_LENGTH = 60.0, 6.0
 #: Share of a group in the subset; scale floors by feature; cut-off of the squared distance, well past
 #: the 0.9999 point of chi-squared with four degrees (23.5) as texts are not normal; bins to a unit.
-SHARE, FLOORS, CUT, BINS, STEPS, LEAST_ROWS = 0.75, (0.25, 0.25, 0.1, 0.1), 40.0, 200, 3, 50
+#: The base rules stop repeated windows at a share of 0.2, so only a floor under sqrt(0.2 / CUT) = 0.0707
+#: lets them reject by themselves.
+SHARE, FLOORS, CUT, BINS, STEPS, LEAST_ROWS = 0.75, (0.25, 0.25, 0.1, 0.0625), 40.0, 200, 3, 50
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -112,12 +116,12 @@ def _distance() -> Column:
     return reduce(lambda a, b: a + b, [x * x for x in z])
 
 
-def _cholesky(params: DataFrame) -> DataFrame:
+def _cholesky(params: DataFrame, floors: tuple = FLOORS) -> DataFrame:
     """l_ij from covariances c_ij, floored on the diagonal."""
     p = len(FEATURES)
     for i in range(p):
         for j in range(i + 1):
-            rest = F.col(f"c{i}{j}") + (F.lit(FLOORS[i] ** 2) if i == j else F.lit(0.0))
+            rest = F.col(f"c{i}{j}") + (F.lit(floors[i] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 rest = rest - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             params = params.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 * 0.01))) if i == j else rest / F.col(f"l{j}{j}"))
@@ -129,8 +133,8 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     p = range(len(FEATURES))
     long = rows.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(x).alias("x")) for i, x in enumerate(FEATURES)])).alias("s")).select("group", "s.f", "s.x")
     middle = _quantile(_histogram(long.withColumn("bin", _bin(F.col("x"))), ["group", "f", "bin"]), ["group", "f"], 0.5, "mid")
-    middle = middle.withColumn("mid", (F.col("mid") + 0.5) / BINS)
-    away = long.join(middle, ["group", "f"]).withColumn("bin", _bin(F.abs(F.col("x") - F.col("mid"))))
+    middle = saved(middle.withColumn("mid", (F.col("mid") + 0.5) / BINS), "mcd")
+    away = long.join(sized(middle), ["group", "f"]).withColumn("bin", _bin(F.abs(F.col("x") - F.col("mid"))))
     spread = _quantile(_histogram(away, ["group", "f", "bin"]), ["group", "f"], 0.5, "mad").withColumn("mad", (F.col("mad") + 0.5) / BINS * 1.4826)
     both = middle.join(spread, ["group", "f"])
     pick = lambda f, c: F.max(F.when(F.col("f") == f, F.col(c)))
@@ -155,17 +159,42 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     return scaled.join(sizes, "group").drop("mid")
 
 
+def _shrunk(of: DataFrame, params: DataFrame, least_rows: int) -> DataFrame:
+    """Centre and factor for every group of ``of`` (group, up, top), small ones mixed with the level above."""
+    p = range(len(FEATURES))
+    names = [*[f"m{i}" for i in p], *[f"c{i}{j}" for i in p for j in range(i + 1)]]
+    scatter = lambda i, j: F.col("scale") * reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j + 1)])
+    known = params.select("group", "rows", *[F.col(f"m{i}") for i in p], *[scatter(i, j).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
+    known = saved(known, "mcd")
+    out = of
+    for level in ("group", "up", "top"):
+        out = out.join(sized(known.select(F.col("group").alias(level), *[F.col(c).alias(f"{level}_{c}") for c in ("rows", *names)])), level, "left")
+    weight = lambda level: F.least(F.coalesce(F.col(f"{level}_rows"), F.lit(0)) / F.lit(float(least_rows)), F.lit(1.0))
+
+    def mixed(c: str) -> Column:
+        value = F.col(f"top_{c}")
+        for level in ("up", "group"):
+            value = weight(level) * F.coalesce(F.col(f"{level}_{c}"), F.lit(0.0)) + (1.0 - weight(level)) * value
+        return value
+
+    factors = _cholesky(out.select("group", *[mixed(c).alias(c) for c in names]), (0.0,) * len(FEATURES))
+    return factors.select("group", *[f"m{i}" for i in p], *[f"l{i}{j}" for i in p for j in range(i + 1)])
+
+
 def judge(docs: DataFrame, least_rows: int = LEAST_ROWS, cut: float = CUT) -> DataFrame:
     """Statistics of docs with base_failed, distance (null without an estimate) and kept."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source"))
-    key = F.xxhash64(lang, source)
-    stats = saved(features(statistics(docs)).withColumn("base_failed", base_failed()).withColumn("group", key), "quality")
-    params = estimates(stats.where(~F.col("base_failed")).select("group", *FEATURES))
-    params = saved(params.where(F.col("rows") >= least_rows), "mcd")
-    scored = _with(stats, params).withColumn("distance", _distance() / F.col("scale"))
+    key, up, top = F.xxhash64(lang, source), F.xxhash64(F.lit(1), lang), F.xxhash64(F.lit(2))
+    judged = features(statistics(docs)).withColumn("base_failed", base_failed())
+    stats = saved(judged.withColumn("group", key).withColumn("_up", up).withColumn("_top", top), "quality")
+    levels = F.explode(F.array("group", "_up", "_top")).alias("group")
+    params = estimates(stats.where(~F.col("base_failed")).select(levels, *FEATURES))
+    of = saved(stats.select("group", F.col("_up").alias("up"), F.col("_top").alias("top")).distinct(), "mcd")
+    params = saved(_shrunk(of, params, least_rows), "mcd")
+    scored = _with(stats, params).withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
     drop = [c for c in scored.columns if c not in (*stats.columns, "distance")]
-    return scored.withColumn("kept", kept).drop(*drop, "group", *FEATURES)
+    return scored.withColumn("kept", kept).drop(*drop, "group", "_up", "_top", *FEATURES)
 
 
 def keep(docs: DataFrame) -> DataFrame:
