@@ -6,14 +6,16 @@ import tempfile
 import uuid
 import zlib
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than these (space, tab, line feed to carriage return).
 SPACES = "[\\x20\\x09-\\x0D]"
 
-#: Rows in an Arrow batch sent to Python. Texts are unbounded, so batches are kept short.
-BATCH_ROWS = 1000
+#: Rows and bytes of an Arrow batch sent to Python, and bytes of text that a task opens at a time.
+BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 1000, 32 << 20, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,16 +23,44 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that long texts do not pile up in one."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, BATCH_ROWS)
+    """Bound the rows and bytes of the session's Arrow batches, so that long texts do not pile up in one."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(key, None)
+        if held is None or not held.isdigit() or not 0 < int(held) <= most:
+            spark.conf.set(key, most)
+
+
+def pieces(texts: pa.Array):
+    """(start, slice) of some MB of text each; a longer text is a slice of its own."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        upto, size = at, 0
+        while upto < len(sizes) and (upto == at or size < PIECE_BYTES):
+            size += sizes[upto]
+            upto += 1
+        yield at, texts.slice(at, upto - at)
+        at = upto
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is named."""
+    """The folder that driver and executors share; local mode, which is one machine, may do without."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='spark-shared-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder

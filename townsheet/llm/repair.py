@@ -5,15 +5,16 @@ text with the tokenizers library, appends an end id and writes blocks of whole d
 (shard, block, n_docs, n_tokens, payload) of a Parquet table; a partition is a shard. ``read``
 returns one row per document with its place in the stream of all ids.
 
-Payload (little-endian): ``RPG1``; counts of documents, rules and symbols, first nonterminal and
-symbol width as uint32; ids of documents (int64) and which are null (uint8); ids in each document
-(uint64); place of its first symbol (uint64); left and right symbol of each rule; its expansion
-length (uint32); the symbols. A rule's symbols are ids or earlier rules, no rule crosses documents,
-so any document, or any stretch of one (``decode_range``), is expanded without its neighbours.
+Payload (little-endian): ``RPG2``; counts of documents, alphabet, rules and symbols, widths of a
+symbol and of a length as uint32; ids of documents (int64) and which are null (uint8); ids in each
+document (uint64); place of its first symbol (uint64); the alphabet (the block's distinct ids,
+uint32); left and right symbol of each rule; its expansion length; the symbols. Symbols under the
+alphabet's size are its entries, the others rules, which rest on earlier symbols. No rule crosses
+documents, so any document, or any stretch of one (``decode_range``), is expanded by itself.
 
-A round counts all adjacent pairs, takes the commonest (those within ``BAND`` of the top count and
-met ``LEAST`` times at least), replaces non-overlapping occurrences, commoner pairs first, and goes
-on with what results, up to ``ROUNDS`` rounds or until no pair is that common.
+A round counts all adjacent pairs and replaces non-overlapping occurrences of those that occur twice
+or more, commoner pairs first where they overlap. Rounds go on until no pair occurs twice: there is
+no cap on rounds, on rules or on what a rule expands to.
 
 Defined results: null texts count as empty (only the end id); null ids come first; repeated rows and
 ties of an id are ordered by their text's hash; an empty table has no blocks. Extra columns are
@@ -23,9 +24,7 @@ ignored. Memory is a block and the encoder's bounded cache; a document is never
 from __future__ import annotations
 
 import functools
-import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,25 +32,25 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import partitions, small_batches
+from townsheet.llm.common import partitions, pieces, small_batches
 
-BLOCK, END, ROUNDS, BAND, LEAST = 1_000_000, 1, 6, 8, 8
-CACHE, KEEP, JOINED, TEXT_PIECE = 1_200_000, 600_000, 2_000, 4_000_000
-
-
-#: Visible characters up to the end of Latin Extended-B, but for the one whose lower case is two.
-PLAIN = re.compile("[!-~" + chr(0xA1) + "-" + chr(0x12F) + chr(0x131) + "-" + chr(0x24F) + "]+").fullmatch
+BLOCK, END, LEAST = 500_000, 1, 2
+#: Distinct chunks that an encoder remembers, how many of the oldest it keeps when full, chunks in a call.
+CACHE, KEEP, JOINED = 1_200_000, 600_000, 2_000
 
 
 class Encoder:
-    """The tokenizers library over whole texts. It never merges across white space, so each chunk
-    between white space is encoded by the library once and looked up after; texts with special
-    tokens or control separators are given to it whole."""
+    """The tokenizers library over whole texts.
+
+    It never merges across white space, so texts are cut there and the library encodes each distinct
+    chunk once a worker (as pre-tokenized input, which tells the chunk of every id); the rest is
+    lookup. Letters A-Z are lowered before, unless a text may hold a special token.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,61 +59,49 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_padding()
         self.library.no_truncation()
-        self.mark, self.mark_id = "<|startoftext|>", self.library.token_to_id("<|startoftext|>")
-        self.size = self.library.get_vocab_size()
-        self.cache: dict[str, bytes] = {}
-        # with word ends in the vocabulary, pieces can be told apart without marks between chunks
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        suffix = spec["model"].get("end_of_word_suffix")
-        splits = [p["pattern"]["Regex"] for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
-        self.pieces_of = regex.compile(splits[0]).findall if suffix and len(splits) == 1 else None
-        self.ends = np.zeros(self.size, bool)
-        if self.pieces_of:
-            self.ends[[i for t, i in spec["model"]["vocab"].items() if t.endswith(suffix)]] = True
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.rows: dict[str, int] = {}
+        self.ids, self.used = np.empty(1 << 16, "<u4"), 0
+        self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def learn(self, chunks: list[str]) -> None:
-        """Plain Latin chunks, whose case and form change letter by letter, go spaced; others marked."""
-        plain = [c for c in chunks if PLAIN(c)] if self.pieces_of else []
-        for at in range(0, len(plain), JOINED):
-            some = plain[at : at + JOINED]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
-            pieces = np.cumsum([len(self.pieces_of(c.lower())) for c in some])
-            ends = np.flatnonzero(self.ends[ids]) + 1
-            if len(ends) == pieces[-1]:
-                stops = ends[pieces - 1].tolist()
-                self.cache.update((c, ids[a:b].tobytes()) for c, a, b in zip(some, [0, *stops], stops))
-        self.learn_marked([c for c in chunks if c not in self.cache])
-
-    def learn_marked(self, chunks: list[str]) -> None:
         for at in range(0, len(chunks), JOINED):
             some = chunks[at : at + JOINED]
-            ids = np.array(self.library.encode(f" {self.mark} ".join(some), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            parts = zip(np.r_[0, cuts + 1].tolist(), np.r_[cuts, len(ids)].tolist(), some, strict=True)
-            self.cache.update((c, ids[a:b].tobytes()) for a, b, c in parts)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if self.mark_id is None:
-            return [self.whole(t) for t in texts]
-        if len(self.cache) > CACHE:
-            self.cache = dict(islice(self.cache.items(), KEEP))
-        lists = []
-        for t in texts:
-            odd = "<|" in t or any(c in t for c in "\x1c\x1d\x1e\x1f")
-            lists.append(None if odd else (t.lower() if t.isascii() else t).split())
-        get, new = self.cache.get, {}
-        for words in lists:
-            if words:
-                found = list(map(get, words))
-                if None in found:
-                    new.update((w, None) for w, f in zip(words, found) if f is None)
-        self.learn(list(new))
-        return [self.whole(t) if w is None else b"".join(map(self.cache.__getitem__, w)) for t, w in zip(texts, lists)]
+            found = self.library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, sizes = np.array(found.ids, "<u4"), np.bincount(np.array(found.word_ids, np.int64), minlength=len(some))
+            self.ids = _room(self.ids, self.used + len(ids))
+            self.ids[self.used : self.used + len(ids)] = ids
+            first = len(self.rows)
+            self.starts, self.sizes = _room(self.starts, first + len(some)), _room(self.sizes, first + len(some))
+            self.starts[first : first + len(some)] = self.used + np.cumsum(sizes) - sizes
+            self.sizes[first : first + len(some)] = sizes
+            self.used += len(ids)
+            self.rows.update(zip(some, range(first, first + len(some))))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each has."""
+        if len(self.rows) > CACHE:
+            self.rows = dict(islice(self.rows.items(), KEEP))
+            self.used = int(self.starts[KEEP - 1] + self.sizes[KEEP - 1])
+        texts = pc.fill_null(texts, "")
+        cut = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        found = list(map(self.rows.get, chunks))
+        new = [c for c, f in zip(chunks, found) if f is None]
+        first = len(self.rows)
+        self.learn(new)
+        rows = np.array([-1 if f is None else f for f in found], np.int64)
+        rows[rows < 0] = np.arange(first, first + len(new))
+        rows = rows[coded.indices.to_numpy(zero_copy_only=False)]
+        n = self.sizes[rows]
+        ends = np.cumsum(n)
+        ids = self.ids[np.repeat(self.starts[rows] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.r_[0, ends][cut.offsets.to_numpy() - cut.offsets[0].as_py()]
+        return ids, np.diff(edges)
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.r_[a, np.empty(max(n, 2 * len(a)) - len(a), a.dtype)]
 
 
 @functools.cache
@@ -122,96 +109,91 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def compress(ids: np.ndarray, last: np.ndarray, first: int, rounds: int = ROUNDS, least: int = LEAST):
-    """Symbols, their document ends, and rules (left, right) from id ``first`` on."""
-    s, last = ids.astype(np.uint64), last.copy()
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    made = 0
-    narrow = first < 1 << 16
-    limit = (1 << 16) - first if narrow else 1 << 24
-    kind, shift, bits = (np.uint32, 16, 20) if narrow else (np.uint64, 32, 20)
-    s = s.astype(kind)
-    mixer, down = (np.uint32(2654435761), 32 - bits) if narrow else (np.uint64(0x9E3779B97F4A7C15), 64 - bits)
-    for _ in range(rounds):
-        if len(s) < 2 or made >= limit:
-            break
-        key = s[:-1] << kind(shift) | s[1:]
-        inside = ~last[:-1]
-        k = np.sort(key[inside])
-        starts = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.empty(0, np.int64)
-        counts = np.diff(np.r_[starts, len(k)])
-        often = counts >= least
-        if not often.any():
+def compress(ids: np.ndarray, last: np.ndarray, first: int, least: int = LEAST):
+    """Symbols, their document ends, and rules: left, right and expansion length, from symbol ``first`` on.
+
+    ids are under ``first``. On return no pair within a document occurs ``least`` times.
+    """
+    s, last = ids.astype(np.uint32), last.copy()
+    left, right = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)]
+    lengths = np.ones(first, np.int64)
+    while len(s) > 1:
+        narrow = len(lengths) <= 1 << 16  # two symbols in 32 bits, else in 64
+        kind, half, bits = (np.uint32, np.uint32(16), 32) if narrow else (np.uint64, np.uint64(32), 64)
+        s = s.astype(kind, copy=False)
+        key = s[:-1] << half | s[1:]
+        k = np.sort(key[~last[:-1]])
+        starts = np.flatnonzero(np.r_[len(k) > 0, k[1:] != k[:-1]])
+        counts = np.diff(starts, append=len(k))
+        often = np.flatnonzero(counts >= least)
+        if not len(often):
             break
-        uk, uc = k[starts][often], counts[often]
-        order = np.argsort(-uc, kind="stable")
-        order = order[uc[order] * BAND >= uc[order[0]]][: limit - made]
-        chosen = uk[order]
-        table = np.full(1 << bits, -1, np.int32)
-        slots = chosen * mixer >> kind(down)
-        table[slots[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]  # the commoner pair keeps a shared slot
-        rank = table[key * mixer >> kind(down)]
-        at = np.flatnonzero(inside & (rank >= 0))
-        at = at[chosen[rank[at]] == key[at]]
+        chosen = k[starts[often[np.argsort(-counts[often], kind="stable")]]]
+        # a table of 2^20 slots ranks the pairs; the commoner keeps a shared slot, the other waits a round
+        mixer, down = kind(2654435761 if narrow else 0x9E3779B97F4A7C15), kind(bits - 20)
+        table = np.full(1 << 20, -1, np.int32)
+        table[(chosen * mixer >> down)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        rank = table[key * mixer >> down]
+        at = np.flatnonzero(rank >= 0)
         rank = rank[at]
-        order_at = np.full(len(s) + 1, np.iinfo(np.int64).max)
-        order_at[at + 1] = rank.astype(np.int64) * 2 + (at & 1)  # runs of one pair: every other one
-        mine = order_at[at + 1]
-        won = (mine < order_at[at]) & (mine < order_at[at + 2])
+        same = (chosen[rank] == key[at]) & ~last[at]
+        at, rank = at[same], rank[same]
+        turn = np.full(len(s) + 1, np.iinfo(np.int32).max, np.int32)
+        turn[at + 1] = rank * 2 + (at & 1)  # in a run of one symbol, every other pair
+        mine = turn[at + 1]
+        won = (mine < turn[at]) & (mine < turn[at + 2])
         at, rank = at[won], rank[won]
         uses = np.bincount(rank, minlength=len(chosen))
-        good = uses >= 2
-        if not good.any():
-            break
+        good = uses >= 2 if (uses >= 2).any() else uses >= 1
         keep = good[rank]
         at, rank = at[keep], rank[keep]
-        number = (first + made + np.cumsum(good) - 1).astype(kind)
+        number = len(lengths) - 1 + np.cumsum(good)
+        s = s.astype(np.uint64) if number[-1] >= 1 << 16 and narrow else s
         s[at] = number[rank]
         last[at] = last[at + 1]
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
         s, last = s[stay], last[stay]
-        rules = chosen[good]
-        left.append(rules >> kind(shift))
-        right.append(rules & kind((1 << shift) - 1))
-        made += len(rules)
-    join = lambda x: np.concatenate(x) if x else np.empty(0, kind)
-    return s, last, join(left), join(right)
+        a, b = (chosen[good] >> half).astype(np.uint32), (chosen[good] & ((kind(1) << half) - kind(1))).astype(np.uint32)
+        left.append(a)
+        right.append(b)
+        lengths = np.r_[lengths, lengths[a] + lengths[b]]
+    return s, last, np.concatenate(left), np.concatenate(right), lengths[first:]
 
 
-def pack(doc_ids: list[int | None], parts: list[np.ndarray], first: int) -> bytes:
+def pack(doc_ids: list[int | None], parts: list[np.ndarray], least: int = LEAST) -> bytes:
     """A block's payload; parts: each document's ids, its end id included."""
     ids = np.concatenate(parts)
     sizes = np.array([len(p) for p in parts], np.uint64)
     last = np.zeros(len(ids), bool)
     last[np.cumsum(sizes).astype(np.int64) - 1] = True
-    s, ends, left, right = compress(ids, last, first)
-    width = "<u2" if first + len(left) <= 1 << 16 else "<u4"
-    lengths = expansion_lengths(left, right, first)
+    alphabet, dense = _alphabet(ids)
+    s, ends, left, right, lengths = compress(dense, last, len(alphabet), least)
+    width = "<u2" if len(alphabet) + len(left) <= 1 << 16 else "<u4"
+    span = "<u2" if not len(lengths) or lengths.max() < 1 << 16 else "<u4"
     places = np.r_[0, np.flatnonzero(ends) + 1][:-1]
-    head = struct.pack("<4s5I", b"RPG1", len(parts), len(left), len(s), first, int(width[2]))
+    head = struct.pack("<4s6I", b"RPG2", len(parts), len(alphabet), len(left), len(s), int(width[2]), int(span[2]))
     nulls = np.array([d is None for d in doc_ids], np.uint8)
     known = np.array([d or 0 for d in doc_ids], "<i8")
-    arrays = [known, nulls, sizes.astype("<u8"), places.astype("<u8"), left.astype(width), right.astype(width), lengths.astype("<u4"), s.astype(width)]
+    arrays = [known, nulls, sizes.astype("<u8"), places.astype("<u8"), alphabet.astype("<u4"), left.astype(width), right.astype(width), lengths.astype(span), s.astype(width)]
     return head + b"".join(a.tobytes() for a in arrays)
 
 
-def expansion_lengths(left: np.ndarray, right: np.ndarray, first: int) -> np.ndarray:
-    out: list[int] = []
-    for a, b in zip(left.tolist(), right.tolist()):
-        out.append((1 if a < first else out[a - first]) + (1 if b < first else out[b - first]))
-    return np.array(out, np.int64)
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids, and each id's place among them."""
+    used = np.zeros(int(ids.max()) + 1, bool)
+    used[ids] = True
+    return np.flatnonzero(used), (np.cumsum(used) - 1)[ids]
 
 
 class Block:
     """A payload, opened: rules expand to ids by lookup."""
 
     def __init__(self, payload: bytes):
-        tag, docs, rules, symbols, self.first, size = struct.unpack_from("<4s5I", payload)
-        if tag != b"RPG1":
+        tag, docs, self.first, rules, symbols, size, span = struct.unpack_from("<4s6I", payload)
+        if tag != b"RPG2":
             raise ValueError("not a grammar block")
-        at, width = 24, f"<u{size}"
+        at, width = 28, f"<u{size}"
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -222,12 +204,13 @@ class Block:
         known, nulls = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if n else int(d) for d, n in zip(known, nulls)]
         self.sizes, self.places = take("<u8", docs).astype(np.int64), take("<u8", docs).astype(np.int64)
+        alphabet = take("<u4", self.first).astype(np.int64)
         self.left, self.right = take(width, rules).astype(np.int64), take(width, rules).astype(np.int64)
-        self.lengths, self.symbols = take("<u4", rules).astype(np.int64), take(width, symbols).astype(np.int64)
+        self.lengths, self.symbols = take(f"<u{span}", rules).astype(np.int64), take(width, symbols).astype(np.int64)
         # expansions of all ids and rules, one after the other, built rule level by rule level
         self.size = np.r_[np.ones(self.first, np.int64), self.lengths]
         self.start = np.r_[np.arange(self.first), self.first + np.r_[0, np.cumsum(self.lengths)[:-1]]] if rules else np.arange(self.first)
-        self.flat = np.r_[np.arange(self.first, dtype=np.int64), np.zeros(int(self.lengths.sum()), np.int64)]
+        self.flat = np.r_[alphabet, np.zeros(int(self.lengths.sum()), np.int64)]
         done = 0
         while done < rules:  # as many rules as rest on finished ones
             ready = (self.left[done:] < self.first + done) & (self.right[done:] < self.first + done)
@@ -264,7 +247,7 @@ def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK, end: int = END)
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        found, tail = encoder(tokenizer), np.array([end], "<u4").tobytes()
+        found = encoder(tokenizer)
         shard, number = TaskContext.get().partitionId(), 0
         ids: list[int | None] = []
         parts: list[np.ndarray] = []
@@ -272,27 +255,22 @@ def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK, end: int = END)
 
         def row():
             nonlocal number, ids, parts, held
-            payload = pack(ids, parts, found.size)
-            out = pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64()), "n_tokens": pa.array([held], pa.int64()), "payload": pa.array([payload], pa.binary())})
+            out = {"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64())}
+            out |= {"n_tokens": pa.array([held], pa.int64()), "payload": pa.array([pack(ids, parts)], pa.binary())}
             number, ids, parts, held = number + 1, [], [], 0
-            return out
+            return pa.RecordBatch.from_pydict(out)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size < TEXT_PIECE):
-                    size += len(texts[upto])
-                    upto += 1
-                for d, data in zip(doc_ids[at:upto], found.encode(texts[at:upto])):
-                    part = np.frombuffer(data + tail, "<u4")
+            doc_ids = batch.column(0).to_pylist()
+            for at, texts in pieces(batch.column(1)):
+                flat, sizes = found.encode(texts)
+                ended = np.insert(flat, np.cumsum(sizes), end).astype("<u4")
+                for d, part in zip(doc_ids[at:], np.split(ended, np.cumsum(sizes + 1)[:-1])):
                     if ids and held + len(part) > block:
                         yield row()
                     ids.append(d)
                     parts.append(part)
                     held += len(part)
-                at = upto
         if ids:
             yield row()
 
