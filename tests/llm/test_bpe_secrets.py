@@ -17,11 +17,10 @@ ODD = ["", " ", "don't we'll I'M", "a<|endoftext|>b <|startoftext|>", "ΣΑΣ Ο
 
 
 def same(text):
-    ids, strings = bpe.codec(PATH).encode(text)
+    ids = bpe.codec(PATH).encode(text)
     want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert [int(x) for x in ids.split()] == want
-    assert strings == LIBRARY.decode(want, skip_special_tokens=False)
-    assert bpe.codec(PATH).decode(ids) == strings
+    assert bpe.codec(PATH).decode(ids) == LIBRARY.decode(want, skip_special_tokens=False)
 
 
 @pytest.mark.parametrize("text", ODD)
@@ -55,6 +54,14 @@ def test_digests_on_rows(spark, tmp_path):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
 
 
+def test_digests_depend_on_decoding(monkeypatch):
+    codec, text = bpe.codec(PATH), "Hello there"
+    right = bpe.digest(codec, text)
+    monkeypatch.setattr(bpe.Codec, "decode", lambda self, ids: "broken")
+    wrong = bpe.digest(codec, text)
+    assert right[:2] == wrong[:2] and right[2] != wrong[2]
+
+
 BASE = [
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
     ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16),
@@ -86,6 +93,60 @@ def test_random_texts(texts):
         assert [f"{k}:{s}:{e}" for k, s, e in spans if k in ("assign", "access", "hex")] == brute(text)
 
 
+#: Added kinds with a text that each finds and one that just misses.
+ADDED = {
+    "private_key": ("-----BEGIN EC PRIVATE KEY-----", "-----BEGIN ec PRIVATE KEY-----"),
+    "github": ("gho_" + "a1" * 18, "gho_" + "a" * 35),
+    "slack": ("xoxb-" + "1" * 10, "xoxb-" + "1" * 9),
+    "jwt": ("eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "." + "c" * 8, "eyJ" + "a" * 8 + ".eyJ" + "b" * 8 + "."),
+    "google": ("AIza" + "x" * 35, "AIza" + "x" * 34),
+}
+
+
+def test_added_kinds_like_brute_force():
+    texts = [f"x {t} y" for pair in ADDED.values() for t in pair] + SECRETS
+    rules = [r for r in secrets.RULES if r.kind in ADDED]
+    assert {r.kind for r in rules} == set(ADDED)
+    for text, spans in zip(texts, secrets.scan_batch(texts)):
+        want = {(r.kind, *m.span()) for r in rules for m in re.finditer(r.pattern, text or "")}
+        assert {s for s in spans if s[0] in ADDED} == want
+    for i, kind in enumerate(ADDED):
+        assert kind in [s[0] for s in secrets.scan_batch(texts)[2 * i]] and kind not in [s[0] for s in secrets.scan_batch(texts)[2 * i + 1]]
+
+
+def holds(query, text):
+    """Whether a text satisfies a Boolean trigram query."""
+    if isinstance(query, str):
+        return query.encode("latin-1") in text.encode().lower()
+    found = [holds(q, text) for q in query[1:]]
+    return all(found) if query[0] == "and" else any(found)
+
+
+def test_queries_follow_from_the_expressions():
+    by_kind = {r.kind: r.query() for r in secrets.RULES}
+    assert by_kind["hex"] == secrets.ALL and by_kind["access"] == ("and", "aki", "kia")
+    for word in ("PASSWORD", "passwd", "Secret", "token", "api_key", "apikey"):
+        assert holds(by_kind["assign"], f"x{word}=") and not holds(by_kind["assign"], f"x{word[:-3]}=")
+    assert not holds(by_kind["jwt"], "eyJabcdefgh") and holds(by_kind["jwt"], "eyJ.eyJ")
+
+
+LEAF = st.sampled_from(["a", "b", "K", "abc", "sec", "[ab]", "[a-z]", ".", r"\d", "é", "[^a]", "(?i:Ks)", "(?ai:Ks)", "x{2}", "(?:ab){2,3}", r"\b", "(?=ab)"])
+PATTERNS = st.recursive(LEAF, lambda p: st.one_of(st.lists(p, min_size=2, max_size=3).map("".join), st.lists(p, min_size=2, max_size=3).map(lambda x: f"(?:{'|'.join(x)})"), p.map(lambda x: f"(?:{x})?"), p.map(lambda x: f"(?:{x})+")), max_leaves=6)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PATTERNS, st.lists(st.text(alphabet=st.sampled_from("abckKsSeExé1 \u212a\u017f"), max_size=14), min_size=1, max_size=6))
+def test_random_expressions_lose_no_match(pattern, texts):
+    rule = secrets.Rule("any", pattern)
+    index = secrets.Postings([rule.query()])
+    data = [t.encode("utf-8") for t in texts]
+    found = set(index.candidates(rule.query(), index.index(data), len(texts)).tolist())
+    for i, t in enumerate(texts):
+        if re.search(pattern, t):
+            assert i in found and holds(rule.query(), t)
+        assert (i in found) == holds(rule.query(), t)
+
+
 def test_candidates_hold_every_match():
     texts = ["no", "a token here", "pass word", "PASSWORD=12345678"]
     index = secrets.Postings([secrets.RULES[0].query()])

@@ -1,4 +1,10 @@
+import math
 import random
+import unicodedata
+import zlib
+from collections import Counter
+
+import pytest
 
 from helpers import ODD_ROWS, SCHEMA, write
 
@@ -42,3 +48,49 @@ def test_pieces_count_like_the_whole(monkeypatch):
     whole = langid.counts(text)
     monkeypatch.setattr(langid, "PIECE", 50)
     assert (langid.counts(text) == whole).all()
+
+
+def fold(byte):
+    return byte if byte > 127 or 97 <= byte <= 122 else byte + 32 if 65 <= byte <= 90 else 32
+
+
+def brute_counts(text):
+    """Buckets of 2- and 3-grams by loops over bytes."""
+    data, out = [fold(b) for b in f" {text} ".encode()], Counter()
+    for i in range(len(data) - 1):
+        out[(data[i] << 8 | data[i + 1]) * 2654435761 % 2**32 >> 19] += 1
+    for i in range(len(data) - 2):
+        if data[i] != 32 or data[i + 1] != 32:
+            out[(data[i] << 16 | data[i + 1] << 8 | data[i + 2]) * 2246822519 % 2**32 >> 19] += 1
+    return out
+
+
+def test_query_like_brute_force(spark, tmp_path):
+    odd = [(5000, "½ ² 10", "en", "s", 0), (5001, "4 中", "en", "s", 0), (5002, None, "en", "s", 0), (None, "les pour", None, "s", 0), (None, "le eaux", "fr", "s", 0), (None, "le eaux", "fr", "s", 0)]
+    rows = corpus(120, 7) + odd
+    got = queries.op3_language_id(spark, write(spark, rows, tmp_path)).collect()
+    train = [r for r in rows if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 3 != 1 and r[1] is not None and r[2] is not None]
+    model = langid.fit(spark.createDataFrame(train, SCHEMA))
+    df = Counter(k for r in train for k in brute_counts(r[1]))
+    idf = [math.log((1 + len(train)) / (1 + df[k])) + 0.1 for k in range(langid.WIDTH)]
+    assert model.idf == pytest.approx(idf, rel=1e-5)
+    by_row = Counter((r.doc_id, r.held_out, r.lang_pred, round(r.score, 4)) for r in got)
+    want = Counter()
+    for d, text, *_ in rows:
+        held = zlib.crc32(b"" if d is None else str(d).encode()) % 3 == 1
+        if not any(unicodedata.category(c).startswith("L") for c in text or ""):
+            want[d, held, "und", 0.0] += 1
+            continue
+        v = {k: (1 + math.log(n)) * idf[k] for k, n in brute_counts(text).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        cosines = [sum(x * float(c[k]) for k, x in v.items()) / size for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        want[d, held, model.langs[model.owner[best]], round(cosines[best], 4)] += 1
+    close = lambda x: sorted((str(d), h, p, round(s, 3)) for (d, h, p, s), n in x.items() for _ in range(n))
+    assert sum(a != b for a, b in zip(close(by_row), close(want), strict=True)) <= 2  # a rounding edge
+
+
+def test_many_copies_are_one_row_of_the_sample(spark):
+    rows = corpus(60, 8) + [(None, "the other thing", "en", "s", 0)] * 200
+    model = langid.fit(spark.createDataFrame(rows, SCHEMA), sample=50)
+    assert sorted(model.langs) == ["de", "en", "fr"]

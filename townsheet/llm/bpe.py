@@ -6,7 +6,7 @@ pattern; byte symbols; merges with a word end) and returns one row per input row
 ``n_tokens``, ``ids`` and ``tokens`` (ids in decimal and vocabulary strings, joined by one space).
 
 A null or empty text gives no tokens and two empty strings. Repeated rows give repeated results.
-Extra columns pass through. Texts of any length are taken whole. Nothing is shuffled: each task
+Extra columns pass through, but for ones named like the results. Texts of any length are taken whole. Nothing is shuffled: each task
 encodes its own rows, and memory is the batch plus two bounded caches.
 
 Merging never crosses white space, so a worker encodes each distinct chunk once and looks the rest
@@ -70,7 +70,8 @@ class Codec:
         self.vocab: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.end = model["end_of_word_suffix"] or ""
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
+        #: Vocabulary strings by decimal id.
+        self.strings = {str(i): s for s, i in (self.vocab | self.special).items()}
         self.merges = {}
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
@@ -112,34 +113,30 @@ class Codec:
                 heappush(queue, (*found, h))
         return [x for x in ids if x >= 0]
 
-    def chunk(self, chunk: str) -> tuple[str, str]:
-        ids = [x for p in self.pieces_of(chunk) for x in self.pieces[p]]
-        return " ".join(map(str, ids)), " ".join(map(self.strings.__getitem__, ids))
+    def chunk(self, chunk: str) -> str:
+        return " ".join(str(x) for p in self.pieces_of(chunk) for x in self.pieces[p])
 
-    def encode(self, text: str | None) -> tuple[str, str]:
-        """The ids of a whole text in decimal, and their vocabulary strings."""
+    def encode(self, text: str | None) -> str:
+        """The ids of a whole text in decimal, joined by one space."""
         if not text:
-            return "", ""
+            return ""
         self.chunks.shrink(CHUNKS)
         self.pieces.shrink(PIECES)
-        found: list[tuple[str, str]] = []
+        found: list[str] = []
         for part in self.special_at.split(text) if "<|" in text else (text,):
             if part in self.special:
-                found.append((str(self.special[part]), part))
+                found.append(str(self.special[part]))
                 continue
             if not part.isascii():
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             part = part.lower()
             chunks = filter(None, self.white.split(part)) if any(c in part for c in NOT_WHITE) else part.split()
             found.extend(map(self.chunks.__getitem__, chunks))
-        if not found:
-            return "", ""
-        ids, strings = zip(*found)
-        return " ".join(ids), " ".join(strings)
+        return " ".join(filter(None, found))
 
     def decode(self, ids: str) -> str:
         """The vocabulary strings of decimal ids; without a decoder in the file they stay spaced."""
-        return " ".join(map(self.strings.__getitem__, map(int, ids.split())))
+        return " ".join(map(self.strings.__getitem__, ids.split()))
 
 
 @functools.cache
@@ -171,21 +168,23 @@ def names_types(names: list[str]) -> list[str]:
 
 
 def encode(df: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows of df without text, with n_tokens, ids and tokens (see the module)."""
+    """Rows of df without text, with n_tokens, ids and tokens (see the module) in place of columns so named."""
 
     def make(found: Codec, text):
-        ids, strings = found.encode(text)
-        return (ids.count(" ") + 1 if ids else 0), ids, strings
+        ids = found.encode(text)
+        return (ids.count(" ") + 1 if ids else 0), ids, found.decode(ids)
 
     return _rows(df, tokenizer, ["n_tokens", "ids", "tokens"], make)
 
 
 def digests(df: DataFrame, tokenizer: str) -> DataFrame:
-    """Like encode(), but with SHA-256 of ids and decoded text in place of both, so that neither is kept."""
+    """Encodes, decodes the ids again, and keeps SHA-256 of ids and of decoded text in place of both."""
+
+    return _rows(df, tokenizer, ["n_tokens", "ids_sha256", "decoded_sha256"], digest)
 
-    def make(found: Codec, text):
-        ids, strings = found.encode(text)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return (ids.count(" ") + 1 if ids else 0), sha(ids), sha(strings)
 
-    return _rows(df, tokenizer, ["n_tokens", "ids_sha256", "decoded_sha256"], make)
+def digest(found: Codec, text: str | None) -> tuple[int, str, str]:
+    """Number of ids, SHA-256 of the ids and of what they decode to."""
+    ids = found.encode(text)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    return (ids.count(" ") + 1 if ids else 0), sha(ids), sha(found.decode(ids))

@@ -14,7 +14,6 @@ size is languages x centroids x width, checked against ``MOST_LANGUAGES`` before
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +28,6 @@ from townsheet.llm.templates import sized
 #: Buckets for 1-grams and 2-grams (exact pairs folded) and for 3-grams.
 WIDTH = 8192
 SAMPLE, CENTROIDS, ROUNDS, MOST_LANGUAGES = 1500, 4, 8, 500
-LETTER = re.compile(r"[^\W\d_]")
 #: Letters in lower case, other ASCII as space, bytes over 127 as they are.
 FOLD = np.array([c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], np.uint32)
 #: Bytes of text that are hashed at a time.
@@ -85,8 +83,9 @@ class Model:
     least: np.ndarray  # cosine under which a centroid rejects
 
 
-def _has_letter(text) -> bool:
-    return bool(text) and LETTER.search(text) is not None
+def _has_letter(text: str | None) -> bool:
+    """Whether some character is a letter (Unicode category L)."""
+    return any(map(str.isalpha, text or ""))
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model | None:
@@ -112,20 +111,22 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
 
     # the sample: smallest hashes of each language, kept by a top-k a task before they meet
     order = Window.partitionBy("lang").orderBy("h", "doc_id", "text_hash")
-    keyed = docs.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("text_hash"))
+    keyed = docs.select("lang", "doc_id", F.xxhash64("text").alias("text_hash")).withColumn("h", F.xxhash64("doc_id", "text_hash"))
     # a common language is thinned by hash to about four times the sample before its rows meet
     sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
     part = F.shiftrightunsigned("h", 12) / float(1 << 52)
-    keyed = keyed.join(sized(saved(sizes, "languages")), "lang").where(part * F.col("n") <= 4 * sample).drop("n")
+    keyed = keyed.join(sized(saved(sizes, "languages")), "lang").where(part * F.col("n") <= 4 * sample).drop("n").distinct()
     chosen = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= sample).select("doc_id", "lang", "text_hash").distinct()
     langs = sorted(r.lang for r in chosen.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(langs) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages; clean lang before fitting")
-    # at most languages x sample rows of 30 bytes, both bounded above
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "text_hash"], "left_semi")
+    # rows without an id are chosen by their text alone
+    mark = lambda df: df.withColumn("id_hash", F.xxhash64("doc_id"))
+    chosen = sized(saved(mark(chosen).drop("doc_id").distinct(), "sample"))
+    texts = mark(docs).withColumn("text_hash", F.xxhash64("text")).join(chosen, ["id_hash", "lang", "text_hash"], "left_semi").dropDuplicates(["id_hash", "lang", "text_hash"])
 
     def clusters(key, pdf):
-        pdf = pdf.sort_values(["doc_id", "text"]).head(sample)
+        pdf = pdf.drop_duplicates(["doc_id", "text"]).sort_values(["doc_id", "text"]).head(sample)
         x = vectors([t for t in pdf.text if _has_letter(t)], idf)
         if not len(x):
             return pd.DataFrame({"lang": [], "centroid": [], "least": []})

@@ -1,10 +1,11 @@
 """Secret scans by a trigram inverted index.
 
-Each rule is a regular expression with a Boolean query over lower-case byte trigrams: an AND of ORs
-that every match must satisfy, derived from the rule's mandatory literals. For each batch of
+Each rule is a regular expression. A Boolean query over lower-case byte trigrams that every match must
+satisfy is derived by walking the parsed expression (``trigram_query``). For each batch of
 documents the operator builds postings (trigram to documents) for the trigrams that any query names,
 evaluates the queries by intersecting and uniting postings, and runs a rule's expression only over
 its candidates. Rules without a mandatory trigram scan every document.
+The index lives as long as its batch, so it is built in one pass and nothing is shuffled or stored.
 
 ``scan(docs)`` returns the input's columns with ``spans``, an array of (kind, start, end) in code
 points with an exclusive end, by start and then in the rules' order. ``redact(docs)`` replaces them.
@@ -17,6 +18,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from itertools import product
+from re import _constants as C
+from re import _parser
 
 import numpy as np
 import pyarrow as pa
@@ -24,39 +28,150 @@ from pyspark.sql import DataFrame
 
 from townsheet.llm.common import small_batches
 
-Query = tuple[tuple[tuple[str, ...], ...], ...]
+#: A trigram, or ("and", query...) or ("or", query...); ALL holds for every document.
+Query = str | tuple
+ALL: Query = ("and",)
+#: Strings in a set of alternatives, beyond which a part of an expression counts as unknown.
+MOST = 24
+
+
+def _all_of(*parts: Query) -> Query:
+    flat = dict.fromkeys(q for p in parts for q in (p[1:] if isinstance(p, tuple) and p[0] == "and" else (p,)))
+    return next(iter(flat)) if len(flat) == 1 else ("and", *flat)
+
+
+def _any_of(parts: list[Query]) -> Query:
+    flat = dict.fromkeys(parts)
+    return ALL if ALL in flat else next(iter(flat)) if len(flat) == 1 else ("or", *flat)
+
+
+def _grams(strings: frozenset[bytes]) -> Query:
+    """What a text holds that contains one of the strings."""
+    return _any_of([_all_of(*(s[i : i + 3].decode("latin-1") for i in range(len(s) - 2))) for s in sorted(strings)])
+
+
+@dataclass(frozen=True)
+class Part:
+    """What is known of the text that a part of an expression matches, in lower case.
+
+    exact: all strings it can be, or None; else how it begins and ends (two bytes at most, empty
+    where unknown) and what it needs to hold.
+    """
+
+    exact: frozenset[bytes] | None = None
+    begins: frozenset[bytes] = frozenset([b""])
+    ends: frozenset[bytes] = frozenset([b""])
+    needs: Query = ALL
+
+    def open(self) -> Part:
+        """The same without the list of all strings."""
+        if self.exact is None:
+            return self
+        return Part(None, frozenset(s[:2] for s in self.exact), frozenset(s[-2:] for s in self.exact), _grams(self.exact))
+
+    def then(self, other: Part) -> Part:
+        if self.exact is not None and other.exact is not None and len(self.exact) * len(other.exact) <= MOST:
+            return Part(frozenset(a + b for a, b in product(self.exact, other.exact)))
+        a, b = self.open(), other.open()
+        seam = _grams(frozenset(x + y for x, y in product(a.ends, b.begins))) if len(a.ends) * len(b.begins) <= MOST else ALL
+        # a short known side lets the other side's edge show through
+        begins = frozenset((x + y)[:2] for x, y in product(self.exact, b.begins)) if self.exact is not None else a.begins
+        ends = frozenset((x + y)[-2:] for x, y in product(a.ends, other.exact)) if other.exact is not None else b.ends
+        return Part(None, _few(begins), _few(ends), _all_of(a.needs, b.needs, seam))
+
+
+NOTHING, ANYTHING = Part(frozenset([b""])), Part()
+
+
+def _few(strings: frozenset[bytes]) -> frozenset[bytes]:
+    return strings if len(strings) <= MOST else frozenset([b""])
+
+
+def _either(parts: list[Part]) -> Part:
+    if all(p.exact is not None for p in parts) and len(both := frozenset().union(*(p.exact for p in parts))) <= MOST:
+        return Part(both)
+    open_ = [p.open() for p in parts]
+    return Part(None, _few(frozenset().union(*(p.begins for p in open_))), _few(frozenset().union(*(p.ends for p in open_))), _any_of([p.needs for p in open_]))
+
+
+def _char(code: int, flags: int) -> Part:
+    """One literal; where case is ignored beyond ASCII, letters with other folds are unknown."""
+    c = chr(code)
+    wide = flags & re.IGNORECASE and not flags & re.ASCII
+    if 0xD800 <= code < 0xE000 or (wide and (not c.isascii() or c in "iIkKsS")):
+        return ANYTHING
+    return Part(frozenset([c.encode().lower()]))
+
+
+def _part(nodes, flags: int) -> Part:
+    out = NOTHING
+    for op, value in nodes:
+        out = out.then(_node(op, value, flags))
+    return out
+
+
+def _node(op, value, flags: int) -> Part:
+    if op is C.LITERAL:
+        return _char(value, flags)
+    if op is C.IN:
+        if any(kind not in (C.LITERAL, C.RANGE) or kind is C.RANGE and x[1] - x[0] >= MOST for kind, x in value):
+            return ANYTHING
+        codes = [c for kind, x in value for c in ([x] if kind is C.LITERAL else range(x[0], x[1] + 1))]
+        return _either([_char(c, flags) for c in codes])
+    if op is C.SUBPATTERN:
+        _, add, drop, inner = value
+        return _part(inner, (flags | add) & ~drop)
+    if op is C.ATOMIC_GROUP:
+        return _part(value, flags)
+    if op is C.BRANCH:
+        return _either([_part(x, flags) for x in value[1]])
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+        least, most, inner = value
+        one = _part(inner, flags)
+        if (least, most) == (0, 1):
+            return _either([NOTHING, one])
+        out = NOTHING
+        for _ in range(min(least, 3)):
+            out = out.then(one)
+        return out if least == most <= 3 else out.then(ANYTHING)
+    if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+        return NOTHING  # no width: what they ask is left to verification
+    return ANYTHING
+
+
+def trigram_query(pattern: str) -> Query:
+    """What every match of the expression makes a document hold."""
+    parsed = _parser.parse(pattern)
+    return _part(parsed, parsed.state.flags).open().needs
+
+
+def trigrams_in(query: Query) -> set[str]:
+    return {query} if isinstance(query, str) else set().union(*map(trigrams_in, query[1:]))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """literals: an AND of alternatives; one string of every alternative list is in each match."""
+    """A match counts if its group has ``least`` characters."""
 
     kind: str
     pattern: str
-    literals: tuple[tuple[str, ...], ...] = ()
     group: int = 0
     least: int = 0
 
     def query(self) -> Query:
-        """AND over OR over AND of trigrams; alternatives shorter than three bytes void their OR."""
-        out = []
-        for alternatives in self.literals:
-            grams = tuple(tuple(dict.fromkeys(a.lower()[i : i + 3] for i in range(len(a) - 2))) for a in alternatives)
-            if all(grams):
-                out.append(grams)
-        return tuple(out)
+        return trigram_query(self.pattern)
 
 
 #: The first three are the base rules, the rest are what the method adds. Fixed values, in listed order.
 RULES = (
-    Rule("assign", r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", (("password", "passwd", "secret", "token", "api_key", "apikey"),), 2, 8),
-    Rule("access", r"AKIA[A-Z0-9]+", (("AKIA",),), 0, 16),
-    Rule("hex", r"[0-9a-f]+", (), 0, 32),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", (("-----BEGIN ",), ("PRIVATE KEY-----",))),
-    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}", (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"),)),
-    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}", (("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-"),)),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", (("eyJ",), (".eyJ",))),
-    Rule("google", r"AIza[A-Za-z0-9_-]{35}", (("AIza",),)),
+    Rule("assign", r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Rule("hex", r"[0-9a-f]+", 0, 32),
+    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
+    Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
 )
 
 
@@ -78,8 +193,8 @@ class Postings:
     """Documents of a batch by trigram, for the trigrams that some query names."""
 
     def __init__(self, queries: list[Query]):
-        grams = sorted({g for q in queries for any_of in q for all_of in any_of for g in all_of})
-        self.codes = {g: int.from_bytes(g.encode(), "big") for g in grams}
+        grams = sorted(set().union(*map(trigrams_in, queries)))
+        self.codes = {g: int.from_bytes(g.encode("latin-1"), "big") for g in grams}
         self.wanted = np.zeros(1 << 24, bool)
         self.wanted[list(self.codes.values())] = True
         self.lower = np.arange(256, dtype=np.uint32)
@@ -108,18 +223,16 @@ class Postings:
         return {c: np.concatenate(x) for c, x in lists.items()}
 
     def candidates(self, query: Query, postings: dict[int, np.ndarray], n: int) -> np.ndarray:
-        found = None
-        none = np.empty(0, np.int64)
-        for any_of in query:
-            either = none
-            for all_of in any_of:
-                both = None
-                for gram in all_of:
-                    some = postings.get(self.codes[gram], none)
-                    both = some if both is None else np.intersect1d(both, some, assume_unique=True)
-                either = np.union1d(either, both)
-            found = either if found is None else np.intersect1d(found, either, assume_unique=True)
-        return np.arange(n) if found is None else found.astype(np.int64)
+        """The documents that satisfy a query: postings, united and intersected."""
+        if isinstance(query, str):
+            return postings.get(self.codes[query], np.empty(0, np.int64))
+        if query == ALL:
+            return np.arange(n)
+        lists = sorted((self.candidates(q, postings, n) for q in query[1:]), key=len)
+        out = lists[0]
+        for other in lists[1:]:
+            out = np.intersect1d(out, other, assume_unique=True) if query[0] == "and" else np.union1d(out, other)
+        return out
 
 
 def _split(keys: np.ndarray, values: np.ndarray):
