@@ -87,3 +87,12 @@ def test_keep(spark):
     got = quality.keep(spark.createDataFrame(rows + ODD_ROWS + [(None, rows[0][1], None, None, None)], SCHEMA))
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted(r.doc_id for r in got.collect() if r.doc_id is not None) == list(range(20)) and got.where("doc_id is null").count() == 2
+
+
+def test_keep_with_clashing_names(spark):
+    rows = [(i, f"some quite usual words of text number {i} that go on for a while here", "en", "s", 0) for i in range(20)] + ODD_ROWS
+    names = ("one", "TWO", "row", "own", "group", "up", "top", "w", "lines", "h", "kept", "n_words", "distance", "x1", "m0", "l00")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"concat(doc_id, '{c}') as `{c}`" for c in names])
+    got = quality.keep(docs)
+    assert got.columns == docs.columns and got.count() == 21
+    assert all(r.own == f"{r.doc_id}own" and r.kept == f"{r.doc_id}kept" for r in got.where("doc_id is not null").collect())

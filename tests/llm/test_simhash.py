@@ -69,11 +69,78 @@ def test_long_text_in_pieces(monkeypatch):
     assert simhash.fingerprint(text) == brute_print(text)
 
 
+def jaccard(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def low(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute_keep(rows):
+    """The row kept of each component of texts with a Jaccard similarity of 0.8 or more."""
+    rows = list(dict.fromkeys(rows))
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    words = [low(r[1]) for r in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(words[i], words[j]) >= 0.8:
+                parent[root(i)] = root(j)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(root(i), []).append(r)
+    return groups.values()
+
+
+def one_of_each(kept, rows):
+    """Whether kept holds one row of each component, of the smallest id there is."""
+    kept = [tuple(r) for r in kept]
+    for group in brute_keep(rows):
+        found = [r for r in kept if r in group]
+        ids = [r[0] for r in group if r[0] is not None]
+        assert len(found) == 1 and found[0][0] == (min(ids) if ids else None), (found, len(group))
+    return len(kept) == len(brute_keep(rows))
+
+
 def test_keep_one(spark):
-    docs = spark.createDataFrame(ODD_ROWS, SCHEMA)
-    kept = simhash.keep_one(docs).collect()
-    assert sorted((r.doc_id for r in kept), key=str) == [1, 2, 5] or {1, 2, 5} <= {r.doc_id for r in kept}
-    assert len([r for r in kept if r.doc_id == 1]) == 1 and 6 not in {r.doc_id for r in kept}
+    assert one_of_each(simhash.keep_one(spark.createDataFrame(ODD_ROWS, SCHEMA)).collect(), ODD_ROWS)
+    assert simhash.keep_one(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_keep_one_like_brute_force_on_edited_copies(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 6)))
+    base = [[word() for _ in range(rnd.randint(120, 400))] for _ in range(25)]
+    rows = [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(base)]
+    for i in range(150):  # up to one word in fifty is replaced, or a piece is cut off or put before
+        w = list(base[i % 25])
+        kind = i % 3
+        for _ in range(len(w) // 50 if kind == 0 else 0):
+            w[rnd.randrange(len(w))] = word()
+        w = w[: -(len(w) // 12)] if kind == 1 else [word() for _ in range(len(w) // 15)] + w if kind == 2 else w
+        rows.append((100 + i, " ".join(w).upper(), "en", "s", 1))
+    rows += [(500 + i, " ".join(base[i][:60] + [word() for _ in range(200)]), "en", "s", 1) for i in range(10)]  # share a passage only
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    ids, want = {r.doc_id for r in kept}, len(brute_keep(rows))
+    assert {*range(25), *range(500, 510)} <= ids and want == 35 and len(ids) <= want + 8  # over 0.94 of 150 copies go, most of them at 0.82 to 0.93
+
+
+def test_keep_one_of_a_large_group_of_near_copies(spark):
+    rnd = random.Random(13)
+    base = [f"w{rnd.randint(0, 900)}" for _ in range(150)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        w[rnd.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
 
 
 def test_keep_one_of_every_component_without_usable_ids(spark):
@@ -81,10 +148,11 @@ def test_keep_one_of_every_component_without_usable_ids(spark):
     text = lambda: " ".join(rnd.choice("abcdefghij") * rnd.randint(1, 4) for _ in range(60))
     same = text()
     rows = [(i if i % 3 else None, text(), "en", "s", 1) for i in range(30)] + [(7, text(), "en", "s", 1), (None, same, "en", None, 1), (None, same, None, "en", 1), (None, same, "en", None, 1), (99, same, "en", "s", 1)]
-    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
-    assert sorted(tuple(r) for r in kept if r.text != same and r.doc_id is not None) == sorted(r for r in rows if r[1] != same and r[0] is not None)
-    assert sorted(r.text for r in kept if r.doc_id is None) == sorted(r[1] for r in rows[:30] if r[0] is None)
-    assert [r.doc_id for r in kept if r.text == same] == [99]
+    names = ("one", "TWO", "node", "first", "_d", "_r", "label")
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"concat(n_chars, '{c}') as `{c}`" for c in names])
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert one_of_each(kept.select(*SCHEMA.replace(",", "").split()[::2]).collect(), rows)
 
 
 def test_components_of_a_long_chain_and_a_star(spark):

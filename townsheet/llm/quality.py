@@ -18,7 +18,8 @@ pre-aggregated where it lies; nothing is gathered by row. Ties fall into one bin
 
 Defined results: a null or empty text has zero counts and fails; null lang or source is a group of
 its own; distances are null only where no row at all passes the base rules; repeated rows get
-repeated verdicts; an empty table gives an empty result. Extra columns stay in ``keep``.
+repeated verdicts; an empty table gives an empty result. Extra columns pass through, but for ones named
+like the results, which are replaced; ``keep`` returns exactly the columns of its input.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import SPACES, saved
+from townsheet.llm.common import SPACES, saved, unused
 from townsheet.llm.templates import sized
 
 WINDOW = 5
@@ -36,39 +37,44 @@ FEATURES = ("x1", "x2", "x3", "x4")
 #: Words that the prior counts for, and the prior's mean word length.
 PRIOR_WORDS, PRIOR_LENGTH = 60.0, 6.0
 #: Share of a group in the subset; scale floors by feature; cut-off of the squared distance, well past
-#: the 0.9999 point of chi-squared with four degrees (23.5) as texts are not normal; bins to a unit.
+#: the 0.9999 point of chi-squared with four degrees (23.5) as texts are not normal; bins to a unit of
+#: log1p, so that a group has some 4,000 bins at most, however far its outliers lie.
 #: The base rules stop repeated windows at a share of 0.2, so only a floor under sqrt(0.2 / CUT) = 0.0707
 #: lets them reject by themselves.
-SHARE, FLOORS, CUT, BINS, STEPS, LEAST_ROWS = 0.75, (0.25, 0.25, 0.1, 0.0625), 40.0, 200, 3, 50
+SHARE, FLOORS, CUT, BINS, STEPS, LEAST_ROWS = 0.75, (0.25, 0.25, 0.1, 0.0625), 40.0, 300, 3, 50
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words in place of text."""
-    rest = [c for c in docs.columns if c not in ("text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *COUNTS)]
     text = F.coalesce(F.col("text"), F.lit(""))
+    # the other columns travel in a struct, so that no name of theirs can clash
     split = docs.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.filter(F.split(text, f"{SPACES}+"), lambda w: w != "").alias("_w"),
+        F.struct(*rest).alias("row"), F.filter(F.split(text, f"{SPACES}+"), lambda w: w != "").alias("w"),
         F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("_lines"),
+        F.filter(F.split(text, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"),
     )
-    counted = split.select(
-        *[F.col(f"`{c}`") for c in rest], "n_symbols", F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("_w") >= WINDOW, F.transform(F.sequence(F.lit(1), F.size("_w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("_w", i, WINDOW)))).otherwise(F.array().cast("array<bigint>")).alias("_h"),
+    hashed = split.select(
+        "row", "n_symbols", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.transform("w", lambda w: F.xxhash64(w)).alias("g"),
     )
+    window = lambda i: F.xxhash64(*[F.get("g", i + k) for k in range(WINDOW)])
+    none = F.array().cast("array<bigint>")
+    windows = hashed.withColumn("h", F.when(F.size("g") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("g") - WINDOW), window)).otherwise(none)).drop("g")
     # texts without a repeated window are done; the others sort (window, place) pairs
-    sorted_pairs = counted.withColumn("_p", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), F.sort_array(F.arrays_zip(F.col("_h"), F.sequence(F.lit(0), F.size("_h") - 1).alias("i")))))
-    names = sorted_pairs.schema["_p"].dataType.elementType.fieldNames()
-    h, at = names[0], names[1]
+    pairs = F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    paired = windows.withColumn("p", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(pairs))).drop("h")
     # a place repeats if the pair before or after it has its window
-    shifted = sorted_pairs.withColumn("_next", F.slice("_p", 2, F.greatest(F.size("_p"), F.lit(1))))
-    same = F.zip_with("_p", "_next", lambda a, b: F.when(a[h] == b[h], F.array(a[at], b[at])))
-    places = shifted.withColumn("_at", F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))))
-    gaps = F.zip_with("_at", F.slice("_at", 2, F.greatest(F.size("_at"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    shifted = paired.withColumn("next", F.slice("p", 2, F.greatest(F.size("p"), F.lit(1))))
+    same = F.zip_with("p", "next", lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    places = shifted.withColumn("at", F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull())))))
+    gaps = F.zip_with("at", F.slice("at", 2, F.greatest(F.size("at"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
     covered = F.aggregate(gaps, F.lit(0).cast("long"), lambda total, x: total + x)
-    return places.select(*[F.col(f"`{c}`") for c in rest], "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce(F.when(F.col("_p").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words"))
+    repeats = F.coalesce(F.when(F.col("p").isNotNull(), covered), F.lit(0)).cast("long").alias("n_repeat_words")
+    return places.select("row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", repeats)
 
 
 def base_failed() -> Column:
@@ -86,7 +92,11 @@ def features(stats: DataFrame) -> DataFrame:
 
 
 def _bin(x: Column) -> Column:
-    return F.floor(F.least(x, F.lit(1e6)) * BINS).cast("long")
+    return F.floor(F.log1p(F.least(x, F.lit(1e6))) * BINS).cast("long")
+
+
+def _middle(b: Column) -> Column:
+    return F.expm1((b + 0.5) / BINS)
 
 
 def _quantile(binned: DataFrame, group: list[str], share: float, name: str) -> DataFrame:
@@ -133,9 +143,9 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     p = range(len(FEATURES))
     long = rows.select("group", F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(x).alias("x")) for i, x in enumerate(FEATURES)])).alias("s")).select("group", "s.f", "s.x")
     middle = _quantile(_histogram(long.withColumn("bin", _bin(F.col("x"))), ["group", "f", "bin"]), ["group", "f"], 0.5, "mid")
-    middle = saved(middle.withColumn("mid", (F.col("mid") + 0.5) / BINS), "mcd")
+    middle = saved(middle.withColumn("mid", _middle(F.col("mid"))), "mcd")
     away = long.join(sized(middle), ["group", "f"]).withColumn("bin", _bin(F.abs(F.col("x") - F.col("mid"))))
-    spread = _quantile(_histogram(away, ["group", "f", "bin"]), ["group", "f"], 0.5, "mad").withColumn("mad", (F.col("mad") + 0.5) / BINS * 1.4826)
+    spread = _quantile(_histogram(away, ["group", "f", "bin"]), ["group", "f"], 0.5, "mad").withColumn("mad", _middle(F.col("mad")) * 1.4826)
     both = middle.join(spread, ["group", "f"])
     pick = lambda f, c: F.max(F.when(F.col("f") == f, F.col(c)))
     start = both.groupBy("group").agg(*[pick(i, "mid").alias(f"m{i}") for i in p], *[F.pow(pick(i, "mad"), 2).alias(f"c{i}{i}") for i in p])
@@ -144,7 +154,7 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
             start = start.withColumn(f"c{i}{j}", F.lit(0.0))
     params = saved(_cholesky(start), "mcd")
     for _ in range(steps):
-        far = _with(rows, params).withColumn("bin", F.floor(F.log1p(_distance()) * BINS).cast("long"))
+        far = _with(rows, params).withColumn("bin", _bin(_distance()))
         limit = saved(_quantile(_histogram(far, ["group", "bin"]), ["group"], SHARE, "limit"), "mcd")
         inside = _with(far, limit).where(F.col("bin") <= F.col("limit"))
         sums = [F.count("*").alias("n"), *[F.sum(F.col(FEATURES[i]) - F.col(f"m{i}")).alias(f"s{i}") for i in p], *[F.first(f"m{i}").alias(f"o{i}") for i in p]]
@@ -153,8 +163,8 @@ def estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         fitted = fitted.select("group", *[(F.col(f"o{i}") + F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in p], *[(F.col(f"q{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")).alias(f"c{i}{j}") for i in p for j in range(i + 1)])
         params = saved(_cholesky(fitted), "mcd")
     # normal consistency: the median squared distance should be that of chi-squared with four degrees
-    middle = _quantile(_histogram(_with(rows, params).withColumn("bin", F.floor(F.log1p(_distance()) * BINS).cast("long")), ["group", "bin"]), ["group"], 0.5, "mid")
-    scaled = params.join(middle, "group").withColumn("scale", F.greatest(F.expm1((F.col("mid") + 0.5) / BINS) / 3.357, F.lit(1.0)))
+    middle = _quantile(_histogram(_with(rows, params).withColumn("bin", _bin(_distance())), ["group", "bin"]), ["group"], 0.5, "mid")
+    scaled = params.join(middle, "group").withColumn("scale", F.greatest(_middle(F.col("mid")) / 3.357, F.lit(1.0)))
     sizes = rows.groupBy("group").agg(F.count("*").alias("rows"))
     return scaled.join(sizes, "group").drop("mid")
 
@@ -183,23 +193,27 @@ def _shrunk(of: DataFrame, params: DataFrame, least_rows: int) -> DataFrame:
 
 def judge(docs: DataFrame, least_rows: int = LEAST_ROWS, cut: float = CUT) -> DataFrame:
     """Statistics of docs with base_failed, distance (null without an estimate) and kept."""
+    made = (*COUNTS, "base_failed", "distance", "kept")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("text", *made)]
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in ("lang", "source"))
-    key, up, top = F.xxhash64(lang, source), F.xxhash64(F.lit(1), lang), F.xxhash64(F.lit(2))
-    judged = features(statistics(docs)).withColumn("base_failed", base_failed())
-    stats = saved(judged.withColumn("group", key).withColumn("_up", up).withColumn("_top", top), "quality")
-    levels = F.explode(F.array("group", "_up", "_top")).alias("group")
+    keys = [F.xxhash64(lang, source).alias("group"), F.xxhash64(F.lit(1), lang).alias("up"), F.xxhash64(F.lit(2)).alias("top")]
+    judged = features(statistics(docs.select(F.struct(*rest).alias("own"), "text", *keys))).withColumn("base_failed", base_failed())
+    stats = saved(judged, "quality")
+    levels = F.explode(F.array("group", "up", "top")).alias("group")
     params = estimates(stats.where(~F.col("base_failed")).select(levels, *FEATURES))
-    of = saved(stats.select("group", F.col("_up").alias("up"), F.col("_top").alias("top")).distinct(), "mcd")
+    of = saved(stats.select("group", "up", "top").distinct(), "mcd")
     params = saved(_shrunk(of, params, least_rows), "mcd")
     scored = _with(stats, params).withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cut)
-    drop = [c for c in scored.columns if c not in (*stats.columns, "distance")]
-    return scored.withColumn("kept", kept).drop(*drop, "group", "_up", "_top", *FEATURES)
+    return scored.select("own.*", *COUNTS, "base_failed", "distance", kept.alias("kept"))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their columns. Rows are matched by id and text."""
-    mark = docs.withColumn("_k", F.xxhash64(F.coalesce("text", F.lit(""))))
-    good = judge(mark.select("doc_id", "text", "lang", "source", "_k")).where("kept").select(F.col("doc_id").alias("_d"), F.col("_k").alias("_t"), F.col("lang").alias("_l"), F.col("source").alias("_s")).distinct()
-    same = mark["doc_id"].eqNullSafe(good["_d"]) & (mark["_k"] == good["_t"]) & mark["lang"].eqNullSafe(good["_l"]) & mark["source"].eqNullSafe(good["_s"])
-    return mark.join(good, same, "left_semi").drop("_k")
+    """The rows of docs that pass, with their columns. A verdict rests on text, lang and source alone,
+    so rows are matched by 128 bits of hash of those."""
+    one, two = unused(docs, "one", "two")
+    of = [x for c in ("text", "lang", "source") for x in (F.col(c), F.col(c).isNull())]
+    marked = docs.withColumn(one, F.xxhash64(*of)).withColumn(two, F.xxhash64(F.lit(1), *of))
+    asked = marked.select(F.col(one).alias("one"), F.col(two).alias("two"), "text", "lang", "source")
+    good = judge(asked).where("kept").select(F.col("one").alias(one), F.col("two").alias(two)).distinct()
+    return marked.join(good, [one, two], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
