@@ -1,3 +1,5 @@
+import math
+
 from helpers import ODD_ROWS, write
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ def test_query(spark, tmp_path):
 
 
 def test_shuffled_when_too_large_to_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(templates, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(templates, "BROADCAST_BYTES", -1)
     assert {r.doc_id for r in run(spark, tmp_path, DOCS) if r.contaminated} == {10, 11, 13, None}
 
 
@@ -56,8 +58,9 @@ def brute(docs, items):
         w, lines = t.split(), {}
         for k in range(len(w) - 7):
             for i, j, n in index.get(tuple(w[k : k + 8]), ()):
-                lines.setdefault((i, k - j, n), set()).add(j)
-        if any(len(v) >= min(6, key[2]) for key, v in lines.items()):
+                for strip in ((k - j) // 8 * 2, (k - j + 4) // 8 * 2 + 1):
+                    lines.setdefault((i, strip, n), set()).add(j)
+        if any(len(v) >= min(6, math.ceil(key[2] * 0.4)) for key, v in lines.items()):
             out.add(d)
     return out
 
@@ -91,9 +94,45 @@ def test_every_item_of_a_template(spark, tmp_path):
 
 
 def test_template(spark):
-    text = "In 2020, Ana-Maria ran 3.5 km (5km) iPhone, 7 days. NASA's 1,000"
-    r = spark.createDataFrame([(text,)], "t string").select(templates.tokens(templates.template(templates.base_text(F.col("t")))).alias("x")).first()
-    assert r.x == "@ # @ @ ran # $ # iphone # $ @ s #".split()
+    text = "In 2020, Ana-Maria ran 3.5 km (5km) iPhone, 7 days. NASA's 1,000 2 000"
+    typed = templates.typed_base(templates.base_text(F.col("t")))
+    r = spark.createDataFrame([(text,)], "t string").select(templates.tokens(templates.template(typed)).alias("x"), templates.tokens(typed).alias("v")).first()
+    assert r.x == "@ # @ ran # $ # iphone # $ @ s #".split() and len(r.v) == len(r.x) and r.v[2] == "Ana\x01Maria" and r.v[-1] == "1,000\x012\x01000"
+
+
+LONG = "Bob Stone has 3 apples and 5 pears in the small basket that stands by the old kitchen door, and Bob Stone eats 3 of them on Monday."
+
+
+def found(spark, tmp_path, items, texts):
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = run(spark, tmp_path, docs, [(i, t) for i, t in enumerate(items)])
+    return {r.doc_id: r.item_ids for r in got if r.contaminated}
+
+
+def test_names_of_other_lengths_case_and_shifted_words(spark, tmp_path):
+    texts = [
+        f"so we go {LONG.replace('Bob Stone', 'Ann').replace('3', '1 200')} and on",  # one word for two, two digit groups for one
+        f"so we go {LONG.lower()} and on",
+        f"so we go {LONG.upper()} and on",
+        f"so we go {LONG.replace('small', 'very small')} and on",  # a word put in
+        f"so we go {LONG.replace('pears in the small', 'pears in the')} and on",  # a word left out
+        f"so we go {LONG.replace('Bob Stone eats 3', 'Bob Stone eats 4')} and on",  # a value that no longer fits
+        "so we go there and on to the old market by the river that runs behind the hill",
+    ]
+    assert found(spark, tmp_path, [LONG], texts) == dict.fromkeys([0, 1, 2, 3, 4], "0")
+
+
+def test_short_items_and_items_of_few_words(spark, tmp_path):
+    items = ["what colour is the clear sky", "name two rivers", "Paris 12 Rome 7 Oslo 9 Bonn 4 Kiev 8"]
+    texts = ["now tell me what colour is the clear sky today", "what colour is a clear sky", "Name two rivers!", "please name two rivers", "See Lima 3 Cairo 5 Delhi 6 Tokyo 2 Seoul 1 end", "x Paris 12 Rome y"]
+    assert found(spark, tmp_path, items, texts) == {0: "0", 2: "1", 4: "2"}
+
+
+def test_one_word_changed_in_the_middle(spark, tmp_path):
+    words = [f"word{chr(97 + i)}x" for i in range(20)]
+    changed = " ".join([*words[:10], "other", *words[11:]])
+    half = " ".join([*words[:10], *(f"else{chr(97 + i)}" for i in range(10))])
+    assert found(spark, tmp_path, [" ".join(words)], [f"a b {changed} c", f"a b {half} c"]) == {}
 
 
 def test_clean(spark):
@@ -101,3 +140,6 @@ def test_clean(spark):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     left = templates.clean(docs, items)
     assert left.columns == docs.columns and left.count() == len(DOCS) - 4
+    clashing = docs.selectExpr("*", "1 as key", "2 as _k", "3 as tid", "4 as item_id", "5 as `t`")
+    left = templates.clean(clashing, items)
+    assert left.columns == clashing.columns and left.count() == len(DOCS) - 4

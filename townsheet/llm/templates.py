@@ -1,19 +1,26 @@
 """Benchmark decontamination by templates, on DataFrame functions only.
 
-Texts become templates: punctuation goes, tokens that begin with a digit become ``#``, a unit word
-after a number ``$``, capitalised words ``@``, and the rest is lower case. Windows of eight template
-tokens of every benchmark item (with at least five literal tokens) are hashed and joined with the
-windows of every document. Hits on one diagonal (place in document minus place in item) that reach
-``least`` windows, or all of a shorter item, are a candidate: the tokens at the item's placeholders
-are compared, and the candidate stands if each of the item's values always meets one value in the
-document. Verbatim copies pass by nature; a re-parameterised question passes with other values.
-``matches`` gives (doc, item) rows, ``flag`` one row per document, ``clean`` drops the flagged ones.
+Texts are read twice. In the typed reading, a run of tokens that begin with a digit becomes one ``#``, a
+unit word after it ``$``, a run of capitalised words one ``@``, and the rest is lower case; in the
+plain reading words are only lower-cased, so that copies in other case, and sentences that begin
+with a name in one text alone, still agree. Windows of eight template tokens of every benchmark item
+(with at least five literal tokens) are hashed and joined with the windows of every document.
+
+An item without such a window gives all its windows; one of five to seven tokens is a window of its
+own length; a shorter one is met only by documents that consist of it. Hits of an item and a document
+count together if their diagonals (place in document minus place in item) lie within four of each
+other, so that inserted or dropped words do not part them. If they cover six windows, or four tenths
+of a shorter item's, they are a candidate (nine tenths of all in the plain reading, where no values
+are compared): the values at the item's placeholders are compared,
+and the candidate stands if each of the item's values always meets one value in the document.
+Verbatim copies pass by nature; a re-parameterised question passes with other values. ``matches``
+gives (doc, item) rows, ``flag`` one row per document, ``clean`` drops the flagged ones.
 
 Items with one template share its windows in the join; the candidates then meet every item of the
 template, each with its own values. Items of one text are one item (smallest item_id). Defined results:
-null and empty texts or items, and items under eight tokens, match nothing; a null doc_id is matched
-by its text; repeated rows get repeated verdicts; empty tables give empty results; other columns do
-not matter. The benchmark side is broadcast only after its rows were counted, else it is shuffled.
+null and empty texts or items match nothing; a null doc_id is matched by its text; repeated rows get
+repeated verdicts; empty tables give empty results; other columns do not matter, and ``clean``
+returns exactly the columns of its input. Tables are broadcast only if the bytes of their files are few.
 """
 
 from __future__ import annotations
@@ -21,13 +28,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import saved
+from townsheet.llm.common import saved, unused
 
-WINDOW, LITERALS, LEAST = 8, 5, 6
-#: Rows of about 40 bytes that may be broadcast (some 20 MB).
-BROADCAST_ROWS = 500_000
+WINDOW, LITERALS, LEAST, SHORTEST = 8, 5, 6, 5
+#: Diagonals that count together: two of these overlapping strips.
+STRIP = 8
+#: Bytes of files, compressed, of a table that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 #: Unit words, by kind: length, mass, volume, time, speed and data, money, share. Fixed values.
-UNITS = "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams ton tons lb lbs oz pound pounds ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh kb mb gb tb dollar dollars cent cents euro euros percent".split()
+UNITS = (
+    "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams ton tons lb lbs oz pound pounds ml l liter liters litre litres "
+    "gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years mph kmh kb mb gb tb "
+    "dollar dollars cent cents euro euros percent"
+).split()
+#: Joins the words of one name, and the digit groups of one number.
+GLUE = "\u0001"
 
 
 def base_text(text: Column) -> Column:
@@ -35,9 +50,17 @@ def base_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?:[^\p{L}\p{M}\p{N}](?<!\p{N}[.,](?=\p{N})))+", " "))
 
 
+def typed_base(base: Column) -> Column:
+    """The base text with each run of names, and of numbers, as one token."""
+    names = F.regexp_replace(base, r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})([\p{L}\p{M}\p{N}]*) (?=\p{Lu})", "$0" + GLUE)
+    numbers = F.regexp_replace(names, r"\p{N}(?<![\p{L}\p{M}\p{N}.,]\p{N})([\p{N}.,]*) (?=\p{N})", "$0" + GLUE)
+    return F.replace(numbers, F.lit(" " + GLUE), F.lit(GLUE))
+
+
 def template(base: Column) -> Column:
-    named = F.regexp_replace(base, r"\p{Lu}(?<![\p{L}\p{M}\p{N}]\p{Lu})[\p{L}\p{M}\p{N}]*", "@")
-    numbered = F.regexp_replace(named, r"\p{N}(?<![@\p{L}\p{M}\p{N}.,]\p{N})[\p{N}.,]*[\p{L}\p{M}]*", "#")
+    """The typed reading of a typed base text."""
+    named = F.regexp_replace(base, rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\p{{N}}{GLUE}]\p{{Lu}})[\p{{L}}\p{{M}}\p{{N}}{GLUE}]*", "@")
+    numbered = F.regexp_replace(named, rf"\p{{N}}(?<![@\p{{L}}\p{{M}}\p{{N}}.,{GLUE}]\p{{N}})[\p{{N}}.,{GLUE}]*[\p{{L}}\p{{M}}]*", "#")
     return F.regexp_replace(F.lower(numbered), f"# (?:{'|'.join(UNITS)})(?= |$)", r"# \$")
 
 
@@ -46,54 +69,96 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, " "), lambda t: t != "")
 
 
-def _windows(t: str) -> Column:
-    return F.when(F.size(t) >= WINDOW, F.transform(F.sequence(F.lit(1), F.size(t) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(t, i, WINDOW)))).otherwise(F.array().cast("array<bigint>"))
+def read(texts: DataFrame, *keep: str) -> DataFrame:
+    """keep and, for the typed reading (0) and the plain one (1), template tokens t0, t1 and values v0, v1.
+
+    Steps are projections of their own, so that no expression is copied into the ones that use it.
+    """
+    based = texts.select(*keep, base_text(F.col("text")).alias("base"))
+    typed = based.select(*keep, "base", typed_base(F.col("base")).alias("typed"))
+    named = typed.select(*keep, "base", "typed", template(F.col("typed")).alias("template"), F.lower("base").alias("low"))
+    return named.select(*keep, tokens(F.col("template")).alias("t0"), tokens(F.col("typed")).alias("v0"), tokens(F.col("low")).alias("t1"), tokens(F.col("base")).alias("v1"))
+
+
+def _windows(t: Column, lengths: list[int]) -> Column:
+    """(place, hash) of all windows of the given lengths; a text under SHORTEST tokens is one window."""
+    n = F.size(t)
+    none = F.array().cast("array<struct<at:int,h:bigint>>")
+    one = lambda at, k: F.struct(at.cast("int").alias("at"), F.xxhash64(F.slice(t, at + 1, k)).alias("h"))
+    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda at: one(at, k))).otherwise(none)
+    whole = F.when((n > 0) & (n < SHORTEST), F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(t).alias("h")))).otherwise(none)
+    return F.concat(whole, *[of(k) for k in lengths])
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """One row per distinct text: tid (of its template), item_id, raw and template tokens."""
-    base = benchmark.select("item_id", base_text(F.col("text")).alias("base")).withColumn("t", template(F.col("base")))
-    members = base.groupBy("t", "base").agg(F.min("item_id").alias("item_id"))
-    return members.select(F.xxhash64("t").alias("tid"), "item_id", tokens(F.col("base")).alias("raw"), tokens(F.col("t")).alias("t"))
+    """One row per distinct text and reading: tid (of its template), item_id, values and template tokens."""
+    distinct = benchmark.select("item_id", base_text(F.col("text")).alias("text")).where("text <> ''").groupBy("text").agg(F.min("item_id").alias("item_id"))
+    both = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"t{r}").alias("t"), F.col(f"v{r}").alias("v")) for r in (0, 1)])).alias("s")
+    return read(distinct, "item_id").select("item_id", both).select(F.xxhash64("s.r", "s.t").alias("tid"), "item_id", F.col("s.r").alias("r"), F.col("s.v").alias("raw"), F.col("s.t").alias("t"))
 
 
 def _item_windows(of: DataFrame) -> DataFrame:
-    rows = of.select("tid", "t").dropDuplicates(["tid"]).withColumn("h", _windows("t")).select("tid", "t", F.posexplode_outer("h").alias("ipos", "h"))
-    literal = F.size(F.filter(F.slice("t", F.col("ipos") + 1, WINDOW), lambda x: ~x.isin("@", "#", "$")))
-    rows = rows.where(F.col("h").isNotNull() & (literal >= LITERALS)).select("tid", "ipos", "h")
-    return rows.join(rows.groupBy("tid").agg(F.count("*").alias("n_windows")), "tid")
+    """r, h, tid, ipos, width and needed windows of every template."""
+    n = F.size("t")
+    width = F.when(n >= WINDOW, WINDOW).otherwise(n)
+    rows = of.dropDuplicates(["tid"]).select("tid", "r", "t", width.alias("width"))
+    rows = rows.select("tid", "r", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("ipos"))
+    window = F.slice("t", F.col("ipos") + 1, F.col("width"))
+    literal = F.size(F.filter(window, lambda x: ~x.isin("@", "#", "$")))
+    rows = rows.select("tid", "r", "width", "ipos", F.xxhash64(window).alias("h"), (literal >= LITERALS).alias("good"))
+    counts = rows.groupBy("tid").agg(F.count("*").alias("n"), F.count_if("good").alias("n_good"))
+    kept = rows.join(counts, "tid").where("good or n_good = 0")
+    # an item without a telling window has to be met in all of them
+    share = F.when(F.col("r") == 0, F.least(F.lit(LEAST), F.ceil(F.col("n_good") * 0.4))).otherwise(F.ceil(F.col("n_good") * 0.9))
+    needed = F.when(F.col("n_good") == 0, F.col("n")).otherwise(share)
+    return kept.select("r", "h", "tid", "ipos", "width", needed.cast("int").alias("needed"))
 
 
 def sized(table: DataFrame) -> DataFrame:
-    """A saved table, marked for broadcast only if its counted rows allow it."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    """A saved table, marked for broadcast only if the bytes of its files allow it."""
+    jvm, spark = table.sparkSession._jvm, table.sparkSession
+    where = jvm.org.apache.hadoop.fs.Path(table.saved_path)
+    size = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
+    return F.broadcast(table) if size <= BROADCAST_BYTES else table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))).alias("key"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, least: int = LEAST) -> DataFrame:
-    """key, tid, item_id, windows (hits on the best diagonal) and changed (placeholders differ)."""
+def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """key, tid, item_id, windows (those met) and changed (placeholders differ)."""
     of = saved(items(benchmark), "items")
     probe = saved(_item_windows(of), "item-windows")
+    lengths = sorted({WINDOW, *(r.width for r in probe.select("width").distinct().collect() if r.width >= SHORTEST)})  # four at most
     keyed = _keyed(docs)
+    of_reading = lambda r: F.transform(_windows(F.col(f"t{r}"), lengths), lambda w: F.struct(F.lit(r).alias("r"), w["at"].alias("at"), w["h"].alias("h")))
     # the outer form keeps the optimizer from copying the whole expression below into a filter
-    windows = keyed.select("key", tokens(template(base_text(F.col("text")))).alias("t")).select("key", _windows("t").alias("h")).select("key", F.posexplode_outer("h").alias("dpos", "h"))
-    hits = windows.join(sized(probe), "h")
-    # a diagonal's hits: at most as many as its item has windows
-    lines = hits.groupBy("key", "tid", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "n_windows").agg(F.sort_array(F.collect_set("ipos")).alias("at"))
-    lines = saved(lines.where(F.size("at") >= F.least(F.lit(least), F.col("n_windows"))).drop("n_windows"), "diagonals")
+    windows = read(keyed, "key").select("key", F.explode_outer(F.concat(of_reading(0), of_reading(1))).alias("w")).select("key", "w.r", F.col("w.at").alias("dpos"), "w.h")
+    hits = windows.join(sized(probe), ["r", "h"])
+    # an item of under SHORTEST tokens is met by whole texts only, as only they have such a window
+    strip = F.explode(F.array(F.floor((F.col("dpos") - F.col("ipos")) / STRIP) * 2, F.floor((F.col("dpos") - F.col("ipos") + STRIP // 2) / STRIP) * 2 + 1)).alias("strip")
+    hits = hits.select("key", "tid", "needed", "width", "ipos", (F.col("dpos") - F.col("ipos")).alias("diagonal"), strip)
+    # a strip's hits: at most a few times as many as its item has windows
+    met = F.collect_set(F.struct("ipos", "diagonal"))
+    lines = hits.groupBy("key", "tid", "strip", "needed", "width").agg(met.alias("met"), F.mode("diagonal", True).alias("mode"))
+    # a window that occurs again nearby counts on the diagonal nearest to the commonest one
+    away = F.transform("met", lambda m: F.struct(m["ipos"].alias("ipos"), F.abs(m["diagonal"] - F.col("mode")).alias("off"), m["diagonal"].alias("diagonal")))
+    lines = lines.withColumn("met", F.sort_array(away)).withColumn("at", F.filter("met", lambda m, i: (i == 0) | (F.get("met", i - 1)["ipos"] != m["ipos"])))
+    lines = saved(lines.withColumn("n", F.size("at")).where("n >= needed").select("key", "tid", "width", "at", "n"), "diagonals")
     texts = keyed.join(sized(saved(lines.select("key").distinct(), "hit-docs")), "key", "left_semi")
-    raw = texts.dropDuplicates(["key"]).select("key", tokens(base_text(F.col("text"))).alias("d"))
-    both = lines.join(raw, "key").join(sized(of.select("tid", "item_id", F.col("raw").alias("i"), "t")), "tid")
-    places = F.array_distinct(F.flatten(F.transform("at", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    both = both.withColumn("slots", F.filter(places, lambda p: F.get("t", p).isin("@", "#", "$")))
-    pair = lambda p: F.struct(F.get("t", p).alias("k"), F.get("i", p).alias("i"), F.get("d", p + F.col("diagonal")).alias("d"))
-    both = both.withColumn("pairs", F.array_distinct(F.transform("slots", pair)))
+    values = F.explode(F.array(*[F.struct(F.lit(r).alias("r"), F.col(f"v{r}").alias("d")) for r in (0, 1)])).alias("s")
+    raw = read(texts.dropDuplicates(["key"]), "key").select("key", values).select("key", "s.r", "s.d")
+    both = lines.join(sized(of), "tid").join(raw, ["key", "r"])
+    # (place in the item, place in the document) of every placeholder within a window that was met
+    slots = F.flatten(F.transform("at", lambda a: F.transform(F.sequence(a["ipos"], a["ipos"] + F.col("width") - 1), lambda p: F.struct(p.alias("p"), (p + a["diagonal"]).alias("q")))))
+    both = both.withColumn("slots", F.array_distinct(slots)).withColumn("slots", F.filter("slots", lambda s: F.get("t", s["p"]).isin("@", "#", "$") & (F.col("r") == 0)))
+    pair = lambda s: F.struct(F.get("t", s["p"]).alias("k"), F.lower(F.get("raw", s["p"])).alias("i"), F.lower(F.get("d", s["q"])).alias("d"))
+    both = both.withColumn("pairs", F.transform("slots", pair)).withColumn("pairs", F.array_distinct("pairs"))
     fits = both.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda s: F.struct(s["k"], s["i"])))))
+    # the plain reading passes values as they are
     changed = F.exists("pairs", lambda s: s["i"] != s["d"])
-    return fits.groupBy("key", "tid", "item_id").agg(F.max(F.size("at")).cast("long").alias("windows"), F.min(changed).alias("changed"))
+    return fits.groupBy("key", "item_id").agg(F.min("tid").alias("tid"), F.max("n").alias("windows"), F.min(changed).alias("changed"))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -112,6 +177,7 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that match no item, with their columns."""
-    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
-    found = saved(matches(docs, benchmark).select(F.col("key").alias("_k")).distinct(), "flags")
-    return docs.withColumn("_key", key).join(sized(found), F.col("_key") == F.col("_k"), "left_anti").drop("_key")
+    (key,) = unused(docs, "key")
+    mine = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit("")))
+    found = saved(matches(docs, benchmark).select(F.col("key").alias(key)).distinct(), "flags")
+    return docs.withColumn(key, mine).join(sized(found), key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
