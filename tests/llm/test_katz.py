@@ -3,7 +3,6 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from helpers import ODD_ROWS, SCHEMA, WORD, write
 
@@ -33,41 +32,27 @@ def gt(counts):
 class Brute:
     """The same model by dictionaries and recursion."""
 
-    def __init__(self, texts, vocabulary):
+    def __init__(self, texts):
         lists = [words(t) for t in texts]
         self.c = Counter(w for x in lists for w in x)
         self.texts, self.tokens = len(lists), sum(self.c.values()) + len(lists)
-        bins = defaultdict(list)
-        for w, c in self.c.items():
-            bins[math.floor(math.log(c) / math.log(2) * 64)].append(w)
-        best = []
-        for b in sorted(bins, reverse=True):
-            if len(best) + len(bins[b]) > vocabulary:
-                break
-            best += bins[b]
-        self.common = set(best)
         self.disc = gt(self.c.values())
         kept = sum(map(self.disc, self.c.values())) + self.texts
         self.total = self.tokens if self.tokens - kept > 1e-9 * self.tokens else self.tokens + 0.5
         self.unseen = 1 - kept / self.total
         self.pairs = Counter()
         for x in lists:
-            y = ["</>", *map(self.cls, x), "</>"]
+            y = ["</>", *x, "</>"]
             self.pairs.update(zip(y, y[1:]))
         self.pair_disc = gt(self.pairs.values())
         self.after = defaultdict(set)
         for a, b in self.pairs:
             self.after[a].add(b)
 
-    def cls(self, w):
-        return w if w in self.common or w == "</>" else "<rest>"
-
     def unigram(self, k):
         if k == "</>":
             return self.texts / self.total
-        if k == "<rest>":
-            return 1 - self.texts / self.total - sum(self.unigram(w) for w in self.common)
-        return self.disc(self.c[k]) / self.total
+        return self.disc(self.c[k]) / self.total if self.c[k] else self.unseen
 
     def bigram(self, a, k):
         seen = self.after.get(a)
@@ -75,21 +60,12 @@ class Brute:
             return self.unigram(k)
         c, d = (sum(f(self.pairs[a, b]) for b in seen) for f in (lambda x: x, self.pair_disc))
         free = 1 - sum(map(self.unigram, seen))
-        if free < 1e-12:
-            return self.pair_disc(self.pairs[a, k]) / d if k in seen else 0
         by = c if c - d > 1e-9 * c else c + 0.5
         return self.pair_disc(self.pairs[a, k]) / by if k in seen else (1 - d / by) / free * self.unigram(k)
 
     def score(self, text):
-        total, a = 0.0, "</>"
-        for w in [*words(text), "</>"]:
-            k = self.cls(w)
-            p = self.bigram(a, k)
-            if k == "<rest>":
-                p *= (self.disc(self.c[w]) / self.total if self.c[w] else self.unseen) / self.unigram("<rest>")
-            total += math.log10(p)
-            a = k
-        return total
+        tokens = ["</>", *words(text), "</>"]
+        return sum(math.log10(self.bigram(a, b)) for a, b in zip(tokens, tokens[1:]))
 
 
 def corpus(n, seed):
@@ -102,13 +78,16 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("vocabulary", [12, 65534])
-def test_query_like_brute_force(spark, tmp_path, monkeypatch, vocabulary):
-    monkeypatch.setattr(katz.fit, "__defaults__", (vocabulary,))
+@pytest.mark.parametrize("common, hot, held", [(0, 0, 50), (12, 7, 3_000_000), (65534, 300_000, 3_000_000)])
+def test_query_like_brute_force(spark, tmp_path, monkeypatch, common, hot, held):
+    """What is answered on the spot and what from tables makes no difference."""
+    monkeypatch.setattr(katz.fit, "__defaults__", (common, hot))
+    monkeypatch.setattr(katz, "HELD", held)
+    monkeypatch.setattr(katz, "BUCKET_WORDS", 300)
     rows = [(r[0] + 10, *r[1:]) for r in corpus(120, 3)] + ODD_ROWS
     got = queries.op7_katz_scores(spark, write(spark, rows, tmp_path, extra=True)).collect()
     train = [r[1] for r in rows if fold(r[0], 5) != 1]
-    model = Brute(train, vocabulary)
+    model = Brute(train)
     n, v = model.tokens, len(model.c) + 1
     want = []
     for d, t, *_ in rows:
@@ -122,19 +101,29 @@ def test_query_like_brute_force(spark, tmp_path, monkeypatch, vocabulary):
 
 
 def test_probabilities_sum_to_one(spark):
-    model = katz.fit(spark.createDataFrame(corpus(150, 9), SCHEMA), 12)
-    pairs = {}
-    for r in model.bigrams.collect():
-        pairs |= dict(zip(*(x.tolist() for x in katz.opened_pairs(r.payload))))
-    assert model.p1.sum() == pytest.approx(1)
-    for a in range(len(model.counts)):
-        total = 0.0
-        for b in range(len(model.counts)):
-            c = pairs.get(a << 16 | b, 0)
-            total += katz.discounted(np.array([c]), model.pair_d)[0] / model.divisor[a] if c else model.backoff[a] * model.p1[b]
-        assert total == pytest.approx(1)
-    rest = [r.n for r in model.unigrams.collect() if int(r.h) & (1 << 64) - 1 not in model.classes]
-    assert (katz.discounted(np.array(rest), model.word_d) / model.word_total).sum() + model.unseen == pytest.approx(model.p1[katz.REST])
+    """Of every context, over all words, the end and whatever is unseen, as scored."""
+    model = katz.fit(spark.createDataFrame(corpus(60, 9), SCHEMA), 12, 5)
+    known = sorted({w for r in corpus(60, 9) for w in words(r[1])})
+    texts = [f"{a} {b}" for a in known[:4] + known[-4:] for b in [*known, "neverseen"]]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, *(known[:4] + known[-4:])])]
+    got = {r.doc_id: r.score for r in katz.score(spark.createDataFrame(rows, SCHEMA), model).collect()}
+    brute = Brute([r[1] for r in corpus(60, 9)])
+    by_text = {r[1]: got[r[0]] for r in rows}
+    for a in known[:4] + known[-4:]:
+        start = math.log10(brute.bigram("</>", a))
+        total = sum(10 ** (by_text[f"{a} {b}"] - start - math.log10(brute.bigram(b if b != "neverseen" else None, "</>"))) for b in [*known, "neverseen"])
+        assert total + 10 ** (by_text[a] - start) == pytest.approx(1)
+
+
+def test_texts_that_occur_twice_score_higher(spark, tmp_path):
+    rnd = random.Random(2)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 7)))
+    rows = [(i, " ".join(word() for _ in range(80)), "en", "s", 0) for i in range(200)]
+    twice = [i for i in range(0, 200, 5) if fold(i, 5) != 1]
+    rows += [(1000 + i, rows[i][1], "en", "s", 0) for i in twice if fold(1000 + i, 5) != 1]
+    both = {r[0] - 1000 for r in rows if r[0] >= 1000}
+    got = {r.doc_id: r.score / r.n_tokens for r in queries.op7_katz_scores(spark, write(spark, rows, tmp_path)).collect() if r.doc_id < 1000 and not r.held_out}
+    assert min(got[i] for i in both) > max(v for i, v in got.items() if i not in both)
 
 
 def test_held_out_likelihood_beats_the_base(spark, tmp_path):

@@ -1,30 +1,33 @@
-"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff, packed tables.
-
-Tokens are lower-case words and an end; the end also opens each text. The commonest training words
-(whole bins of like counts, ``VOCABULARY`` words at most) and the end are classes of their own, all
-other words (seen or not) share the class ``rest``. The model backs off recursively:
-
-* bigram of classes, discounted, over its context's count; else
-* backoff weight of the context times the class's unigram probability;
-* a word of ``rest`` takes its class's probability times its own Good-Turing unigram share in it,
-  and all unseen words together hold the mass that discounting freed.
-
-Weights are exact: seen and unseen classes of every context sum to one, and so do the words.
-
-Training: word counts of all training texts (``unigrams``: hash, n), then counts of class pairs,
-packed by bucket (``bigrams``). Sums by context give weights; these and the classes are bounded by
-the vocabulary and are all that is sent to tasks. Scoring deals each batch's pairs and rest words
-into the same buckets, looks them up there and returns one array of partial sums for each batch and
-bucket, so nothing is emitted a token and frequent words or pairs are spread like others by batch.
-
-Defined results: null and empty texts are one end token; with nothing to train on every score is
-log10 of one over classes as far as defined (the end and rest share evenly); null ids count as an
-empty text for the fold; repeated rows repeat; an empty table gives an empty one; extra columns are
-ignored. 64-bit XXH64 stands for a word, as two of n words share one with probability n^2 / 2^65.
+"""Katz backoff language model: Good-Turing discounts, exactly normalised backoff, partitioned tables.
+
+Tokens are lower-case words and an end; the end also opens each text. Every training word and every
+pair of adjacent tokens is counted: there is no vocabulary cap. The model backs off recursively:
+
+* bigram count, discounted, over its context's count; else
+* backoff weight of the context times the token's unigram probability, where a word's count is
+  discounted and all words that training never met share, as one token, the mass that this frees.
+
+Weights are exact: seen and unseen successors of every context sum to one, and so do the words.
+
+How it is laid out. The ``COMMON`` commonest words (whole bins of like counts) and the end are known
+by a number and sent to all tasks with their counts and weights, as are the ``HOT`` commonest pairs
+of them; both bounds only decide where a count is looked up, not what it is. All other words are
+known by 64-bit XXH64. Counts of all other pairs lie in one table by bucket: pairs of common words by
+pair; pairs with one rare word in that word's bucket, beside the word's own count or its weights as a
+context; pairs of two rare words in both words' buckets. So a pair's probability, or its share by
+context and its share by target, is found in one visit to a bucket. Scoring deals each batch's
+tokens into the same buckets and adds up one array of partial sums for each batch and bucket;
+nothing is emitted a token, frequent words and pairs are answered on the spot.
+
+Defined results: null and empty texts are one end token; with nothing to train on the end and the
+unseen words share evenly; null ids count as an empty text for the fold; repeated rows repeat; an
+empty table gives an empty one; extra columns are ignored. Two of n words share a hash with
+probability n^2 / 2^65. Memory is a batch of text, or a bucket: their number follows the words.
 """
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass
 from itertools import chain, islice
 
@@ -35,17 +38,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townsheet.llm.anchors import _planes, _unplaned
-from townsheet.llm.common import forget, partitions, saved, small_batches
+from townsheet.llm.common import partitions, pieces, saved, small_batches
 
-#: Classes besides rest (0) and end (1); pairs of classes fit 32 bits.
-VOCABULARY, REST, END = 65_534, 0, 1
+#: Words and pairs answered from what is sent to all tasks; number of the end (words follow).
+COMMON, HOT, END = 65_534, 300_000, 1
 KNEE = 5  # counts above it are not discounted
-TEXT_PIECE, WORDS, KEEP, HELD = 4_000_000, 300_000, 80_000, 3_000_000
+WORDS, KEEP, HELD = 300_000, 80_000, 3_000_000
+#: Training words that a bucket is made for.
+BUCKET_WORDS = 4_000_000
+RARE = np.uint64(1 << 63)
 
 
 class Words(dict):
-    """Class of a common word, else the hash of the word (bit 63 set); bounded."""
+    """Number of a common word, else the hash of the word (bit 63 set); bounded."""
 
     def __init__(self, classes: dict[int, int]):
         self.classes = classes
@@ -65,14 +70,37 @@ class Words(dict):
 
 def word_lists(batch: pa.RecordBatch):
     """(start, word lists) of slices of a batch with some MB of text."""
-    texts, at = batch.column("text").to_pylist(), 0
-    while at < len(texts):
-        upto, size = at, 0
-        while upto < len(texts) and (upto == at or size < TEXT_PIECE):
-            size += len(texts[upto] or "")
-            upto += 1
-        yield at, [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts[at:upto]]
-        at = upto
+    for at, texts in pieces(batch.column("text")):
+        yield at, [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts.to_pylist()]
+
+
+def _packed(arrays: list[np.ndarray]) -> bytes:
+    """Arrays one after the other; unsigned ones in as few bytes as hold them."""
+    out = []
+    for a in arrays:
+        if a.dtype.kind in "iu" and a.dtype.itemsize > 1 and (not len(a) or a.min() >= 0):
+            top = int(a.max()) if len(a) else 0
+            a = a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8")
+        out.append(a)
+    head = struct.pack("<B", len(out)) + b"".join(struct.pack("<2sI", a.dtype.str[1:].encode(), len(a)) for a in out)
+    return head + b"".join(a.tobytes() for a in out)
+
+
+def _opened(data: bytes) -> list[np.ndarray]:
+    out, at = [], 1 + 6 * data[0]
+    for k in range(data[0]):
+        kind, n = struct.unpack_from("<2sI", data, 1 + 6 * k)
+        stored = np.frombuffer(data, "<" + kind.decode(), n, at)
+        at += stored.nbytes
+        out.append(stored.astype(np.uint64) if stored.dtype.kind == "u" else stored)
+    return out
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+
+
+PACKED = "bucket int, payload binary"
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,24 +156,34 @@ def discounted(counts: np.ndarray, d: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    classes: dict[int, int]  # word hash to class
-    counts: np.ndarray  # training count by class (rest: 0)
+    classes: dict[int, int]  # hash of a common word to its number
+    counts: np.ndarray  # training count by number
     tokens: int
     types: int
-    p1: np.ndarray  # unigram probability by class
+    p1: np.ndarray  # unigram probability by number
     word_d: np.ndarray  # discounts of words
     word_total: float  # what discounted word counts are divided by
     unseen: float  # probability of all unseen words together
     pair_d: np.ndarray
-    divisor: np.ndarray  # by context; 0: never a context
-    backoff: np.ndarray  # weight by context
+    divisor: np.ndarray  # by context number; 0: never a context
+    backoff: np.ndarray  # weight by context number
+    hot: np.ndarray  # keys of the commonest pairs, ascending
+    hot_n: np.ndarray
     buckets: int
-    unigrams: DataFrame
-    bigrams: DataFrame
+    tables: DataFrame  # counts by bucket
+    contexts: DataFrame  # weights of rare contexts by bucket
 
     def light(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if not isinstance(v, DataFrame)}
 
+    def word_p(self, c: np.ndarray) -> np.ndarray:
+        return word_p(self.light(), c)
+
+
+def word_p(m: dict, c: np.ndarray) -> np.ndarray:
+    """Unigram probability of words by count."""
+    return np.where(c > 0, discounted(np.maximum(c, 1), m["word_d"]) / m["word_total"], m["unseen"])
+
 
 def bucket_of_pairs(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
@@ -155,14 +193,41 @@ def bucket_of_words(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes.view(np.int64) % buckets).astype(np.int64)
 
 
-def pairs_of(values: np.ndarray, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (context << 16 | class) of all tokens of texts, ends included, and each text's tokens."""
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits for a pair with a rare word."""
+    with np.errstate(over="ignore"):
+        h = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        return h ^ (h >> np.uint64(33))
+
+
+def tokens_of(values: np.ndarray, lists: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context and token of every token of texts, ends included, and each text's tokens."""
     sizes = np.array([len(x) + 1 for x in lists])
-    now = np.full(int(sizes.sum()), END, np.uint32)
-    ends = np.zeros(len(now), bool)
-    ends[np.cumsum(sizes) - 1] = True
-    now[~ends] = np.where(values >> np.uint64(63), REST, values).astype(np.uint32)
-    return np.r_[np.uint32(END), now[:-1]] << np.uint32(16) | now, sizes
+    now = np.full(int(sizes.sum()), END, np.uint64)
+    inner = np.ones(len(now), bool)
+    inner[np.cumsum(sizes) - 1] = False
+    now[inner] = values
+    return np.r_[np.uint64(END), now[:-1]], now, sizes
+
+
+#: Kinds of pairs: both common; rare context; rare token; both rare, by context and by token.
+KINDS = range(5)
+
+
+def split_kinds(a: np.ndarray, b: np.ndarray, buckets: int):
+    """(kind, places, bucket of each, arrays that name each pair) for the kinds in turn.
+
+    Kinds 1 and 2 name the rare word by hash and the other by number, 3 and 4 both by hash.
+    """
+    ra, rb = a >= RARE, b >= RARE
+    both, one, other, two = np.flatnonzero(~ra & ~rb), np.flatnonzero(ra & ~rb), np.flatnonzero(~ra & rb), np.flatnonzero(ra & rb)
+    key = (a[both] << np.uint64(16) | b[both]).astype(np.uint32)
+    yield 0, both, bucket_of_pairs(key, buckets), [key]
+    yield 1, one, bucket_of_words(a[one], buckets), [a[one], b[one]]
+    yield 2, other, bucket_of_words(b[other], buckets), [b[other], a[other]]
+    yield 3, two, bucket_of_words(a[two], buckets), [a[two], b[two]]
+    yield 4, two, bucket_of_words(b[two], buckets), [b[two], a[two]]
 
 
 def _split(bucket: np.ndarray, *arrays: np.ndarray):
@@ -172,43 +237,87 @@ def _split(bucket: np.ndarray, *arrays: np.ndarray):
         yield int(bucket[some[0]]), *(a[some] for a in arrays)
 
 
-def count_pairs(train: DataFrame, classes, buckets: int) -> DataFrame:
-    """bucket and payload (count, keys as gaps, counts): all distinct class pairs, one row a bucket."""
+def _counted(names: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct pairs with their summed counts and keys, by ascending key."""
+    key = names[0].astype(np.uint64) if len(names) == 1 else mixed(names[0].astype(np.uint64), names[1].astype(np.uint64))
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.r_[len(key) > 0, key[order][1:] != key[order][:-1]])
+    return [x[order[starts]] for x in names], np.add.reduceat(n[order], starts) if len(starts) else n[:0], key[order[starts]]
+
+
+def _sections(pairs: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """names and counts of the five kinds, flat: one array of names for kind 0, two for the others."""
+    return [x for k in KINDS for x in pairs[k]]
 
-    def packed(k: np.ndarray, n: np.ndarray) -> bytes:
-        return np.array([len(k)], "<u4").tobytes() + _planes(np.diff(k.astype(np.int64), prepend=0)) + _planes(n)
+
+def _kinds(flat: list[np.ndarray]) -> list[list[np.ndarray]]:
+    return [flat[:2], *(flat[2 + 3 * k : 5 + 3 * k] for k in range(4))]
+
+
+def count_pairs(train: DataFrame, classes, buckets: int) -> DataFrame:
+    """Counts of all pairs as rows (bucket, payload), summed over some million tokens each."""
+    nothing = [np.empty(0, np.uint32), np.empty(0, np.int64)], *([np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64)] for _ in range(4))
 
     def run(batches):
-        words, keys, counts, held = Words(classes.value), [], [], 0
+        words, held, size = Words(classes.value), [[] for _ in KINDS], 0
 
         def flush():
-            k, n = _summed(keys, counts)
-            rows = [(b, packed(kk, nn)) for b, kk, nn in _split(bucket_of_pairs(k, buckets), k, n)]
-            return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
+            by_bucket: dict[int, list] = {}
+            for kind in KINDS:
+                joined = [np.concatenate(x) for x in zip(*held[kind])]
+                names, n, _ = _counted(joined[:-1], joined[-1])
+                where = bucket_of_pairs(names[0], buckets) if kind == 0 else bucket_of_words(names[0], buckets)
+                for b, *some in _split(where, *names, n):
+                    by_bucket.setdefault(b, list(nothing))[kind] = some
+            return _rows([(b, _packed(_sections(x))) for b, x in by_bucket.items()])
 
         for batch in batches:
             for _, lists in word_lists(batch):
-                k, n = np.unique(pairs_of(words.of(lists), lists)[0], return_counts=True)
-                keys.append(k)
-                counts.append(n)
-                held += len(k)
-                if held > HELD:
+                a, b, _ = tokens_of(words.of(lists), lists)
+                for kind, places, _, names in split_kinds(a, b, buckets):
+                    names, n, _ = _counted(names, np.ones(len(places), np.int64))
+                    held[kind].append((*names, n))
+                    size += len(n)
+                if size > HELD:
                     yield flush()
-                    keys, counts, held = [], [], 0
-        if held:
+                    held, size = [[] for _ in KINDS], 0
+        if size:
             yield flush()
 
-    def merge(table: pa.Table) -> pa.Table:
-        parts = [opened_pairs(x.as_py()) for x in table.column("payload")]
-        k, n = _summed([p[0] for p in parts], [p[1] for p in parts])
-        return pa.table({"bucket": table.column("bucket").slice(0, 1), "payload": pa.array([packed(k, n)], pa.binary())})
+    return train.select("text").mapInArrow(run, PACKED)
+
+
+def rare_words(words: DataFrame, classes, buckets: int) -> DataFrame:
+    """Words that have no number, as packed rows (bucket, hashes and counts)."""
+
+    def run(batches):
+        for batch in batches:
+            h, n, b = (batch.column(i).to_numpy() for i in range(3))
+            some = np.fromiter((x not in classes.value for x in h.view(np.uint64).tolist()), bool, len(h))
+            yield _rows([(bucket, _packed([hh.view(np.uint64), nn])) for bucket, hh, nn in _split(b[some].astype(np.int64), h[some], n[some])])
+
+    keyed = words.select("h", "n", F.pmod("h", F.lit(buckets)).cast("int").alias("bucket"))
+    return keyed.repartition(buckets, "bucket").mapInArrow(run, PACKED)
+
 
-    return train.select("text").mapInArrow(run, "bucket int, payload binary").groupBy("bucket").applyInArrow(merge, "bucket int, payload binary")
+def table(pairs: DataFrame, words: DataFrame) -> DataFrame:
+    """One row a bucket: names and counts of its pairs by kind, then hashes (ascending) and counts of its rare words."""
 
+    def merge(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket = (left if len(left) else right).column("bucket")[0].as_py()
+        parts = [_kinds(_opened(x.as_py())) for x in left.column("payload")]
+        out = []
+        for kind in KINDS:
+            width = 1 if kind == 0 else 2
+            joined = [np.concatenate([p[kind][i] for p in parts]) if parts else np.empty(0, np.uint64) for i in range(width + 1)]
+            names, n, _ = _counted(joined[:-1], joined[-1].astype(np.int64))
+            out += [*names, n]
+        own = [_opened(x.as_py()) for x in right.column("payload")]
+        h, n = (np.concatenate([o[i] for o in own]) if own else np.empty(0, np.uint64) for i in range(2))
+        order = np.argsort(h)
+        return pa.Table.from_batches([_rows([(bucket, _packed([*out, h[order], n[order]]))])])
 
-def opened_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    return np.cumsum(_unplaned(data, n, 4)), _unplaned(data, n, 4 + 4 * n)
+    return pairs.groupBy("bucket").cogroup(words.groupBy("bucket")).applyInArrow(merge, PACKED)
 
 
 def commonest(words: DataFrame, most: int) -> list:
@@ -229,64 +338,116 @@ def commonest(words: DataFrame, most: int) -> list:
     return sorted(binned.where(F.col("bin") >= least).select("h", "n").collect(), key=lambda r: (-r.n, r.h))
 
 
-def fit(train: DataFrame, vocabulary: int = VOCABULARY) -> Model:
+def fit(train: DataFrame, common: int = COMMON, hot: int = HOT) -> Model:
     spark = train.sparkSession
     small_batches(spark)
-    buckets = partitions(spark)
     words = saved(unigrams(train), "unigrams")
     texts = train.count()
     n_words, types = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    buckets = max(partitions(spark), n_words // BUCKET_WORDS)
     of = {int(r.n): int(r["count"]) for r in words.where(F.col("n") <= KNEE + 1).groupBy("n").count().collect()}
-    top = commonest(words, vocabulary)
+    top = commonest(words, common)
     classes = {int(r.h) & (1 << 64) - 1: i + 2 for i, r in enumerate(top)}
     counts = np.zeros(len(top) + 2, np.int64)
     counts[2:] = [r.n for r in top]
     counts[END] = texts
     tokens, types = n_words + texts, types + (texts > 0)
 
-    # words: discounted counts, and what is freed goes to unseen words
+    # words: discounted counts, and what is freed goes to unseen words; the end is no word and kept whole
     word_d = discounts(of)
     low = sum(n * r for r, n in of.items() if r <= KNEE)
-    kept = sum(n * r * word_d[r] for r, n in of.items() if r <= KNEE) + (tokens - low)  # the end is kept whole
+    kept = sum(n * r * word_d[r] for r, n in of.items() if r <= KNEE) + (tokens - low)
     total = float(tokens) if tokens - kept > 1e-9 * max(tokens, 1) else tokens + 0.5
-    p1 = discounted(counts, word_d) / total if tokens else np.where(np.arange(len(counts)) == END, 0.5, 0.0)
-    if tokens:
-        p1[END] = texts / total  # the end is no word: never discounted
-    p1[REST] = max(1.0 - p1[1:].sum(), 1e-300)
+    p1 = discounted(counts, word_d) / total
+    p1[END] = texts / total if tokens else 0.5
     unseen = 1.0 - kept / total if tokens else 0.5
+    weigh = {"word_d": word_d, "word_total": total, "unseen": unseen}
 
     sent = spark.sparkContext.broadcast(classes)
-    pairs = saved(count_pairs(train, sent, buckets), "bigrams")
+    tables = saved(table(count_pairs(train, sent, buckets), rare_words(words, sent, buckets)), "bigrams")
     size = len(counts)
 
     def ranks(batches):
-        out = np.zeros(KNEE + 2, np.int64)
+        """How many pairs occur so often: by count up to KNEE + 1, and by bin for pairs of common words."""
+        out, bins = np.zeros(KNEE + 2, np.int64), np.zeros(64 * 64, np.int64)
         for batch in batches:
             for x in batch.column("payload"):
-                n = opened_pairs(x.as_py())[1]
-                out += np.bincount(n[n <= KNEE + 1], minlength=KNEE + 2)
-        yield pa.RecordBatch.from_pydict({"r": pa.array(range(KNEE + 2)), "n": pa.array(out)})
+                pairs = _kinds(_opened(x.as_py())[:14])
+                for kind in range(4):  # the fifth repeats the fourth
+                    n = pairs[kind][-1].astype(np.int64)
+                    out += np.bincount(n[n <= KNEE + 1], minlength=KNEE + 2)
+                bins += np.bincount(_bins(pairs[0][-1].astype(np.int64)), minlength=len(bins))
+        used = np.flatnonzero(bins)
+        r, n = np.r_[np.arange(KNEE + 2), used + 1000], np.r_[out, bins[used]]
+        yield pa.RecordBatch.from_pydict({"r": pa.array(r), "n": pa.array(n)})
+
+    pair_of = {int(r.r): int(r.n) for r in tables.select("payload").mapInArrow(ranks, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()}
+    pair_d = discounts({r: n for r, n in pair_of.items() if r < 1000})
+    least, met = 1 << 30, 0
+    for r in sorted((r for r in pair_of if r >= 1000), reverse=True):
+        met += pair_of[r]
+        if met > hot:
+            break
+        least = r - 1000
 
-    pair_of = {int(r.r): int(r.n) for r in pairs.select("payload").mapInArrow(ranks, "r long, n long").groupBy("r").agg(F.sum("n").alias("n")).collect()}
-    pair_d = discounts(pair_of)
+    def hot_pairs(batches):
+        for batch in batches:
+            found = [_opened(x.as_py())[:2] for x in batch.column("payload")]
+            for k, n in found:
+                some = _bins(n) >= least
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k[some].astype(np.int64)), "n": pa.array(n[some].astype(np.int64))})
 
-    def contexts(batches):
+    def common_contexts(batches):
         sums = np.zeros((3, size))
         for batch in batches:
             for x in batch.column("payload"):
-                k, n = opened_pairs(x.as_py())
-                for i, w in enumerate((n, discounted(n, pair_d), p1[k & 0xFFFF])):
-                    sums[i] += np.bincount(k >> 16, weights=w, minlength=size)
+                flat = _opened(x.as_py())
+                pairs = _kinds(flat[:14])
+                k, n = (x.astype(np.int64) for x in pairs[0])
+                b, a, m = pairs[2]
+                p = word_p(weigh, _found(flat[14], flat[15], b))
+                for context, n, p in ((k >> 16, n, p1[k & 0xFFFF]), (a.astype(np.int64), m.astype(np.int64), p)):
+                    for i, w in enumerate((n, discounted(n, pair_d), p)):
+                        sums[i] += np.bincount(context, weights=w, minlength=size)
         used = np.flatnonzero(sums[0])
         yield pa.RecordBatch.from_pydict({"context": pa.array(used), **{c: pa.array(sums[i][used]) for i, c in enumerate("cdp")}})
 
-    # one row a context at most: bounded by the vocabulary
-    found = pairs.select("payload").mapInArrow(contexts, "context long, c double, d double, p double").groupBy("context").agg(*[F.sum(c).alias(c) for c in "cdp"]).collect()
+    def rare_contexts(batches):
+        """Sums of rare contexts by their bucket; targets that are rare too add their share from theirs."""
+        for batch in batches:
+            for bucket, x in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+                flat = _opened(x.as_py())
+                _, one, _, by_context, by_token = _kinds(flat[:14])
+                a = np.concatenate([one[0], by_context[0]])
+                n = np.concatenate([one[2], by_context[2]]).astype(np.int64)
+                yield _rows([(bucket, _packed([a, n.astype(float), discounted(n, pair_d), np.r_[p1[one[1].astype(np.int64)], np.zeros(len(by_context[0]))]]))])
+                b, a = by_token[:2]
+                p, none = word_p(weigh, _found(flat[14], flat[15], b)), np.zeros(len(a))
+                yield _rows([(to, _packed([aa, zero, zero, pp])) for to, aa, pp, zero in _split(bucket_of_words(a, buckets), a, p, none)])
+
+    def weights(rows: pa.Table) -> pa.Table:
+        """Hashes of a bucket's contexts, ascending, with divisor and backoff weight."""
+        a, *sums = (np.concatenate(x) for x in zip(*(_opened(x.as_py()) for x in rows.column("payload"))))
+        order = np.argsort(a, kind="stable")
+        starts = np.flatnonzero(np.r_[len(a) > 0, a[order][1:] != a[order][:-1]])
+        c, d, p = (np.add.reduceat(x[order], starts) if len(starts) else x[:0] for x in sums)
+        pairs = np.array([context_weights(*x) for x in zip(c.tolist(), d.tolist(), (1.0 - p).tolist())]).reshape(-1, 2)
+        return pa.Table.from_batches([_rows([(rows.column("bucket")[0].as_py(), _packed([a[order[starts]], pairs[:, 0].copy(), pairs[:, 1].copy()]))])])
+
+    # both are bounded by COMMON and HOT
+    found = tables.select("payload").mapInArrow(common_contexts, "context long, c double, d double, p double").groupBy("context").agg(*[F.sum(c).alias(c) for c in "cdp"]).collect()
     divisor, backoff = np.zeros(size), np.ones(size)
     for r in found:
-        free_p = 1.0 - r.p
-        divisor[r.context], backoff[r.context] = context_weights(r.c, r.d, free_p)
-    return Model(classes, counts, tokens, types, p1, word_d, total, unseen, pair_d, divisor, backoff, buckets, words, pairs)
+        divisor[r.context], backoff[r.context] = context_weights(r.c, r.d, 1.0 - r.p)
+    often = sorted((r.k, r.n) for r in tables.select("payload").mapInArrow(hot_pairs, "k long, n long").collect())
+    hot_k, hot_n = np.array(often, np.int64).reshape(-1, 2).T
+    contexts = saved(tables.mapInArrow(rare_contexts, PACKED).groupBy("bucket").applyInArrow(weights, PACKED), "contexts")
+    return Model(classes, counts, tokens, types, p1, word_d, total, unseen, pair_d, divisor, backoff, hot_k.copy(), hot_n.copy(), buckets, tables, contexts)
+
+
+def _bins(n: np.ndarray) -> np.ndarray:
+    """Bins of like counts: 64 to a power of two."""
+    return np.floor(np.log2(np.maximum(n, 1)) * 64).astype(np.int64)
 
 
 def context_weights(c: float, d: float, free_p: float) -> tuple[float, float]:
@@ -307,33 +468,44 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def base_of(m, c):
         return np.log10((c + 0.5) / (m["tokens"] + 0.5 * (m["types"] + 1)))
 
+    def logs(m):
+        with np.errstate(divide="ignore"):
+            return {k: np.log10(m[k]) for k in ("p1", "backoff", "divisor", "pair_d")}
+
+    def seen_part(log, c):
+        return np.log10(np.maximum(c, 1)) + np.where(c <= KNEE, log["pair_d"][np.minimum(c, KNEE)], 0.0)
+
     def deal(batches):
         """Rows (batch, bucket, payload); bucket -1 - x holds a batch's ids and what is known at once."""
         m = sent.value
-        words, hot_base = Words(m["classes"]), base_of(m, m["counts"])
+        words, log, common_base = Words(m["classes"]), logs(m), base_of(m, m["counts"])
         part, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             all_ids = batch.column("doc_id")
             for at, lists in word_lists(batch):
-                values = words.of(lists)
-                keys, sizes = pairs_of(values, lists)
-                doc = np.repeat(np.arange(len(lists)), sizes)
-                now = keys & np.uint32(0xFFFF)
-                common = now != REST
-                base = np.bincount(doc[common], hot_base[now[common]], len(lists))
-                known = np.bincount(doc[common], m["counts"][now[common]] > 0, len(lists))
-                rows = []
-                ids = np.array([i or 0 for i in all_ids[at : at + len(lists)].to_pylist()], "<i8")
-                nulls = np.array([i is None for i in all_ids[at : at + len(lists)].to_pylist()], "<i8")
-                rows.append((-1 - (part * 1009 + number) % buckets, b"".join(a.astype("<f8").tobytes() if a.dtype == np.float64 else a.astype("<i8").tobytes() for a in (ids, nulls, sizes, known.astype(np.int64), base))))
-                rest = values[values >> np.uint64(63) > 0]
-                rest_doc = doc[now == REST]
-                by_bucket: dict[int, list[bytes]] = {}
-                for b, d, k in _split(bucket_of_pairs(keys, buckets), doc, keys):
-                    by_bucket[b] = [_planes(np.bincount(d, minlength=len(lists))) + k.astype("<u4").tobytes(), b""]
-                for b, d, h in _split(bucket_of_words(rest, buckets), rest_doc, rest):
-                    by_bucket.setdefault(b, [b"", b""])[1] = _planes(np.bincount(d, minlength=len(lists))) + h.tobytes()
-                rows += [(b, np.array([len(lists), len(x), len(y)], "<u4").tobytes() + x + y) for b, (x, y) in by_bucket.items()]
+                a, b, sizes = tokens_of(words.of(lists), lists)
+                n = len(lists)
+                doc = np.repeat(np.arange(n), sizes)
+                common = b < RARE
+                numbers = b[common].astype(np.int64)
+                base = np.bincount(doc[common], common_base[numbers], n)
+                known = np.bincount(doc[common], m["counts"][numbers] > 0, n)
+                total = np.zeros(n)
+                by_bucket: dict[int, list] = {}
+                for kind, places, where, names in split_kinds(a, b, buckets):
+                    if kind == 0:  # the commonest pairs are answered here
+                        key = names[0].astype(np.int64)
+                        c = _found(m["hot"], m["hot_n"], key)
+                        hit = c > 0
+                        total += np.bincount(doc[places[hit]], seen_part(log, c[hit]) - log["divisor"][key[hit] >> 16], n)
+                        places, where, names = places[~hit], where[~hit], [names[0][~hit]]
+                    for to, d, *some in _split(where, doc[places], *names):
+                        by_bucket.setdefault(to, [[]] * 5)
+                        by_bucket[to][kind] = [np.bincount(d, minlength=n), *some]
+                ids = all_ids[at : at + n].to_pylist()
+                head = [np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "<i8"), sizes.astype("<i8"), known.astype("<i8"), base, total]
+                rows = [(-1 - (part * 1009 + number) % buckets, b"".join(x.tobytes() for x in head))]
+                rows += [(to, struct.pack("<IB", n, sum((len(x) > 0) << k for k, x in enumerate(found))) + _packed([x for f in found for x in f])) for to, found in by_bucket.items()]
                 name = f"{part}-{number}"
                 number += 1
                 yield pa.RecordBatch.from_pydict({"batch": pa.array([name] * len(rows)), "bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
@@ -341,74 +513,84 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
         """Partial sums (known, base, score) of each batch from one bucket's tables."""
         m = sent.value
-        tables = {k: [x for x, kk in zip(right.column("payload"), right.column("kind").to_pylist()) if kk == k] for k in (0, 1)}
-        pair_keys, pair_counts = opened_pairs(tables[0][0].as_py()) if tables[0] else (np.empty(0, np.int64), np.empty(0, np.int64))
-        words = [np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in tables[1]]
-        words = np.concatenate(words) if words else np.empty((0, 2), np.int64)
-        words = words[np.argsort(words[:, 0], kind="stable")]
-        with np.errstate(divide="ignore"):
-            log_p1, log_backoff, log_divisor, log_d = np.log10(m["p1"]), np.log10(m["backoff"]), np.log10(m["divisor"]), np.log10(m["pair_d"])
+        log = logs(m)
+        stored = {k: [x.as_py() for x, kk in zip(right.column("payload"), right.column("kind").to_pylist()) if kk == k] for k in (0, 1)}
+        empty = [np.empty(0, np.uint64)] * 16
+        flat = _opened(stored[0][0]) if stored[0] else empty
+        pairs, rare, rare_n = _kinds(flat[:14]), flat[14], flat[15]
+        keys = [pairs[0][0], *(mixed(p[0], p[1]) for p in pairs[1:])]  # ascending, as merged
+        ctx, ctx_divisor, ctx_backoff = _opened(stored[1][0]) if stored[1] else empty[:3]
+        ctx_log = np.log10(ctx_divisor.astype(float)), np.log10(ctx_backoff.astype(float))
+
+        def context(h):
+            """Logarithms of divisor and backoff weight; a word that is no context leaves all to unigrams."""
+            at, there = _places(ctx, h)
+            return (np.where(there, x[at] if len(ctx) else 0.0, 0.0) for x in ctx_log)
+
         out = []
         for name, bucket, payload in zip(left.column("batch").to_pylist(), left.column("bucket").to_pylist(), left.column("payload")):
             data = payload.as_py()
             if bucket < 0:
                 out.append((name, True, data))
                 continue
-            n, a, b = np.frombuffer(data, "<u4", 3).tolist()
+            n, kinds = struct.unpack_from("<IB", data)
+            arrays = iter(_opened(data[5:]))
             known, base, total = np.zeros(n), np.zeros(n), np.zeros(n)
-            if a:
-                doc = np.repeat(np.arange(n), _unplaned(data, n, 12))
-                keys = np.frombuffer(data, "<u4", len(doc), 12 + 4 * n).astype(np.int64)
-                c = _found(pair_keys, pair_counts, keys)
-                context, now = keys >> 16, keys & 0xFFFF
-                seen = np.log10(np.maximum(c, 1)) + np.where(c <= KNEE, log_d[np.minimum(c, KNEE)], 0.0) - log_divisor[context]
-                total += np.bincount(doc, np.where(c > 0, seen, log_backoff[context] + log_p1[now]), n)
-            if b:
-                doc = np.repeat(np.arange(n), _unplaned(data, n, 12 + a))
-                c = _found(words[:, 0], words[:, 1], np.frombuffer(data, "<i8", len(doc), 12 + a + 4 * n))
-                known += np.bincount(doc, c > 0, n)
-                base += np.bincount(doc, base_of(m, c), n)
-                share = np.where(c > 0, discounted(np.maximum(c, 1), m["word_d"]) / m["word_total"], m["unseen"])
-                total += np.bincount(doc, np.log10(np.maximum(share, 1e-300)) - log_p1[REST], n)
+            for kind in KINDS:
+                if not kinds >> kind & 1:
+                    continue
+                doc = np.repeat(np.arange(n), next(arrays).astype(np.int64))
+                names = [next(arrays) for _ in range(1 if kind == 0 else 2)]
+                c = _found(keys[kind], pairs[kind][-1], names[0] if kind == 0 else mixed(*names))
+                seen, part = c > 0, seen_part(log, c)
+                if kind in (2, 4):
+                    count = _found(rare, rare_n, names[0])
+                    known += np.bincount(doc, count > 0, n)
+                    base += np.bincount(doc, base_of(m, count), n)
+                    target = np.log10(word_p(m, count))
+                if kind == 0:
+                    before, now = (names[0] >> np.uint64(16)).astype(np.int64), (names[0] & np.uint64(0xFFFF)).astype(np.int64)
+                    part = np.where(seen, part - log["divisor"][before], log["backoff"][before] + log["p1"][now])
+                elif kind == 1:
+                    divisor, backoff = context(names[0])
+                    part = np.where(seen, part - divisor, backoff + log["p1"][names[1].astype(np.int64)])
+                elif kind == 2:
+                    before = names[1].astype(np.int64)
+                    part = np.where(seen, part - log["divisor"][before], log["backoff"][before] + target)
+                elif kind == 3:
+                    divisor, backoff = context(names[0])
+                    part = np.where(seen, part - divisor, backoff)
+                else:
+                    part = np.where(seen, 0.0, target)
+                total += np.bincount(doc, part, n)
             out.append((name, False, np.stack([known, base, total]).astype("<f8").tobytes()))
         return pa.table({"batch": pa.array([o[0] for o in out], pa.string()), "main": pa.array([o[1] for o in out], pa.bool_()), "sums": pa.array([o[2] for o in out], pa.binary())})
 
-    def finish(table: pa.Table) -> pa.Table:
-        main = next(x.as_py() for x, k in zip(table.column("sums"), table.column("main").to_pylist()) if k)
-        n = len(main) // 40
+    def finish(rows: pa.Table) -> pa.Table:
+        main = next(x.as_py() for x, k in zip(rows.column("sums"), rows.column("main").to_pylist()) if k)
+        n = len(main) // 48
         ids, nulls, sizes, known = np.frombuffer(main, "<i8", 4 * n).reshape(4, n)
-        base = np.frombuffer(main, "<f8", n, 32 * n).copy()
+        base, total = np.frombuffer(main, "<f8", 2 * n, 32 * n).reshape(2, n)
         # added in one order whatever order the rows came in
-        sums = sorted(x.as_py() for x, k in zip(table.column("sums"), table.column("main").to_pylist()) if not k)
+        sums = sorted(x.as_py() for x, k in zip(rows.column("sums"), rows.column("main").to_pylist()) if not k)
         more = np.sum([np.frombuffer(x, "<f8").reshape(3, n) for x in sums], axis=0) if sums else np.zeros((3, n))
-        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known + np.rint(more[0]).astype(np.int64)), "base_score": pa.array(base + more[1]), "score": pa.array(more[2])})
+        return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known + np.rint(more[0]).astype(np.int64)), "base_score": pa.array(base + more[1]), "score": pa.array(total + more[2])})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "batch string, bucket int, payload binary")
-    rest = model.unigrams.withColumn("bucket", F.pmod("h", F.lit(buckets)).cast("int"))
-    tables = model.bigrams.select("bucket", F.lit(0).alias("kind"), "payload").unionByName(rest_words(rest, sent))
-    found = dealt.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(look_up, "batch string, main boolean, sums binary")
+    stored = model.tables.select("bucket", F.lit(0).alias("kind"), "payload").unionByName(model.contexts.select("bucket", F.lit(1).alias("kind"), "payload"))
+    found = dealt.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInArrow(look_up, "batch string, main boolean, sums binary")
     return found.groupBy("batch").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def rest_words(words: DataFrame, sent) -> DataFrame:
-    """Words that are no class, as packed rows (bucket, kind 1, hash and count)."""
-
-    def run(batches):
-        for batch in batches:
-            h, n, b = (batch.column(i).to_numpy() for i in range(3))
-            some = np.fromiter((x not in sent.value["classes"] for x in h.view(np.uint64).tolist()), bool, len(h))
-            rows = [(bucket, np.stack([hh, nn], 1).astype("<i8").tobytes()) for bucket, hh, nn in _split(b[some].astype(np.int64), h[some], n[some])]
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([1] * len(rows), pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
-
-    return words.select("h", "n", "bucket").repartition("bucket").mapInArrow(run, "bucket int, kind int, payload binary")
-
-
-def _found(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The count of each wanted key, 0 where there is none; keys ascend."""
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is among ascending ones, and whether it is."""
     if not len(keys):
-        return np.zeros(len(wanted), np.int64)
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, counts[at], 0)
+    return at, keys[at] == wanted
 
 
-__all__ = ["Model", "fit", "forget", "score"]
+def _found(keys: np.ndarray, counts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The count of each wanted key, 0 where there is none; keys ascend."""
+    at, there = _places(keys, wanted)
+    return np.where(there, counts[at].astype(np.int64), 0) if len(keys) else np.zeros(len(wanted), np.int64)
