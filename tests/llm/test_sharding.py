@@ -1,7 +1,10 @@
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from helpers import ODD_ROWS, write
 from pyspark.sql import functions as F
 
@@ -45,3 +48,30 @@ def test_weights_and_confinement(spark):
 def test_nothing_to_descend_to():
     with pytest.raises(ValueError):
         sharding.place(F.lit(1), {"r": {"k": {0: 0.0}}})
+
+
+def brute_place(key, tree, path=""):
+    """The descent by plain loops: the child with the smallest -ln(u) / weight, level by level."""
+    if not isinstance(tree, dict):
+        return int(path.rpartition("/")[2])
+    best = None
+    for child, node in tree.items():
+        w = sharding.weight(node)
+        if w <= 0:
+            continue
+        seed = 42 if key is None else xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+        bits = xxhash.xxh64_intdigest(f"{path}/{child}".encode(), seed) >> 12
+        draw = -math.log((bits + 0.5) / 2**52) / w
+        if best is None or draw < best[0]:
+            best = draw, child, node
+    return brute_place(key, best[2], f"{path}/{best[1]}")
+
+
+def test_query_like_brute_force_descent(spark, tmp_path):
+    rows = [(i * 7919 - 3000, "x", "en", "s", 0) for i in range(500)] + [(None, "x", None, None, None)]
+    got = queries.op8_hash_tree_sharding(spark, write(spark, rows, tmp_path)).collect()
+    tree, grown = sharding.base_tree(40), sharding.base_tree(40, extra=1)
+    for r in got:
+        assert (r.shard, r.grown_shard) == (brute_place(r.doc_id, tree), brute_place(r.doc_id, grown))
+    uneven = {"r0": {"k0": {0: 1, 1: 3}, "k1": {2: 4}}, "r1": {"k0": {3: 2, 4: 0.0, 5: 6}}}
+    assert all(s == brute_place(i, uneven) for i, s in placed(spark, uneven, 400).items())

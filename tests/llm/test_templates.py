@@ -3,7 +3,7 @@ import math
 from helpers import ODD_ROWS, write
 from pyspark.sql import functions as F
 
-from townsheet.llm import queries, templates
+from townsheet.llm import common, queries, templates
 
 ITEMS = [
     (0, "Alice buys 3 apples and 12 pears for Bob at 4.50 dollars, then Alice walks 7 km to the old market by the river."),
@@ -42,7 +42,7 @@ def test_query(spark, tmp_path):
 
 
 def test_shuffled_when_too_large_to_broadcast(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(templates, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     assert {r.doc_id for r in run(spark, tmp_path, DOCS) if r.contaminated} == {10, 11, 13, None}
 
 

@@ -18,8 +18,8 @@ a passage in a third of all documents costs as many entries as it has places.
 
 Defined results: null texts and texts under 13 words lose nothing; a null doc_id counts as greater
 than any id; rows with one id do not count against each other; an empty table gives an empty one.
-Extra columns are ignored. Memory is a batch, or a bucket: ``spark.sql.shuffle.partitions`` buckets
-share all windows.
+Extra columns are ignored. Memory is a batch, or a bucket: the number of buckets follows the bytes of
+text. Windows count as equal if 80 bits of two unrelated hashes are.
 """
 
 from __future__ import annotations
@@ -33,19 +33,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import partitions, small_batches
+from townsheet.llm.common import partitions, pieces, small_batches
 
 WINDOW = 13
-TEXT_PIECE, WORDS, KEEP = 4_000_000, 300_000, 60_000
+WORDS, KEEP = 300_000, 60_000
+#: Bytes of text that a bucket is made for.
+BUCKET_BYTES = 64 << 20
 LAST = (1 << 63) - 1
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class _Words(dict):
-    """XXH64 of words, filled as they come and bounded."""
+    """64-bit hashes of words, filled as they come and bounded."""
+
+    def __init__(self, hashed):
+        self.hashed = hashed
 
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = self.hashed(word)
         return value
 
     def of(self, lists: list[list[bytes]], n: int) -> np.ndarray:
@@ -56,7 +61,8 @@ class _Words(dict):
         return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.uint64, n)
 
 
-WORD_HASHES = _Words()
+#: Two functions of words that have nothing in common, for hashes and for their checks.
+WORD_HASHES, CHECK_HASHES = _Words(xxhash.xxh64_intdigest), _Words(xxhash.xxh3_64_intdigest)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -119,14 +125,8 @@ def unpack(data: bytes, hashed: bool = True):
 
 def _pieces(batch: pa.RecordBatch):
     """Slices of a batch with some MB of text, as (start, word lists)."""
-    texts, at = batch.column("text").to_pylist(), 0
-    while at < len(texts):
-        upto, size = at, 0
-        while upto < len(texts) and (upto == at or size < TEXT_PIECE):
-            size += len(texts[upto] or "")
-            upto += 1
-        yield at, [words_of(t) for t in texts[at:upto]]
-        at = upto
+    for at, texts in pieces(batch.column("text")):
+        yield at, [words_of(t) for t in texts.to_pylist()]
 
 
 def _deal(keys, ids, docs, places, hashes, checks, short: bool, buckets: int):
@@ -256,7 +256,7 @@ def extensions(docs: DataFrame, found: DataFrame, window: int, buckets: int) ->
                         doc.append(np.full(len(near), i))
                         place.append(near)
                         hashes.append(rolling(w, window)[near])
-                        checks.append((rolling(w, window, _BASE2)[near] >> np.uint64(48)).astype("<u2"))
+                        checks.append((rolling(CHECK_HASHES.of([words], len(words)), window, _BASE2)[near] >> np.uint64(48)).astype("<u2"))
                 if doc:
                     keys, ids = all_keys[at : at + len(lists)], all_ids[at : at + len(lists)]
                     yield _packed_rows(list(_deal(keys, ids, *map(np.concatenate, (doc, place, hashes, checks)), False, buckets)))
@@ -286,7 +286,8 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (word spans, ends exclusive) by row."""
     spark = docs.sparkSession
     small_batches(spark)
-    n = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(partitions(spark), size // BUCKET_BYTES)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text", F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), F.coalesce("text", F.lit(""))).alias("key"))
     dealt = rows.repartition(n, "key")  # one shuffle of the texts, used by both joins
     found = hits(probes(rows, window, n), window, n)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,8 @@ SPACES = "[\\x20\\x09-\\x0D]"
 
 #: Rows and bytes of an Arrow batch sent to Python, and bytes of text that a task opens at a time.
 BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 1000, 32 << 20, 4 << 20
+#: Bytes of files, compressed, of a table that may be broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,25 +69,52 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list[DataFrame]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch():
+    """Tables saved within are deleted at its end, but for those to keep: for steps that write their result."""
+    made: list[DataFrame] = []
+    _SCRATCH.append(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.pop()
+        forget(*made)
+
+
+def _files(table: DataFrame):
+    """File system and path of a saved table."""
+    spark = table.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(table.saved_path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def sized(table: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """A saved table, or a projection of it, marked for broadcast only if the bytes of its files allow it."""
+    system, where = _files(table if of is None else of)
+    return F.broadcast(table) if system.getContentSummary(where).getLength() <= BROADCAST_BYTES else table
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by :func:`saved` that no later step reads."""
     for table in tables:
-        path = getattr(table, "saved_path", None)
-        if path:
-            jvm = table.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            conf = table.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            where.getFileSystem(conf).delete(where, True)
+        if getattr(table, "saved_path", None):
+            system, where = _files(table)
+            system.delete(where, True)
 
 
 def partitions(spark: SparkSession) -> int:

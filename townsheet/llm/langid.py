@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import saved, small_batches
-from townsheet.llm.templates import sized
+from townsheet.llm.common import saved, sized, small_batches
 
 #: Buckets for 1-grams and 2-grams (exact pairs folded) and for 3-grams.
 WIDTH = 8192

@@ -29,8 +29,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import SPACES, saved, unused
-from townsheet.llm.templates import sized
+from townsheet.llm.common import SPACES, saved, sized, unused
 
 WINDOW = 5
 FEATURES = ("x1", "x2", "x3", "x4")
@@ -178,7 +177,7 @@ def _shrunk(of: DataFrame, params: DataFrame, least_rows: int) -> DataFrame:
     known = saved(known, "mcd")
     out = of
     for level in ("group", "up", "top"):
-        out = out.join(sized(known.select(F.col("group").alias(level), *[F.col(c).alias(f"{level}_{c}") for c in ("rows", *names)])), level, "left")
+        out = out.join(sized(known.select(F.col("group").alias(level), *[F.col(c).alias(f"{level}_{c}") for c in ("rows", *names)]), known), level, "left")
     weight = lambda level: F.least(F.coalesce(F.col(f"{level}_rows"), F.lit(0)) / F.lit(float(least_rows)), F.lit(1.0))
 
     def mixed(c: str) -> Column:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import forget, partitions, saved
+from townsheet.llm.common import partitions, saved
 
 #: region -> rack -> shard -> weight
 Tree = dict[str, dict[str, dict[int, float]]]
@@ -89,5 +89,3 @@ def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:
     out = table.withColumn("part", part).join(offsets, ["part", "shard"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("shift")).cast("long").alias("slot"), "grown_shard")
 
-
-__all__ = ["assign", "base_tree", "forget", "place", "weight"]

@@ -28,13 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import saved, unused
+from townsheet.llm.common import saved, sized, unused
 
 WINDOW, LITERALS, LEAST, SHORTEST = 8, 5, 6, 5
 #: Diagonals that count together: two of these overlapping strips.
 STRIP = 8
-#: Bytes of files, compressed, of a table that may be broadcast.
-BROADCAST_BYTES = 8 << 20
 #: Unit words, by kind: length, mass, volume, time, speed and data, money, share. Fixed values.
 UNITS = (
     "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg gram grams ton tons lb lbs oz pound pounds ml l liter liters litre litres "
@@ -114,14 +112,6 @@ def _item_windows(of: DataFrame) -> DataFrame:
     return kept.select("r", "h", "tid", "ipos", "width", needed.cast("int").alias("needed"))
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """A saved table, marked for broadcast only if the bytes of its files allow it."""
-    jvm, spark = table.sparkSession._jvm, table.sparkSession
-    where = jvm.org.apache.hadoop.fs.Path(table.saved_path)
-    size = where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(where).getLength()
-    return F.broadcast(table) if size <= BROADCAST_BYTES else table
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("text", F.lit(""))).alias("key"))
 
