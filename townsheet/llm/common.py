@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SPACES = "[\\x20\\x09-\\x0D]"
 
 #: Rows and bytes of an Arrow batch sent to Python, and bytes of text that a task opens at a time.
-BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 1000, 32 << 20, 4 << 20
+BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 4000, 16 << 20, 4 << 20
 #: Bytes of files, compressed, of a table that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -33,13 +33,13 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, most)
 
 
-def pieces(texts: pa.Array):
+def pieces(texts: pa.Array, most: int = PIECE_BYTES):
     """(start, slice) of some MB of text each; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
     at = 0
     while at < len(sizes):
         upto, size = at, 0
-        while upto < len(sizes) and (upto == at or size < PIECE_BYTES):
+        while upto < len(sizes) and (upto == at or size < most):
             size += sizes[upto]
             upto += 1
         yield at, texts.slice(at, upto - at)

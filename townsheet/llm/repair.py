@@ -12,9 +12,11 @@ uint32); left and right symbol of each rule; its expansion length; the symbols.
 alphabet's size are its entries, the others rules, which rest on earlier symbols. No rule crosses
 documents, so any document, or any stretch of one (``decode_range``), is expanded by itself.
 
-A round counts all adjacent pairs and replaces non-overlapping occurrences of those that occur twice
-or more, commoner pairs first where they overlap. Rounds go on until no pair occurs twice: there is
-no cap on rounds, on rules or on what a rule expands to.
+A round counts all adjacent pairs and replaces non-overlapping occurrences of those that occur
+``LEAST`` times or more, commoner pairs first where they overlap. Rounds go on until no pair occurs so
+often: there is no cap on rounds, on rules or on what a rule expands to. A rule stores two symbols
+and a length, so one met fewer than four times costs as much as it saves; with ``least`` 2 rounds go
+on until no pair occurs twice.
 
 Defined results: null texts count as empty (only the end id); null ids come first; repeated rows and
 ties of an id are ordered by their text's hash; an empty table has no blocks. Extra columns are
@@ -37,9 +39,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import partitions, pieces, small_batches
+from townsheet.llm.common import PIECE_BYTES, partitions, pieces, small_batches
 
-BLOCK, END, LEAST = 500_000, 1, 2
+BLOCK, END, LEAST = 500_000, 1, 4
 #: Distinct chunks that an encoder remembers, how many of the oldest it keeps when full, chunks in a call.
 CACHE, KEEP, JOINED = 1_200_000, 600_000, 2_000
 
@@ -262,7 +264,7 @@ def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK, end: int = END)
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for at, texts in pieces(batch.column(1)):
+            for at, texts in pieces(batch.column(1), 2 * PIECE_BYTES):
                 flat, sizes = found.encode(texts)
                 ended = np.insert(flat, np.cumsum(sizes), end).astype("<u4")
                 for d, part in zip(doc_ids[at:], np.split(ended, np.cumsum(sizes + 1)[:-1])):
