@@ -78,7 +78,7 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("common, hot, held", [(0, 0, 50), (12, 7, 3_000_000), (65534, 300_000, 3_000_000)])
+@pytest.mark.parametrize("common, hot, held", [(0, 0, 50), (12, 7, 1_000_000), (65534, 300_000, 1_000_000)])
 def test_query_like_brute_force(spark, tmp_path, monkeypatch, common, hot, held):
     """What is answered on the spot and what from tables makes no difference."""
     monkeypatch.setattr(katz.fit, "__defaults__", (common, hot))

@@ -43,7 +43,7 @@ from townsheet.llm.common import partitions, pieces, saved, small_batches
 #: Words and pairs answered from what is sent to all tasks; number of the end (words follow).
 COMMON, HOT, END = 65_534, 300_000, 1
 KNEE = 5  # counts above it are not discounted
-WORDS, KEEP, HELD = 300_000, 80_000, 3_000_000
+WORDS, KEEP, HELD = 300_000, 80_000, 1_000_000
 #: Training words that a bucket is made for.
 BUCKET_WORDS = 4_000_000
 RARE = np.uint64(1 << 63)

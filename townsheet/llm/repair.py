@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from townsheet.llm.common import PIECE_BYTES, partitions, pieces, small_batches
 
-BLOCK, END, LEAST = 500_000, 1, 4
+BLOCK, END, LEAST = 300_000, 1, 4
 #: Distinct chunks that an encoder remembers, how many of the oldest it keeps when full, chunks in a call.
 CACHE, KEEP, JOINED = 1_200_000, 600_000, 2_000
 
