@@ -1,7 +1,9 @@
 """Opening hours as a week mask: seven hex digits from Monday, bits morning 1 to late 8.
 
-The text's rules are parsed into day and band sets and folded in order over an array of seven
-integers, all with array functions. A rule outside the subset makes the whole text unknown (null).
+A rule is cut into tokens of the public opening-hours grammar (days, holidays, clocks, marks, words),
+and each token into a letter that names its class; a rule is understood if its letters have the shape
+days, then times or a word for shut. Rules are folded in order over an array of seven integers, all
+with array functions. A rule of another shape makes the whole text unknown (null).
 """
 
 from __future__ import annotations
@@ -12,61 +14,68 @@ from pyspark.sql import functions as F
 #: (bit, first hour, last hour exclusive) of morning, afternoon, evening, late. Fixed values.
 BANDS = ((1, 0, 12), (2, 12, 17), (4, 17, 21), (8, 21, 24))
 NAMES = ("morning", "afternoon", "evening", "late")
-WEEK = "MoTuWeThFrSaSu"
-_DAY = "(?:Mo|Tu|We|Th|Fr|Sa|Su)"
-_DAYS = rf"^({_DAY}(?:-{_DAY})?(?:\s*,\s*{_DAY}(?:-{_DAY})?)*)\b"
-_TIME = r"^(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})$"
-_HOLIDAY = r"\b(?:PH|SH)\b"
+DAYS, HOLIDAYS, SHUT = ("Mo", "Tu", "We", "Th", "Fr", "Sa", "Su"), ("PH", "SH"), ("off", "closed")
+TOKEN = r"\s*-\s*|[A-Za-z]+|[0-9]+:[0-9]+|,|\S"
+#: Letters: d day, h holiday, t clock, x shut, - and ~ dash (bare, spaced), comma. Days may not have a spaced dash.
+SHAPE = r"^,*(?:[dh],*|d-d,*)*(?:x|t[-~]t(?:,t[-~]t)*),*$"
 
 
-def _index(day: Column) -> Column:
-    return ((F.instr(F.lit(WEEK), day) - 1) / 2).cast("int")
+def _minutes(token: Column) -> Column:
+    """Minutes of a clock from 0:00 to 24:59, else null."""
+    hour, minute = F.substring_index(token, ":", 1), F.substring_index(token, ":", -1)
+    fits = (F.length(hour) <= 2) & (F.length(minute) == 2) & token.contains(":")
+    h, m = hour.try_cast("int"), minute.try_cast("int")
+    return F.when(fits & (h <= 24) & (m <= 59), h * 60 + m)
 
 
-def _day_set(selector: Column) -> Column:
-    """Indexes of 'Mo-We, Fr'; ranges wrap around the week."""
+def _letter(token: Column) -> Column:
+    return (
+        F.when(token.isin(",", "-"), token).when(F.trim(token) == "-", "~").when(token.isin(*DAYS), "d").when(token.isin(*HOLIDAYS), "h")
+        .when(F.lower(token).isin(*SHUT), "x").when(_minutes(token).isNotNull(), "t").otherwise("?")
+    )
 
-    def one(part: Column) -> Column:
-        a, b = _index(F.substring_index(F.trim(part), "-", 1)), _index(F.substring_index(F.trim(part), "-", -1))
-        return F.transform(F.sequence(F.lit(0), F.pmod(b - a, F.lit(7))), lambda k: F.pmod(a + k, F.lit(7)))
 
-    return F.flatten(F.transform(F.split(selector, ","), one))
+def _spread(rule: Column, letter: str, dash: tuple[str, ...], of) -> Column:
+    """of(first, last) for every token of a class, last being the one after its dash or the token itself."""
+    n = F.size(rule["tokens"])
+    at = lambda i: F.get(rule["letters"], i)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (at(i) == letter) & ~F.coalesce(at(i - 1).isin(*dash), F.lit(False)))
+    end = lambda i: F.when(F.coalesce(at(i + 1).isin(*dash), F.lit(False)), i + 2).otherwise(i)
+    return F.transform(starts, lambda i: of(F.get(rule["tokens"], i), F.get(rule["tokens"], end(i))))
 
 
-def _clock(chunk: Column) -> Column:
-    part = lambda i: F.nullif(F.regexp_extract(F.trim(chunk), _TIME, i), F.lit("")).try_cast("int").alias(f"p{i}")
-    return F.struct(*[part(i) for i in (1, 2, 3, 4)])
+def _days(first: Column, last: Column) -> Column:
+    """Indexes from one day to another, around the week."""
+    index = lambda d: F.array_position(F.array(*map(F.lit, DAYS)), d).cast("int") - 1
+    return F.transform(F.sequence(F.lit(0), F.pmod(index(last) - index(first), F.lit(7))), lambda k: F.pmod(index(first) + k, F.lit(7)))
 
 
-def _range(c: Column) -> Column:
-    ok = F.coalesce((c["p1"] <= 24) & (c["p3"] <= 24) & (c["p2"] <= 59) & (c["p4"] <= 59), F.lit(False))
-    return F.struct(ok.alias("ok"), (c["p1"] * 60 + c["p2"]).alias("start"), (c["p3"] * 60 + c["p4"]).alias("end"))
-
-
-def _bits(r: Column) -> Column:
+def _bits(start: Column, end: Column) -> Column:
     """Band bits of a time range today and past midnight; an end at or before the start is tomorrow's."""
-    end = F.when(r["end"] <= r["start"], r["end"] + 1440).otherwise(r["end"])
+    until = F.when(end <= start, end + 1440).otherwise(end)
     bit = lambda cond, b: F.when(cond, F.lit(b)).otherwise(F.lit(0))
-    today = sum((bit((r["start"] < b1 * 60) & (end > b0 * 60), b) for b, b0, b1 in BANDS), F.lit(0))
-    after = sum((bit(end - 1440 > b0 * 60, b) for b, b0, _ in BANDS), F.lit(0))
-    return F.struct(r["ok"].alias("ok"), today.alias("today"), after.alias("after"))
+    today = sum((bit((start < b1 * 60) & (until > b0 * 60), b) for b, b0, b1 in BANDS), F.lit(0))
+    after = sum((bit(until - 1440 > b0 * 60, b) for b, b0, _ in BANDS), F.lit(0))
+    return F.struct(today.alias("today"), after.alias("after"))
 
 
 def _rules(text: Column) -> Column:
     """An array of (days, shut, ok, today, after). Each step reads the fields of the one before, so
     that no expression is copied."""
-    body = lambda t: F.trim(F.regexp_replace(F.trim(F.regexp_replace(t, _HOLIDAY, " ")), "^,+|,+$", ""))
-    a = F.transform(F.split(text, ";"), lambda t: F.struct(t.rlike(_HOLIDAY).alias("holiday"), body(t).alias("body")))
-    b = F.transform(a, lambda r: F.struct(r["holiday"].alias("holiday"), r["body"].alias("body"), F.regexp_extract(r["body"], _DAYS, 1).alias("days")))
-    b = F.filter(b, lambda r: (r["body"] != "") & ~(r["holiday"] & (r["days"] == "")))
-    rest = lambda r: F.trim(F.regexp_replace(F.substr(r["body"], F.length(r["days"]) + 1), "^[ ,]+|[ ,]+$", ""))
-    c = F.transform(b, lambda r: F.struct(F.when(r["days"] == "", F.sequence(F.lit(0), F.lit(6))).otherwise(_day_set(r["days"])).alias("days"), rest(r).alias("rest")))
-    spans = lambda r: F.transform(F.transform(F.transform(F.split(r["rest"], ","), _clock), _range), _bits)
-    d = F.transform(c, lambda r: F.struct(r["days"].alias("days"), F.lower(r["rest"]).alias("low"), spans(r).alias("spans")))
+    cut = F.transform(F.split(text, ";"), lambda t: F.struct(F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0)).alias("tokens")))
+    named = F.transform(cut, lambda r: F.struct(r["tokens"].alias("tokens"), F.transform(r["tokens"], _letter).alias("letters")))
+    shaped = F.transform(named, lambda r: F.struct(r["tokens"].alias("tokens"), r["letters"].alias("letters"), F.array_join(r["letters"], "").alias("shape")))
+    # rules that say nothing, or speak of holidays alone, are passed over
+    telling = F.filter(shaped, lambda r: (F.replace(r["shape"], F.lit(","), F.lit("")) != "") & ~(r["shape"].contains("h") & ~r["shape"].contains("d")))
+    week = F.sequence(F.lit(0), F.lit(6))
+    clocks = lambda a, b: F.struct(_minutes(a).alias("start"), _minutes(b).alias("end"))
+    read = F.transform(telling, lambda r: F.struct(
+        r["shape"].rlike(SHAPE).alias("ok"), r["shape"].contains("x").alias("shut"),
+        F.when(r["shape"].contains("d"), F.flatten(_spread(r, "d", ("-",), _days))).otherwise(week).alias("days"), _spread(r, "t", ("-", "~"), clocks).alias("spans"),
+    ))
+    banded = F.transform(read, lambda r: F.struct(r["ok"].alias("ok"), r["shut"].alias("shut"), r["days"].alias("days"), F.transform(r["spans"], lambda s: _bits(s["start"], s["end"])).alias("spans")))
     bits = lambda r, name: F.aggregate(r["spans"], F.lit(0), lambda acc, s: acc.bitwiseOR(s[name]))
-    shut = lambda r: r["low"].isin("off", "closed")
-    fine = lambda r: shut(r) | (~r["low"].isin("", "open", "unknown") & F.forall(r["spans"], lambda s: s["ok"]))
-    return F.transform(d, lambda r: F.struct(r["days"].alias("days"), shut(r).alias("shut"), fine(r).alias("ok"), bits(r, "today").alias("today"), bits(r, "after").alias("after")))
+    return F.transform(banded, lambda r: F.struct(r["days"].alias("days"), r["shut"].alias("shut"), r["ok"].alias("ok"), bits(r, "today").alias("today"), bits(r, "after").alias("after")))
 
 
 def _apply(week: Column, rule: Column) -> Column:

@@ -42,21 +42,33 @@ def first_match(asks: DataFrame, tries: list[Column], table: DataFrame, key: str
     return tried.join(table.select(F.lower("name").alias("name"), "value"), "name").groupBy(key).agg(F.min_by("value", "pos").alias("value"))
 
 
+#: Characters of a piece by which names are met.
+PIECE = 6
+
+
 def unique_contained(asks: DataFrame, names: DataFrame, key: str = "key") -> DataFrame:
     """The one point whose name contains the asked name or is contained in it, as text.
 
-    Only names of several words take part, and an ask that meets several points has no answer. All
-    pairs are met through a shared word pair: the contained name's first two words, as either side's
-    edges may be cut within a word, are looked up by the inner pair of the longer one where it has
-    one, and by prefix otherwise, so no cross join is needed for whole-word containment.
+    Only names of several words take part, and an ask that meets several points has no answer. A name
+    within another shares every piece of it, so the contained name is sent by its rarest piece of six
+    characters (a name of fewer by itself cut at each length) and met by all pieces of the other.
     """
-    pairs = lambda c: F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda i: F.concat_ws(" ", F.get(c, i), F.get(c, i + 1)))
-    a = asks.select(key, norm(F.col("name")).alias("a")).withColumn("w", F.split("a", " ")).where(F.size("w") >= 2)
-    b = names.select(norm(F.col("name")).alias("b"), "lat", "lon").withColumn("w", F.split("b", " ")).where(F.size("w") >= 2).dropDuplicates(["b", "lat", "lon"])
-    met = a.select(key, "a", F.explode(F.array_distinct(pairs(F.col("w")))).alias("p")).join(b.select("b", "lat", "lon", F.explode(F.array_distinct(pairs(F.col("w")))).alias("p")), "p")
-    hit = met.where(F.col("a").contains(F.col("b")) | F.col("b").contains(F.col("a")))
+    a = asks.select(norm(F.col("name")).alias("a")).where(F.col("a").contains(" ")).distinct()
+    b = names.select(norm(F.col("name")).alias("b"), "lat", "lon").where(F.col("b").contains(" ")).distinct()
+    texts = a.select(F.col("a").alias("t")).union(b.select("b")).distinct()
+    cut = lambda t, n: F.when(F.length(t) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(t) - n + 1), lambda i: F.substr(t, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+    t = F.col("t")
+    pieces = texts.select("t", F.explode(F.when(F.length(t) >= PIECE, cut(t, PIECE)).otherwise(F.array(t))).alias("p"))
+    common = pieces.groupBy("p").agg(F.count("*").alias("n"))
+    sent = pieces.join(common, "p").groupBy("t").agg(F.min(F.struct("n", "p")).alias("s")).select("t", "s.p")
+    # a shorter name is a piece itself: the others are cut at its length too (3 is the least that two words have)
+    short = [cut(t, n) for n in range(3, PIECE)]
+    met = texts.select("t", F.explode(F.concat(cut(t, PIECE), *short, F.array(t))).alias("p")).distinct()
+    pairs = sent.withColumnRenamed("t", "inner").join(met.withColumnRenamed("t", "outer"), "p").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer").distinct()
+    either = pairs.select(F.col("inner").alias("a"), F.col("outer").alias("b")).union(pairs.select("outer", "inner")).distinct()
     point = F.struct(F.round("lat", 6), F.round("lon", 6))
-    return hit.groupBy(key).agg(F.count_distinct(point).alias("n"), F.min(F.struct("lat", "lon")).alias("at")).where("n = 1").select(key, "at.lat", "at.lon")
+    hit = a.join(either, "a").join(b, "b").groupBy("a").agg(F.count_distinct(point).alias("n"), F.min(F.struct("lat", "lon")).alias("at")).where("n = 1")
+    return asks.select(key, norm(F.col("name")).alias("a")).join(hit, "a").select(key, "at.lat", "at.lon")
 
 
 def unplaced(rows: DataFrame, cache: DataFrame) -> DataFrame:

@@ -100,8 +100,8 @@ def options(values: DataFrame, events: DataFrame, value_key: str, event_key: str
 
 
 def random_pick(events: DataFrame, seed: int) -> DataFrame:
-    """One row by seeded hash of its id: repeatable, and a top-one, not a sort."""
-    return events.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(1)
+    """One row by a digest of its id and a seed: repeatable, and a top-one, not a sort."""
+    return events.orderBy(F.md5(F.concat_ws(":", "id", F.lit(str(seed)))), "id").limit(1)
 
 
 def places_open(places: DataFrame, weekday: int | None, bands: list[str], strict: bool) -> DataFrame:
@@ -129,3 +129,24 @@ def stop_search(stops: DataFrame, q: str) -> DataFrame:
         return stops.where((F.lower("route") == q) | name.rlike(f"(?U)\\b\\Q{q}\\E"))
     found = name.contains(q)
     return stops.where(found | F.lower("line").contains(q) if len(q) > 3 else found)
+
+
+PLACE_TEXT = ("name", "kind_label", "neighborhood_name", "borough", "station_name")
+
+
+def places(rows: DataFrame, f: Facets) -> DataFrame:
+    """Places that match: category, area, routes and id of the nearest station, text."""
+    return rows.where(matches(Facets(categories=f.categories, areas=f.areas, routes=f.routes, stations=f.stations, text=f.text), set(rows.columns), PLACE_TEXT))
+
+
+def scoped(events: DataFrame, area: str | None = None, category: str | None = None, venue: str | None = None) -> DataFrame:
+    """Events of one area, category or venue page."""
+    for column, value in (("neighborhood", area), ("category", category), ("venue_id", venue)):
+        events = events.where(F.col(column) == value) if value else events
+    return events
+
+
+def option_search(options: DataFrame, group: str, name: str, q: str) -> DataFrame:
+    """Options whose name holds the text, with the number of those in their group; empty groups are gone."""
+    found = options.where(mentions(q.strip(), name))
+    return found.join(found.groupBy(group).agg(F.count("*").alias("in_group")), group)

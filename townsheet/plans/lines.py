@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,48 +53,40 @@ def edges(patterns: DataFrame) -> DataFrame:
     return follow.where("b is not null").select("route", "a", "b").distinct()
 
 
-def _walk(nodes: dict[str, float], following: dict[str, list[str]]) -> tuple[list[str], int]:
-    """Stops so that followers come later where the schedule allows; edges that close a cycle are counted.
+def running_order(place: dict[str, float], edges: list[tuple[str, str]]) -> tuple[list[str], int]:
+    """Stops of a route, and how many edges run against it.
 
-    Kahn-like orders would interleave branches; an explicit depth-first stack finishes one branch first.
+    An edge counts if its stop lies further on by mean position, so what counts has no cycle. Of the
+    stops whose predecessors are all placed, one that follows the last placed stop goes first, so that
+    a branch is ridden to its end; else the one that lies first.
     """
-    late = lambda s: (-nodes[s], s)
-    entered = {b for bs in following.values() for b in bs}
-    roots = sorted((s for s in nodes if s not in entered), key=late) + sorted(nodes, key=late)
-    done, open_, out, cut = set(), set(), [], 0
-    for root in roots:
-        if root in done or root in open_:
-            continue
-        stack = [(root, iter(sorted(following.get(root, ()), key=late)))]
-        open_.add(root)
-        while stack:
-            stop, rest = stack[-1]
-            follower = next(rest, None)
-            if follower is None:
-                stack.pop()
-                open_.discard(stop)
-                done.add(stop)
-                out.append(stop)
-            elif follower in open_:
-                cut += 1
-            elif follower not in done:
-                open_.add(follower)
-                stack.append((follower, iter(sorted(following.get(follower, ()), key=late))))
-    return out[::-1], cut
+    rank = {s: i for i, s in enumerate(sorted(place, key=lambda s: (place[s], s)))}
+    onward = [(a, b) for a, b in edges if rank[a] < rank[b]]
+    waits, follows = Counter(b for _, b in onward), {}
+    for a, b in onward:
+        follows.setdefault(a, []).append(b)
+    free, out = {s for s in place if not waits[s]}, []
+    while free:
+        near = free.intersection(follows.get(out[-1], ())) if out else ()
+        stop = min(near or free, key=rank.__getitem__)
+        free.remove(stop)
+        out.append(stop)
+        for b in follows.get(stop, ()):
+            waits[b] -= 1
+            if not waits[b]:
+                free.add(b)
+    return out, len(edges) - len(onward)
 
 
 def line_order(patterns: DataFrame) -> DataFrame:
     """route, pos, stop, cut: one running order per route. A route's stops are few; edges come reduced."""
-    nodes = positions(patterns).select("route", F.col("stop").alias("a"), F.lit(None).cast("string").alias("b"), "place")
+    nodes = positions(patterns).select("route", F.col("stop").alias("a"), F.lit(None).cast("string").alias("b"), F.round("place", 9).alias("place"))
     rows = nodes.unionByName(edges(patterns).withColumn("place", F.lit(None).cast("double")))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        nodes = {r.a: r.place for r in pdf[pdf.b.isna()].itertuples()}
-        following: dict[str, list[str]] = {}
-        for r in pdf[pdf.b.notna()].itertuples():
-            following.setdefault(r.a, []).append(r.b)
-        stops, cut = _walk(nodes, following)
-        return pd.DataFrame({"route": pdf.route.iloc[0], "pos": range(len(stops)), "stop": stops, "cut": cut})
+        stops, follow = pdf[pdf.b.isna()], pdf[pdf.b.notna()]
+        found, cut = running_order(dict(zip(stops.a, stops.place)), list(zip(follow.a, follow.b)))
+        return pd.DataFrame({"route": pdf.route.iloc[0], "pos": range(len(found)), "stop": found, "cut": cut})
 
     return rows.groupBy("route").applyInPandas(order, "route string, pos int, stop string, cut int")
 

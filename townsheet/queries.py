@@ -16,7 +16,7 @@ from townsheet.functions import hours, rules, text, times
 from townsheet.operators import dedup, geo, resolve, snapshots
 from townsheet.plans import events as listings
 from townsheet.plans import facets, lines, places, quality
-from townsheet.sources import calendars, feeds, pages
+from townsheet.sources import calendars, feeds, pages, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -303,15 +303,18 @@ def superseded_extras(spark, d):
     return part.where("p_partkey % 4 = 1").join(part.where("p_partkey % 4 = 0 and p_size > 30").select("slug").distinct(), "slug", "left_anti").select("p_partkey", "p_name")
 
 
-@query("""WITH n AS (SELECT c_custkey, lower(n_name) || ' ' || lower(c_mktsegment) AS name FROM customer JOIN nation ON n_nationkey = c_nationkey), b AS (SELECT DISTINCT name FROM n WHERE c_custkey % 5 = 0), a AS (SELECT c_custkey AS key, 'the ' || name || ' hall' AS name FROM n WHERE c_custkey % 7 = 1),
-m AS (SELECT key, count(DISTINCT b.name) AS k, min(b.name) AS name FROM a JOIN b ON contains(a.name, replace(b.name, '_', '_')) GROUP BY 1)
-SELECT key, CAST(length(name) AS DOUBLE) AS lat FROM m WHERE k = 1""")
+@query("""WITH b AS (SELECT p_partkey, lower(p_name) AS name FROM part WHERE p_size <= 25), a AS (SELECT c_custkey AS key, lower(c_mktsegment) || ' ' || lower(n_name) AS name FROM customer JOIN nation ON n_nationkey = c_nationkey),
+x AS (SELECT key, substr(name, 2) AS name FROM a UNION ALL SELECT 1000000000 + p_partkey, substr(lower(p_name), 2, length(p_name) - 2) FROM part UNION ALL SELECT 2000000000 + p_partkey, 'the ' || lower(p_name) || ' hall' FROM part),
+y AS (SELECT name, min(p_partkey) AS k FROM b GROUP BY 1), d AS (SELECT DISTINCT name FROM x), m AS (SELECT d.name, count(*) AS n, min(y.k) AS k FROM d JOIN y ON contains(d.name, y.name) OR contains(y.name, d.name) WHERE contains(d.name, ' ') AND contains(y.name, ' ') GROUP BY 1)
+SELECT key, CAST(k AS DOUBLE) AS lat FROM x JOIN m USING (name) WHERE n = 1""")
 def unique_substring(spark, d):
-    """C11: the one multi-word name contained in the asked one."""
-    n = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.concat_ws(" ", F.lower("n_name"), F.lower("c_mktsegment")).alias("name"))
-    names = n.where("c_custkey % 5 = 0").select("name", F.length("name").cast("double").alias("lat"), F.crc32(F.col("name").cast("binary")).cast("double").alias("lon")).distinct()
-    asks = n.where("c_custkey % 7 = 1").select(F.col("c_custkey").alias("key"), F.concat(F.lit("The "), "name", F.lit(" hall")).alias("name"))
-    return resolve.unique_contained(asks, names).select("key", "lat")
+    """C11: the one multi-word name that contains the asked one, cut within words, or is contained in it."""
+    part, k = table(spark, d, "part"), F.col("p_partkey")
+    names = part.where("p_size <= 25").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").cast("double").alias("lat")).withColumn("lon", F.lit(0.0))
+    a = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("c_custkey").alias("key"), F.expr("substr(concat_ws(' ', c_mktsegment, n_name), 2)").alias("name"))
+    cut = part.select((k + 1_000_000_000).alias("key"), F.expr("substr(p_name, 2, length(p_name) - 2)").alias("name"))
+    longer = part.select((k + 2_000_000_000).alias("key"), F.concat(F.lit("The "), "p_name", F.lit(" hall")).alias("name"))
+    return resolve.unique_contained(a.unionByName(cut).unionByName(longer), names).select("key", "lat")
 
 
 SNAP = "WITH now AS (SELECT o_orderkey AS url, o_orderstatus AS lastmod FROM orders WHERE o_orderkey % 10 <> 3), was AS (SELECT o_orderkey AS url, CASE WHEN o_orderkey % 4 = 0 THEN 'old' ELSE o_orderstatus END AS lastmod FROM orders WHERE o_orderkey % 10 <> 7) "
@@ -448,7 +451,7 @@ def photo_first(spark, d):
     return facets.photo_first(_places(spark, d)).select("ord")
 
 
-@query()
+@query(LISTED + "SELECT id, title FROM listed WHERE category = 'view' ORDER BY md5(id || ':7'), id LIMIT 1")
 def random_listing(spark, d):
     """a repeatable random row of a filtered set."""
     return facets.random_pick(listed(spark, d).where("category = 'view'"), 7).select("id", "title")
@@ -583,10 +586,17 @@ def stop_edges(spark, d):
     return lines.edges(lines.patterns(_stops(spark, d)))
 
 
-@query()
+@query(PATTERNS + """, l AS (SELECT route, string_split(stops, ',') AS s FROM p), u AS (SELECT route, s, unnest(s) AS stop, generate_subscripts(s, 1) AS pos FROM l), w AS (SELECT route, stop, round(avg((pos - 1) / greatest(1, len(s) - 1)), 9) AS place FROM u GROUP BY 1, 2),
+e AS (SELECT DISTINCT route, stop AS a, s[pos + 1] AS b FROM u WHERE s[pos + 1] IS NOT NULL), c AS (SELECT e.route, count(*) FILTER ((x.place, x.stop) >= (y.place, y.stop)) AS cut FROM e JOIN w x ON x.route = e.route AND x.stop = e.a JOIN w y ON y.route = e.route AND y.stop = e.b GROUP BY 1)
+SELECT w.route, count(*) AS stops, any_value(cut) AS cut, CAST(0 AS BIGINT) AS against FROM w JOIN c USING (route) GROUP BY 1""")
 def line_orders(spark, d):
-    """One running order per route."""
-    return lines.line_order(lines.patterns(_stops(spark, d)))
+    """One running order per route: its stops, the edges left out, and that no other runs against it."""
+    patterns = lines.patterns(_stops(spark, d))
+    order, place = lines.line_order(patterns), lines.positions(patterns).withColumn("place", F.round("place", 9))
+    at = order.join(place, ["route", "stop"])
+    a, b = (at.select("route", F.col("stop").alias(x), F.col("pos").alias(f"p{x}"), F.struct("place", "stop").alias(f"m{x}")) for x in "ab")
+    against = lines.edges(patterns).join(a, ["route", "a"]).join(b, ["route", "b"]).groupBy("route").agg(F.count_if((F.col("ma") < F.col("mb")) & (F.col("pa") > F.col("pb"))).alias("against"))
+    return order.groupBy("route").agg(F.count("*").alias("stops"), F.max("cut").cast("long").alias("cut")).join(against, "route")
 
 
 @query("SELECT CAST(s_nationkey AS VARCHAR) AS complex, min(s_suppkey) AS id, arg_min(s_name, s_suppkey) AS name, string_agg(DISTINCT chr(CAST(65 + s_suppkey % 5 AS INT)), ',' ORDER BY chr(CAST(65 + s_suppkey % 5 AS INT))) AS routes, count(*) AS stops, bool_or(s_suppkey % 11 = 0) AS ada FROM supplier GROUP BY 1")
@@ -635,20 +645,6 @@ def link_segments(spark, d):
     return pages.segments(table(spark, d, "pages"), "page_id", "the|and")
 
 
-@query("SELECT page_id, CAST(len(regexp_extract_all(lower(html), '(<a )', 1)) AS INT) AS anchors, CAST(length(html) AS INT) AS bytes, contains(lower(html), 'wix') AS wix FROM pages")
-def page_capabilities(spark, d):
-    """H31 A8."""
-    found = pages.capabilities(table(spark, d, "pages"), "page_id")
-    return found.select("page_id", "anchors", "bytes", F.array_contains("cms", "wix").alias("wix"))
-
-
-@query("SELECT count(*) AS pages, CAST(sum(CASE WHEN contains(lower(html), 'wix') THEN 1 ELSE 0 END) AS BIGINT) AS with_cms FROM pages")
-def capability_report(spark, d):
-    """Shares of pages with each signal."""
-    found = pages.capabilities(table(spark, d, "pages"), "page_id")
-    return found.agg(F.count("*").alias("pages"), F.count_if(F.array_contains("cms", "wix")).alias("with_cms"))
-
-
 @query("SELECT regexp_replace(lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)), '^www\\.', '') AS host, count(*) AS n FROM pages GROUP BY 1")
 def host_facet(spark, d):
     """D25 B22."""
@@ -756,10 +752,11 @@ def whole_path_listings(spark, d):
     return kept.select("id", "title", F.date_format("start_local", "yyyy-MM-dd'T'HH:mm").alias("start"), "subcategory", "category_source", "location_source")
 
 
-@query()
+@query(BUILT + """SELECT substr(sha1('customer' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '|' || start || '|' || replace(lower(title), ' ', '-')), 1, 16) AS i, title AS t, substr(start, 1, 10) AS d, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS vn FROM o WHERE outcome = 'kept'""")
 def serving_extract(spark, d):
-    """Compact JSON lines."""
-    return listings.extract(listings.listings(built(spark, d)))
+    """Compact JSON lines, read back."""
+    lines_ = listings.extract(listings.listings(built(spark, d)))
+    return lines_.select(F.json_tuple("value", "i", "t", "d", "vn").alias("i", "t", "d", "vn"))
 
 
 # ---- places from map elements ----
@@ -874,8 +871,11 @@ def line_index(spark, d):
     return lines.line_index(s.select("id", "name"), served, located)
 
 
-@query("""SELECT page_id, CAST(len(regexp_extract_all(lower(html), '(<a )', 1)) AS INT) AS anchors, page_id % 2 = 0 AS ical FROM pages""")
+@query("""SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<a\\b[^>]*\\bhref=["'']([^"'']+)["'']')) AS INT) AS anchors, page_id % 2 = 0 AS ical FROM pages""")
 def redetected_signals(spark, d):
     """Signals from saved pages, network-only ones carried."""
     p = table(spark, d, "pages")
-    return pages.redetected(pages.capabilities(p, "page_id").select("page_id", "anchors"), p.select("page_id", (F.col("page_id") % 2 == 0).alias("ical")), "page_id", ["ical"])
+    return pages.redetected(signals.page_signals(p, "page_id").select("page_id", "anchors"), p.select("page_id", (F.col("page_id") % 2 == 0).alias("ical")), "page_id", ["ical"])
+
+
+from townsheet import feed_queries  # noqa: E402, F401  (registers more queries, which use the helpers above)

@@ -11,7 +11,7 @@ _PROP = r"^([A-Za-z0-9-]+)((?:;[^:]*)?):(.*)$"
 def _untext(c: Column) -> Column:
     """Escapes undone in one pass: backslashes are parked on a character that text does not hold."""
     parked = F.replace(c, F.lit("\\\\"), F.lit("\u0001"))
-    for a, b in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\;", ";")):
+    for a, b in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\\;", ";")):
         parked = F.replace(parked, F.lit(a), F.lit(b))
     return F.trim(F.replace(parked, F.lit("\u0001"), F.lit("\\")))
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from townsheet.functions.text import registrable_host, unescape_named
+from townsheet.functions.text import address, registrable_host, unescape_named
+from townsheet.sources.signals import LD_JSON
 
-# ---- Fixed values: signals looked for in pages. ----
-PLATFORMS = ("eventbrite", "ticketmaster", "squarespace", "luma", "dice", "tribe_events", "meetup", "seetickets", "axs", "tockify")
-CMS = ("wordpress", "drupal", "squarespace", "wix", "shopify", "webflow")
-LD_JSON = r'(?is)<script[^>]+type=["\']application/ld\+json["\'][^>]*>(.*?)</script>'
 HREF = r'(?i)href=["\']([^"\'#]+)["\']'
 
 
@@ -30,45 +32,49 @@ def segments(pages: DataFrame, key: str, eventish: str = "event|calendar|show|pr
     return found.groupBy("segment").agg(F.count_distinct("link").alias("n"), F.max(F.col("segment").rlike(f"(?i){eventish}")).alias("eventish"))
 
 
-def capabilities(pages: DataFrame, key: str) -> DataFrame:
-    """What each page shows: markup types, feeds, platforms, site builder, client rendering."""
-    low, html = F.lower("html"), F.col("html")
-    named = lambda names: F.array_compact(F.array(*[F.when(low.contains(n), n) for n in names]))
-    blocks = F.array_join(F.regexp_extract_all(html, F.lit(LD_JSON), F.lit(1)), " ")
-    scripts = F.length(F.array_join(F.regexp_extract_all(html, F.lit(r"(?is)<script[^>]*>(.*?)</script>"), F.lit(1)), ""))
-    anchors = F.size(F.regexp_extract_all(low, F.lit("(<a )"), F.lit(1)))
-    return pages.select(
-        key, F.array_sort(F.array_distinct(F.regexp_extract_all(blocks, F.lit(r'"@type"\s*:\s*"([A-Za-z]+)"'), F.lit(1)))).alias("types"),
-        F.array_distinct(F.filter(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: h.rlike(r"(?i)\.ics|webcal:|ical=1"))).alias("ics"), F.array_distinct(F.filter(F.regexp_extract_all(html, F.lit(HREF), F.lit(1)), lambda h: h.rlike(r"(?i)/feed/?$|rss|atom"))).alias("rss"),
-        named(PLATFORMS).alias("platforms"), named(CMS).alias("cms"), ((anchors < 5) & (scripts * 2 > F.length(html))).alias("client_rendered"), anchors.alias("anchors"), F.length(html).alias("bytes"),
-    )
-
+def _events_of(html: str) -> list[str]:
+    """Every object of a page's markup with a type ending in Event and a startDate, at any depth, as JSON."""
+    out = []
+    for block in re.findall(LD_JSON, html):
+        try:
+            waiting = [json.loads(block)]
+        except ValueError:
+            continue
+        while waiting:
+            node = waiting.pop()
+            if isinstance(node, dict):
+                kinds = node.get("@type")
+                kinds = kinds if isinstance(kinds, list) else [kinds]
+                if node.get("startDate") is not None and any(isinstance(k, str) and k.endswith("Event") for k in kinds):
+                    out.append(json.dumps(node))
+                waiting += reversed([*node.values()])
+            elif isinstance(node, list):
+                waiting += reversed(node)
+    return out
 
-def merged_signals(rows: DataFrame, host: str) -> DataFrame:
-    """Union of the signals of a host's pages."""
-    union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
-    return rows.groupBy(host).agg(*[union(c) for c in ("types", "ics", "rss", "platforms", "cms")], F.bool_or("client_rendered").alias("client_rendered"))
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nested_events(html: pd.Series) -> pd.Series:
+    return html.map(_events_of)
 
-def markup_events(pages: DataFrame, key: str, depth: int = 8) -> DataFrame:
-    """Every object of a type ending in Event with a startDate, at any nesting up to ``depth``.
 
-    Only pages with such markup are parsed; each level is one lateral explode of the level above.
-    """
-    some = pages.where(F.col("html").contains("ld+json")).select(key, F.explode_outer(F.regexp_extract_all("html", F.lit(LD_JSON), F.lit(1))).alias("raw")).select(key, F.try_parse_json("raw").alias("v")).where("v is not null")
-    levels, now = [some], some
-    for _ in range(depth):
-        now = now.lateralJoin(now.sparkSession.tvf.variant_explode(F.col("v").outer())).select(key, F.col("value").alias("v"))
-        now = now.where(F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)"))
-        levels.append(now)
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
+def markup_events(pages: DataFrame, key: str) -> DataFrame:
+    """Every event of each page's markup, at any depth; only pages with such markup are parsed, once each."""
+    some = pages.where(F.col("html").contains("ld+json")).select(key, F.explode(_nested_events("html")).alias("raw"))
+    found = some.select(key, F.try_parse_json("raw").alias("v"))
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    one = lambda path, kind="string": F.coalesce(get(f"$.location.{path}", kind), get(f"$.location[0].{path}", kind))
     types = F.coalesce(get("$['@type']", "array<string>"), F.array(get("$['@type']")))
-    named = found.select(key, F.filter(types, lambda t: F.coalesce(t.rlike("Event$"), F.lit(False))).alias("types"), get("$.startDate").alias("start"), get("$.endDate").alias("end"), get("$.name").alias("title"), get("$.url").alias("url"), get("$.eventStatus").alias("status"), F.coalesce(get("$.location.name"), get("$.location[0].name"), get("$.location")).alias("venue"), F.coalesce(get("$.offers.price", "double"), get("$.offers[0].price", "double")).alias("price"))
+    postal = [one(f"address.{c}") for c in ("streetAddress", "addressLocality", "addressRegion", "postalCode")]
+    plain = one("address")  # an object comes back as its JSON
+    named = found.select(
+        key, F.filter(types, lambda t: F.coalesce(t.rlike("Event$"), F.lit(False))).alias("types"), get("$.startDate").alias("start"), get("$.endDate").alias("end"), get("$.name").alias("title"), get("$.url").alias("url"), get("$.eventStatus").alias("status"), get("$.description").alias("description"),
+        F.coalesce(one("name"), F.when(~get("$.location").startswith("{") & ~get("$.location").startswith("["), get("$.location"))).alias("venue"), F.coalesce(address(*postal), F.when(~plain.startswith("{"), F.nullif(plain, F.lit("")))).alias("address"), one("address.addressLocality").alias("locality"),
+        one("geo.latitude", "double").alias("lat"), one("geo.longitude", "double").alias("lon"), F.coalesce(get("$.organizer.name"), get("$.organizer[0].name")).alias("organizer"),
+        F.coalesce(get("$.image.url"), get("$.image[0].url"), get("$.image[0]"), get("$.image")).alias("image"), F.coalesce(get("$.offers.price", "double"), get("$.offers[0].price", "double")).alias("price"),
+    )
     most = F.coalesce(F.get(F.filter("types", lambda t: t != "Event"), F.lit(0)), F.get("types", F.lit(0)))
-    return named.where((F.size("types") > 0) & F.col("start").isNotNull()).withColumn("type", most).drop("types").dropDuplicates([key, "title", "start", "url"])
+    return named.withColumn("type", most).drop("types").dropDuplicates([key, "title", "start", "url"])
 
 
 def sitemap(bodies: DataFrame, key: str, body: str = "body") -> DataFrame:
