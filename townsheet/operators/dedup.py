@@ -26,13 +26,16 @@ def collapsed(df: DataFrame, keys: list[str], order: list[str], most: int = 2) -
 def venue_state(df: DataFrame, slug: str, order: list[str]) -> DataFrame:
     """Adds v_name, v_kind, v_borough (first seen) and v_lat, v_lon: the location as of each row.
 
-    The first row with coordinates sets the location for itself and all later rows.
+    The first row with coordinates sets the location for itself and all later rows; so a slug's state is
+    one row, made by mergeable aggregates, and each row asks whether it comes before that location.
     """
-    upto = Window.partitionBy(slug).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    here = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.struct("lat", "lon"))
-    at = F.first(here, ignorenulls=True).over(upto)
-    first = lambda c: F.first(c).over(upto).alias(f"v_{c}")
-    return df.select("*", first("name"), first("kind"), first("borough"), at["lat"].alias("v_lat"), at["lon"].alias("v_lon"))
+    o = F.struct(*order)
+    here = F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), o)
+    first = [F.min_by(c, o).alias(f"v_{c}") for c in ("name", "kind", "borough")]
+    state = df.groupBy(F.col(slug).alias("_slug")).agg(*first, F.min(here).alias("_since"), F.min_by(F.struct("lat", "lon"), here).alias("_at"))
+    known = F.coalesce(o >= F.col("_since"), F.lit(False))
+    joined = df.join(state, F.col(slug).eqNullSafe(F.col("_slug")), "left")
+    return joined.select(*df.columns, "v_name", "v_kind", "v_borough", F.when(known, F.col("_at.lat")).alias("v_lat"), F.when(known, F.col("_at.lon")).alias("v_lon"))
 
 
 def venues(df: DataFrame, slug: str, order: list[str]) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from townsheet.functions import hours, rules, text, times
 from townsheet.operators import dedup, geo, resolve, snapshots
 from townsheet.plans import events as listings
-from townsheet.plans import facets, lines, places, quality
+from townsheet.plans import facets, lines, places, quality, reports
 from townsheet.sources import calendars, feeds, pages, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -692,7 +692,7 @@ def feed_summaries(spark, d):
 
 @query("""SELECT event_id, event_type AS title, CASE event_id % 2 WHEN 0 THEN 'ComedyEvent' ELSE 'MusicEvent' END AS type, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS start, 'Hall ' || user_id AS venue, CASE WHEN event_id % 2 = 0 THEN value END AS price FROM events""")
 def markup_events(spark, d):
-    """Events at any depth of a page's markup."""
+    """Events at any depth of a page's markup."""
     e = F.struct(
         F.when(F.col("event_id") % 2 == 0, F.array(F.lit("Event"), F.lit("ComedyEvent"))).otherwise(F.array(F.lit("MusicEvent"))).alias("@type"), F.col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("startDate"),
         F.struct(F.concat(F.lit("Hall "), F.col("user_id").cast("string")).alias("name")).alias("location"), F.when(F.col("event_id") % 2 == 0, F.array(F.struct(F.col("value").alias("price")))).alias("offers"),
@@ -797,7 +797,7 @@ def place_images(spark, d):
 g AS (SELECT p_partkey, CAST(floor(lat) * 5 + floor(lon) AS INT) AS a, lon - floor(lon) AS fx, lat - floor(lat) AS fy, lat < 5 AND lon < 5 AS inside FROM f WHERE rn = 1)
 SELECT count(*) AS places, count(*) FILTER (inside AND NOT (a % 2 = 1 AND fx >= 0.25 AND fx < 0.75 AND fy >= 0.25 AND fy < 0.75)) AS in_area FROM g""")
 def place_summary(spark, d):
-    """Elements to places."""
+    """Elements to places."""
     stations = _stations(spark, d).select("id", (F.col("lat") - 40.5).alias("lat"), (F.col("lon") + 74.2).alias("lon"))
     return places.summary(places.build(_elements(spark, d), _areas(spark, d), stations).withColumn("image", F.lit(None).cast("string"))).select("places", "in_area")
 
@@ -835,11 +835,12 @@ def area_cards(spark, d):
     return lines.area_card(listed(spark, d), located, stations).select("area", "n")
 
 
-@query("""SELECT 'part' AS kind, count(*) AS asked, count(*) FILTER (p_size % 3 > 0) AS placed, CAST(round_even(count(*) FILTER (p_size % 3 > 0) * 100.0 / greatest(count(*), 1), 1) AS DOUBLE) AS share FROM part""")
+@query("""WITH a AS (SELECT CASE p_size % 4 WHEN 0 THEN 'register' WHEN 1 THEN 'geocoder' ELSE 'unplaced' END AS outcome, p_size AS n FROM part) SELECT outcome, count(*) AS locations, CAST(sum(n) AS BIGINT) AS n, CAST(round_even(sum(n) * 100.0 / (SELECT sum(n) FROM a), 1) AS DOUBLE) AS share FROM a GROUP BY 1""")
 def geocode_report(spark, d):
-    """What was asked and what was placed, weighted by rows."""
-    part = table(spark, d, "part").withColumn("hit", F.col("p_size") % 3 > 0)
-    return part.agg(F.count("*").alias("asked"), F.count_if("hit").alias("placed"), F.bround(F.count_if("hit") * 100.0 / F.greatest(F.count("*"), F.lit(1)), 1).cast("double").alias("share")).select(F.lit("part").alias("kind"), "asked", "placed", "share")
+    """What was asked and what placed it, weighted by the rows that ride on it."""
+    size = F.col("p_size")
+    asked = table(spark, d, "part").select(size.cast("long").alias("n"), F.when(size % 4 == 0, "register").when(size % 4 == 1, "geocoder").alias("source"))
+    return reports.placed_report(asked, "source")
 
 
 @query("""WITH w AS (SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'https://www.facebook.com/p' || c_custkey WHEN 1 THEN 'www.Site' || (c_custkey % 50) || '.org/a' WHEN 2 THEN 'http://site' || (c_custkey % 50) || '.org/b' ELSE '' END AS raw FROM customer),
