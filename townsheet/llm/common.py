@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 SPACES = "[\\x20\\x09-\\x0D]"
 
 #: Rows and bytes of an Arrow batch sent to Python, and bytes of text that a task opens at a time.
-BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 4000, 16 << 20, 4 << 20
+BATCH_ROWS, BATCH_BYTES, PIECE_BYTES = 2000, 8 << 20, 4 << 20
 #: Bytes of files, compressed, of a table that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 

@@ -43,9 +43,9 @@ from townsheet.llm.common import partitions, pieces, saved, small_batches
 #: Words and pairs answered from what is sent to all tasks; number of the end (words follow).
 COMMON, HOT, END = 65_534, 300_000, 1
 KNEE = 5  # counts above it are not discounted
-WORDS, KEEP, HELD = 300_000, 80_000, 1_000_000
+WORDS, KEEP, HELD = 200_000, 60_000, 400_000
 #: Training words that a bucket is made for.
-BUCKET_WORDS = 4_000_000
+BUCKET_WORDS = 1_000_000
 RARE = np.uint64(1 << 63)
 
 
@@ -90,9 +90,8 @@ def _opened(data: bytes) -> list[np.ndarray]:
     out, at = [], 1 + 6 * data[0]
     for k in range(data[0]):
         kind, n = struct.unpack_from("<2sI", data, 1 + 6 * k)
-        stored = np.frombuffer(data, "<" + kind.decode(), n, at)
-        at += stored.nbytes
-        out.append(stored.astype(np.uint64) if stored.dtype.kind == "u" else stored)
+        out.append(np.frombuffer(data, "<" + kind.decode(), n, at))
+        at += out[-1].nbytes
     return out
 
 
@@ -195,6 +194,7 @@ def bucket_of_words(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """64 bits for a pair with a rare word."""
+    a, b = a.astype(np.uint64, copy=False), b.astype(np.uint64, copy=False)
     with np.errstate(over="ignore"):
         h = a * np.uint64(0x9E3779B97F4A7C15) + (b ^ (b >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -239,7 +239,7 @@ def _split(bucket: np.ndarray, *arrays: np.ndarray):
 
 def _counted(names: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Distinct pairs with their summed counts and keys, by ascending key."""
-    key = names[0].astype(np.uint64) if len(names) == 1 else mixed(names[0].astype(np.uint64), names[1].astype(np.uint64))
+    key = names[0].astype(np.uint64) if len(names) == 1 else mixed(*names)
     order = np.argsort(key, kind="stable")
     starts = np.flatnonzero(np.r_[len(key) > 0, key[order][1:] != key[order][:-1]])
     return [x[order[starts]] for x in names], np.add.reduceat(n[order], starts) if len(starts) else n[:0], key[order[starts]]
@@ -392,9 +392,9 @@ def fit(train: DataFrame, common: int = COMMON, hot: int = HOT) -> Model:
 
     def hot_pairs(batches):
         for batch in batches:
-            found = [_opened(x.as_py())[:2] for x in batch.column("payload")]
-            for k, n in found:
-                some = _bins(n) >= least
+            for x in batch.column("payload"):
+                k, n = _opened(x.as_py())[:2]
+                some = _bins(n.astype(np.int64)) >= least
                 yield pa.RecordBatch.from_pydict({"k": pa.array(k[some].astype(np.int64)), "n": pa.array(n[some].astype(np.int64))})
 
     def common_contexts(batches):
@@ -518,7 +518,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         empty = [np.empty(0, np.uint64)] * 16
         flat = _opened(stored[0][0]) if stored[0] else empty
         pairs, rare, rare_n = _kinds(flat[:14]), flat[14], flat[15]
-        keys = [pairs[0][0], *(mixed(p[0], p[1]) for p in pairs[1:])]  # ascending, as merged
+        keys = [pairs[0][0].astype(np.uint64), *(mixed(p[0], p[1]) for p in pairs[1:])]  # ascending, as merged
         ctx, ctx_divisor, ctx_backoff = _opened(stored[1][0]) if stored[1] else empty[:3]
         ctx_log = np.log10(ctx_divisor.astype(float)), np.log10(ctx_backoff.astype(float))
 
@@ -540,7 +540,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 if not kinds >> kind & 1:
                     continue
                 doc = np.repeat(np.arange(n), next(arrays).astype(np.int64))
-                names = [next(arrays) for _ in range(1 if kind == 0 else 2)]
+                names = [next(arrays).astype(np.uint64) for _ in range(1 if kind == 0 else 2)]
                 c = _found(keys[kind], pairs[kind][-1], names[0] if kind == 0 else mixed(*names))
                 seen, part = c > 0, seen_part(log, c)
                 if kind in (2, 4):
