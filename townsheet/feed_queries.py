@@ -66,7 +66,7 @@ def sidecar_pages(spark, d):
     return rows.select("id", "title", "location", F.array_join("tags", "|").alias("tags"), "virtual")
 
 
-@query(f"""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS title, epoch_ms(date_trunc('second', ts)) AS start_ms, CASE WHEN event_id % 2 = 0 THEN value END AS lat, event_type || '|x' AS tags FROM events WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 1 DAY AND ts < TIMESTAMP '{AS_OF}' + INTERVAL 7 DAY""")
+@query(f"""SELECT CAST(event_id AS VARCHAR) AS id, event_type AS title, epoch_ms(date_trunc('second', ts)) AS start_ms, CASE WHEN event_id % 2 = 0 THEN value END AS lat, event_type || '|x' AS tags FROM events WHERE ts > TIMESTAMP '{AS_OF}' - INTERVAL 1 _day() AND ts < TIMESTAMP '{AS_OF}' + INTERVAL 7 _day()""")
 def site_builder_rows(spark, d):
     """A site builder's collection, upcoming records within the horizon."""
     item = F.struct(s("event_id").alias("id"), F.col("event_type").alias("title"), F.unix_millis(F.col("ts").cast("timestamp")).alias("startDate"), F.when(F.col("event_id") % 2 == 0, F.struct(F.col("value").alias("mapLat"))).alias("location"), F.array(F.col("event_type"), F.lit("x")).alias("tags"))
@@ -173,8 +173,12 @@ def _raw(spark, d, feed: str, **columns) -> DataFrame:
     return table(spark, d, "events").select("event_id", *[(columns[n] if n in columns else F.lit(None)).cast(t).alias(n) for n, t in names])
 
 
-K = F.col
-DAY = F.date_format("ts", "yyyy-MM-dd")
+def K(name: str) -> F.Column:
+    return F.col(name)
+
+
+def _day() -> F.Column:
+    return F.date_format("ts", "yyyy-MM-dd")
 
 
 @query("""SELECT event_id AS row_pos, CASE event_id % 5 WHEN 0 THEN 'unparseable start time' WHEN 1 THEN 'no location named' WHEN 2 THEN 'sports/basketball' WHEN 3 THEN 'music/concert' ELSE 'outdoors/park-programming' END AS outcome FROM events""")
@@ -182,7 +186,7 @@ def park_feed(spark, d):
     """Day and hour from two fields, categories by priority, a default."""
     k = K("event_id") % 5
     named = F.when(k == 2, "Sports|Basketball/Netball").when(k == 3, "Music").otherwise("unknown")
-    return _fed(_raw(spark, d, "parks", title=F.lit("Zzz qqq"), startdate=F.when(k != 0, DAY), starttime=F.lit("1999-01-01 10:00"), location=F.when(k != 1, "The Lawn"), categories=named), "parks")
+    return _fed(_raw(spark, d, "parks", title=F.lit("Zzz qqq"), startdate=F.when(k != 0, _day()), starttime=F.lit("1999-01-01 10:00"), location=F.when(k != 1, "The Lawn"), categories=named), "parks")
 
 
 @query("""SELECT event_id AS row_pos, CASE event_id % 6 WHEN 0 THEN 'internal record: Meeting' WHEN 1 THEN 'virtual only, has no place' WHEN 2 THEN 'no branch named' WHEN 3 THEN 'recurring language course' WHEN 4 THEN 'learning/class' ELSE 'unparseable start time' END AS outcome FROM events""")
@@ -190,7 +194,7 @@ def library_feed(spark, d):
     """Internal records, services by tag, online only, branches."""
     k = K("event_id") % 6
     rows = _raw(
-        spark, d, "library", title=F.lit("Zzz qqq"), start=F.when(k != 5, F.concat(DAY, F.lit("T10:00:00+00:00"))), kind=F.when(k == 0, "Meeting").otherwise("Program"), virtual=(k == 1) | (k == 4), hybrid=k == 4,
+        spark, d, "library", title=F.lit("Zzz qqq"), start=F.when(k != 5, F.concat(_day(), F.lit("T10:00:00+00:00"))), kind=F.when(k == 0, "Meeting").otherwise("Program"), virtual=(k == 1) | (k == 4), hybrid=k == 4,
         location=F.when(k != 2, "DeKalb Library, room 2"), tags=F.when(k == 3, F.array(F.lit("other"), F.lit("ESOL"))).otherwise(F.array().cast("array<string>")),
     )
     return _fed(rows, "library")
@@ -203,7 +207,7 @@ def ticket_feed(spark, d):
     name = lambda c: F.struct(c.alias("name"))
     none = F.lit(None).cast("string")
     rows = _raw(
-        spark, d, "ticketmaster", name=F.concat(F.lit("Zzz qqq "), s("event_id")), dates=F.struct(F.struct(F.when(k != 5, DAY).alias("localDate"), F.lit("20:00:00").alias("localTime"), (k == 1).alias("dateTBA"), F.lit(False).alias("dateTBD"), F.lit(False).alias("noSpecificTime")).alias("start"), F.struct(F.when(k == 0, "Cancelled").otherwise("onsale").alias("code")).alias("status")),
+        spark, d, "ticketmaster", name=F.concat(F.lit("Zzz qqq "), s("event_id")), dates=F.struct(F.struct(F.when(k != 5, _day()).alias("localDate"), F.lit("20:00:00").alias("localTime"), (k == 1).alias("dateTBA"), F.lit(False).alias("dateTBD"), F.lit(False).alias("noSpecificTime")).alias("start"), F.struct(F.when(k == 0, "Cancelled").otherwise("onsale").alias("code")).alias("status")),
         _embedded=F.struct(F.array(F.struct(F.lit("Zzz").alias("name"), F.struct(F.when(k != 2, "40.7").alias("latitude"), F.when(k != 2, "-73.9").alias("longitude")).alias("location"))).alias("venues")),
         classifications=F.array(F.struct(name(none).alias("segment"), name(F.when(k == 3, "Jazz")).alias("genre"), name(none).alias("subGenre"))),
     )
@@ -214,7 +218,7 @@ def ticket_feed(spark, d):
 def marked_up_feed(spark, d):
     """Schema.org statuses, specific types before default ones."""
     k = K("event_id") % 5
-    rows = _raw(spark, d, "dice", name=F.lit("Zzz qqq"), type=F.when(k == 2, "ComedyEvent").when(k == 3, "MusicEvent").otherwise("Event"), startDate=F.concat(DAY, F.lit("T10:00:00Z")), eventStatus=F.when(k == 0, "https://schema.org/EventCancelled"), lat=F.when(k != 1, F.lit(40.7)), lon=F.lit(-73.9))
+    rows = _raw(spark, d, "dice", name=F.lit("Zzz qqq"), type=F.when(k == 2, "ComedyEvent").when(k == 3, "MusicEvent").otherwise("Event"), startDate=F.concat(_day(), F.lit("T10:00:00Z")), eventStatus=F.when(k == 0, "https://schema.org/EventCancelled"), lat=F.when(k != 1, F.lit(40.7)), lon=F.lit(-73.9))
     return _fed(rows, "dice")
 
 
@@ -222,7 +226,7 @@ def marked_up_feed(spark, d):
 def community_feed(spark, d):
     """The calendar's name classifies where the title does not."""
     k = K("event_id") % 5
-    rows = _raw(spark, d, "luma", summary=F.lit("Zzz qqq"), calendar_name=F.when(k == 2, "Jazz nights").otherwise("Zzz"), status=F.when(k == 0, "Cancelled"), lat=F.when(k != 1, F.lit(40.7)), lon=F.lit(-73.9), start=F.when(k != 4, F.concat(DAY, F.lit("T10:00:00Z"))))
+    rows = _raw(spark, d, "luma", summary=F.lit("Zzz qqq"), calendar_name=F.when(k == 2, "Jazz nights").otherwise("Zzz"), status=F.when(k == 0, "Cancelled"), lat=F.when(k != 1, F.lit(40.7)), lon=F.lit(-73.9), start=F.when(k != 4, F.concat(_day(), F.lit("T10:00:00Z"))))
     return _fed(rows, "luma")
 
 
@@ -237,7 +241,7 @@ def builder_feed(spark, d):
 def blog_feed(spark, d):
     """States of a post, exact terms before words of the title."""
     k = K("event_id") % 5
-    rows = _raw(spark, d, "wordpress", title=F.when(k == 4, "Jazz qqq").otherwise("Zzz qqq"), venue_name=F.when(k == 3, "").otherwise("Zzz"), venue_host=F.when(k == 3, ""), status=F.when(k == 0, "draft").otherwise("publish"), start=F.concat(DAY, F.lit(" 10:00:00")), categories=F.array(F.when(k == 1, "Talk").otherwise("zzz")))
+    rows = _raw(spark, d, "wordpress", title=F.when(k == 4, "Jazz qqq").otherwise("Zzz qqq"), venue_name=F.when(k == 3, "").otherwise("Zzz"), venue_host=F.when(k == 3, ""), status=F.when(k == 0, "draft").otherwise("publish"), start=F.concat(_day(), F.lit(" 10:00:00")), categories=F.array(F.when(k == 1, "Talk").otherwise("zzz")))
     return _fed(rows, "wordpress")
 
 
