@@ -26,8 +26,11 @@ def build(rows: DataFrame, areas: DataFrame, register: DataFrame, gazetteer: Dat
         placed.select("*", F.col("venue_name").alias("name"), F.col("venue_kind").alias("kind")).drop("lat", "lon").withColumnsRenamed({"r_lat": "lat", "r_lon": "lon"}),
         "slug", ORD,
     )
-    here = seen.withColumn("e_lat", F.coalesce("own_lat", "v_lat")).withColumn("e_lon", F.coalesce("own_lon", "v_lon"))
-    points = here.select("e_lat", "e_lon").where("e_lat is not null and e_lon is not null").distinct().withColumn("pt", F.xxhash64("e_lat", "e_lon"))
+    own = F.col("own_lat").isNotNull() & F.col("own_lon").isNotNull()
+    here = seen.withColumns({"e_lat": F.when(own, F.col("own_lat")).otherwise(F.col("v_lat")), "e_lon": F.when(own, F.col("own_lon")).otherwise(F.col("v_lon"))})
+    # every event stands at a resolved point or at its own, so points need neither venues nor the join above
+    points = found.select(F.col("lat").alias("e_lat"), F.col("lon").alias("e_lon")).union(rows.select("own_lat", "own_lon"))
+    points = points.where("e_lat is not null and e_lon is not null").distinct().withColumn("pt", F.xxhash64("e_lat", "e_lon"))
     area = geo.locate(points, areas, "pt", "e_lon", "e_lat").join(areas.select("ord", F.col("slug").alias("area_slug"), F.col("name").alias("area_name"), F.col("borough").alias("area_borough")), "ord")
     near = geo.nearest(points.select("pt", F.col("e_lat").alias("lat"), F.col("e_lon").alias("lon")), stations, "pt")
     here = here.withColumn("pt", F.xxhash64("e_lat", "e_lon")).join(area, "pt", "left").join(near, "pt", "left")
