@@ -78,13 +78,13 @@ def read(texts: DataFrame, *keep: str) -> DataFrame:
     return named.select(*keep, tokens(F.col("template")).alias("t0"), tokens(F.col("typed")).alias("v0"), tokens(F.col("low")).alias("t1"), tokens(F.col("base")).alias("v1"))
 
 
-def _windows(t: Column, lengths: list[int]) -> Column:
-    """(place, hash) of all windows of the given lengths; a text under SHORTEST tokens is one window."""
+def _windows(t: Column, r: int, lengths: list[int]) -> Column:
+    """(place, hash) of all windows of the given lengths in reading r; a text under SHORTEST tokens is one window."""
     n = F.size(t)
     none = F.array().cast("array<struct<at:int,h:bigint>>")
-    one = lambda at, k: F.struct(at.cast("int").alias("at"), F.xxhash64(F.slice(t, at + 1, k)).alias("h"))
+    one = lambda at, k: F.struct(at.cast("int").alias("at"), F.xxhash64(F.slice(t, at + 1, k), F.lit(r)).alias("h"))
     of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda at: one(at, k))).otherwise(none)
-    whole = F.when((n > 0) & (n < SHORTEST), F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(t).alias("h")))).otherwise(none)
+    whole = F.when((n > 0) & (n < SHORTEST), F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(t, F.lit(r)).alias("h")))).otherwise(none)
     return F.concat(whole, *[of(k) for k in lengths])
 
 
@@ -96,20 +96,20 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def _item_windows(of: DataFrame) -> DataFrame:
-    """r, h, tid, ipos, width and needed windows of every template."""
+    """h (of tokens and reading), tid, ipos, width and needed windows of every template."""
     n = F.size("t")
     width = F.when(n >= WINDOW, WINDOW).otherwise(n)
     rows = of.dropDuplicates(["tid"]).select("tid", "r", "t", width.alias("width"))
     rows = rows.select("tid", "r", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("ipos"))
     window = F.slice("t", F.col("ipos") + 1, F.col("width"))
     literal = F.size(F.filter(window, lambda x: ~x.isin("@", "#", "$")))
-    rows = rows.select("tid", "r", "width", "ipos", F.xxhash64(window).alias("h"), (literal >= LITERALS).alias("good"))
+    rows = rows.select("tid", "r", "width", "ipos", F.xxhash64(window, F.col("r")).alias("h"), (literal >= LITERALS).alias("good"))
     counts = rows.groupBy("tid").agg(F.count("*").alias("n"), F.count_if("good").alias("n_good"))
     kept = rows.join(counts, "tid").where("good or n_good = 0")
     # an item without a telling window has to be met in all of them
     share = F.when(F.col("r") == 0, F.least(F.lit(LEAST), F.ceil(F.col("n_good") * 0.4))).otherwise(F.ceil(F.col("n_good") * 0.9))
     needed = F.when(F.col("n_good") == 0, F.col("n")).otherwise(share)
-    return kept.select("r", "h", "tid", "ipos", "width", needed.cast("int").alias("needed"))
+    return kept.select("h", "tid", "ipos", "width", needed.cast("int").alias("needed"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -122,10 +122,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     probe = saved(_item_windows(of), "item-windows")
     lengths = sorted({WINDOW, *(r.width for r in probe.select("width").distinct().collect() if r.width >= SHORTEST)})  # four at most
     keyed = _keyed(docs)
-    of_reading = lambda r: F.transform(_windows(F.col(f"t{r}"), lengths), lambda w: F.struct(F.lit(r).alias("r"), w["at"].alias("at"), w["h"].alias("h")))
     # the outer form keeps the optimizer from copying the whole expression below into a filter
-    windows = read(keyed, "key").select("key", F.explode_outer(F.concat(of_reading(0), of_reading(1))).alias("w")).select("key", "w.r", F.col("w.at").alias("dpos"), "w.h")
-    hits = windows.join(sized(probe), ["r", "h"])
+    windows = read(keyed, "key").select("key", F.explode_outer(F.concat(*[_windows(F.col(f"t{r}"), r, lengths) for r in (0, 1)])).alias("w")).select("key", F.col("w.at").alias("dpos"), "w.h")
+    hits = windows.join(sized(probe), "h")
     # an item of under SHORTEST tokens is met by whole texts only, as only they have such a window
     strip = F.explode(F.array(F.floor((F.col("dpos") - F.col("ipos")) / STRIP) * 2, F.floor((F.col("dpos") - F.col("ipos") + STRIP // 2) / STRIP) * 2 + 1)).alias("strip")
     hits = hits.select("key", "tid", "needed", "width", "ipos", (F.col("dpos") - F.col("ipos")).alias("diagonal"), strip)
