@@ -69,12 +69,28 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return anchors.dedup(documents(spark, sf_dir))
+    found = anchors.dedup(documents(spark, sf_dir))
+    spans = F.transform("removed", lambda s: F.concat_ws(":", F.get(s, 0).cast("string"), F.get(s, 1).cast("string")))
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.array_join(spans, ",").alias("removed"))
 
 
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+#: Every window of 13 words by its words themselves, beside the anchors of the operator.
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + 13), ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 12)) AS p FROM d WHERE len(w) > 12)),
+hit AS (SELECT doc_id, p FROM (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE least < doc_id),
+cov AS (SELECT DISTINCT doc_id, p + k AS q FROM hit, (SELECT unnest(range(13)) AS k)),
+islands AS (SELECT doc_id, min(q) AS a, max(q) + 1 AS b FROM (SELECT doc_id, q, q - row_number() OVER (PARTITION BY doc_id ORDER BY q) AS g FROM cov) GROUP BY doc_id, g),
+gone AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n, string_agg(a || ':' || b, ',' ORDER BY a) AS spans FROM islands GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY q) AS words FROM (SELECT doc_id, unnest(w) AS x, unnest(range(len(w))) AS q FROM d) ANTI JOIN cov USING (doc_id, q) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(words, '')) AS kept_sha256, coalesce(spans, '') AS removed
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_fixed_block_anchors": OP10_SQL}
