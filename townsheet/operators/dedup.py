@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from townsheet.operators.store import saved
+
 
 def first_seen(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key. A map-side minimum keeps a frequent key from filling one task."""
@@ -45,9 +47,35 @@ def venues(df: DataFrame, slug: str, order: list[str]) -> DataFrame:
     return df.groupBy(slug).agg(*[F.min_by(c, o).alias(c) for c in ("name", "kind", "borough")], F.min_by("lat", here).alias("lat"), F.min_by("lon", here).alias("lon"), F.count("*").alias("rows"))
 
 
-def distinct_ids(df: DataFrame, base: Column, area: Column, order: list[str]) -> DataFrame:
-    """Adds id: the base slug; with the area for a later row of that slug; then -2, -3 and so on."""
-    one = df.withColumn("_b", base).withColumn("_n", seen_rank(["_b"], order))
-    two = one.withColumn("_b", F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.concat_ws("-", "_b", area)))
-    two = two.withColumn("_n", seen_rank(["_b"], ["_n", *order]))
-    return two.withColumn("id", F.when(F.col("_n") == 1, F.col("_b")).otherwise(F.concat_ws("-", "_b", F.col("_n").cast("string")))).drop("_b", "_n")
+#: Rounds of :func:`distinct_ids`: as many as rows of crossing chains ("a" and "a-2", both often) stand in line.
+ROUNDS = 500
+
+
+def distinct_ids(df: DataFrame, base: Column, second: Column, order: list[str]) -> DataFrame:
+    """Adds id: the first of base, second, second-2, second-2-2 and so on that no earlier row has.
+
+    Rows take turns in ``order``, which must tell them apart. As all ids prefer the earlier row, turns can
+    be replaced by rounds: every row claims its next choice, an id stays with the earliest claimant, the
+    others go on to the choice after; the fixed point is what turns would give. Rows of one base and second
+    claim different choices from the start, so the rounds only settle ids that meet by chance ("a-2" as
+    somebody's own name), not the length of a chain. A row whose second is null goes on from its base.
+    """
+    spent = [*df.columns]
+    chain = Window.partitionBy("_base", "_second").orderBy(*order)
+    rows = df.withColumns({"_base": base, "_second": F.coalesce(second, base)}).withColumn("_rank", F.row_number().over(chain) - 1)
+    # the first row of a base may have it; all later ones start at their second, by rank within their chain
+    now = saved(rows.withColumn("_at", F.col("_rank").cast("int")), "ids")
+    step = F.when(F.col("_second") == F.col("_base"), F.col("_at")).otherwise(F.col("_at") - 1)
+    name = F.when(F.col("_at") == 0, F.col("_base")).otherwise(F.concat("_second", F.repeat(F.lit("-2"), step)))
+    for _ in range(ROUNDS):
+        claims = now.withColumn("_id", name)
+        first = claims.groupBy("_id").agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n"))
+        if first.where("_n > 1").isEmpty():
+            return claims.select(*spent, F.col("_id").alias("id"))
+        # hot ids are few: a row that must move is known by its claim and order
+        lost = F.coalesce(F.struct(*order) != F.col("_first"), F.lit(False))
+        moved = claims.join(first.where("_n > 1").select("_id", "_first"), "_id", "left").withColumn("_at", F.col("_at") + lost.cast("int"))
+        # within a chain, later rows stay behind earlier ones
+        ahead = F.max(F.col("_at") - F.col("_rank")).over(chain.rowsBetween(Window.unboundedPreceding, 0))
+        now = saved(moved.withColumn("_at", (F.col("_rank") + ahead).cast("int")).select(*now.columns), "ids")
+    raise RuntimeError(f"ids still clash after {ROUNDS} rounds")

@@ -1,10 +1,35 @@
-"""Tables and extracts that a run leaves behind. Paths are folders; every write replaces what was there."""
+"""Tables and extracts that a run leaves behind: a published version of all, or single folders that a write replaces."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from townsheet.operators.store import Store, Table, observed, part_of, saved
+from townsheet.plans import events as listings
+
+
+def publish(store: Store, built: DataFrame, **others: DataFrame) -> int:
+    """A run as the store's next version: events by day, rejected by source, venues, meta and what else is given.
+
+    The plan of ``built`` runs once, in the job that writes its rows parted by table; the counters of that
+    pass (rows, kept, deduped, collapsed, incomplete, rejected, and fields that events state) are observed
+    there and go into the manifest. All tables are then read off those files.
+    """
+    outcome, kept = F.col("outcome"), F.col("outcome") == "kept"
+    stated = {"neighborhood": F.col("neighborhood").isNotNull(), "coordinates": F.col("lat").isNotNull(), "borough": F.col("borough").isNotNull(), "url": F.col("url").isNotNull(), "price": F.col("price_min").isNotNull(), "station": F.size("subway") > 0}
+    counts = {n: F.count_if(outcome == n) for n in ("kept", "deduped", "collapsed", "dropped_incomplete")}
+    counts |= {"rows": F.count(F.lit(1)), "rejected": F.count_if(part_of(outcome) == "rejected")} | {f"with_{n}": F.count_if(kept & c) for n, c in stated.items()}
+    counted, seen = observed(built, **counts)
+    rows = saved(counted, "built")
+    counters = {k: int(v) for k, v in seen.get.items()}
+    events = listings.listings(rows)
+    n = F.lit(max(1, counters["kept"]))
+    meta = events.sparkSession.createDataFrame([(k, v) for k, v in sorted(counters.items())], "name string, n long").withColumn("share", F.when(F.col("name").startswith("with_"), F.bround(F.col("n") * 100.0 / n, 1)))
+    venues = events.groupBy("venue_id").agg(F.min_by(F.struct("venue_name", "venue_kind", "lat", "lon"), F.struct("start_utc", "title", "id")).alias("v"), F.count("*").alias("n")).select("venue_id", "v.*", "n")
+    tables = {"events": Table(events, "date_local"), "rejected": Table(listings.rejects(rows), "source"), "outcomes": Table(listings.outcomes(rows)), "venues": Table(venues), "meta": Table(meta)}
+    return store.publish(tables | {n: Table(f) for n, f in others.items()}, counters=counters)
+
 
 def tables(path: str, **frames: DataFrame) -> None:
     """events (by day), venues, rejected (by source), subway, neighborhoods and meta, as many as are given."""

@@ -172,12 +172,19 @@ def place_dedup(spark, d):
     return dedup.first_seen(rows, ["p_name", "at"], ["p_partkey"])
 
 
-@query("""WITH a AS (SELECT p_partkey, replace(p_name, ' ', '-') AS b, p_type, row_number() OVER (PARTITION BY p_name ORDER BY p_partkey) AS n FROM part),
-b AS (SELECT p_partkey, CASE WHEN n = 1 THEN b ELSE b || '-' || lower(p_type) END AS b, n FROM a), c AS (SELECT p_partkey, b, row_number() OVER (PARTITION BY b ORDER BY n, p_partkey) AS m FROM b)
-SELECT p_partkey, CASE WHEN m = 1 THEN b ELSE b || '-' || m END AS id FROM c""")
+ID_ROWS = """WITH r AS (SELECT p_partkey AS k, replace(p_name, ' ', '-') || CASE WHEN p_size % 4 = 0 THEN '-2' WHEN p_size % 4 = 1 THEN '-' || lower(p_brand) ELSE '' END AS b, CASE WHEN p_size % 3 > 0 THEN lower(p_brand) END AS area FROM part),
+x AS (SELECT k, regexp_replace(b, '[ #]', '-', 'g') AS b, regexp_replace(coalesce(b || '-' || area, b), '[ #]', '-', 'g') AS s FROM r) """
+
+
+@query(ID_ROWS + """, g AS (SELECT list({k: k, b: b, s: s, taken: CAST([] AS VARCHAR[])} ORDER BY k) AS rows, list_transform(range(60), lambda i: repeat('-2', CAST(i AS INT))) AS tails FROM x),
+f AS (SELECT list_reduce(list_prepend({k: 0, b: '', s: '', taken: CAST([] AS VARCHAR[])}, rows), lambda a, r: {k: r.k, b: r.b, s: r.s, taken: list_append(a.taken, list_filter(list_prepend(r.b, list_transform(tails, lambda t: r.s || t)), lambda c: NOT list_contains(a.taken, c))[1])}).taken AS ids, list_transform(rows, lambda r: r.k) AS ks FROM g)
+SELECT unnest(ks) AS p_partkey, unnest(ids) AS id FROM f""")
 def place_ids(spark, d):
-    """E5: name, name-area, then numbers."""
-    rows = dedup.distinct_ids(table(spark, d, "part"), text.place_slug(F.col("p_name")), F.lower("p_type"), ["p_partkey"])
+    """E5: name, name-area, then -2 again and again, where names that end so by themselves are taken too."""
+    n = F.col("p_size")
+    tail = F.when(n % 4 == 0, "-2").when(n % 4 == 1, F.concat(F.lit("-"), F.lower("p_brand"))).otherwise("")
+    base = text.place_slug(F.concat("p_name", tail))
+    rows = dedup.distinct_ids(table(spark, d, "part"), base, F.when(n % 3 > 0, text.place_slug(F.concat("p_name", tail, F.lit("-"), "p_brand"))), ["p_partkey"])
     return rows.select("p_partkey", "id")
 
 
@@ -879,4 +886,4 @@ def redetected_signals(spark, d):
     return pages.redetected(signals.page_signals(p, "page_id").select("page_id", "anchors"), p.select("page_id", (F.col("page_id") % 2 == 0).alias("ical")), "page_id", ["ical"])
 
 
-from townsheet import feed_queries  # noqa: E402, F401  (registers more queries, which use the helpers above)
+from townsheet import feed_queries, stored_queries  # noqa: E402, F401  (register more queries, which use the helpers above)

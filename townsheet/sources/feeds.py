@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from townsheet.functions import rules, text, times
+from townsheet.operators.store import saved
 
 SCHEMAS = {
     "parks": "title string, description string, startdate string, starttime string, enddate string, endtime string, location string, parknames string, coordinates string, categories string, link struct<url:string>, image struct<url:string>",
@@ -36,6 +37,42 @@ def scan(spark: SparkSession, path: str, source_id: str, schema: str) -> DataFra
     return whole.select(F.lit(source_id).alias("source_id"), "fetched_at", F.posexplode("rows").alias("row_pos", "r")).select("source_id", "fetched_at", "row_pos", "r.*")
 
 
+#: Most blocks of files whose places are sent to every task.
+SENT_BLOCKS = 100_000
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """row_pos and value of every line that is not blank, in the order of file names and lines.
+
+    Files may be split anywhere. One pass counts the lines of each block of a file; the sums of the blocks
+    before it, in order, say where a block's lines begin; the second pass adds a line's place in its block.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_m")).where(F.trim("value") != "")
+    blocks = saved(lines.groupBy("_f", "_b").agg(F.count("*").alias("n"), F.min("_m").alias("_first")), "blocks")
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # within a block ids grow line by line, from wherever it begins in this very pass; gaps are blank lines
+    places = blocks.select("_f", "_b", before.alias("_before"))
+    places = F.broadcast(places) if blocks.count() <= SENT_BLOCKS else places
+    rank = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_m")) - 1
+    return lines.withColumn("_at", rank).join(places, ["_f", "_b"]).select((F.col("_before") + F.col("_at")).alias("row_pos"), "value")
+
+
+def scan_folder(spark: SparkSession, folder: str, schemas: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Feeds saved as one record a line, a folder for each source: rows by source, and malformed lines.
+
+    Rows carry (source_id, row_pos), a malformed line keeps its place and goes to the second table
+    (source_id, row_pos, value). Folders that no schema names are not read.
+    """
+    rows, bad = {}, []
+    for source, schema in sorted(schemas.items()):
+        lines = placed_lines(spark, f"{folder}/{source}")
+        parsed = lines.select(F.lit(source).alias("source_id"), "row_pos", "value", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+        fails = F.col("r").isNull() | F.col("r._bad").isNotNull()
+        rows[source] = parsed.where(~fails).select("source_id", "row_pos", "r.*").drop("_bad")
+        bad.append(parsed.where(fails).select("source_id", "row_pos", "value"))
+    return rows, union(bad)
+
+
 def _inner(schema: str) -> str:
     depth, out, at = 0, [], 0
     for i, ch in enumerate(schema + ","):

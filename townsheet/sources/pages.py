@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from townsheet.functions.text import address, registrable_host, unescape_named
 from townsheet.sources.signals import LD_JSON
@@ -32,49 +27,54 @@ def segments(pages: DataFrame, key: str, eventish: str = "event|calendar|show|pr
     return found.groupBy("segment").agg(F.count_distinct("link").alias("n"), F.max(F.col("segment").rlike(f"(?i){eventish}")).alias("eventish"))
 
 
-def _events_of(html: str) -> list[str]:
-    """Every object of a page's markup with a type ending in Event and a startDate, at any depth, as JSON."""
-    out = []
-    for block in re.findall(LD_JSON, html):
-        try:
-            waiting = [json.loads(block)]
-        except ValueError:
-            continue
-        while waiting:
-            node = waiting.pop()
-            if isinstance(node, dict):
-                kinds = node.get("@type")
-                kinds = kinds if isinstance(kinds, list) else [kinds]
-                if node.get("startDate") is not None and any(isinstance(k, str) and k.endswith("Event") for k in kinds):
-                    out.append(json.dumps(node))
-                waiting += reversed([*node.values()])
-            elif isinstance(node, list):
-                waiting += reversed(node)
-    return out
+#: Levels of nesting that are walked; JSON as deep as that is not read at all by the parser.
+DEPTH = 1000
+
+WALK = f"""WITH RECURSIVE walk(k, path, v) MAX RECURSION LEVEL {DEPTH} AS (
+  SELECT k, path, v FROM {{blocks}}
+  UNION ALL
+  SELECT w.k, concat(w.path, array(e.pos)), e.value FROM walk w, LATERAL variant_explode(w.v) e
+  WHERE schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'
+) SELECT k, path, v FROM walk"""
+
 
+def nested(blocks: DataFrame) -> DataFrame:
+    """k, path and v of every object and array within blocks (k, path, v), themselves included.
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _nested_events(html: pd.Series) -> pd.Series:
-    return html.map(_events_of)
+    A recursive query: each step opens the containers of the step before, so there are as many steps as
+    levels, whatever the number of pages. Its limit on rows, which is a session's setting, is lifted.
+    """
+    spark = blocks.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(WALK, blocks=blocks)
 
 
 def markup_events(pages: DataFrame, key: str) -> DataFrame:
-    """Every event of each page's markup, at any depth; only pages with such markup are parsed, once each."""
-    some = pages.where(F.col("html").contains("ld+json")).select(key, F.explode(_nested_events("html")).alias("raw"))
-    found = some.select(key, F.try_parse_json("raw").alias("v"))
+    """Every event of each page's markup, at any depth: objects with a type that ends in Event, and a startDate.
+
+    Only pages with such markup are parsed, once each. Of events with one title, start and link, a page's
+    first one stays. A block that is no JSON, or repeats a key within an object, gives nothing.
+    """
+    some = pages.where(F.col("html").contains("ld+json")).select(F.col(key).alias("k"), F.posexplode(F.regexp_extract_all("html", F.lit(LD_JSON), F.lit(1))).alias("at", "raw"))
+    blocks = some.where(F.col("raw").contains("startDate")).select("k", F.array("at").alias("path"), F.try_parse_json("raw").alias("v")).where("v is not null")
+    kinds = F.coalesce(F.try_variant_get("v", "$['@type']", "array<string>"), F.array(F.try_variant_get("v", "$['@type']", "string")))
+    isone = F.try_variant_get("v", "$.startDate", "string").isNotNull() & F.exists(kinds, lambda t: F.coalesce(t.endswith("Event"), F.lit(False)))
+    found = nested(blocks).where(isone).select(F.col("k").alias(key), "path", "v")
     get = lambda path, kind="string": F.try_variant_get("v", path, kind)
     one = lambda path, kind="string": F.coalesce(get(f"$.location.{path}", kind), get(f"$.location[0].{path}", kind))
     types = F.coalesce(get("$['@type']", "array<string>"), F.array(get("$['@type']")))
     postal = [one(f"address.{c}") for c in ("streetAddress", "addressLocality", "addressRegion", "postalCode")]
     plain = one("address")  # an object comes back as its JSON
     named = found.select(
-        key, F.filter(types, lambda t: F.coalesce(t.rlike("Event$"), F.lit(False))).alias("types"), get("$.startDate").alias("start"), get("$.endDate").alias("end"), get("$.name").alias("title"), get("$.url").alias("url"), get("$.eventStatus").alias("status"), get("$.description").alias("description"),
+        key, "path", F.filter(types, lambda t: F.coalesce(t.rlike("Event$"), F.lit(False))).alias("types"), get("$.startDate").alias("start"), get("$.endDate").alias("end"), get("$.name").alias("title"), get("$.url").alias("url"), get("$.eventStatus").alias("status"), get("$.description").alias("description"),
         F.coalesce(one("name"), F.when(~get("$.location").startswith("{") & ~get("$.location").startswith("["), get("$.location"))).alias("venue"), F.coalesce(address(*postal), F.when(~plain.startswith("{"), F.nullif(plain, F.lit("")))).alias("address"), one("address.addressLocality").alias("locality"),
         one("geo.latitude", "double").alias("lat"), one("geo.longitude", "double").alias("lon"), F.coalesce(get("$.organizer.name"), get("$.organizer[0].name")).alias("organizer"),
         F.coalesce(get("$.image.url"), get("$.image[0].url"), get("$.image[0]"), get("$.image")).alias("image"), F.coalesce(get("$.offers.price", "double"), get("$.offers[0].price", "double")).alias("price"),
     )
     most = F.coalesce(F.get(F.filter("types", lambda t: t != "Event"), F.lit(0)), F.get("types", F.lit(0)))
-    return named.withColumn("type", most).drop("types").dropDuplicates([key, "title", "start", "url"])
+    rows = named.withColumn("type", most).drop("types")
+    same = [key, "title", "start", "url"]
+    return rows.groupBy(*same).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in [*same, "path"]]), "path").alias("r")).select(*same, "r.*")
 
 
 def sitemap(bodies: DataFrame, key: str, body: str = "body") -> DataFrame:
