@@ -106,12 +106,15 @@ def venue_page_rows(spark, d):
     return rows.select(F.col("venue_host").cast("long").alias("event_id"), "venue_name", "address", "borough", "title", "is_free", "lat")
 
 
-@query(f"""WITH m AS ({MARKUP}) SELECT event_id, 1 AS events, room AS locations, 'MusicEvent' AS types, 'detail' AS mode, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS links FROM m""")
+@query(f"""WITH m AS ({MARKUP}), e AS (SELECT event_id // 2 AS page, room, event_id % 3 <> 1 AS dated FROM m) SELECT page, count(*) FILTER (dated) AS events, coalesce(string_agg(DISTINCT room, ',' ORDER BY room) FILTER (dated), '') AS locations, CASE WHEN bool_or(dated) THEN 'MusicEvent' ELSE '' END AS types,
+CASE WHEN count(*) FILTER (dated) >= 2 THEN 'listing' ELSE 'detail' END AS mode, CASE WHEN count(*) FILTER (dated) >= 2 OR page % 2 = 1 THEN 0 ELSE 1 END AS links FROM e GROUP BY page""")
 def listing_modes(spark, d):
-    """Rooms and types of each page, and how it can be read."""
-    rows = _markup(spark, d)
-    modes = signals.listing_modes(rows, pages.markup_events(rows, "event_id"), rows.where("event_id % 2 = 0").select("event_id"), "event_id")
-    return modes.select("event_id", F.col("events").cast("int").alias("events"), F.array_join("locations", ",").alias("locations"), F.array_join("types", ",").alias("types"), "mode", F.col("links").cast("int").alias("links"))
+    """Rooms and types of each page; two dated events make a listing, else its links are followed."""
+    k = F.col("event_id")
+    one = _markup(spark, d).withColumn("html", F.when(k % 3 == 1, F.regexp_replace("html", '"startDate"', '"date"')).otherwise(F.col("html")))
+    rows = one.groupBy(F.floor(k / 2).alias("page")).agg(F.array_join(F.sort_array(F.collect_list("html")), "").alias("html"))
+    modes = signals.listing_modes(rows, pages.markup_events(rows, "page"), rows.where("page % 2 = 0").select("page"), "page")
+    return modes.select("page", F.col("events").cast("long").alias("events"), F.array_join("locations", ",").alias("locations"), F.array_join("types", ",").alias("types"), "mode", F.col("links").cast("int").alias("links"))
 
 
 # ---- signals ----
@@ -128,7 +131,7 @@ def page_signals(spark, d):
         link, F.when(k % 3 == 0, '<img src="/sites/default/files/a.png"><b id="_wixCIDX">').otherwise(""), F.when(k % 2 == 0, '<link type="text/calendar" href="/feed.ics">').otherwise(""), F.when(k % 4 == 0, '<link rel="https://api.w.org/" href="/">').otherwise(""),
         F.lit('<script type="application/ld+json">{"@type": "Event", "location": {"@type": ["Place"]},}</script>'),
     )
-    found = signals.page_signals(table(spark, d, "pages").select("page_id", "url", F.concat(F.lit("<html>"), more).alias("html")), "page_id")
+    found = signals.page_signals(table(spark, d, "pages").select("page_id", "url", F.concat("html", more).alias("html")), "page_id")
     return found.select("page_id", *[F.array_join(c, ",").alias(c) for c in ("platforms", "cms", "ics", "types")], "wp")
 
 
@@ -137,7 +140,7 @@ def site_signals(spark, d):
     """Signals of a site's pages united, event types met."""
     k = F.col("page_id")
     html = F.concat(F.when(k % 2 == 0, '<a href="https://dice.fm/x">').otherwise('<a href="https://tixr.com/x">'), F.lit('<script type="application/ld+json">{"@type":"MusicEvent"}</script>'))
-    rows = table(spark, d, "pages").select(F.floor(k / 3).alias("host"), F.element_at(F.array(F.lit("landing"), F.lit("listing"), F.lit("detail")), (k % 3 + 1).cast("int")).alias("role"), "url", html.alias("html"))
+    rows = table(spark, d, "pages").select(F.floor(k / 3).alias("host"), F.element_at(F.array(F.lit("landing"), F.lit("listing"), F.lit("detail")), (k % 3 + 1).cast("int")).alias("role"), "url", F.concat("html", html).alias("html"))
     return signals.site_signals(signals.page_signals(rows, "host", "role")).select("host", F.array_join("platforms", ",").alias("platforms"), F.coalesce("jsonld_event", F.lit(False)).alias("jsonld_event"))
 
 
@@ -167,10 +170,11 @@ def _fed(df: DataFrame, feed: str) -> DataFrame:
     return feeds.TRANSFORMS[feed](df.withColumns({"source_id": F.lit(feed), "row_pos": F.col("event_id")}), ZONE).select("row_pos", F.coalesce("reject", F.concat_ws("/", "category", "subcategory")).alias("outcome"))
 
 
-def _raw(spark, d, feed: str, **columns) -> DataFrame:
+def _raw(spark, d, feed: str, rows: DataFrame | None = None, /, **columns) -> DataFrame:
     """Rows of a feed's schema, columns that are not given null."""
     names = [(f.name, f.dataType) for f in spark.createDataFrame([], feeds.SCHEMAS[feed]).schema.fields]
-    return table(spark, d, "events").select("event_id", *[(columns[n] if n in columns else F.lit(None)).cast(t).alias(n) for n, t in names])
+    rows = table(spark, d, "events") if rows is None else rows
+    return rows.select("event_id", *[(columns[n] if n in columns else F.lit(None)).cast(t).alias(n) for n, t in names if n != "event_id"])
 
 
 def K(name: str) -> F.Column:
@@ -256,11 +260,11 @@ def place_facets(spark, d):
     return facets.places(rows, facets.Facets(categories=["ECONOMY", "PROMO"], areas=["even"], routes=["A"], text="Ring")).select("id")
 
 
-@query("""WITH f AS (SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), 'an')) SELECT region, nation, count(*) OVER (PARTITION BY region) AS in_group FROM f""")
+@query("""WITH f AS (SELECT r_name AS region, n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(n_name), 'ion_1') AND r_name <> 'ASIA') SELECT region, nation, count(*) OVER (PARTITION BY region) AS in_group FROM f""")
 def option_search(spark, d):
     """Options by name, groups without any hidden."""
-    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"))
-    return facets.option_search(rows, "region", "nation", " An")
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("region"), F.when(F.col("r_name") == "ASIA", "none").otherwise(F.col("n_name")).alias("nation"))
+    return facets.option_search(rows, "region", "nation", " Ion_1")
 
 
 @query(LISTED + "SELECT category, count(*) AS n FROM listed WHERE neighborhood = 'n3' GROUP BY 1")

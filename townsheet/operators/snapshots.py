@@ -63,3 +63,13 @@ def two_keys(asks: DataFrame, by_id: DataFrame, by_host: DataFrame) -> DataFrame
     """The value found by numeric id, else by website host."""
     one = asks.join(by_id.select("osm_id", F.col("value").alias("_a")), "osm_id", "left").join(by_host.select("host", F.col("value").alias("_b")), "host", "left")
     return one.withColumn("value", F.coalesce("_a", "_b")).drop("_a", "_b")
+
+
+def run_warnings(registry_before: DataFrame, registry_now: DataFrame, fetches: DataFrame, source: str, most_failed: float = 0.2) -> DataFrame:
+    """(source, warning, n, of): registries with under half of last run's entries, and sources where over a fifth of fetches failed.
+
+    fetches: source, ok. A source that was not there before, or fetched nothing, warns of nothing.
+    """
+    halved = lost(registry_now, registry_before, source).where((F.col("before") > 0) & (F.col("now") * 2 < F.col("before")))
+    failed = fetches.groupBy(source).agg(F.count_if(~F.col("ok")).alias("n"), F.count("*").alias("of")).where(F.col("n") > F.col("of") * most_failed)
+    return halved.select(source, F.lit("registry halved").alias("warning"), F.col("now").alias("n"), F.col("before").alias("of")).unionByName(failed.select(source, F.lit("fetches failed").alias("warning"), "n", "of"))

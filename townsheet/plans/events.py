@@ -39,7 +39,9 @@ def build(rows: DataFrame, areas: DataFrame, register: DataFrame, gazetteer: Dat
     here = here.withColumn("id", times.event_id(F.col("slug"), F.col("start"), text.event_slug(F.col("title"))))
     incomplete = F.col("start").isNull() | (F.coalesce("title", F.lit("")) == "") | (F.coalesce("slug", F.lit("")) == "")
     here = here.withColumn("open", F.col("reject").isNull() & ~incomplete)
-    again = F.col("open") & (F.row_number().over(Window.partitionBy("open", "id").orderBy(*ORD)) > 1)
+    # only open rows compete for an id; the others are each alone, so incomplete ones do not meet in one task
+    rival = F.when(F.col("open"), F.col("id")).otherwise(F.concat(F.lit("-"), F.col("key").cast("string")))
+    again = F.col("open") & (F.row_number().over(Window.partitionBy(rival).orderBy(*ORD)) > 1)
     outcome = F.when(F.col("reject").isNotNull(), F.col("reject")).when(incomplete, "dropped_incomplete").when(again, "deduped").otherwise("kept")
     return here.select(
         "id", "title", text.blurb(F.col("description")).alias("description"), times.local_to_utc(F.col("start"), zone).alias("start_utc"), F.col("start").alias("start_local"), F.col("end").alias("end_local"),

@@ -404,11 +404,11 @@ def carried_rows(spark, d):
     return out
 
 
-@query("SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000")
+@query("SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_orderpriority FROM orders WHERE o_orderpriority < '3' AND o_totalprice > 100")
 def vanished_values(spark, d):
-    """G3."""
+    """Priorities that the second snapshot no longer has."""
     o = table(spark, d, "orders")
-    return snapshots.vanished(o.where("o_orderkey % 2 = 0"), o.where("o_orderstatus = 'P' and o_totalprice > 400000"), "o_orderpriority")
+    return snapshots.vanished(o.where("o_orderkey % 2 = 0"), o.where("o_orderpriority < '3' and o_totalprice > 100"), "o_orderpriority")
 
 
 # ---- hours, places ----
@@ -621,18 +621,22 @@ def trunk_order(spark, d):
     return lines.by_trunk(rows, ["R", "A"]).select("route", "stops", F.col("place").cast("long").alias("place"))
 
 
-@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+@query("SELECT s_suppkey AS id FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_suppkey % 7 <> 3)")
 def orphan_stations(spark, d):
-    """G4."""
-    served = table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("station"))
+    """Stations on no line."""
+    served = table(spark, d, "lineitem").where("l_quantity > 49 and l_suppkey % 7 <> 3").select(F.col("l_suppkey").alias("station"))
     return lines.orphans(_stations(spark, d).select("id"), served)
 
 
-@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE contains(lower(s_name), '#00000001')")
+@query("""WITH s AS (SELECT s_suppkey AS id, chr(CAST(65 + s_suppkey % 5 AS INT)) AS route, CASE s_suppkey % 4 WHEN 0 THEN 'Canal St' WHEN 1 THEN 'Old Bergen' WHEN 2 THEN 'New Canal' ELSE 'Xcanal' END AS name, CASE s_suppkey % 3 WHEN 0 THEN 'Canalside line' ELSE 'Main' END AS line FROM supplier)
+SELECT 'B' AS q, id FROM s WHERE route = 'B' UNION ALL SELECT 'ca', id FROM s WHERE name IN ('Canal St', 'New Canal') UNION ALL SELECT 'nal', id FROM s WHERE contains(lower(name), 'nal') UNION ALL SELECT 'Canal', id FROM s WHERE contains(lower(name), 'canal') OR contains(lower(line), 'canal')""")
 def stop_search(spark, d):
-    """Three letters or more look anywhere."""
-    rows = _stations(spark, d).select("id", "name", F.lit("x").alias("route"), F.lit("none").alias("line"))
-    return facets.stop_search(rows, "#00000001").select("id", "name")
+    """A route, the start of a word, any part, and over three letters the line's name as well."""
+    k = F.col("s_suppkey")
+    name = F.when(k % 4 == 0, "Canal St").when(k % 4 == 1, "Old Bergen").when(k % 4 == 2, "New Canal").otherwise("Xcanal")
+    rows = table(spark, d, "supplier").select(k.alias("id"), F.char(65 + k % 5).alias("route"), name.alias("name"), F.when(k % 3 == 0, "Canalside line").otherwise("Main").alias("line"))
+    found = [facets.stop_search(rows, q).select(F.lit(q).alias("q"), "id") for q in ("B", "ca", "nal", "Canal")]
+    return feeds.union(found)
 
 
 # ---- pages and calendars ----
@@ -712,10 +716,21 @@ def markup_events(spark, d):
 # ---- gates and the whole path ----
 
 
-@query(LISTED + "SELECT 'error' AS severity, 'out of vocabulary' AS rule, id AS key FROM listed UNION ALL SELECT 'error', 'missing neighborhood', id FROM listed WHERE false")
+FAULTY = LISTED + """, x AS (SELECT CASE WHEN k % 13 = 0 THEN 'twice' || (ord % 50) ELSE id END AS id, CASE WHEN k % 5 = 0 THEN '' ELSE title END AS title, CASE WHEN k % 7 = 0 THEN NULL ELSE venue_id END AS venue_id, CASE k % 4 WHEN 0 THEN 'music' WHEN 1 THEN 'music' WHEN 2 THEN 'nonsense' ELSE 'art' END AS category,
+ CASE k % 4 WHEN 0 THEN 'jazz' WHEN 1 THEN 'no such' WHEN 2 THEN 'jazz' ELSE 'jazz' END AS sub, k % 3 = 0 AS backwards, k % 2 = 0 AS free, CASE WHEN k % 6 = 0 THEN 4.0 WHEN k % 6 = 2 THEN 0.0 END AS price FROM listed) """
+
+
+@query(FAULTY + """SELECT 'error' AS severity, 'missing ' || CASE WHEN title = '' THEN 'title' ELSE 'venue_id' END AS rule, id AS key FROM x WHERE title = '' OR venue_id IS NULL UNION ALL SELECT 'error', 'out of vocabulary', id FROM x WHERE NOT (category = 'music' AND sub = 'jazz')
+UNION ALL SELECT 'warning', 'ends before it starts', id FROM x WHERE backwards UNION ALL SELECT 'error', 'free with a price', id FROM x WHERE free AND price > 0 UNION ALL SELECT 'error', 'duplicate id', id FROM x GROUP BY id HAVING count(*) > 1""")
 def structure_faults(spark, d):
-    """D15 J1."""
-    return quality.structure(listed(spark, d).withColumns({"subcategory": F.lit("x"), "is_free": F.lit(None).cast("boolean"), "price_min": F.lit(None).cast("double")}))
+    """Each of the five rules, the first missing field alone, and repeated ids once."""
+    k = F.col("k")
+    rows = listed(spark, d).withColumns({
+        "id": F.when(k % 13 == 0, F.concat(F.lit("twice"), (F.col("ord") % 50).cast("string"))).otherwise(F.col("id")), "title": F.when(k % 5 == 0, "").otherwise(F.col("title")), "venue_id": F.when(k % 7 != 0, F.col("venue_id")),
+        "category": F.when(k % 4 < 2, "music").when(k % 4 == 2, "nonsense").otherwise("art"), "subcategory": F.when(k % 4 == 1, "no such").otherwise("jazz"), "end_local": F.when(k % 3 == 0, F.col("start_local") - F.expr("interval 1 hour")).otherwise(F.col("end_local")),
+        "is_free": k % 2 == 0, "price_min": F.when(k % 6 == 0, 4.0).when(k % 6 == 2, 0.0),
+    })
+    return quality.structure(rows)
 
 
 @query(LISTED + "SELECT count(*) AS n, CASE WHEN count(*) < 25 THEN 'error' WHEN count(*) < 100 THEN 'warning' ELSE 'ok' END AS verdict FROM listed WHERE date_local BETWEEN '2024-01-15' AND '2024-01-21'")
@@ -801,12 +816,17 @@ def place_images(spark, d):
 
 
 @query(f"""WITH k AS (SELECT *, {KIND_SQL} AS kind, CASE WHEN p_size % 12 = 1 THEN p_name || ' improv' ELSE p_name END AS name, p_partkey * 91 % 1100 / 200.0 AS lat, p_partkey * 37 % 1100 / 200.0 AS lon FROM part), f AS (SELECT *, row_number() OVER (PARTITION BY name, round(lat, 4) ORDER BY p_partkey) AS rn FROM k WHERE kind IS NOT NULL),
-g AS (SELECT p_partkey, CAST(floor(lat) * 5 + floor(lon) AS INT) AS a, lon - floor(lon) AS fx, lat - floor(lat) AS fy, lat < 5 AND lon < 5 AS inside FROM f WHERE rn = 1)
-SELECT count(*) AS places, count(*) FILTER (inside AND NOT (a % 2 = 1 AND fx >= 0.25 AND fx < 0.75 AND fy >= 0.25 AND fy < 0.75)) AS in_area FROM g""")
+g AS (SELECT p_partkey, p_size, CAST(floor(lat) * 5 + floor(lon) AS INT) AS a, lon - floor(lon) AS fx, lat - floor(lat) AS fy, lat < 5 AND lon < 5 AS inside FROM f WHERE rn = 1)
+SELECT count(*) AS places, count(*) FILTER (p_size % 2 = 0) AS with_photo, count(*) FILTER (inside AND NOT (a % 2 = 1 AND fx >= 0.25 AND fx < 0.75 AND fy >= 0.25 AND fy < 0.75)) AS in_area, count(*) FILTER (p_size % 4 > 0) AS hours_stated, count(*) FILTER (p_size % 4 IN (1, 2)) AS hours_parsed FROM g""")
 def place_summary(spark, d):
-    """Elements to places."""
+    """Elements to places; photos, areas, hours stated and parsed."""
     stations = _stations(spark, d).select("id", (F.col("lat") - 40.5).alias("lat"), (F.col("lon") + 74.2).alias("lon"))
-    return places.summary(places.build(_elements(spark, d), _areas(spark, d), stations).withColumn("image", F.lit(None).cast("string"))).select("places", "in_area")
+    n = table(spark, d, "part").select("p_partkey", (F.col("p_size") % 4).alias("n"))
+    stated = F.when(F.col("n") == 1, "Mo-Fr 09:00-17:00").when(F.col("n") == 2, "24/7").when(F.col("n") == 3, "sunset-23:00")
+    elements = _elements(spark, d).join(n, F.col("ord") == F.col("p_partkey"))
+    elements = elements.withColumn("tags", F.when(F.col("n") > 0, F.map_concat("tags", F.create_map(F.lit("opening_hours"), stated))).otherwise(F.col("tags"))).drop("p_partkey", "n")
+    built_ = places.build(elements, _areas(spark, d), stations)
+    return places.summary(built_.withColumn("image", places.image_ref(F.col("tags"))))
 
 
 @query("""SELECT p_name AS name, CASE WHEN p_size % 5 = 0 OR p_size % 7 = 0 THEN 'invalid' ELSE 'superseded' END AS warning FROM part WHERE p_partkey % 9 = 0 AND (p_size % 5 = 0 OR p_size % 7 = 0 OR p_name IN (SELECT p_name FROM part WHERE p_partkey % 9 = 1 AND p_size > 40))""")
@@ -826,12 +846,16 @@ def city_suffix(spark, d):
     return table(spark, d, "pages").select("page_id", pages.city_listing(url, ["brooklyn", "new-york"]).alias("city"))
 
 
-@query(LINKS + """, e AS (SELECT page_id, link, length(regexp_replace(regexp_extract(link, '^https?://[^/]+([^?]*)', 1), '[^/]', '', 'g')) AS depth FROM l WHERE regexp_matches(lower(regexp_extract(link, '^https?://[^/]+([^?]*)', 1)), 'th|re'))
-SELECT page_id, arg_min(link, (depth, length(link), link)) AS listing FROM e GROUP BY 1""")
+@query(LINKS + """, e AS (SELECT page_id, link, length(regexp_replace(regexp_replace(regexp_extract(link, '^https?://[^/]+([^?]*)', 1), '/+$', ''), '[^/]', '', 'g')) AS depth FROM l WHERE regexp_matches(lower(regexp_extract(link, '^https?://[^/]+([^?]*)', 1)), 'th|re')),
+x AS (SELECT page_id, link, depth FROM e UNION ALL SELECT page_id, link || CASE WHEN page_id % 3 = 0 THEN '/there/on' ELSE '/there' END, depth + CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END FROM e WHERE page_id % 2 = 0), t AS (SELECT page_id, arg_min(link, (depth, length(link), link)) AS listing, min(depth) AS top FROM x GROUP BY 1)
+SELECT page_id, listing, arg_min(link, (length(link), link)) FILTER (depth > top) AS detail FROM t JOIN x USING (page_id) GROUP BY ALL""")
 def listing_pages(spark, d):
-    """the shallowest, shortest event-like link of each page."""
-    found = pages.links(table(spark, d, "pages"), "page_id")
-    return pages.listing_and_detail(found, "page_id", "th|re").select("page_id", "listing")
+    """the shallowest, shortest event-like link of each page as listing, the shortest deeper one as detail."""
+    found = pages.links(table(spark, d, "pages"), "page_id").select("page_id", "link")
+    # links of the saved pages go one level down; every other page gets links below its own
+    own = found.where(F.lower(F.parse_url("link", F.lit("PATH"))).rlike("th|re"))
+    below = own.where("page_id % 2 = 0").select("page_id", F.concat("link", F.when(F.col("page_id") % 3 == 0, "/there/on").otherwise("/there")).alias("link"))
+    return pages.listing_and_detail(found.unionByName(below), "page_id", "th|re")
 
 
 @query(LISTED + """, h AS (SELECT DISTINCT station AS area FROM listed) SELECT neighborhood AS area, count(*) AS n FROM listed WHERE neighborhood IS NOT NULL GROUP BY 1""")
@@ -886,4 +910,4 @@ def redetected_signals(spark, d):
     return pages.redetected(signals.page_signals(p, "page_id").select("page_id", "anchors"), p.select("page_id", (F.col("page_id") % 2 == 0).alias("ical")), "page_id", ["ical"])
 
 
-from townsheet import feed_queries, stored_queries  # noqa: E402, F401  (register more queries, which use the helpers above)
+from townsheet import feed_queries, stored_queries, whole_queries  # noqa: E402, F401  (register more queries, which use the helpers above)

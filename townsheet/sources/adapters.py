@@ -102,8 +102,10 @@ def calendar_venues(events: DataFrame, venues: DataFrame, key: str) -> DataFrame
     )
 
 
-def luma(events: DataFrame, calendars: DataFrame) -> DataFrame:
-    """Events of community calendars; calendars: calendar_id, calendar_name."""
+def luma(events: DataFrame, calendars: DataFrame, as_of: str | None = None, days: int = 90) -> DataFrame:
+    """Events of community calendars, those within the horizon if one is given; calendars: calendar_id, calendar_name."""
+    if as_of is not None:
+        events = events.where(_inside(F.date_format("start", "yyyy-MM-dd'T'HH:mm:ss"), as_of, days))
     fields = ("uid", "summary", "description", "location", "organizer", "status", "lat", "lon", "all_day")
     return calendars.join(events, "calendar_id").select("calendar_id", "calendar_name", *fields, _iso("start"), _iso("end"))
 
@@ -134,20 +136,29 @@ def drupal(pages: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def dice(events: DataFrame) -> DataFrame:
-    """Marked-up events (``pages.markup_events``) of ticket pages; events: city_slug and page_url besides."""
-    return events.select(
+def _inside(start: Column, as_of: str, days: int) -> Column:
+    """Whether a stated time, UTC where it states no offset, lies from a day before as_of to the horizon, both ends in."""
+    now = F.lit(f"{as_of}+00:00").cast("timestamp")
+    when = F.coalesce(F.try_to_timestamp(start), F.try_to_timestamp(F.concat(start, F.lit("+00:00"))))
+    return F.coalesce(when.between(now - F.make_interval(days=F.lit(1)), now + F.make_interval(days=F.lit(days))), F.lit(False))
+
+
+def dice(events: DataFrame, as_of: str | None = None, days: int = 90) -> DataFrame:
+    """Marked-up events (``pages.markup_events``) of ticket pages within the horizon; events: city_slug, page_url and lastmod besides."""
+    rows = events if as_of is None else events.where(_inside(F.col("start"), as_of, days))
+    lastmod = F.col("lastmod") if "lastmod" in events.columns else F.lit(None).cast("string")
+    return rows.select(
         F.coalesce("url", "page_url").alias("url"), "city_slug", F.col("title").alias("name"), "type", F.col("start").alias("startDate"), F.col("end").alias("endDate"), F.col("status").alias("eventStatus"), "description", F.col("venue").alias("venue_name"),
-        F.col("address").alias("venue_address"), "lat", "lon", "organizer", "image",
+        F.col("address").alias("venue_address"), "lat", "lon", "organizer", "image", lastmod.alias("lastmod"),
     )
 
 
 def jsonld(events: DataFrame, venues: DataFrame, key: str) -> DataFrame:
     """Marked-up events of venues' own pages.
 
-    A listing names the room of each event, so the event's name for it wins; detail pages belong to one
-    venue, so the registry's does. The venue's own point stands in only where the markup has neither
-    point nor address and the calendar names one room at most.
+    On listing pages the event's room is the venue, and the registry's name stands in; on detail pages it
+    is the other way round. A row with neither point nor address takes the registry's point, unless the
+    registry knows several rooms.
     """
     v = venues.select(key, *[F.col(c).alias(f"v_{c}") for c in ("host", "name", "venue_name", "mode", "url", "locations", "lat", "lon", "borough")])
     rows = events.join(v, key)
