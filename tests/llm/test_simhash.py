@@ -1,5 +1,6 @@
 import random
 
+import pytest
 import xxhash
 from helpers import ODD_ROWS, SCHEMA, WORD, write
 
@@ -160,3 +161,35 @@ def test_components_of_a_long_chain_and_a_star(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 91)) and all(got[i] == 1000 for i in [1000, *range(2000, 2100)]) and len(got) == 191
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def _meetings(rnd, strangers, pairs=150, bits=13):
+    """Pairs of sketches that share one part of four and differ in some bits of the others, among strangers of that part."""
+    nodes, wanted = [], set()
+    signed = lambda v: v - (1 << 64) if v >> 63 else v
+    for _ in range(pairs):
+        k, whole = rnd.randrange(4), rnd.getrandbits(128)
+        rest = [i for i in range(128) if i // 32 != k]
+        near = whole
+        for i in rnd.sample(rest, bits):
+            near ^= 1 << i
+        met = whole & (0xFFFFFFFF << 32 * k)
+        others = [rnd.getrandbits(128) & ~(0xFFFFFFFF << 32 * k) | met for _ in range(strangers)]
+        at = len(nodes)
+        some = [whole, near, *others]
+        order = list(range(len(some)))
+        rnd.shuffle(order)
+        nodes += [(at + o, signed(x & (1 << 64) - 1), signed(x >> 64)) for o, x in zip(order, some)]
+        wanted.add((min(at + order[0], at + order[1]), max(at + order[0], at + order[1])))
+    return nodes, wanted
+
+
+@pytest.mark.parametrize("strangers,least", [(0, 1.0), (10, 0.97), (80, 0.93)])
+def test_strangers_in_a_part_do_not_hide_pairs(spark, strangers, least):
+    """Recall falls little as the corpus, and so the number of unlike texts that meet in a part, grows."""
+    nodes, wanted = _meetings(random.Random(strangers), strangers)
+    frame = spark.createDataFrame(nodes, "node long, a long, b long")
+    found = {(r.low, r.high) for r in simhash.candidates(frame, 4).collect()}
+    assert len(wanted & found) >= least * len(wanted)
+    # of strangers, who differ in half the other 96 bits, few are candidates: one in a hundred is within APART by chance
+    assert len(found - wanted) <= 0.015 * 150 * (strangers + 2) * (strangers + 1) / 2

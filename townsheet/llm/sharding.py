@@ -41,32 +41,43 @@ def weight(node) -> float:
     return sum(map(weight, node.values())) if isinstance(node, dict) else float(node)
 
 
-def draw(key: Column, path: str, w: float) -> Column:
+def draw(key: Column, path: Column, w: Column) -> Column:
     """-ln(u) / w with u in (0, 1) from 52 bits of the hash of key and path."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 12)
-    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / F.lit(w)
-
-
-def _pick(key: Column, path: str, children: dict, then) -> Column:
-    """The result of ``then`` for the child with the smallest draw (of nodes that weigh something)."""
-    children = {c: node for c, node in children.items() if weight(node) > 0}
-    if not children:
-        raise ValueError(f"nothing at {path or 'the root'} has a weight")
-    if len(children) == 1:
-        ((child, node),) = children.items()
-        return then(f"{path}/{child}", child, node)
-    draws = F.array(*[F.struct(draw(key, f"{path}/{c}", weight(node)).alias("d"), F.lit(i).alias("i")) for i, (c, node) in enumerate(children.items())])
-    won = F.array_min(draws)["i"]
-    out = F.when(F.lit(False), F.lit(0))
-    for i, (c, node) in enumerate(children.items()):
-        out = out.when(won == i, then(f"{path}/{c}", c, node))
-    return out
+    bits = F.shiftrightunsigned(F.xxhash64(key, path), 12)
+    return -F.log((bits.cast("double") + 0.5) / F.lit(float(1 << 52))) / w
+
+
+def _levels(tree: Tree) -> list[list[list[tuple[str, float, int]]]]:
+    """For each level the children (path, weight, place) of every node; places are rows of the next level, or shards."""
+    levels, nodes = [], [("", tree)]
+    while nodes:
+        rows, below = [], []
+        for path, node in nodes:
+            some = {f"{path}/{c}": (c, sub) for c, sub in node.items() if weight(sub) > 0}
+            if not some:
+                raise ValueError(f"nothing at {path or 'the root'} has a weight")
+            row = []
+            for name, (c, sub) in some.items():
+                row.append((name, weight(sub), len(below) if isinstance(sub, dict) else int(c)))
+                if isinstance(sub, dict):
+                    below.append((name, sub))
+            rows.append(row)
+        levels.append(rows)
+        nodes = below
+    return levels
 
 
 def place(key: Column, tree: Tree) -> Column:
-    """The shard of a key."""
-    rack = lambda path, _, shards: _pick(key, path, shards, lambda _p, shard, _n: F.lit(int(shard)))
-    return _pick(key, "", tree, lambda path, _, racks: _pick(key, path, racks, rack)).cast("int")
+    """The shard of a key: level by level, the child with the smallest draw among those of the node reached.
+
+    A level's children are one constant table, and the node reached picks its row, so the expression
+    has a term a level, whatever the number of shards.
+    """
+    at = F.lit(0)
+    for rows in _levels(tree):
+        table = F.array(*[F.array(*[F.struct(F.lit(p).alias("path"), F.lit(w).alias("w"), F.lit(i).alias("at")) for p, w, i in row]) for row in rows])
+        at = F.array_min(F.transform(F.get(table, at), lambda c: F.struct(draw(key, c["path"], c["w"]).alias("d"), c["at"].alias("at"))))["at"]
+    return at.cast("int")
 
 
 def assign(docs: DataFrame, tree: Tree, grown: Tree | None = None) -> DataFrame:

@@ -16,7 +16,8 @@ one ball, and the ball's size is fixed.
 of five-word shingles have a Jaccard similarity of ``ALIKE`` or more, and keeps one row of each
 component. Texts so alike differ in about a tenth of the bits of a fingerprint, so theirs has 128
 bits (of distinct word pairs, as an edited word changes two of those but five shingles) in four
-parts, each part is a ball of its own, and whoever meets in one part is a candidate. Candidates are
+parts, each part is a ball of its own, and whoever meets in one part is compared with those whose whole
+sketch is nearest there (:func:`candidates`). Candidates are
 verified on their exact shingle sets: first each text's nearest one; pairs that a component joins by
 then need no test, and all the rest are tested after. Two texts that differ in scattered words at
 just 0.8 meet with a probability of about 0.9, at 0.9 of 0.98.
@@ -119,7 +120,7 @@ def shingles(words: list[bytes], width: int = WORDS) -> np.ndarray:
 
 
 def _sketches(rows: DataFrame) -> DataFrame:
-    """doc_id, one, two (the row's hashes), node (hash of its words) and the halves a and b of its sketch."""
+    """doc_id, one, two (the row's hashes), x, y (128 bits of its words) and the halves a and b of its sketch."""
     small_batches(rows.sparkSession)
 
     def run(batches):
@@ -127,35 +128,61 @@ def _sketches(rows: DataFrame) -> DataFrame:
             made = []
             for text in batch.column("text").to_pylist():
                 words = words_of(text)
-                made.append((xxhash.xxh3_64_intdigest(b" ".join(words)), *sketch(words)))
-            longs = np.array(made, np.uint64).reshape(-1, 3).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "one", "two")), *(pa.array(longs[:, i]) for i in range(3))], names=["doc_id", "one", "two", "node", "a", "b"])
+                bits = xxhash.xxh3_128_intdigest(b" ".join(words))
+                made.append((bits >> 64, bits & (1 << 64) - 1, *sketch(words)))
+            longs = np.array(made, np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "one", "two")), *(pa.array(longs[:, i]) for i in range(4))], names=["doc_id", "one", "two", "x", "y", "a", "b"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "one", "two", "text").mapInArrow(run, f"doc_id {kind}, one long, two long, node long, a long, b long")
+    return rows.select("doc_id", "one", "two", "text").mapInArrow(run, f"doc_id {kind}, one long, two long, x long, y long, a long, b long")
+
+
+#: Orders of the bits in which those that meet are sorted, and neighbours that each is paired with in one.
+ORDERS, NEAR = 8, 2
+
+
+def _turned(a: Column, b: Column, by: int) -> tuple[Column, Column]:
+    """The 128 bits of a and b, turned left by some bits."""
+    if by >= 64:
+        return _turned(b, a, by - 64)
+    if by == 0:
+        return a, b
+    left = lambda high, low: F.shiftleft(high, by).bitwiseOR(F.shiftrightunsigned(low, 64 - by))
+    return left(a, b), left(b, a)
 
 
 def candidates(nodes: DataFrame, n: int) -> DataFrame:
     """Pairs (low, high) of nodes whose sketches differ in two bits at most of some part, and in APART in all.
 
     A part's variants that keep its leading bits meet in one bucket, so they are made there; only the
-    variants with another lead travel by themselves.
+    variants with another lead travel by themselves. Unlike texts meet as well, the more the larger the
+    corpus (a part has 32 bits). So whoever meets is sorted by the whole sketch, in several orders of its
+    bits, and paired with the next ones: two alike sketches are neighbours in an order whose first bits
+    they share, and k strangers ask for log2(k) such bits only.
     """
     rest = 32 - LEAD
     part = F.element_at(F.array(*[F.shiftrightunsigned(c, s).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("a", "b") for s in (0, 32)]), F.col("k") + 1)
     one = lambda bits: F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in bits])
-    parts = nodes.select("node", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("k"), "a", "b").select("node", "k", part.alias("v"))
-    sent = parts.select("node", "k", "v", F.explode(one(range(rest, 32))).alias("flip")).select("node", (F.col("k") * (1 << LEAD) + F.shiftright(F.col("v").bitwiseXOR(F.col("flip")), rest)).alias("bucket"), F.col("v").bitwiseXOR(F.col("flip")).alias("v"), (F.col("flip") == 0).alias("home"))
+    parts = nodes.select("node", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("k")).select("node", "a", "b", "k", part.alias("v"))
+    sent = parts.select("node", "a", "b", "k", "v", F.explode(one(range(rest, 32))).alias("flip"))
+    sent = sent.select("node", "a", "b", (F.col("k") * (1 << LEAD) + F.shiftright(F.col("v").bitwiseXOR(F.col("flip")), rest)).alias("bucket"), F.col("v").bitwiseXOR(F.col("flip")).alias("v"), (F.col("flip") == 0).alias("home"))
     dealt = sent.repartition(n, "bucket")
     flips = F.when(F.col("home"), one(range(rest))).otherwise(F.array(F.lit(0).cast("long")))
-    variants = dealt.select("node", "bucket", "v", F.explode(flips).alias("flip")).select("node", "bucket", F.col("v").bitwiseXOR(F.col("flip")).alias("v"))
-    here = Window.partitionBy("bucket", "v").orderBy("node")
-    # of those that meet, each is paired with the first and with the one before it
-    met = variants.select("node", F.lag("node").over(here).alias("before"), F.first("node").over(here).alias("first")).where("before is not null and before <> node")
-    pairs = met.select(F.explode(F.array("before", "first")).alias("low"), F.col("node").alias("high")).distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), F.col("a").alias(f"a_{name}"), F.col("b").alias(f"b_{name}"))
-    apart = F.bit_count(F.col("a_low").bitwiseXOR(F.col("a_high"))) + F.bit_count(F.col("b_low").bitwiseXOR(F.col("b_high")))
-    return pairs.join(side("low"), "low").join(side("high"), "high").select("low", "high", apart.alias("apart")).where(F.col("apart") <= APART)
+    variants = dealt.select("node", "a", "b", "bucket", "v", F.explode(flips).alias("flip")).select("node", "a", "b", "bucket", F.col("v").bitwiseXOR(F.col("flip")).alias("v"))
+    here = Window.partitionBy("bucket", "v")
+    plain = here.orderBy("a", "b", "node")
+    # most variants meet nobody; the orders below sort what is left
+    met = variants.withColumn("alone", F.lag("node").over(plain).isNull() & F.lead("node").over(plain).isNull()).where("not alone").drop("alone")
+    me = F.struct("node", "a", "b")
+    others = []
+    for turn in range(ORDERS):
+        w = here.orderBy(*_turned(F.col("a"), F.col("b"), turn * 128 // ORDERS), "node")
+        for step in range(1, NEAR + 1):
+            met = met.withColumn(f"_{turn}_{step}", F.lead(me, step).over(w))
+            others.append(f"_{turn}_{step}")
+    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
+    pairs = met.select("node", "a", "b", F.explode(F.array_distinct(F.array_compact(F.array(*others)))).alias("o")).withColumn("apart", apart).where((F.col("apart") <= APART) & (F.col("node") != F.col("o.node")))
+    return pairs.select(F.least("node", "o.node").alias("low"), F.greatest("node", "o.node").alias("high"), "apart").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -176,7 +203,9 @@ def keep_one(docs: DataFrame, width: int = WORDS, least: float = ALIKE) -> DataF
     rows = marked.select("doc_id", "text", F.col(one).alias("one"), F.col(two).alias("two"))
     prints = _sketches(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "one", "two")).alias("first")
-    nodes = saved(prints.groupBy("node").agg(F.first("a").alias("a"), F.first("b").alias("b"), first), "nodes")
+    # texts of the same words are one node, known by 128 bits; its number is given as it is written
+    nodes = prints.groupBy("x", "y").agg(F.first("a").alias("a"), F.first("b").alias("b"), first).select(F.monotonically_increasing_id().alias("node"), "a", "b", "first")
+    nodes = saved(nodes, "nodes")
     pending = saved(candidates(nodes, partitions(spark)), "pairs")
     asked = pending.select(F.explode(F.array("low", "high")).alias("node")).distinct().join(nodes, "node").select("node", "first.one", "first.two")
 
