@@ -501,17 +501,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         places, where, names = places[~hit], where[~hit], [names[0][~hit]]
                     for to, d, *some in _split(where, doc[places], *names):
                         by_bucket.setdefault(to, [[]] * 5)
-                        by_bucket[to][kind] = [np.bincount(d, minlength=n), *some]
+                        by_bucket[to][kind] = [*np.unique(d, return_counts=True), *some]
                 ids = all_ids[at : at + n].to_pylist()
                 head = [np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "<i8"), sizes.astype("<i8"), known.astype("<i8"), base, total]
                 rows = [(-1 - (part * 1009 + number) % buckets, b"".join(x.tobytes() for x in head))]
-                rows += [(to, struct.pack("<IB", n, sum((len(x) > 0) << k for k, x in enumerate(found))) + _packed([x for f in found for x in f])) for to, found in by_bucket.items()]
+                rows += [(to, struct.pack("<B", sum((len(x) > 0) << k for k, x in enumerate(found))) + _packed([x for f in found for x in f])) for to, found in by_bucket.items()]
                 name = f"{part}-{number}"
                 number += 1
                 yield pa.RecordBatch.from_pydict({"batch": pa.array([name] * len(rows)), "bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Partial sums (known, base, score) of each batch from one bucket's tables."""
+        """Partial sums (text, known, base, score) of each batch from one bucket's tables, of the texts that have tokens there."""
         m = sent.value
         log = logs(m)
         stored = {k: [x.as_py() for x, kk in zip(right.column("payload"), right.column("kind").to_pylist()) if kk == k] for k in (0, 1)}
@@ -533,14 +533,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             if bucket < 0:
                 out.append((name, True, data))
                 continue
-            n, kinds = struct.unpack_from("<IB", data)
-            arrays = iter(_opened(data[5:]))
+            kinds = data[0]
+            arrays = iter(_opened(data[1:]))
+            asked = {k: [next(arrays) for _ in range(3 if k == 0 else 4)] for k in KINDS if kinds >> k & 1}
+            texts = np.unique(np.concatenate([x[0] for x in asked.values()]).astype(np.int64))
+            n = len(texts)
             known, base, total = np.zeros(n), np.zeros(n), np.zeros(n)
-            for kind in KINDS:
-                if not kinds >> kind & 1:
-                    continue
-                doc = np.repeat(np.arange(n), next(arrays).astype(np.int64))
-                names = [next(arrays).astype(np.uint64) for _ in range(1 if kind == 0 else 2)]
+            for kind, (used, counts, *names) in asked.items():
+                doc = np.repeat(np.searchsorted(texts, used.astype(np.int64)), counts.astype(np.int64))
+                names = [x.astype(np.uint64) for x in names]
                 c = _found(keys[kind], pairs[kind][-1], names[0] if kind == 0 else mixed(*names))
                 seen, part = c > 0, seen_part(log, c)
                 if kind in (2, 4):
@@ -563,7 +564,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     part = np.where(seen, 0.0, target)
                 total += np.bincount(doc, part, n)
-            out.append((name, False, np.stack([known, base, total]).astype("<f8").tobytes()))
+            out.append((name, False, _packed([texts, known.astype(np.int64), base, total])))
         return pa.table({"batch": pa.array([o[0] for o in out], pa.string()), "main": pa.array([o[1] for o in out], pa.bool_()), "sums": pa.array([o[2] for o in out], pa.binary())})
 
     def finish(rows: pa.Table) -> pa.Table:
@@ -572,8 +573,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         ids, nulls, sizes, known = np.frombuffer(main, "<i8", 4 * n).reshape(4, n)
         base, total = np.frombuffer(main, "<f8", 2 * n, 32 * n).reshape(2, n)
         # added in one order whatever order the rows came in
-        sums = sorted(x.as_py() for x, k in zip(rows.column("sums"), rows.column("main").to_pylist()) if not k)
-        more = np.sum([np.frombuffer(x, "<f8").reshape(3, n) for x in sums], axis=0) if sums else np.zeros((3, n))
+        more = np.zeros((3, n))
+        for x in sorted(x.as_py() for x, k in zip(rows.column("sums"), rows.column("main").to_pylist()) if not k):
+            texts, *sums = _opened(x)
+            for i in range(3):
+                more[i][texts] += sums[i]  # a text is there once
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known + np.rint(more[0]).astype(np.int64)), "base_score": pa.array(base + more[1]), "score": pa.array(total + more[2])})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "batch string, bucket int, payload binary")
