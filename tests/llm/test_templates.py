@@ -60,7 +60,7 @@ def brute(docs, items):
             for i, j, n in index.get(tuple(w[k : k + 8]), ()):
                 for strip in ((k - j) // 8 * 2, (k - j + 4) // 8 * 2 + 1):
                     lines.setdefault((i, strip, n), set()).add(j)
-        if any(len(v) >= min(6, math.ceil(key[2] * 0.4)) for key, v in lines.items()):
+        if any(len(v) >= min(6, math.ceil(key[2] * 0.3)) for key, v in lines.items()):
             out.add(d)
     return out
 
@@ -132,7 +132,14 @@ def test_one_word_changed_in_the_middle(spark, tmp_path):
     words = [f"word{chr(97 + i)}x" for i in range(20)]
     changed = " ".join([*words[:10], "other", *words[11:]])
     half = " ".join([*words[:10], *(f"else{chr(97 + i)}" for i in range(10))])
-    assert found(spark, tmp_path, [" ".join(words)], [f"a b {changed} c", f"a b {half} c"]) == {}
+    assert found(spark, tmp_path, [" ".join(words)], [f"a b {changed} c", f"a b {half} c"]) == {0: "0"}
+
+
+def test_a_word_changed_put_in_or_left_out_anywhere(spark, tmp_path):
+    """Items of 19 words or more are met wherever the edit is."""
+    words = [f"word{chr(97 + i)}x" for i in range(19)]
+    edits = [[*words[:i], "other", *words[i + 1 :]] for i in range(19)] + [[*words[:i], "other", *words[i:]] for i in range(20)] + [[*words[:i], *words[i + 1 :]] for i in range(19)]
+    assert found(spark, tmp_path, [" ".join(words)], [f"a b {' '.join(e)} c" for e in edits]) == dict.fromkeys(range(58), "0")
 
 
 def test_clean(spark):

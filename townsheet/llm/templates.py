@@ -9,9 +9,9 @@ with a name in one text alone, still agree. Windows of eight template tokens of
 An item without such a window gives all its windows; one of five to seven tokens is a window of its
 own length; a shorter one is met only by documents that consist of it. Hits of an item and a document
 count together if their diagonals (place in document minus place in item) lie within four of each
-other, so that inserted or dropped words do not part them. If they cover six windows, or four tenths
+other, so that inserted or dropped words do not part them. If they cover six windows, or three tenths
 of a shorter item's, they are a candidate (nine tenths of all in the plain reading, where no values
-are compared): the values at the item's placeholders are compared,
+are compared): an item of 19 words or more is met with one word changed anywhere. The values at the item's placeholders are compared,
 and the candidate stands if each of the item's values always meets one value in the document.
 Verbatim copies pass by nature; a re-parameterised question passes with other values. ``matches``
 gives (doc, item) rows, ``flag`` one row per document, ``clean`` drops the flagged ones.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from townsheet.llm.common import saved, sized, unused
 
 WINDOW, LITERALS, LEAST, SHORTEST = 8, 5, 6, 5
+#: Least share of an item's windows, where that is under LEAST of them.
+SHARE = 0.3
 #: Diagonals that count together: two of these overlapping strips.
 STRIP = 8
 #: Unit words, by kind: length, mass, volume, time, speed and data, money, share. Fixed values.
@@ -78,14 +80,46 @@ def read(texts: DataFrame, *keep: str) -> DataFrame:
     return named.select(*keep, tokens(F.col("template")).alias("t0"), tokens(F.col("typed")).alias("v0"), tokens(F.col("low")).alias("t1"), tokens(F.col("base")).alias("v1"))
 
 
-def _windows(t: Column, r: int, lengths: list[int]) -> Column:
-    """(place, hash) of all windows of the given lengths in reading r; a text under SHORTEST tokens is one window."""
-    n = F.size(t)
-    none = F.array().cast("array<struct<at:int,h:bigint>>")
-    one = lambda at, k: F.struct(at.cast("int").alias("at"), F.xxhash64(F.slice(t, at + 1, k), F.lit(r)).alias("h"))
-    of = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda at: one(at, k))).otherwise(none)
-    whole = F.when((n > 0) & (n < SHORTEST), F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(t, F.lit(r)).alias("h")))).otherwise(none)
-    return F.concat(whole, *[of(k) for k in lengths])
+def _joined(a: Column, b: Column, shift: int, *more: Column) -> Column:
+    """Hashes of windows made of a window of a and the one of b that begins ``shift`` tokens later."""
+    n = F.greatest(F.size(b) - shift, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(shift + 1), n), lambda x, y: F.xxhash64(x, y, *more))
+
+
+def hashed(texts: DataFrame, keep: list[str], readings: dict[str, Column], lengths: list[int]) -> DataFrame:
+    """keep, and for each reading (a column of tokens, and the number that tells it apart) and length k its ``t_k``.
+
+    That is the array of hashes of all windows of k tokens. Tokens are hashed once, and windows are put
+    together of windows of 1, 2 and 4, so that a window costs three short hashes and not eight tokens.
+    Steps are projections of their own; a window's hash depends on its tokens and its reading alone.
+    """
+    step = texts.select(*keep, *readings, *[F.transform(t, lambda x: F.xxhash64(x)).alias(f"{t}_one") for t in readings])
+    step = step.select("*", *[_joined(F.col(f"{t}_one"), F.col(f"{t}_one"), 1).alias(f"{t}_two") for t in readings])
+    step = step.select("*", *[_joined(F.col(f"{t}_two"), F.col(f"{t}_two"), 2).alias(f"{t}_four") for t in readings])
+    if 7 in lengths:
+        step = step.select("*", *[_joined(F.col(f"{t}_four"), F.col(f"{t}_two"), 4).alias(f"{t}_six") for t in readings])
+    ends = {5: ("four", "one", 4), 6: ("four", "two", 4), 7: ("six", "one", 6), 8: ("four", "four", 4)}
+    made = [_joined(F.col(f"{t}_{ends[k][0]}"), F.col(f"{t}_{ends[k][1]}"), ends[k][2], r).alias(f"{t}_{k}") for t, r in readings.items() for k in lengths]
+    return step.select(*keep, *readings, *made)
+
+
+def _all_windows(docs: DataFrame, lengths: list[int]) -> DataFrame:
+    """key, pos, h and starts: all windows of both readings in one array, and where each reading and length begins in it.
+
+    A text under SHORTEST tokens is one window, of length 0.
+    """
+    names = [(r, k) for r in (0, 1) for k in (0, *lengths)]
+    rows = hashed(read(docs, "key"), ["key"], {"t0": F.lit(0), "t1": F.lit(1)}, lengths)
+    none = F.array().cast("array<bigint>")
+    whole = [F.when((F.size(t) > 0) & (F.size(t) < SHORTEST), F.array(F.xxhash64(t, F.lit(r)))).otherwise(none).alias(f"{t}_0") for r, t in enumerate(("t0", "t1"))]
+    rows = rows.select("key", *whole, *[f"t{r}_{k}" for r, k in names if k])
+    at, starts = F.lit(0), []
+    for r, k in names:
+        starts.append(at)
+        at = at + F.size(f"t{r}_{k}")
+    rows = rows.select("key", F.array(*starts).alias("starts"), F.concat(*[F.col(f"t{r}_{k}") for r, k in names]).alias("every"))
+    # the outer form keeps the optimizer from copying the whole expression below into a filter
+    return rows.select("key", "starts", F.posexplode_outer("every").alias("pos", "h"))
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -99,17 +133,21 @@ def _item_windows(of: DataFrame) -> DataFrame:
     """h (of tokens and reading), tid, ipos, width and needed windows of every template."""
     n = F.size("t")
     width = F.when(n >= WINDOW, WINDOW).otherwise(n)
-    rows = of.dropDuplicates(["tid"]).select("tid", "r", "t", width.alias("width"))
-    rows = rows.select("tid", "r", "t", "width", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("ipos"))
+    lengths = list(range(SHORTEST, WINDOW + 1))
+    rows = hashed(of.dropDuplicates(["tid"]).select("tid", "r", "t", width.alias("width")), ["tid", "r", "width"], {"t": F.col("r")}, lengths)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("t") - F.col("width"))).alias("ipos"))
     window = F.slice("t", F.col("ipos") + 1, F.col("width"))
     literal = F.size(F.filter(window, lambda x: ~x.isin("@", "#", "$")))
-    rows = rows.select("tid", "r", "width", "ipos", F.xxhash64(window, F.col("r")).alias("h"), (literal >= LITERALS).alias("good"))
+    h = F.xxhash64("t", "r")
+    for k in lengths:
+        h = F.when(F.col("width") == k, F.get(f"t_{k}", F.col("ipos"))).otherwise(h)
+    rows = rows.select("tid", "r", "width", "ipos", h.alias("h"), (literal >= LITERALS).alias("good"))
     counts = rows.groupBy("tid").agg(F.count("*").alias("n"), F.count_if("good").alias("n_good"))
     kept = rows.join(counts, "tid").where("good or n_good = 0")
     # an item without a telling window has to be met in all of them
-    share = F.when(F.col("r") == 0, F.least(F.lit(LEAST), F.ceil(F.col("n_good") * 0.4))).otherwise(F.ceil(F.col("n_good") * 0.9))
+    share = F.when(F.col("r") == 0, F.least(F.lit(LEAST), F.ceil(F.col("n_good") * SHARE))).otherwise(F.ceil(F.col("n_good") * 0.9))
     needed = F.when(F.col("n_good") == 0, F.col("n")).otherwise(share)
-    return kept.select("h", "tid", "ipos", "width", needed.cast("int").alias("needed"))
+    return kept.select("h", "tid", "r", "ipos", "width", needed.cast("int").alias("needed"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -122,9 +160,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     probe = saved(_item_windows(of), "item-windows")
     lengths = sorted({WINDOW, *(r.width for r in probe.select("width").distinct().collect() if r.width >= SHORTEST)})  # four at most
     keyed = _keyed(docs)
-    # the outer form keeps the optimizer from copying the whole expression below into a filter
-    windows = read(keyed, "key").select("key", F.explode_outer(F.concat(*[_windows(F.col(f"t{r}"), r, lengths) for r in (0, 1)])).alias("w")).select("key", F.col("w.at").alias("dpos"), "w.h")
-    hits = windows.join(sized(probe), "h")
+    hits = _all_windows(keyed, lengths).join(sized(probe), "h")
+    # where a hit's reading and length begin among the windows of its text
+    row = F.when(F.col("width") < SHORTEST, 0).otherwise(F.array_position(F.array(*map(F.lit, lengths)), F.col("width"))).cast("int")
+    hits = hits.withColumn("dpos", F.col("pos") - F.get("starts", F.col("r") * (len(lengths) + 1) + row))
     # an item of under SHORTEST tokens is met by whole texts only, as only they have such a window
     strip = F.explode(F.array(F.floor((F.col("dpos") - F.col("ipos")) / STRIP) * 2, F.floor((F.col("dpos") - F.col("ipos") + STRIP // 2) / STRIP) * 2 + 1)).alias("strip")
     hits = hits.select("key", "tid", "needed", "width", "ipos", (F.col("dpos") - F.col("ipos")).alias("diagonal"), strip)
