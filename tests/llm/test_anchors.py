@@ -65,3 +65,58 @@ def test_texts_are_shuffled_once(spark, tmp_path):
         assert "ReusedExchange" in plan and plan.count("REPARTITION_BY_NUM") <= 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _by_bucket(packed) -> list[int]:
+    """Windows that each bucket is asked about."""
+    sizes: dict[int, int] = {}
+    for r in packed.where("not settled").collect():
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + len(anchors.unpack(bytes(r.payload))[2])
+    return list(sizes.values())
+
+
+def test_a_passage_in_a_third_of_all_texts(spark, tmp_path):
+    # at the head of some texts, in the middle of others; over many batches of one task, and many tasks
+    rnd = random.Random(3)
+    hot = " ".join(f"p{k}" for k in range(22))
+    rows = []
+    for i in range(9000):
+        own = [f"w{rnd.randint(0, 10**6)}" for _ in range(30)]
+        if i % 3 == 0:
+            at = 1 if i % 2 else rnd.randint(0, 30)
+            own[at:at] = hot.split()
+        rows.append((i, " ".join(own), "en", "s", 0))
+    rnd.shuffle(rows)
+    path = write(spark, rows, tmp_path)
+    for parts in (1, 3):
+        docs = spark.read.parquet(f"{path}/documents.parquet").coalesce(parts)
+        got = anchors.dedup(docs).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+        assert sorted(map(tuple, got), key=str) == brute([r[:2] for r in rows])
+    buckets = 64
+    keyed = docs.selectExpr("doc_id", "doc_id as id", "text", "xxhash64(doc_id, text) as key")
+    asked = anchors.probes(keyed, 13, buckets)
+    sizes = _by_bucket(asked)
+    assert max(sizes) <= 2 * sum(sizes) / buckets
+    found = anchors.hits(asked, 13, buckets)
+    sizes = _by_bucket(anchors.extensions(keyed, found, 13, buckets))
+    # each task asks about the texts of its least ids alone, of 3,000 that hold these windows
+    assert max(sizes) < 300
+
+
+def test_what_a_task_forgets_is_sent_again(monkeypatch):
+    monkeypatch.setattr(anchors, "MET", 4)
+    met = anchors._Met()
+    owner, h, block = np.repeat([1, 2], 6), np.tile(np.arange(6, dtype=np.uint64), 2), np.ones(12, bool)
+    sent, hit = anchors.settle_blocks(owner, block, h, met)
+    assert sent.sum() == 12 and not hit.any()  # two owners each, a window of both goes
+    sent, hit = anchors.settle_blocks(owner + 5, block, h, met)
+    assert not sent.any() and hit.all()
+    anchors.settle_blocks(np.array([1, 2]), np.ones(2, bool), np.array([9, 9], np.uint64), met)
+    sent, hit = anchors.settle_blocks(owner, block, h, met)
+    assert sent.sum() == 12 and not hit.any()
+    met, check = anchors._Met(), np.zeros(12, np.uint64)
+    sent, gone = anchors.settle_windows(owner, h, check, met)
+    assert (gone == (owner == 2)).all() and (sent == ~gone).all()
+    assert anchors.settle_windows(owner[:6], h[:6], check[:6], met)[0].all()
+    assert anchors.settle_windows(owner[:6] + 1, h[:6], check[:6], met)[1].all()
+    assert anchors.settle_windows(owner[:6] + 1, h[:6], check[:6] + np.uint64(1), met)[0].all()  # another window

@@ -4,8 +4,8 @@ A window of 13 words that starts in two documents holds, in each, one of that do
 7 words at places 0, 7, 14 and so on (13 = 2 x 7 - 1). The operator therefore
 
 1. hashes every rolling window of 7 words of every document, dealt into buckets by hash; those at
-   block places are the index, all of them are probes; hits are hashes that two documents hold, one
-   of them at a block place;
+   block places are the index, all of them are probes; hits are blocks that another document holds
+   at any place. A document is found by its own blocks, so other windows need no answer;
 2. extends each hit to the 13-word windows around it and deals those, with 80 hash bits, into
    buckets; a window is repeated if a document with a smaller id holds it. Overlapping repeated
    windows are the maximal repeats;
@@ -13,13 +13,19 @@ A window of 13 words that starts in two documents holds, in each, one of that do
 
 Hashes travel packed: a row holds all of one batch for one bucket (four bytes a window, and gaps),
 so that shuffling every rolling window costs about six bytes of disk. A short hash can only add
-candidates, which step 2 then drops. Groups are summarised by minimum and maximum, never paired, and
-a passage in a third of all documents costs as many entries as it has places.
+candidates, which step 2 then drops. Groups are summarised by minimum and maximum, never paired.
+
+A task settles what its own texts show before anything is dealt. A block that two of its documents
+hold is a hit: two windows tell the bucket of it, and later ones are sent nowhere. A window that a
+smaller id of the task holds is repeated: only those of the least id are asked about. So a passage in
+a third of all documents costs a few entries a task, and not one a place. What a task settles
+depends on which texts it reads together: a task that is run again has to read the same rows in the
+same order, as it does from files; give a table and not the result of a shuffle.
 
 Defined results: null texts and texts under 13 words lose nothing; a null doc_id counts as greater
 than any id; rows with one id do not count against each other; an empty table gives an empty one.
 Extra columns are ignored. Memory is a batch, or a bucket: the number of buckets follows the bytes of
-text. Windows count as equal if 80 bits of two unrelated hashes are.
+text. Rows that share the least id of a passage (ids given many times, or null) are all asked about. Windows count as equal if 80 bits of two unrelated hashes are.
 """
 
 from __future__ import annotations
@@ -29,6 +35,7 @@ from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +46,8 @@ WINDOW = 13
 WORDS, KEEP = 300_000, 60_000
 #: Bytes of text that a bucket is made for.
 BUCKET_BYTES = 64 << 20
+#: Settled hashes that a task keeps in mind.
+MET = 1 << 18
 LAST = (1 << 63) - 1
 _BASE, _BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -140,11 +149,94 @@ def _deal(keys, ids, docs, places, hashes, checks, short: bool, buckets: int):
         yield int((hashes[some[0]] >> np.uint64(32)) % np.uint64(buckets)), pack(keys, ids, docs[some], places[some], h, checks[some] if len(checks) else checks)
 
 
-def _packed_rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
-
-
-PACKED, PLACES = "bucket int, payload binary", "key long, id long, places binary"
+class _Met:
+    """What a task has settled, by sorted hash, with a value and a check each.
+
+    Beyond a bound it forgets what the last piece lacked, which only has windows sent again.
+    """
+
+    def __init__(self):
+        self.hashes, self.values, self.checks = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash would stand, and whether it is there."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def note(self, hashes: np.ndarray, values: np.ndarray, checks: np.ndarray) -> None:
+        """Sorted hashes of the last piece, in place of what was held for them."""
+        hashes, first = np.unique(hashes, return_index=True)
+        values, checks = values[first], checks[first]
+        if len(hashes) + len(self.hashes) <= MET:
+            old = ~np.isin(self.hashes, hashes, assume_unique=True)
+            hashes, values, checks = np.r_[hashes, self.hashes[old]], np.r_[values, self.values[old]], np.r_[checks, self.checks[old]]
+            order = np.argsort(hashes)
+            hashes, values, checks = hashes[order], values[order], checks[order]
+        self.hashes, self.values, self.checks = hashes, values, checks
+
+
+def settle_blocks(owner: np.ndarray, block: np.ndarray, h: np.ndarray, met: _Met) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a piece go to their bucket, and which are hits already.
+
+    Of a hash that one document holds, its blocks go, or its first window if it has none; of one
+    that several hold, a window each of the least and the greatest, once a task.
+    """
+    sent, hit = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    if not len(h):
+        return sent, hit
+    order = np.argsort(h, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
+    sizes = np.diff(np.r_[starts, len(h)])
+    hashes, owners, blocks = h[order][starts], owner[order], block[order]
+    least, greatest = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
+    _, known = met.find(hashes)
+    several = known | (least != greatest)
+    hit[order] = np.repeat(several, sizes) & blocks
+    alone, indexed = ~several, np.maximum.reduceat(blocks.view(np.int8), starts) > 0
+    sent[order] = np.repeat(alone, sizes) & blocks
+    sent[order[starts[alone & ~indexed]]] = True
+    new = several & ~known
+    if new.any():
+        some = order[np.repeat(new, sizes)]
+        n = sizes[new]
+        at = np.cumsum(n) - n
+        for edge in (least, greatest):
+            sent[np.minimum.reduceat(np.where(owner[some] == np.repeat(edge[new], n), some, len(h)), at)] = True
+    held = hashes[several]
+    met.note(held, np.zeros(len(held), np.int64), np.zeros(len(held), np.uint64))
+    return sent, hit & ~sent
+
+
+def settle_windows(owner: np.ndarray, h: np.ndarray, check: np.ndarray, met: _Met) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows of a piece go to their bucket, and which a smaller id of the task holds already."""
+    if not len(h):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    order = np.lexsort((check, h))
+    starts = np.flatnonzero(np.r_[True, (np.diff(h[order]) != 0) | (np.diff(check[order]) != 0)])
+    sizes = np.diff(np.r_[starts, len(h)])
+    hashes, checks, owners = h[order][starts], check[order][starts].astype(np.uint64), owner[order]
+    least, greatest = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
+    at, known = met.find(hashes)
+    if known.any():
+        known &= met.checks[at] == checks
+        least = np.where(known, np.minimum(least, met.values[at] if len(met.values) else least), least)
+    gone = np.zeros(len(h), bool)
+    gone[order] = owners > np.repeat(least, sizes)
+    held = known | (least != greatest)
+    met.note(hashes[held], least[held], checks[held])
+    return ~gone, gone
+
+
+def _packed_rows(rows: list[tuple[int, bytes]], settled: pa.Table) -> pa.RecordBatch:
+    """Windows by their buckets, and settled places by the buckets of their documents."""
+    rows = [(b, False, p) for b, p in rows] + [(b, True, p) for b, p in zip(*(settled.column(c).to_pylist() for c in ("bucket", "payload")))]
+    bucket, done, payload = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "settled": pa.array(done, pa.bool_()), "payload": pa.array(payload, pa.binary())})
+
+
+PACKED, SENT, PLACES = "bucket int, settled boolean, payload binary", "bucket int, payload binary", "key long, id long, places binary"
 
 
 def _block(window: int) -> int:
@@ -155,6 +247,7 @@ def probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     width = _block(window)
 
     def run(batches):
+        met = _Met()
         for batch in batches:
             all_keys = batch.column("key").to_numpy()
             for at, lists in _pieces(batch):
@@ -166,9 +259,9 @@ def probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 fits = place[: len(h)] + width <= sizes[doc[: len(h)]]
                 h, doc, place = h[fits], doc[: len(fits)][fits], place[: len(fits)][fits]
                 keys = all_keys[at : at + len(lists)]
-                rows = list(_deal(keys, keys, doc, place, h, np.empty(0, "<u2"), True, buckets))
-                if rows:
-                    yield _packed_rows(rows)
+                sent, hit = settle_blocks(keys[doc], place % width == 0, h, met)
+                rows = list(_deal(keys, keys, doc[sent], place[sent], h[sent], np.empty(0, "<u2"), True, buckets))
+                yield _packed_rows(rows, _sent_places(keys, keys, doc[hit], place[hit], buckets))
 
     return docs.select("key", "text").mapInArrow(run, PACKED)
 
@@ -210,22 +303,32 @@ def _gathered(sent: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(run, PLACES)
 
 
+def _judged(packed: DataFrame, judge) -> DataFrame:
+    """Places that a bucket's windows prove, beside those that were settled before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asked, done = table.filter(pc.invert(table["settled"])), table.filter(table["settled"]).select(["bucket", "payload"])
+        return pa.concat_tables([done, judge(asked)]) if asked.num_rows else done
+
+    return _gathered(packed.groupBy("bucket").applyInArrow(run, SENT))
+
+
 def hits(packed: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Places of block-length windows that two documents hold, one at a block place."""
+    """Places of blocks that another document holds."""
     width = _block(window)
 
-    def run(table: pa.Table) -> pa.Table:
+    def judge(table: pa.Table) -> pa.Table:
         keys, _, docs, places, h, _ = _opened(table)
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
         owner = keys[docs[order]]
         shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
-        indexed = np.maximum.reduceat((places[order] % width == 0).astype(np.int8), starts) > 0
         hit = np.zeros(len(h), bool)
-        hit[order] = np.repeat(shared & indexed, np.diff(np.r_[starts, len(h)]))
+        hit[order] = np.repeat(shared, np.diff(np.r_[starts, len(h)]))
+        hit &= places % width == 0
         return _sent_places(keys, keys, docs[hit], places[hit], buckets)
 
-    return _gathered(packed.groupBy("bucket").applyInArrow(run, PACKED))
+    return _judged(packed, judge)
 
 
 def _marked(n: int, stored: list[bytes], before: int, after: int) -> np.ndarray:
@@ -242,6 +345,7 @@ def extensions(docs: DataFrame, found: DataFrame, window: int, buckets: int) ->
     width = _block(window)
 
     def run(batches):
+        met = _Met()
         for batch in batches:
             all_keys, all_ids, stored = batch.column("key").to_numpy(), batch.column("id").to_numpy(), batch.column("places")
             for at, lists in _pieces(batch):
@@ -259,16 +363,21 @@ def extensions(docs: DataFrame, found: DataFrame, window: int, buckets: int) ->
                         checks.append((rolling(CHECK_HASHES.of([words], len(words)), window, _BASE2)[near] >> np.uint64(48)).astype("<u2"))
                 if doc:
                     keys, ids = all_keys[at : at + len(lists)], all_ids[at : at + len(lists)]
-                    yield _packed_rows(list(_deal(keys, ids, *map(np.concatenate, (doc, place, hashes, checks)), False, buckets)))
+                    doc, place, hashes, checks = map(np.concatenate, (doc, place, hashes, checks))
+                    sent, gone = settle_windows(ids[doc], hashes, checks, met)
+                    rows = list(_deal(keys, ids, doc[sent], place[sent], hashes[sent], checks[sent], False, buckets))
+                    yield _packed_rows(rows, _sent_places(keys, ids, doc[gone], place[gone], buckets))
 
-    # doc_id comes along so that this join and the last one read the same shuffle
-    return docs.join(found.select("key", "places"), "key").select("key", "id", "text", "places", "doc_id").mapInArrow(run, PACKED)
+    # doc_id comes along so that this join and the last one read the same shuffle; in one order, as a
+    # task that is run again has to settle the same windows
+    near = docs.join(found.select("key", "places"), "key").select("key", "id", "text", "places", "doc_id")
+    return near.sortWithinPartitions("key").mapInArrow(run, PACKED)
 
 
 def repeated(packed: DataFrame, buckets: int) -> DataFrame:
     """Places of windows that a document with a smaller id holds."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def judge(table: pa.Table) -> pa.Table:
         keys, ids, docs, places, h, check = _opened(table)
         order = np.lexsort((check, h))
         new = (np.diff(h[order]) != 0) | (np.diff(check[order]) != 0)
@@ -279,7 +388,7 @@ def repeated(packed: DataFrame, buckets: int) -> DataFrame:
         gone[order] = owner > least
         return _sent_places(keys, ids, docs[gone], places[gone], buckets)
 
-    return _gathered(packed.groupBy("bucket").applyInArrow(run, PACKED))
+    return _judged(packed, judge)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
