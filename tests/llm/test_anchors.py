@@ -54,6 +54,13 @@ def test_pack_round_trip():
     assert (k[d] == keys[docs]).all() and (i[d] == ids[docs]).all() and (p == places).all() and (h2 == h).all() and (c2 == c).all()
 
 
+def test_told_round_trip():
+    hashes = np.random.default_rng(2).integers(0, 1 << 64, 5000, np.uint64)
+    hashes[:2] = 0, (1 << 64) - 1
+    got = {(b, x) for b, data in anchors._told(hashes, 7) for x in anchors.untold(data).tolist()}
+    assert got == {((x >> 32) % 7, x & 0xFFFFFFFF) for x in hashes.tolist()}
+
+
 def test_texts_are_shuffled_once(spark, tmp_path):
     passage = " ".join(map(str, range(40)))
     path = write(spark, ODD_ROWS + [(50 + i, f"{i} {passage} {i}", "en", "s", 0) for i in range(9)], tmp_path)
@@ -68,10 +75,11 @@ def test_texts_are_shuffled_once(spark, tmp_path):
 
 
 def _by_bucket(packed) -> list[int]:
-    """Windows that each bucket is asked about."""
+    """Windows that each bucket is asked about or told of."""
     sizes: dict[int, int] = {}
-    for r in packed.where("not settled").collect():
-        sizes[r.bucket] = sizes.get(r.bucket, 0) + len(anchors.unpack(bytes(r.payload))[2])
+    for r in packed.where(f"kind != {anchors.SETTLED}").collect():
+        data = bytes(r.payload)
+        sizes[r.bucket] = sizes.get(r.bucket, 0) + len(anchors.untold(data) if r.kind == anchors.TOLD else anchors.unpack(data)[2])
     return list(sizes.values())
 
 
@@ -97,7 +105,7 @@ def test_a_passage_in_a_third_of_all_texts(spark, tmp_path):
     asked = anchors.probes(keyed, 13, buckets)
     sizes = _by_bucket(asked)
     assert max(sizes) <= 2 * sum(sizes) / buckets
-    found = anchors.hits(asked, 13, buckets)
+    found = anchors.hits(asked, buckets)
     sizes = _by_bucket(anchors.extensions(keyed, found, 13, buckets))
     # each task asks about the texts of its least ids alone, of 3,000 that hold these windows
     assert max(sizes) < 300
@@ -107,13 +115,13 @@ def test_what_a_task_forgets_is_sent_again(monkeypatch):
     monkeypatch.setattr(anchors, "MET", 4)
     met = anchors._Met()
     owner, h, block = np.repeat([1, 2], 6), np.tile(np.arange(6, dtype=np.uint64), 2), np.ones(12, bool)
-    sent, hit = anchors.settle_blocks(owner, block, h, met)
-    assert sent.sum() == 12 and not hit.any()  # two owners each, a window of both goes
-    sent, hit = anchors.settle_blocks(owner + 5, block, h, met)
-    assert not sent.any() and hit.all()
+    asked, hit, told = anchors.settle_blocks(owner, block, h, met)
+    assert not asked.any() and hit.all() and told.tolist() == list(range(6))  # two owners each
+    asked, hit, told = anchors.settle_blocks(owner[:6], block[:6], h[:6], met)
+    assert not asked.any() and hit.all() and not len(told)
     anchors.settle_blocks(np.array([1, 2]), np.ones(2, bool), np.array([9, 9], np.uint64), met)
-    sent, hit = anchors.settle_blocks(owner, block, h, met)
-    assert sent.sum() == 12 and not hit.any()
+    asked, hit, told = anchors.settle_blocks(owner[:6], h[:6] < 3, h[:6], met)
+    assert asked.tolist() == [True] * 3 + [False] * 3 and not hit.any() and told.tolist() == [3, 4, 5]
     met, check = anchors._Met(), np.zeros(12, np.uint64)
     sent, gone = anchors.settle_windows(owner, h, check, met)
     assert (gone == (owner == 2)).all() and (sent == ~gone).all()

@@ -11,12 +11,12 @@ A window of 13 words that starts in two documents holds, in each, one of that do
    windows are the maximal repeats;
 3. removes the words that repeated windows cover.
 
-Hashes travel packed: a row holds all of one batch for one bucket (four bytes a window, and gaps),
-so that shuffling every rolling window costs about six bytes of disk. A short hash can only add
+Hashes travel packed: a row holds all of one batch for one bucket. A block asks with its document
+and place; any other window tells its hash alone, sorted, by differences. A short hash can only add
 candidates, which step 2 then drops. Groups are summarised by minimum and maximum, never paired.
 
 A task settles what its own texts show before anything is dealt. A block that two of its documents
-hold is a hit: two windows tell the bucket of it, and later ones are sent nowhere. A window that a
+hold is a hit: one window tells the bucket of it, and later ones are sent nowhere. A window that a
 smaller id of the task holds is repeated: only those of the least id are asked about. So a passage in
 a third of all documents costs a few entries a task, and not one a place. What a task settles
 depends on which texts it reads together: a task that is run again has to read the same rows in the
@@ -177,36 +177,28 @@ class _Met:
         self.hashes, self.values, self.checks = hashes, values, checks
 
 
-def settle_blocks(owner: np.ndarray, block: np.ndarray, h: np.ndarray, met: _Met) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of a piece go to their bucket, and which are hits already.
+def settle_blocks(owner: np.ndarray, block: np.ndarray, h: np.ndarray, met: _Met) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which windows of a piece ask their bucket, which are hits already, and the hashes that are told.
 
-    Of a hash that one document holds, its blocks go, or its first window if it has none; of one
-    that several hold, a window each of the least and the greatest, once a task.
+    Of a hash that one document holds, its blocks ask, or the hash is told if it has none; so a told
+    hash is never that of a block of the same document. One that several hold is told once a task.
     """
-    sent, hit = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    asked, hit = np.zeros(len(h), bool), np.zeros(len(h), bool)
     if not len(h):
-        return sent, hit
-    order = np.argsort(h, kind="stable")
+        return asked, hit, h
+    order = np.argsort(h)
     starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
     sizes = np.diff(np.r_[starts, len(h)])
     hashes, owners, blocks = h[order][starts], owner[order], block[order]
-    least, greatest = np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
+    several = np.minimum.reduceat(owners, starts) != np.maximum.reduceat(owners, starts)
+    indexed = np.maximum.reduceat(blocks.view(np.int8), starts) > 0
     _, known = met.find(hashes)
-    several = known | (least != greatest)
+    several |= known
     hit[order] = np.repeat(several, sizes) & blocks
-    alone, indexed = ~several, np.maximum.reduceat(blocks.view(np.int8), starts) > 0
-    sent[order] = np.repeat(alone, sizes) & blocks
-    sent[order[starts[alone & ~indexed]]] = True
-    new = several & ~known
-    if new.any():
-        some = order[np.repeat(new, sizes)]
-        n = sizes[new]
-        at = np.cumsum(n) - n
-        for edge in (least, greatest):
-            sent[np.minimum.reduceat(np.where(owner[some] == np.repeat(edge[new], n), some, len(h)), at)] = True
+    asked[order] = np.repeat(~several, sizes) & blocks
     held = hashes[several]
     met.note(held, np.zeros(len(held), np.int64), np.zeros(len(held), np.uint64))
-    return sent, hit & ~sent
+    return asked, hit, hashes[np.where(several, ~known, ~indexed)]
 
 
 def settle_windows(owner: np.ndarray, h: np.ndarray, check: np.ndarray, met: _Met) -> tuple[np.ndarray, np.ndarray]:
@@ -229,14 +221,31 @@ def settle_windows(owner: np.ndarray, h: np.ndarray, check: np.ndarray, met: _Me
     return ~gone, gone
 
 
-def _packed_rows(rows: list[tuple[int, bytes]], settled: pa.Table) -> pa.RecordBatch:
-    """Windows by their buckets, and settled places by the buckets of their documents."""
-    rows = [(b, False, p) for b, p in rows] + [(b, True, p) for b, p in zip(*(settled.column(c).to_pylist() for c in ("bucket", "payload")))]
-    bucket, done, payload = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "settled": pa.array(done, pa.bool_()), "payload": pa.array(payload, pa.binary())})
+#: What a packed row holds: windows that ask, hashes that are told, places that are settled.
+ASKED, TOLD, SETTLED = range(3)
+PACKED, SENT, PLACES = "bucket int, kind int, payload binary", "bucket int, payload binary", "key long, id long, places binary"
+
+
+def _told(hashes: np.ndarray, buckets: int):
+    """A row for each bucket that is told hashes: the lower halves in order, as differences."""
+    both = (((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+    both.sort()
+    cuts = np.flatnonzero(np.diff(both >> np.uint64(32))) + 1
+    for some in np.split(both, cuts) if len(both) else []:
+        low = (some & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        yield int(some[0] >> np.uint64(32)), _planes(np.diff(low, prepend=0))
 
 
-PACKED, SENT, PLACES = "bucket int, settled boolean, payload binary", "bucket int, payload binary", "key long, id long, places binary"
+def untold(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplaned(data, len(data) // 4, 0)).astype("<u4")
+
+
+def _packed_rows(asked, told, settled: pa.Table) -> pa.RecordBatch:
+    """Windows and hashes by their buckets, and settled places by the buckets of their documents."""
+    done = zip(*(settled.column(c).to_pylist() for c in ("bucket", "payload")))
+    rows = [(b, kind, p) for kind, some in ((ASKED, asked), (TOLD, told), (SETTLED, done)) for b, p in some]
+    bucket, kind, payload = zip(*rows) if rows else ((), (), ())
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket, pa.int32()), "kind": pa.array(kind, pa.int32()), "payload": pa.array(payload, pa.binary())})
 
 
 def _block(window: int) -> int:
@@ -259,9 +268,9 @@ def probes(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 fits = place[: len(h)] + width <= sizes[doc[: len(h)]]
                 h, doc, place = h[fits], doc[: len(fits)][fits], place[: len(fits)][fits]
                 keys = all_keys[at : at + len(lists)]
-                sent, hit = settle_blocks(keys[doc], place % width == 0, h, met)
-                rows = list(_deal(keys, keys, doc[sent], place[sent], h[sent], np.empty(0, "<u2"), True, buckets))
-                yield _packed_rows(rows, _sent_places(keys, keys, doc[hit], place[hit], buckets))
+                ask, hit, told = settle_blocks(keys[doc], place % width == 0, h, met)
+                asked = _deal(keys, keys, doc[ask], place[ask], h[ask], np.empty(0, "<u2"), True, buckets)
+                yield _packed_rows(asked, _told(told, buckets), _sent_places(keys, keys, doc[hit], place[hit], buckets))
 
     return docs.select("key", "text").mapInArrow(run, PACKED)
 
@@ -304,28 +313,30 @@ def _gathered(sent: DataFrame) -> DataFrame:
 
 
 def _judged(packed: DataFrame, judge) -> DataFrame:
-    """Places that a bucket's windows prove, beside those that were settled before."""
+    """Places that a bucket's rows prove, beside those that were settled before."""
 
     def run(table: pa.Table) -> pa.Table:
-        asked, done = table.filter(pc.invert(table["settled"])), table.filter(table["settled"]).select(["bucket", "payload"])
-        return pa.concat_tables([done, judge(asked)]) if asked.num_rows else done
+        asked, told, done = (table.filter(pc.equal(table["kind"], kind)).select(["bucket", "payload"]) for kind in (ASKED, TOLD, SETTLED))
+        return pa.concat_tables([done, judge(asked, told)]) if asked.num_rows else done
 
     return _gathered(packed.groupBy("bucket").applyInArrow(run, SENT))
 
 
-def hits(packed: DataFrame, window: int, buckets: int) -> DataFrame:
-    """Places of blocks that another document holds."""
-    width = _block(window)
+def hits(packed: DataFrame, buckets: int) -> DataFrame:
+    """Places of blocks that another document holds: told by it, or asked about by it as well."""
 
-    def judge(table: pa.Table) -> pa.Table:
-        keys, _, docs, places, h, _ = _opened(table)
+    def judge(asked: pa.Table, told: pa.Table) -> pa.Table:
+        keys, _, docs, places, h, _ = _opened(asked)
         order = np.argsort(h, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(h[order]) != 0])
         owner = keys[docs[order]]
         shared = np.minimum.reduceat(owner, starts) != np.maximum.reduceat(owner, starts)
+        if told.num_rows:
+            known = np.sort(np.concatenate([untold(x.as_py()) for x in told["payload"]]))
+            own = h[order][starts]
+            shared |= known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
         hit = np.zeros(len(h), bool)
         hit[order] = np.repeat(shared, np.diff(np.r_[starts, len(h)]))
-        hit &= places % width == 0
         return _sent_places(keys, keys, docs[hit], places[hit], buckets)
 
     return _judged(packed, judge)
@@ -365,8 +376,8 @@ def extensions(docs: DataFrame, found: DataFrame, window: int, buckets: int) ->
                     keys, ids = all_keys[at : at + len(lists)], all_ids[at : at + len(lists)]
                     doc, place, hashes, checks = map(np.concatenate, (doc, place, hashes, checks))
                     sent, gone = settle_windows(ids[doc], hashes, checks, met)
-                    rows = list(_deal(keys, ids, doc[sent], place[sent], hashes[sent], checks[sent], False, buckets))
-                    yield _packed_rows(rows, _sent_places(keys, ids, doc[gone], place[gone], buckets))
+                    asked = _deal(keys, ids, doc[sent], place[sent], hashes[sent], checks[sent], False, buckets)
+                    yield _packed_rows(asked, (), _sent_places(keys, ids, doc[gone], place[gone], buckets))
 
     # doc_id comes along so that this join and the last one read the same shuffle; in one order, as a
     # task that is run again has to settle the same windows
@@ -377,8 +388,8 @@ def extensions(docs: DataFrame, found: DataFrame, window: int, buckets: int) ->
 def repeated(packed: DataFrame, buckets: int) -> DataFrame:
     """Places of windows that a document with a smaller id holds."""
 
-    def judge(table: pa.Table) -> pa.Table:
-        keys, ids, docs, places, h, check = _opened(table)
+    def judge(asked: pa.Table, _: pa.Table) -> pa.Table:
+        keys, ids, docs, places, h, check = _opened(asked)
         order = np.lexsort((check, h))
         new = (np.diff(h[order]) != 0) | (np.diff(check[order]) != 0)
         starts = np.flatnonzero(np.r_[True, new])
@@ -399,7 +410,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     n = max(partitions(spark), size // BUCKET_BYTES)
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("id"), "text", F.xxhash64(F.coalesce("doc_id", F.lit(LAST)), F.coalesce("text", F.lit(""))).alias("key"))
     dealt = rows.repartition(n, "key")  # one shuffle of the texts, used by both joins
-    found = hits(probes(rows, window, n), window, n)
+    found = hits(probes(rows, window, n), n)
     gone = repeated(extensions(dealt, found, window, n), n).groupBy("key").agg(F.collect_list(F.struct("id", "places")).alias("places"))
 
     def run(batches):
