@@ -360,21 +360,22 @@ def extensions(docs: DataFrame, found: DataFrame, window: int, buckets: int) ->
         for batch in batches:
             all_keys, all_ids, stored = batch.column("key").to_numpy(), batch.column("id").to_numpy(), batch.column("places")
             for at, lists in _pieces(batch):
-                doc, place, hashes, checks = [], [], [], []
-                for i, words in enumerate(lists):
-                    n = len(words) - window + 1
-                    if n < 1:
-                        continue
-                    near = np.flatnonzero(_marked(n, [stored[at + i].as_py()], window - width, 0))
-                    if len(near):
-                        w = WORD_HASHES.of([words], len(words))
-                        doc.append(np.full(len(near), i))
-                        place.append(near)
-                        hashes.append(rolling(w, window)[near])
-                        checks.append((rolling(CHECK_HASHES.of([words], len(words)), window, _BASE2)[near] >> np.uint64(48)).astype("<u2"))
-                if doc:
+                sizes = np.array([len(x) for x in lists])
+                first, n = np.cumsum(sizes) - sizes, int(sizes.sum())
+                blocks = [np.frombuffer(stored[at + i].as_py(), "<u4") for i in range(len(lists))]
+                of, block = np.repeat(np.arange(len(lists)), [len(b) for b in blocks]), np.concatenate(blocks).astype(np.int64)
+                # windows that hold the block and end within the text
+                low, high = np.maximum(block - (window - width), 0), np.minimum(block, sizes[of] - window)
+                fits = low <= high
+                base = first[of][fits]
+                edges = np.bincount(base + low[fits], minlength=n + 1) - np.bincount(base + high[fits] + 1, minlength=n + 1)
+                near = np.flatnonzero(np.cumsum(edges[:n]) > 0)
+                if len(near):
+                    doc = np.searchsorted(first + sizes, near, side="right")
+                    place = near - first[doc]
+                    hashes = rolling(WORD_HASHES.of(lists, n), window)[near]
+                    checks = (rolling(CHECK_HASHES.of(lists, n), window, _BASE2)[near] >> np.uint64(48)).astype("<u2")
                     keys, ids = all_keys[at : at + len(lists)], all_ids[at : at + len(lists)]
-                    doc, place, hashes, checks = map(np.concatenate, (doc, place, hashes, checks))
                     sent, gone = settle_windows(ids[doc], hashes, checks, met)
                     asked = _deal(keys, ids, doc[sent], place[sent], hashes[sent], checks[sent], False, buckets)
                     yield _packed_rows(asked, (), _sent_places(keys, ids, doc[gone], place[gone], buckets))
