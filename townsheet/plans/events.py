@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from townsheet.functions import text, times
@@ -85,8 +85,29 @@ def save(built: DataFrame, path: str) -> None:
     rejects(built).write.mode("overwrite").partitionBy("source").parquet(f"{path}/rejected")
 
 
-def extract(events: DataFrame) -> DataFrame:
-    """Short keys and the nearest station alone, as JSON lines for serving."""
-    near = F.get("subway", F.lit(0))
-    keys = {"i": "id", "t": "title", "d": "date_local", "b": "time_band", "c": "category", "sc": "subcategory", "h": "neighborhood", "hn": "neighborhood_name", "bo": "borough", "v": "venue_id", "vn": "venue_name", "u": "url"}
-    return events.select(F.to_json(F.struct(*[F.col(c).alias(k) for k, c in keys.items()], near.alias("sw"))).alias("value"))
+#: Short keys of the events extract, and of sources. Fixed values.
+KEYS = {
+    "i": "id", "t": "title", "s": "start_local", "d": "date_local", "b": "time_band", "v": "venue_id", "vn": "venue_name", "h": "neighborhood", "hn": "neighborhood_name", "bo": "borough", "c": "category", "sc": "subcategory", "u": "url",
+    "e": "end_local", "de": "description", "im": "image", "la": "lat", "lo": "lon", "src": "source",
+}
+SOURCE_KEYS = {"ticketmaster": "tm", "permits": "pe", "parks": "pk", "squarespace": "sq", "luma": "lu"}
+
+
+def with_station(rows: DataFrame, near: Column, stations: DataFrame | None = None) -> DataFrame:
+    """rows with sw, the nearest station as (i, n, r, m), null where none is near. near: (meters, id); stations: id, name, routes."""
+    asked = rows.withColumn("_near", near)
+    if stations is None:
+        return asked.withColumn("sw", F.when(F.col("_near").isNotNull(), F.struct(F.col("_near.id").alias("i"), F.col("_near.meters").alias("m")))).drop("_near")
+    known = stations.select(F.col("id").alias("_sid"), F.struct(F.col("name").alias("n"), F.col("routes").alias("r")).alias("_s"))
+    joined = asked.join(known, F.col("_near.id") == F.col("_sid"), "left")
+    sw = F.struct(F.col("_near.id").alias("i"), F.col("_s.n").alias("n"), F.col("_s.r").alias("r"), F.col("_near.meters").alias("m"))
+    return joined.withColumn("sw", F.when(F.col("_near").isNotNull(), sw)).drop("_near", "_sid", "_s")
+
+
+def extract(events: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """Short keys and the nearest station alone, as JSON lines for serving; what is not stated is left out."""
+    source = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in SOURCE_KEYS.items() for x in kv]), F.col("source")), F.col("source"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    made = {"source": source, "start_local": stamp("start_local"), "end_local": stamp("end_local")}
+    known = with_station(events, F.get("subway", F.lit(0)), stations)
+    return known.select(F.to_json(F.struct(*[made.get(c, F.col(c)).alias(k) for k, c in KEYS.items()], "sw")).alias("value"))

@@ -5,16 +5,67 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Route names folded into their parent. Fixed values.
 FOLDED = {"FX": "F", "6X": "6", "7X": "7"}
 
 
+#: Columns that are read of each file of a schedule. Fixed values.
+FILES = {
+    "stops": "stop_id string, parent_station string", "routes": "route_id string, route_short_name string, route_long_name string", "trips": "trip_id string, route_id string, direction_id string",
+    "stop_times": "trip_id string, stop_id string, stop_sequence int",
+}
+SOUTH = "1"
+
+
 def gtfs(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    schemas = {"stops": "stop_id string, parent_station string", "routes": "route_id string, route_short_name string, route_long_name string", "trips": "trip_id string, route_id string, direction_id string", "stop_times": "trip_id string, stop_id string, stop_sequence int"}
-    return {n: spark.read.schema(s).csv(f"{path}/{n}.txt", header=True, enforceSchema=False) for n, s in schemas.items()}
+    """The files of a schedule, each with the columns in FILES.
+
+    Columns are found by the header, whatever their order and whatever else a file has; an optional one
+    that a file lacks is null, and so are empty fields.
+    """
+    found = {}
+    for name, columns in FILES.items():
+        raw = spark.read.csv(f"{path}/{name}.txt", header=True)
+        at = {c.strip("\ufeff \"").lower(): c for c in raw.columns}
+        kinds = [c.split() for c in columns.split(", ")]
+        found[name] = raw.select(*[(F.nullif(F.trim(f"`{at[c]}`"), F.lit("")) if c in at else F.lit(None)).cast(kind).alias(c) for c, kind in kinds])
+    return found
+
+
+def folded(route: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FOLDED.items() for x in kv]), route), route)
+
+
+def schedule(feed: dict[str, DataFrame]) -> DataFrame:
+    """Stop times as ``patterns`` takes them: platforms as their stations, routes folded; trips that are not listed go.
+
+    Ids are unique in their files, as the format has it. A trip without a direction counts as northbound.
+    """
+    parents = feed["stops"].where("parent_station is not null").select("stop_id", "parent_station")
+    trips = feed["trips"].select("trip_id", folded(F.col("route_id")).alias("route"), (F.coalesce("direction_id", F.lit("")) != SOUTH).alias("northbound"))
+    rows = feed["stop_times"].join(trips, "trip_id").join(parents, "stop_id", "left")
+    return rows.select("route", F.col("trip_id").alias("trip"), F.col("stop_sequence").alias("seq"), F.coalesce("parent_station", "stop_id").alias("stop"), "northbound")
+
+
+def titles(feed: dict[str, DataFrame]) -> DataFrame:
+    """route, bullet and line: short and long name of the first row of each folded route. A file of routes is small."""
+    rows = feed["routes"].select(folded(F.col("route_id")).alias("route"), F.struct(F.col("route_short_name").alias("bullet"), F.col("route_long_name").alias("line")).alias("t"), F.monotonically_increasing_id().alias("at"))
+    return rows.groupBy("route").agg(F.min_by("t", "at").alias("t")).select("route", "t.*")
+
+
+def published(feed: dict[str, DataFrame], stations: DataFrame) -> DataFrame:
+    """route, bullet, line, station, pos, name: a schedule's lines in riding order, by way of a register's stations.
+
+    The schedule says the order, the register which lines serve a station (it names them by bullet). A
+    route without a title goes by its id; a line that no station serves does not come back.
+    """
+    own = F.col("route")
+    named = line_order(patterns(schedule(feed))).join(titles(feed), "route", "left").withColumns({"bullet": F.coalesce("bullet", own), "line": F.coalesce("line", own)})
+    lines = named.groupBy("route").agg(F.first("bullet").alias("bullet"), F.first("line").alias("line"))
+    return attach(named, stations, "bullet").join(lines, "route").select("route", "bullet", "line", "station", "pos", "name")
 
 
 def stations(raw: DataFrame) -> DataFrame:
@@ -35,8 +86,7 @@ def patterns(stop_times: DataFrame) -> DataFrame:
 
     A trip's stops are few (one vehicle's run); northbound trips are read backwards.
     """
-    route = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FOLDED.items() for x in kv]), F.col("route")), F.col("route"))
-    trips = stop_times.groupBy(route.alias("route"), "trip").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "stop"))), lambda s: s["stop"]).alias("stops"), F.bool_or("northbound").alias("north"))
+    trips = stop_times.groupBy(folded(F.col("route")).alias("route"), "trip").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "stop"))), lambda s: s["stop"]).alias("stops"), F.bool_or("northbound").alias("north"))
     return trips.select("route", F.when(F.col("north"), F.reverse("stops")).otherwise(F.col("stops")).alias("stops")).distinct()
 
 
@@ -91,10 +141,10 @@ def line_order(patterns: DataFrame) -> DataFrame:
     return rows.groupBy("route").applyInPandas(order, "route string, pos int, stop string, cut int")
 
 
-def attach(order: DataFrame, stations: DataFrame) -> DataFrame:
-    """Line stops joined to stations that the line serves; a station stays once on a line."""
+def attach(order: DataFrame, stations: DataFrame, bullet: str = "route") -> DataFrame:
+    """Line stops joined to stations that the line serves, as the register names it; a station stays once on a line."""
     served = stations.select(F.col("id").alias("station"), "name", "routes", F.explode("stops").alias("stop"))
-    rows = order.join(served, "stop").where(F.array_contains("routes", F.col("route")))
+    rows = order.join(served, "stop").where(F.array_contains("routes", F.col(bullet)))
     first = rows.groupBy("route", "station").agg(F.min("pos").alias("pos"), F.min_by("name", "pos").alias("name"))
     return first.withColumn("pos", F.row_number().over(Window.partitionBy("route").orderBy("pos", "station")) - 1)
 

@@ -53,12 +53,21 @@ def ledger(rows: DataFrame, path: str) -> None:
 
 
 #: Short keys of the places extract. Fixed values.
-PLACE_KEYS = {"i": "id", "t": "name", "k": "kind", "h": "neighborhood", "c": "category", "u": "website", "la": "lat", "lo": "lon", "oh": "opening_hours", "hm": "hours_mask", "wp": "wikipedia"}
+PLACE_KEYS = {
+    "i": "id", "t": "name", "k": "kind", "kl": "kind_label", "h": "neighborhood", "hn": "neighborhood_name", "bo": "borough", "c": "category", "u": "website", "im": "image", "la": "lat", "lo": "lon", "oh": "opening_hours",
+    "hm": "hours_mask", "nb": "notability", "lb": "listed_by", "wp": "wikipedia", "cr": "image_credit", "cp": "image_page",
+}
 
 
-def place_extract(rows: DataFrame) -> DataFrame:
-    """Places as JSON lines with short keys and the nearest station; what is not stated is left out."""
-    return rows.select(F.to_json(F.struct(*[F.col(c).alias(k) for k, c in PLACE_KEYS.items()], F.col("subway").alias("sw"))).alias("value"))
+def place_extract(rows: DataFrame, stations: DataFrame | None = None) -> DataFrame:
+    """Places as JSON lines with short keys and the nearest station, with name and routes if stations (id, name, routes) are given.
+
+    What is not stated is left out, but for notability, which is 0, and who lists it, which is the map.
+    """
+    known = listings.with_station(rows, F.col("subway"), stations)
+    stated = {c: F.col(c) if c in known.columns else F.lit(None).cast("string") for c in PLACE_KEYS.values()}
+    stated |= {"notability": F.coalesce(stated["notability"].cast("int"), F.lit(0)), "listed_by": F.coalesce(stated["listed_by"], F.lit("osm"))}
+    return known.select(F.to_json(F.struct(*[stated[c].alias(k) for k, c in PLACE_KEYS.items()], "sw")).alias("value"))
 
 
 def line_extract(order: DataFrame, stations: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -910,4 +910,4 @@ def redetected_signals(spark, d):
     return pages.redetected(signals.page_signals(p, "page_id").select("page_id", "anchors"), p.select("page_id", (F.col("page_id") % 2 == 0).alias("ical")), "page_id", ["ical"])
 
 
-from townsheet import feed_queries, stored_queries, whole_queries  # noqa: E402, F401  (register more queries, which use the helpers above)
+from townsheet import feed_queries, published_queries, stored_queries, whole_queries  # noqa: E402, F401  (register more queries, which use the helpers above)

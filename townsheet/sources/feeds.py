@@ -84,10 +84,20 @@ def _inner(schema: str) -> str:
     return ",".join(out)
 
 
-def registry(spark: SparkSession, path: str) -> DataFrame:
-    """Enabled sources in order."""
+def registry(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """Enabled sources of a registry, or of a folder of registries parted by keys; a source that does not say so is not enabled."""
     schema = "sources array<struct<id:string,tier:int,adapter:string,enabled:boolean,min_expected:int,horizon_days:int,where_field:string>>"
-    return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("sources").alias("s")).select("s.*").where("enabled")
+    schema += "".join(f", `{k}` string" for k in keys)
+    return spark.read.schema(schema).json(path, multiLine=True).select(*keys, F.explode("sources").alias("s")).select(*keys, "s.*").where("enabled")
+
+
+CITY = "slug string, name string, short string, tz string, bbox array<double>, boroughs array<string>"
+
+
+def city(spark: SparkSession, path: str) -> DataFrame:
+    """A city's configuration as a row, its box as west, south, east and north."""
+    box = [F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("west", "south", "east", "north"))]
+    return spark.read.schema(CITY).json(path, multiLine=True).select("slug", "name", "short", "tz", *box, "boroughs")
 
 
 def within_horizon(start: Column, as_of: Column, days: Column) -> Column:
