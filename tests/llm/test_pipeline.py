@@ -81,6 +81,20 @@ def test_stages_keep_columns_whatever_their_names(spark, tmp_path, name, stage):
     assert none.columns == docs.columns and none.count() == 0
 
 
+def test_the_last_stage_replaces_its_own_columns_only(spark, tmp_path):
+    docs = spark.createDataFrame(corpus(), SCHEMA)
+    clashing = docs.selectExpr("*", "concat(doc_id, 'x') as tokens", "'old' as ids", "lang as n_tokens", "doc_id as `a b`")
+    stage = corpus_pipeline.STAGES[-1][1]
+    plain, more = stage(spark, docs, str(tmp_path)), stage(spark, clashing, str(tmp_path))
+    rest = [c for c in docs.columns if c != "text"]
+    assert plain.columns == [*rest, "n_tokens", "ids"] and more.columns == [*rest, "tokens", "a b", "n_tokens", "ids"]
+    assert sorted(map(str, plain.collect())) == sorted(map(str, more.select(plain.columns).collect()))
+    want = sorted(str((d, " ".join(map(str, LIBRARY.encode(t or "", add_special_tokens=False).ids)))) for d, t, *_ in corpus())
+    assert sorted(str((r.doc_id, r.ids)) for r in plain.collect()) == want
+    assert all(r.tokens == (None if r.doc_id is None else f"{r.doc_id}x") and r["a b"] == r.doc_id and r.n_tokens == len(r.ids.split()) for r in more.collect())
+    assert stage(spark, clashing.limit(0), str(tmp_path)).count() == 0
+
+
 def test_stages_and_their_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "SimHash near-dedup", "benchmark decontamination", "secret scans", "BPE encoding"]
     assert corpus_pipeline.ORACLE_SQL is None and all(f.__doc__ for _, f in corpus_pipeline.STAGES)

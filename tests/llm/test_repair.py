@@ -102,3 +102,13 @@ def test_query(spark, tmp_path, monkeypatch):
     ids = [r.doc_id for r in by_start]
     assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
     assert queries.op1_repair_grammar(spark, write(spark, [], tmp_path)).count() == 0
+
+
+def test_files_written_until_no_pair_occurs_twice(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "one two three four five six seven eight nine ten " * (1 + i % 3) + str(i)) for i in range(40)], "doc_id long, text string")
+    repair.write(docs, f"{tmp_path}/two", public_tokenizers.path(queries.TOKENIZER), least=2)
+    repair.write(docs, f"{tmp_path}/four", public_tokenizers.path(queries.TOKENIZER))
+    blocks = [repair.Block(r.payload) for r in spark.read.parquet(f"{tmp_path}/two").collect()]
+    assert max((n for b in blocks for n in pairs_left(b).values()), default=0) < 2
+    read = lambda name: sorted(map(tuple, repair.read(spark, f"{tmp_path}/{name}").collect()))
+    assert read("two") == read("four") and len(read("two")) == 40

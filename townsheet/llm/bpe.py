@@ -167,14 +167,14 @@ def names_types(names: list[str]) -> list[str]:
     return [f"{n} {'long' if n == 'n_tokens' else 'string'}" for n in names]
 
 
-def encode(df: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows of df without text, with n_tokens, ids and tokens (see the module) in place of columns so named."""
+def encode(df: DataFrame, tokenizer: str, tokens: str = "tokens") -> DataFrame:
+    """Rows of df without text, with n_tokens, ids and tokens (see the module; under another name if given) in place of columns so named."""
 
     def make(found: Codec, text):
         ids = found.encode(text)
         return (ids.count(" ") + 1 if ids else 0), ids, found.decode(ids)
 
-    return _rows(df, tokenizer, ["n_tokens", "ids", "tokens"], make)
+    return _rows(df, tokenizer, ["n_tokens", "ids", tokens], make)
 
 
 def digests(df: DataFrame, tokenizer: str) -> DataFrame:

@@ -243,8 +243,8 @@ class Block:
 BLOCKS = "shard int, block int, n_docs long, n_tokens long, payload binary"
 
 
-def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK, end: int = END) -> DataFrame:
-    """The blocks of all documents, in ascending doc_id order by (shard, block)."""
+def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK, end: int = END, *, least: int = LEAST) -> DataFrame:
+    """The blocks of all documents, in ascending doc_id order by (shard, block); no pair is left ``least`` times in one."""
     spark = docs.sparkSession
     small_batches(spark)
 
@@ -258,7 +258,7 @@ def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK, end: int = END)
         def row():
             nonlocal number, ids, parts, held
             out = {"shard": pa.array([shard], pa.int32()), "block": pa.array([number], pa.int32()), "n_docs": pa.array([len(ids)], pa.int64())}
-            out |= {"n_tokens": pa.array([held], pa.int64()), "payload": pa.array([pack(ids, parts)], pa.binary())}
+            out |= {"n_tokens": pa.array([held], pa.int64()), "payload": pa.array([pack(ids, parts, least)], pa.binary())}
             number, ids, parts, held = number + 1, [], [], 0
             return pa.RecordBatch.from_pydict(out)
 
@@ -280,8 +280,8 @@ def blocks(docs: DataFrame, tokenizer: str, block: int = BLOCK, end: int = END)
     return rows.mapInArrow(run, BLOCKS)
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, block: int = BLOCK) -> None:
-    blocks(docs, tokenizer, block).write.parquet(path)
+def write(docs: DataFrame, path: str, tokenizer: str, block: int = BLOCK, *, least: int = LEAST) -> None:
+    blocks(docs, tokenizer, block, least=least).write.parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
