@@ -501,7 +501,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                         places, where, names = places[~hit], where[~hit], [names[0][~hit]]
                     for to, d, *some in _split(where, doc[places], *names):
                         by_bucket.setdefault(to, [[]] * 5)
-                        by_bucket[to][kind] = [*np.unique(d, return_counts=True), *some]
+                        used, times = np.unique(d, return_counts=True)
+                        by_bucket[to][kind] = [np.diff(used, prepend=0), times, *some]
                 ids = all_ids[at : at + n].to_pylist()
                 head = [np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "<i8"), sizes.astype("<i8"), known.astype("<i8"), base, total]
                 rows = [(-1 - (part * 1009 + number) % buckets, b"".join(x.tobytes() for x in head))]
@@ -511,7 +512,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_pydict({"batch": pa.array([name] * len(rows)), "bucket": pa.array([r[0] for r in rows], pa.int32()), "payload": pa.array([r[1] for r in rows], pa.binary())})
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Partial sums (text, known, base, score) of each batch from one bucket's tables, of the texts that have tokens there."""
+        """Partial scores of each batch from one bucket's tables, of the texts that have tokens there; known and base where rare ones are."""
         m = sent.value
         log = logs(m)
         stored = {k: [x.as_py() for x, kk in zip(right.column("payload"), right.column("kind").to_pylist()) if kk == k] for k in (0, 1)}
@@ -536,16 +537,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kinds = data[0]
             arrays = iter(_opened(data[1:]))
             asked = {k: [next(arrays) for _ in range(3 if k == 0 else 4)] for k in KINDS if kinds >> k & 1}
-            texts = np.unique(np.concatenate([x[0] for x in asked.values()]).astype(np.int64))
+            for x in asked.values():
+                x[0] = np.cumsum(x[0], dtype=np.int64)  # texts are told by their distances
+            texts = np.unique(np.concatenate([x[0] for x in asked.values()]))
             n = len(texts)
-            known, base, total = np.zeros(n), np.zeros(n), np.zeros(n)
+            known, base, total, rarely = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n, bool)
             for kind, (used, counts, *names) in asked.items():
-                doc = np.repeat(np.searchsorted(texts, used.astype(np.int64)), counts.astype(np.int64))
+                doc = np.repeat(np.searchsorted(texts, used), counts.astype(np.int64))
                 names = [x.astype(np.uint64) for x in names]
                 c = _found(keys[kind], pairs[kind][-1], names[0] if kind == 0 else mixed(*names))
                 seen, part = c > 0, seen_part(log, c)
                 if kind in (2, 4):
                     count = _found(rare, rare_n, names[0])
+                    rarely[doc] = True
                     known += np.bincount(doc, count > 0, n)
                     base += np.bincount(doc, base_of(m, count), n)
                     target = np.log10(word_p(m, count))
@@ -564,7 +568,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 else:
                     part = np.where(seen, 0.0, target)
                 total += np.bincount(doc, part, n)
-            out.append((name, False, _packed([texts, known.astype(np.int64), base, total])))
+            out.append((name, False, _packed([np.diff(texts, prepend=0), total, np.packbits(rarely), known[rarely].astype(np.int64), base[rarely]])))
         return pa.table({"batch": pa.array([o[0] for o in out], pa.string()), "main": pa.array([o[1] for o in out], pa.bool_()), "sums": pa.array([o[2] for o in out], pa.binary())})
 
     def finish(rows: pa.Table) -> pa.Table:
@@ -575,9 +579,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         # added in one order whatever order the rows came in
         more = np.zeros((3, n))
         for x in sorted(x.as_py() for x, k in zip(rows.column("sums"), rows.column("main").to_pylist()) if not k):
-            texts, *sums = _opened(x)
-            for i in range(3):
-                more[i][texts] += sums[i]  # a text is there once
+            apart, part, bits, *sums = _opened(x)
+            texts = np.cumsum(apart, dtype=np.int64)  # a text is there once
+            rare = texts[np.unpackbits(bits, count=len(texts)).astype(bool)]
+            more[0][rare] += sums[0]
+            more[1][rare] += sums[1]
+            more[2][texts] += part
         return pa.table({"doc_id": pa.array(ids, pa.int64(), mask=nulls.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known + np.rint(more[0]).astype(np.int64)), "base_score": pa.array(base + more[1]), "score": pa.array(total + more[2])})
 
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(deal, "batch string, bucket int, payload binary")
