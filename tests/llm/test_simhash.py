@@ -4,7 +4,9 @@ import pytest
 import xxhash
 from helpers import ODD_ROWS, SCHEMA, WORD, write
 
+from townsheet.llm import jaccard as links_of_sets
 from townsheet.llm import queries, simhash
+from townsheet.llm.common import saved
 from townsheet.llm.components import components
 
 
@@ -144,6 +146,45 @@ def test_keep_one_of_a_large_group_of_near_copies(spark):
     assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
 
 
+def test_keep_one_loses_no_link_near_the_threshold(spark):
+    """Copies with scattered edits at just 0.8 are found, one by one, whether sketches meet or not."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randint(2, 6)))
+    rows = []
+    for i in range(120):
+        base = [word() for _ in range(rnd.randint(90, 160))]
+        copy, tried = list(base), list(base)
+        while jaccard(base, tried) >= 0.8:
+            copy, tried = tried, list(tried)
+            tried[rnd.randrange(len(tried))] = word()
+        rows += [(i, " ".join(base), "en", "s", 1), (1000 + i, " ".join(copy), "en", "s", 1), (2000 + i, " ".join(tried), "en", "s", 1)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert one_of_each(kept, rows)
+
+
+def test_keep_one_tests_few_pairs_of_a_large_group(spark, monkeypatch):
+    """A group of n near copies costs some n pairs, in every table that is written."""
+    rnd = random.Random(15)
+    base = [f"w{rnd.randint(0, 900)}" for _ in range(150)]
+    rows = []
+    for i in range(400):
+        w = list(base)
+        w[rnd.randrange(150)] = f"x{i}"
+        rows.append((i, " ".join(w), "en", "s", 1))
+    counts = []
+
+    def counted(df, name, keep=False):
+        out = saved(df, name, keep)
+        if name == "pairs":
+            counts.append(out.count())
+        return out
+
+    for module in (simhash, links_of_sets):
+        monkeypatch.setattr(module, "saved", counted)
+    assert [r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()] == [0]
+    assert sum(counts) <= 3 * len(rows), counts
+
+
 def test_keep_one_of_every_component_without_usable_ids(spark):
     rnd = random.Random(9)
     text = lambda: " ".join(rnd.choice("abcdefghij") * rnd.randint(1, 4) for _ in range(60))

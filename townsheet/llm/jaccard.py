@@ -21,6 +21,9 @@ first pairs its holders with the most typical of them (fewest shingles of its ow
 that lie in other components, with another one; then all remaining pairs of holders in different
 components are joined. A link between different components is never skipped, so components are exact.
 
+Pairs that another method found may go first (``first`` of :func:`linked`): what they link needs no
+further pair. They leave nothing out, as all three steps follow.
+
 Shingles that fill over one in ``HOT`` of all places do not travel to buckets: whoever is so frequent
 over all is so in some batch, so batches name them and their counts are summed (at most HOT names, sent
 to every task). They rank last, by that count. Sets of many copies (``HOT`` likewise) are sent by one
@@ -76,8 +79,8 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64), pa.int64())
 
 
-def sized_sets(docs: DataFrame, width: int, hot: int) -> DataFrame:
-    """doc_id, hi, lo (null without words) and n of each row; often (hashes and counts) on a batch's first row."""
+def sized_sets(docs: DataFrame, width: int, hot: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """keys, hi, lo (null without words) and n of each row; often (hashes and counts) on a batch's first row."""
 
     def run(batches):
         for batch in batches:
@@ -94,10 +97,10 @@ def sized_sets(docs: DataFrame, width: int, hot: int) -> DataFrame:
                 many = counts >= max(2, -(-sum(map(len, some)) // hot))
                 if many.any():
                     often[0] = every[many].tobytes() + counts[many].astype("<i8").tobytes()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(often, pa.binary())], names=["doc_id", "hi", "lo", "n", "often"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(n, pa.int64()), pa.array(often, pa.binary())], names=[*keys, "hi", "lo", "n", "often"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, hi long, lo long, n long, often binary")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keys)
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, hi long, lo long, n long, often binary")
 
 
 def _frequent(rows: DataFrame, hot: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,12 +208,12 @@ def _shared(dealt: DataFrame, buckets: int, hot_counts: np.ndarray) -> DataFrame
     return dealt.groupBy("bucket").applyInArrow(run, "hi long, lo long, n long, data binary")
 
 
-def prefix(n: int) -> int:
+def prefix(n: int, alike: int = ALIKE) -> int:
     """Rarest shingles of which a linked set of any size must share one."""
-    return n - -(-ALIKE * n // 100) + 1
+    return n - -(-alike * n // 100) + 1
 
 
-def _ranked(shared: DataFrame) -> DataFrame:
+def _ranked(shared: DataFrame, alike: int = ALIKE) -> DataFrame:
     """Nodes that share a shingle of their prefix: tokens (shared ones, rarest first) and u (those of their own)."""
 
     def run(batches):
@@ -219,7 +222,7 @@ def _ranked(shared: DataFrame) -> DataFrame:
             for a, b, size, parts in zip(*(batch.column(c).to_pylist() for c in ("hi", "lo", "n", "parts"))):
                 data = [np.frombuffer(p, "<i8").reshape(2, -1) for p in parts]
                 tokens, counts = np.concatenate(data, axis=1)
-                if prefix(size) > size - len(tokens):
+                if prefix(size, alike) > size - len(tokens):
                     hi.append(a), lo.append(b), n.append(size), u.append(size - len(tokens))
                     lists.append(tokens[np.lexsort((tokens, counts))])
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (hi, lo, n, u)), pa.array(lists, pa.list_(pa.int64()))], names=["hi", "lo", "n", "u", "tokens"])
@@ -227,14 +230,14 @@ def _ranked(shared: DataFrame) -> DataFrame:
     return shared.groupBy("hi", "lo", "n").agg(F.collect_list("data").alias("parts")).mapInArrow(run, "hi long, lo long, n long, u long, tokens array<long>")
 
 
-def _entries(nodes: DataFrame) -> DataFrame:
+def _entries(nodes: DataFrame, alike: int = ALIKE) -> DataFrame:
     """token, node, n, u, pos and after (shingles of the suffix by range) of each prefix shingle."""
 
     def run(batches):
         for batch in batches:
             for node, n, u, stored in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("u").to_pylist(), batch.column("tokens")):
                 tokens = stored.values.to_numpy()
-                k = prefix(n) - u
+                k = prefix(n, alike) - u
                 ranges = (tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.int64)
                 ones = np.zeros((k, RANGES), np.int32)
                 ones[np.arange(k), ranges[:k]] = 1
@@ -246,11 +249,11 @@ def _entries(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "u", "tokens").mapInArrow(run, "token long, node long, n long, u long, pos long, after array<int>")
 
 
-def may_link(x, y) -> Column:
+def may_link(x, y, alike: int = ALIKE) -> Column:
     """Whether sets that meet at a prefix shingle may be linked; x and y name a side's columns, x the smaller set."""
-    least = F.ceil(F.lit(ALIKE) * (x("n") + y("n")) / (100 + ALIKE))  # to share
-    size = 100 * x("n") >= ALIKE * y("n")
-    index = x("pos") < x("n") - F.ceil(F.lit(2 * ALIKE) * x("n") / (100 + ALIKE)) + 1
+    least = F.ceil(F.lit(alike) * (x("n") + y("n")) / (100 + alike))  # to share
+    size = 100 * x("n") >= alike * y("n")
+    index = x("pos") < x("n") - F.ceil(F.lit(2 * alike) * x("n") / (100 + alike)) + 1
     position = F.least(x("n") - x("pos"), y("n") - y("pos")) >= least
     left = F.aggregate(F.zip_with(x("after"), y("after"), lambda a, b: F.least(a, b)), F.lit(0), lambda s, c: s + c)
     return size & index & position & (1 + left >= least)
@@ -260,43 +263,50 @@ def _smaller(x, y) -> Column:
     return (x("n") < y("n")) | ((x("n") == y("n")) & (x("node") < y("node")))
 
 
-def led(entries: DataFrame, order: Column) -> DataFrame:
+def led(entries: DataFrame, order: Column, alike: int = ALIKE) -> DataFrame:
     """Pairs (a, b) of each prefix shingle's first holder, by ``order``, with its holders of other labels."""
     leads = entries.groupBy("token").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "label", "after")).alias("lead"))
     both = entries.join(leads, "token").where("label <> lead.label")
     mine, lead = (lambda c: F.col(c)), (lambda c: F.col(f"lead.{c}"))
-    meets = F.when(_smaller(mine, lead), may_link(mine, lead)).otherwise(may_link(lead, mine))
+    meets = F.when(_smaller(mine, lead), may_link(mine, lead, alike)).otherwise(may_link(lead, mine, alike))
     return both.where(meets).select(lead("node").alias("a"), F.col("node").alias("b")).distinct()
 
 
-def remaining(entries: DataFrame) -> DataFrame:
+def remaining(entries: DataFrame, alike: int = ALIKE) -> DataFrame:
     """Pairs (a, b) of all holders of a prefix shingle that have different labels."""
     x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    met = entries.alias("x").join(entries.alias("y"), (x("token") == y("token")) & (x("label") != y("label")) & _smaller(x, y) & may_link(x, y))
+    met = entries.alias("x").join(entries.alias("y"), (x("token") == y("token")) & (x("label") != y("label")) & _smaller(x, y) & may_link(x, y, alike))
     return met.select(x("node").alias("a"), y("node").alias("b")).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, alike: int = ALIKE) -> DataFrame:
     """The linked ones of the pairs. A node of many pairs is sent to several tasks, by the other node."""
     loads = pairs.groupBy("a").agg(F.ceil(F.count("*") / SPLIT).alias("parts"))
     spread = pairs.join(loads, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts"))
     left = loads.join(nodes, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("n").alias("n_a"), F.col("tokens").alias("of_a"))
     right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("of_b"))
     shared = F.size(F.array_intersect("of_a", "of_b"))
-    return spread.join(right, "b").join(left, ["a", "part"]).where(100 * shared >= ALIKE * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
+    return spread.join(right, "b").join(left, ["a", "part"]).where(100 * shared >= alike * (F.col("n_a") + F.col("n_b") - shared)).select("a", "b")
 
 
-def linked(nodes: DataFrame) -> DataFrame:
-    """node, label (smallest node of its component) of nodes with a link."""
-    entries = saved(_entries(nodes), "entries")
+def linked(nodes: DataFrame, alike: int = ALIKE, first: DataFrame | None = None) -> DataFrame:
+    """node, label (smallest node of its component) of nodes with a link; pairs (a, b) in ``first`` are tested before all others."""
+    entries = saved(_entries(nodes, alike), "entries")
     links, labels = None, None
-    for step in ("typical", "other", "rest"):
+    for step in ("first", "typical", "other", "rest"):
+        if step == "first" and first is None:
+            continue
         now = entries.withColumn("label", F.col("node"))
         if labels is not None:
             now = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = remaining(now) if step == "rest" else led(now, F.col("u") / F.col("n") if step == "typical" else F.xxhash64("node").cast("double"))
+        if step == "first":
+            pairs = first
+        elif step == "rest":
+            pairs = remaining(now, alike)
+        else:
+            pairs = led(now, F.col("u") / F.col("n") if step == "typical" else F.xxhash64("node").cast("double"), alike)
         pairs = saved(pairs, "pairs")
-        new = saved(verified(pairs, nodes), "links")
+        new = saved(verified(pairs, nodes, alike), "links")
         forget(pairs)
         if links is not None and new.isEmpty():
             continue
@@ -306,19 +316,23 @@ def linked(nodes: DataFrame) -> DataFrame:
     return labels
 
 
-def join(docs: DataFrame, width: int = WORDS, hot: int = HOT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = saved(sized_sets(docs, width, hot), "sets")
+def sets_of(docs: DataFrame, rows: DataFrame, width: int = WORDS, hot: int = HOT, alike: int = ALIKE) -> DataFrame:
+    """hi, lo, n, u and tokens of the sets that can be linked; rows has doc_id, hi, lo, n and often of all of docs."""
     names, counts = _frequent(rows, hot)
     n_rows = rows.count()
     many = rows.where("n > 0").groupBy("hi", "lo").agg(F.count("*").alias("c"), F.min("doc_id").alias("first")).where(F.col("c") > max(1000, n_rows // hot))
     firsts = {(r.hi % (1 << 64), r.lo % (1 << 64)): r.first for r in many.collect() if r.first is not None}  # at most ``hot``
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
-    shared = _shared(_dealt(docs, width, buckets, names, firsts), buckets, counts)
-    nodes = saved(_ranked(shared).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    return _ranked(_shared(_dealt(docs, width, buckets, names, firsts), buckets, counts), alike)
+
+
+def join(docs: DataFrame, width: int = WORDS, hot: int = HOT) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = saved(sized_sets(docs, width, hot), "sets")
+    nodes = saved(sets_of(docs, rows, width, hot).withColumn("node", F.monotonically_increasing_id()), "nodes")
     labels = linked(nodes)
     of = nodes.join(labels, "node").select("hi", "lo", "label")
     held = rows.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("c")).join(of, ["hi", "lo"], "left")

@@ -13,14 +13,15 @@ Rows of one fingerprint are folded into one before variants are made, so large g
 one ball, and the ball's size is fixed.
 
 ``keep_one(docs)`` is the stage for texts that are alike, not nearly equal: it links texts whose sets
-of five-word shingles have a Jaccard similarity of ``ALIKE`` or more, and keeps one row of each
-component. Texts so alike differ in about a tenth of the bits of a fingerprint, so theirs has 128
+of five-word shingles have a Jaccard similarity of ``ALIKE`` hundredths or more, and keeps one row of
+each component. Texts so alike differ in about a tenth of the bits of a fingerprint, so theirs has 128
 bits (of distinct word pairs, as an edited word changes two of those but five shingles) in four
 parts, each part is a ball of its own, and whoever meets in one part is compared with those whose whole
-sketch is nearest there (:func:`candidates`). Candidates are
-verified on their exact shingle sets: first each text's nearest one; pairs that a component joins by
-then need no test, and all the rest are tested after. Two texts that differ in scattered words at
-just 0.8 meet with a probability of about 0.9, at 0.9 of 0.98.
+sketch is nearest there (:func:`nearest`). Each text's nearest one is verified on their exact
+shingle sets, so a group of n alike texts costs n pairs. Sketches leave links out, the more the closer
+a pair is to the threshold; so all texts that are still in different components go through the exact
+join of :mod:`townsheet.llm.jaccard` (prefixes of rarest shingles, without a cap), and components are
+those of brute force. Texts whose prefix no other text shares can be linked to none, and make no ball.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others; a null doc_id
 keeps its row and never names a component (nor is its row kept) unless the whole component has no
@@ -38,13 +39,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from townsheet.llm.common import forget, partitions, pieces, saved, small_batches, unused
+from townsheet.llm import jaccard
+from townsheet.llm.common import forget, partitions, saved, small_batches, unused
 from townsheet.llm.components import components
 
 SHINGLE, PIECE = 3, 1 << 16
-#: Words in a shingle and least similarity of the stage; parts of its fingerprint, and leading bits of
+#: Words in a shingle and least similarity, in hundredths, of the stage; parts of its fingerprint, and leading bits of
 #: a part that name the bucket where its variants meet; most bits in which candidates may differ.
-WORDS, ALIKE, PARTS, LEAD, APART = 5, 0.8, 4, 10, 36
+WORDS, ALIKE, PARTS, LEAD, APART = 5, 80, 4, 10, 36
 
 
 def fingerprint(text: str | None, width: int = SHINGLE) -> int:
@@ -113,28 +115,16 @@ def sketch(words: list[bytes]) -> tuple[int, int]:
     return a, b
 
 
-def shingles(words: list[bytes], width: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; fewer words are one shingle."""
-    some = zip(*[words[i:] for i in range(width)]) if len(words) >= width else [words]
-    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, map(b" ".join, some)), np.uint64)).view(np.int64)
-
-
-def _sketches(rows: DataFrame) -> DataFrame:
-    """doc_id, one, two (the row's hashes), x, y (128 bits of its words) and the halves a and b of its sketch."""
-    small_batches(rows.sparkSession)
+def _sketches(nodes: DataFrame) -> DataFrame:
+    """nodes (long columns) with the halves a and b of a sketch in place of text."""
+    rest = [c for c in nodes.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
-            made = []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                bits = xxhash.xxh3_128_intdigest(b" ".join(words))
-                made.append((bits >> 64, bits & (1 << 64) - 1, *sketch(words)))
-            longs = np.array(made, np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "one", "two")), *(pa.array(longs[:, i]) for i in range(4))], names=["doc_id", "one", "two", "x", "y", "a", "b"])
+            made = np.array([sketch(words_of(t)) for t in batch.column("text").to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(made[:, 0]), pa.array(made[:, 1])], names=[*rest, "a", "b"])
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "one", "two", "text").mapInArrow(run, f"doc_id {kind}, one long, two long, x long, y long, a long, b long")
+    return nodes.select(*rest, "text").mapInArrow(run, ", ".join(f"{c} long" for c in (*rest, "a", "b")))
 
 
 #: Orders of the bits in which those that meet are sorted, and neighbours that each is paired with in one.
@@ -151,14 +141,14 @@ def _turned(a: Column, b: Column, by: int) -> tuple[Column, Column]:
     return left(a, b), left(b, a)
 
 
-def candidates(nodes: DataFrame, n: int) -> DataFrame:
-    """Pairs (low, high) of nodes whose sketches differ in two bits at most of some part, and in APART in all.
+def _neighbours(nodes: DataFrame, n: int) -> DataFrame:
+    """node and near, an array of (apart, node): those whose sketches differ in two bits at most of some part, and in APART in all.
 
     A part's variants that keep its leading bits meet in one bucket, so they are made there; only the
     variants with another lead travel by themselves. Unlike texts meet as well, the more the larger the
     corpus (a part has 32 bits). So whoever meets is sorted by the whole sketch, in several orders of its
     bits, and paired with the next ones: two alike sketches are neighbours in an order whose first bits
-    they share, and k strangers ask for log2(k) such bits only.
+    they share, and k strangers ask for log2(k) such bits only. Pairs beyond those are left to the exact join.
     """
     rest = 32 - LEAD
     part = F.element_at(F.array(*[F.shiftrightunsigned(c, s).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("a", "b") for s in (0, 32)]), F.col("k") + 1)
@@ -180,54 +170,43 @@ def candidates(nodes: DataFrame, n: int) -> DataFrame:
         for step in range(1, NEAR + 1):
             met = met.withColumn(f"_{turn}_{step}", F.lead(me, step).over(w))
             others.append(f"_{turn}_{step}")
-    apart = F.bit_count(F.col("a").bitwiseXOR(F.col("o.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("o.b")))
-    pairs = met.select("node", "a", "b", F.explode(F.array_distinct(F.array_compact(F.array(*others)))).alias("o")).withColumn("apart", apart).where((F.col("apart") <= APART) & (F.col("node") != F.col("o.node")))
-    return pairs.select(F.least("node", "o.node").alias("low"), F.greatest("node", "o.node").alias("high"), "apart").distinct()
+    apart = lambda o: F.bit_count(F.col("a").bitwiseXOR(o["a"])) + F.bit_count(F.col("b").bitwiseXOR(o["b"]))
+    near = F.transform(F.array_compact(F.array(*others)), lambda o: F.struct(apart(o).alias("apart"), o["node"].alias("node")))
+    return met.select("node", F.array_distinct(F.filter(near, lambda o: (o["apart"] <= APART) & (o["node"] != F.col("node")))).alias("near"))
+
+
+def candidates(nodes: DataFrame, n: int) -> DataFrame:
+    """Pairs (low, high, apart) of all neighbours, some more than once."""
+    pairs = _neighbours(nodes, n).select("node", F.explode("near").alias("o"))
+    return pairs.select(F.least("node", "o.node").alias("low"), F.greatest("node", "o.node").alias("high"), "o.apart")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose exact shingle sets are alike."""
-    side = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"set_{name}"))
-    both = pairs.join(side("low"), "low").join(side("high"), "high")
-    shared = F.size(F.array_intersect("set_low", "set_high"))
-    return both.where(shared >= F.lit(least) * (F.size("set_low") + F.size("set_high") - shared)).select("low", "high")
+def nearest(nodes: DataFrame, n: int) -> DataFrame:
+    """Pairs (a, b) of each node b and the nearest of its neighbours: at most one a node."""
+    best = _neighbours(nodes, n).select("node", F.array_min("near").alias("best")).where("best is not null")
+    return best.groupBy("node").agg(F.min("best").alias("best")).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
 
 
-def keep_one(docs: DataFrame, width: int = WORDS, least: float = ALIKE) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WORDS, alike: int = ALIKE) -> DataFrame:
     """One row of each component of alike texts, the smallest doc_id first and a null one last."""
     spark = docs.sparkSession
+    small_batches(spark)
     one, two = unused(docs, "one", "two")
     # a row is known by 128 bits of hash of all its columns (a hash of values passes over nulls, so they are hashed too)
     content = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     marked = docs.withColumn(one, F.xxhash64(*content)).withColumn(two, F.xxhash64(F.lit(1), *content))
-    rows = marked.select("doc_id", "text", F.col(one).alias("one"), F.col(two).alias("two"))
-    prints = _sketches(rows)
+    texts = marked.select("doc_id", "text", F.col(one).alias("one"), F.col(two).alias("two"))
+    rows = saved(jaccard.sized_sets(texts, width, jaccard.HOT, ("doc_id", "one", "two")), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "one", "two")).alias("first")
-    # texts of the same words are one node, known by 128 bits; its number is given as it is written
-    nodes = prints.groupBy("x", "y").agg(F.first("a").alias("a"), F.first("b").alias("b"), first).select(F.monotonically_increasing_id().alias("node"), "a", "b", "first")
-    nodes = saved(nodes, "nodes")
-    pending = saved(candidates(nodes, partitions(spark)), "pairs")
-    asked = pending.select(F.explode(F.array("low", "high")).alias("node")).distinct().join(nodes, "node").select("node", "first.one", "first.two")
-
-    def open_sets(batches):
-        for batch in batches:
-            for at, texts in pieces(batch.column("text")):
-                sets = [shingles(words_of(t), width) for t in texts.to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("node").slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "set"])
-
-    sets = rows.join(asked, ["one", "two"]).dropDuplicates(["node"]).select("node", "text").mapInArrow(open_sets, "node long, set array<long>")
-    sets = saved(sets, "sets")
-    nearest = saved(pending.groupBy("high").agg(F.min(F.struct("apart", "low")).alias("best")).select("best.low", "high"), "nearest")
-    edges = saved(_verified(nearest, sets, least), "alike")
-    labels = saved(components(edges.toDF("a", "b")), "labels")
-    named = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"label_{name}"))
-    rest = pending.join(nearest, ["low", "high"], "left_anti").join(named("low"), "low", "left").join(named("high"), "high", "left")
-    rest = rest.where(F.coalesce("label_low", "low") != F.coalesce("label_high", "high")).select("low", "high")
-    more = saved(_verified(rest, sets, least), "alike")
-    if not more.isEmpty():
-        labels = components(edges.unionByName(more).toDF("a", "b"))
+    # texts of one set are one node, known by 128 bits, as are all without words; its number is given as it is written
+    nodes = saved(rows.groupBy("hi", "lo").agg(first).select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "first"), "nodes")
+    sets = jaccard.sets_of(texts, rows, width, alike=alike).join(nodes.select("node", "hi", "lo"), ["hi", "lo"])
+    sets = saved(sets.select("node", "n", "u", "tokens"), "sets")
+    asked = sets.select("node").join(nodes, "node").select("node", "first.one", "first.two")
+    sketches = saved(_sketches(texts.join(asked, ["one", "two"]).dropDuplicates(["node"]).select("node", "text")), "sketches")
+    labels = saved(jaccard.linked(sets, alike, nearest(sketches, partitions(spark))), "labels")
     of = nodes.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
     survivors = saved(of.select(F.col("first.one").alias(one), F.col("first.two").alias(two)), "survivors")
-    forget(pending, sets, nearest, edges, more)
+    forget(rows, nodes, sets, sketches, labels)
     kept = marked.join(survivors, [one, two], "left_semi").dropDuplicates([one, two])
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
