@@ -108,6 +108,26 @@ def test_filters_keep_every_link(spark):
     assert links and len(got) < 120 * 119 / 4
 
 
+def test_labels_meet_nodes_and_not_their_shingles(spark, monkeypatch):
+    """What is joined with labels has a row a node, however many shingles its prefix has."""
+    rnd = random.Random(10)
+    nodes = [(i, 200, 0, [1000 * (i // 3) + j for j in sorted(rnd.sample(range(204), 200))]) for i in range(30)]
+    frame = spark.createDataFrame(nodes, "node long, n long, u long, tokens array<long>")
+    counts = []
+
+    def counted(df, name, keep=False):
+        out = jaccard_saved(df, name, keep)
+        if name == "entries":
+            counts.append(out.count())
+        return out
+
+    jaccard_saved = jaccard.saved
+    monkeypatch.setattr(jaccard, "saved", counted)
+    got = {r.node: r.label for r in jaccard.linked(frame).collect()}
+    assert got == {i: i // 3 * 3 for i in range(30)}
+    assert counts == [len(nodes)]
+
+
 def test_pack_round_trip():
     import numpy as np
 

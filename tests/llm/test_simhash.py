@@ -185,6 +185,15 @@ def test_keep_one_tests_few_pairs_of_a_large_group(spark, monkeypatch):
     assert sum(counts) <= 3 * len(rows), counts
 
 
+def test_orders_of_neighbours_begin_at_a_written_table(spark):
+    """The driver plans eight orders over a scan, not over the making of all variants."""
+    frame = spark.createDataFrame([(i, i << 40, 7) for i in range(20)], "node long, a long, b long")
+    found, met = simhash._neighbours(frame, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Window [") == simhash.ORDERS
+    assert met.count() >= 20 and {r.node for r in found.where("size(near) > 0").collect()}
+
+
 def test_keep_one_of_every_component_without_usable_ids(spark):
     rnd = random.Random(9)
     text = lambda: " ".join(rnd.choice("abcdefghij") * rnd.randint(1, 4) for _ in range(60))

@@ -230,23 +230,38 @@ def _ranked(shared: DataFrame, alike: int = ALIKE) -> DataFrame:
     return shared.groupBy("hi", "lo", "n").agg(F.collect_list("data").alias("parts")).mapInArrow(run, "hi long, lo long, n long, u long, tokens array<long>")
 
 
-def _entries(nodes: DataFrame, alike: int = ALIKE) -> DataFrame:
-    """token, node, n, u, pos and after (shingles of the suffix by range) of each prefix shingle."""
+def _packed(nodes: DataFrame, alike: int = ALIKE) -> DataFrame:
+    """node, n, u and entries: token, pos and after (shingles of the suffix by range) of each prefix shingle. A row a node."""
 
     def run(batches):
         for batch in batches:
-            for node, n, u, stored in zip(batch.column("node").to_pylist(), batch.column("n").to_pylist(), batch.column("u").to_pylist(), batch.column("tokens")):
+            sizes, every, places, ranges_after = [0], [], [], []
+            for n, u, stored in zip(batch.column("n").to_pylist(), batch.column("u").to_pylist(), batch.column("tokens")):
                 tokens = stored.values.to_numpy()
                 k = prefix(n, alike) - u
                 ranges = (tokens.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60)).astype(np.int64)
                 ones = np.zeros((k, RANGES), np.int32)
                 ones[np.arange(k), ranges[:k]] = 1
                 after = np.bincount(ranges, minlength=RANGES) - np.cumsum(ones, axis=0)
-                same = lambda x: pa.array(np.full(k, x), pa.int64())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * RANGES, pa.int32()), pa.array(after.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[:k]), same(node), same(n), same(u), pa.array(np.arange(u, u + k), pa.int64()), lists], names=["token", "node", "n", "u", "pos", "after"])
+                sizes.append(sizes[-1] + k)
+                every.append(tokens[:k]), places.append(np.arange(u, u + k)), ranges_after.append(after.ravel())
+            if not every:
+                continue
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(sizes[-1] + 1) * RANGES, pa.int32()), pa.array(np.concatenate(ranges_after), pa.int32()))
+            rows = pa.StructArray.from_arrays([pa.array(np.concatenate(every)), pa.array(np.concatenate(places), pa.int64()), lists], names=["token", "pos", "after"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "n", "u")), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)], names=["node", "n", "u", "entries"])
+
+    return nodes.select("node", "n", "u", "tokens").mapInArrow(run, "node long, n long, u long, entries array<struct<token: long, pos: long, after: array<int>>>")
+
+
+def _opened(packed: DataFrame) -> DataFrame:
+    """A row an entry, with all other columns of its node."""
+    return packed.select(*[c for c in packed.columns if c != "entries"], F.inline("entries"))
 
-    return nodes.select("node", "n", "u", "tokens").mapInArrow(run, "token long, node long, n long, u long, pos long, after array<int>")
+
+def _entries(nodes: DataFrame, alike: int = ALIKE) -> DataFrame:
+    """token, pos, after, node, n and u of each prefix shingle."""
+    return _opened(_packed(nodes, alike))
 
 
 def may_link(x, y, alike: int = ALIKE) -> Column:
@@ -290,28 +305,31 @@ def verified(pairs: DataFrame, nodes: DataFrame, alike: int = ALIKE) -> DataFram
 
 
 def linked(nodes: DataFrame, alike: int = ALIKE, first: DataFrame | None = None) -> DataFrame:
-    """node, label (smallest node of its component) of nodes with a link; pairs (a, b) in ``first`` are tested before all others."""
-    entries = saved(_entries(nodes, alike), "entries")
-    links, labels = None, None
+    """node, label (smallest node of its component) of nodes with a link; pairs (a, b) in ``first``, a written table, are tested before all others."""
+    entries = saved(_packed(nodes, alike), "entries")
+    labels = None
     for step in ("first", "typical", "other", "rest"):
         if step == "first" and first is None:
             continue
+        # labels meet nodes, not their shingles, which are many times as many
         now = entries.withColumn("label", F.col("node"))
         if labels is not None:
             now = entries.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        now = _opened(now)
         if step == "first":
             pairs = first
         elif step == "rest":
-            pairs = remaining(now, alike)
+            pairs = saved(remaining(now, alike), "pairs")
         else:
-            pairs = led(now, F.col("u") / F.col("n") if step == "typical" else F.xxhash64("node").cast("double"), alike)
-        pairs = saved(pairs, "pairs")
+            pairs = saved(led(now, F.col("u") / F.col("n") if step == "typical" else F.xxhash64("node").cast("double"), alike), "pairs")
         new = saved(verified(pairs, nodes, alike), "links")
         forget(pairs)
-        if links is not None and new.isEmpty():
-            continue
-        links = new if links is None else links.unionByName(new)
-        labels = components(links)
+        if labels is not None:
+            if new.isEmpty():
+                continue
+            # nodes with their labels stand for all links so far
+            new = new.unionByName(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        labels = components(new)
     forget(entries)
     return labels
 

@@ -141,8 +141,8 @@ def _turned(a: Column, b: Column, by: int) -> tuple[Column, Column]:
     return left(a, b), left(b, a)
 
 
-def _neighbours(nodes: DataFrame, n: int) -> DataFrame:
-    """node and near, an array of (apart, node): those whose sketches differ in two bits at most of some part, and in APART in all.
+def _neighbours(nodes: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """node and near, an array of (apart, node): those whose sketches differ in two bits at most of some part, and in APART in all; and the written table that it reads.
 
     A part's variants that keep its leading bits meet in one bucket, so they are made there; only the
     variants with another lead travel by themselves. Unlike texts meet as well, the more the larger the
@@ -161,30 +161,31 @@ def _neighbours(nodes: DataFrame, n: int) -> DataFrame:
     variants = dealt.select("node", "a", "b", "bucket", "v", F.explode(flips).alias("flip")).select("node", "a", "b", "bucket", F.col("v").bitwiseXOR(F.col("flip")).alias("v"))
     here = Window.partitionBy("bucket", "v")
     plain = here.orderBy("a", "b", "node")
-    # most variants meet nobody; the orders below sort what is left
-    met = variants.withColumn("alone", F.lag("node").over(plain).isNull() & F.lead("node").over(plain).isNull()).where("not alone").drop("alone")
-    me = F.struct("node", "a", "b")
-    others = []
-    for turn in range(ORDERS):
-        w = here.orderBy(*_turned(F.col("a"), F.col("b"), turn * 128 // ORDERS), "node")
-        for step in range(1, NEAR + 1):
-            met = met.withColumn(f"_{turn}_{step}", F.lead(me, step).over(w))
-            others.append(f"_{turn}_{step}")
+    # most variants meet nobody; the orders below sort what is left, which is written so that their plan begins there
+    alone = variants.withColumn("alone", F.lag("node").over(plain).isNull() & F.lead("node").over(plain).isNull())
+    met = saved(alone.where("not alone").drop("alone"), "met")
+    turns = [here.orderBy(*_turned(F.col("a"), F.col("b"), turn * 128 // ORDERS), "node") for turn in range(ORDERS)]
+    me, steps = F.struct("node", "a", "b"), range(1, NEAR + 1)
+    others = F.array(*[F.lead(me, step).over(w) for w in turns for step in steps]).alias("others")
     apart = lambda o: F.bit_count(F.col("a").bitwiseXOR(o["a"])) + F.bit_count(F.col("b").bitwiseXOR(o["b"]))
-    near = F.transform(F.array_compact(F.array(*others)), lambda o: F.struct(apart(o).alias("apart"), o["node"].alias("node")))
-    return met.select("node", F.array_distinct(F.filter(near, lambda o: (o["apart"] <= APART) & (o["node"] != F.col("node")))).alias("near"))
+    near = F.transform(F.array_compact("others"), lambda o: F.struct(apart(o).alias("apart"), o["node"].alias("node")))
+    found = met.select("node", "a", "b", others).select("node", F.array_distinct(F.filter(near, lambda o: (o["apart"] <= APART) & (o["node"] != F.col("node")))).alias("near"))
+    return found, met
 
 
 def candidates(nodes: DataFrame, n: int) -> DataFrame:
     """Pairs (low, high, apart) of all neighbours, some more than once."""
-    pairs = _neighbours(nodes, n).select("node", F.explode("near").alias("o"))
+    pairs = _neighbours(nodes, n)[0].select("node", F.explode("near").alias("o"))
     return pairs.select(F.least("node", "o.node").alias("low"), F.greatest("node", "o.node").alias("high"), "o.apart")
 
 
 def nearest(nodes: DataFrame, n: int) -> DataFrame:
-    """Pairs (a, b) of each node b and the nearest of its neighbours: at most one a node."""
-    best = _neighbours(nodes, n).select("node", F.array_min("near").alias("best")).where("best is not null")
-    return best.groupBy("node").agg(F.min("best").alias("best")).select(F.col("best.node").alias("a"), F.col("node").alias("b"))
+    """Pairs (a, b), written, of each node b and the nearest of its neighbours: at most one a node."""
+    found, met = _neighbours(nodes, n)
+    best = found.select("node", F.array_min("near").alias("best")).where("best is not null").groupBy("node").agg(F.min("best").alias("best"))
+    pairs = saved(best.select(F.col("best.node").alias("a"), F.col("node").alias("b")), "pairs")
+    forget(met)
+    return pairs
 
 
 def keep_one(docs: DataFrame, width: int = WORDS, alike: int = ALIKE) -> DataFrame:
