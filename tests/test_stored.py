@@ -3,12 +3,16 @@
 import json
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from compare import TABLES, compare
 from pyspark.sql import functions as F
 
 from townsheet.operators import bitmaps, dedup, deltas, geo, keyset, substrings
 from townsheet.operators.store import Conflict, Store, Table
 from townsheet.plans import sinks
+from townsheet.queries import QUERIES, SQL
 from townsheet.sources import feeds, pages
 
 
@@ -247,6 +251,20 @@ def test_kept_aggregates_follow_inserts_changes_and_evictions(spark):
     assert deltas.broken(twice).count() == 1
 
 
+def test_kept_totals_hold_doubles(spark, tmp_path):
+    """Prices that differ in their last bit are two kinds, and none is cut to cents."""
+    moved = [1000.07, 1000.09, 1000.11]  # as doubles, 1000.07 + 1000 is not 2000.07
+    rows = [(7 * i + 2, "F", p) for i, p in enumerate(moved)] + [(7 * i + 4, "F", p + 1000) for i, p in enumerate(moved)]
+    rows += [(7 * i + 6, "F", p) for i, p in enumerate([2000.07, 2000.09, 2000.11])] + [(7 * i + 3, "O", 0.004 * i + 0.0011) for i in range(9)]
+    rows += [(102, "N", float("nan")), (104, "N", 1.0), (109, "H", 1e300), (111, None, None), (116, None, 2.5), (118, "E", None), (123, "P", 5.0), (124, "P", 7.25), (125, "P", 7.25)]
+    for t in TABLES:
+        (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    (tmp_path / "orders.parquet").unlink()
+    pq.write_table(pa.table(dict(zip(("o_orderkey", "o_orderstatus", "o_totalprice"), map(list, zip(*rows, strict=True)), strict=True))), tmp_path / "orders.parquet")
+    assert compare(spark, str(tmp_path), "kept_totals", QUERIES["kept_totals"], SQL["kept_totals"]) == ""
+    assert {r.st: r.kinds for r in QUERIES["kept_totals"](spark, str(tmp_path)).collect()}["F"] == 6
+
+
 # ---- bitmaps and pages ----
 
 

@@ -55,12 +55,22 @@ def applied(old: State, delta: State, keys: list[str]) -> State:
     return State(totals, values)
 
 
-def read(held: State, keys: list[str]) -> DataFrame:
-    """keys, n, sums, least, greatest and kinds (distinct values)."""
-    ends = held.values.groupBy(*keys).agg(F.min("value").alias("least"), F.max("value").alias("greatest"), F.count("*").alias("kinds"))
+def read(held: State, keys: list[str], total: str | None = None) -> DataFrame:
+    """keys, n, sums, least, greatest and kinds (distinct values); under ``total``, if named, the sum of the values too.
+
+    Values that are doubles are held as they are, so two that differ in their last bit are two kinds. Their
+    sum is made of decimals to ten places, whatever the order of rows, unless one is beyond these (NaN,
+    infinite, huge).
+    """
+    aggs = [F.min("value").alias("least"), F.max("value").alias("greatest"), F.count("*").alias("kinds")]
+    if total:
+        exact = F.col("value").try_cast("decimal(27,10)")  # times decimal(10,0) gives 38 digits: none is cut
+        summed = F.when(F.count(exact) == F.count("*"), F.try_sum(exact * F.col("n").cast("decimal(10,0)")).cast("double"))
+        aggs.append(F.coalesce(summed, F.sum(F.col("value").cast("double") * F.col("n"))).alias(total))
+    ends = held.values.groupBy(*keys).agg(*aggs)
     on = [F.col(f"t.{k}").eqNullSafe(F.col(f"e.{k}")) for k in keys]
     joined = held.totals.alias("t").join(ends.alias("e"), on, "left")
-    return joined.select("t.*", "e.least", "e.greatest", F.coalesce("e.kinds", F.lit(0)).alias("kinds"))
+    return joined.select("t.*", "e.least", "e.greatest", F.coalesce("e.kinds", F.lit(0)).alias("kinds"), *[F.col(f"e.{total}")] * bool(total))
 
 
 def broken(held: State) -> DataFrame:
