@@ -222,6 +222,27 @@ def test_ids_as_if_in_turns(spark):
     assert [r.id for r in sorted(got.collect())] == ["a", "a-2", "a-2-2"]
 
 
+def test_ids_of_long_lines_that_cross(spark):
+    """Thousands of rows named a and as many named a-2 stand in one line; a second that is another's base; nulls."""
+    rnd = random.Random(9)
+    names = {"a": None, "a-2": None, "a-2-2": "a-2", "b": "b-n", "b-n": "b-n-n", "b-n-n": "b", "-2": "", "": None}
+    rows = [(i, *rnd.choice(list(names.items()))) for i in range(4000)] + [(5000 + i, None, "x") for i in range(2)]
+    taken, tried, want = set(), {}, {}
+    for k, b, second in rows:
+        c, s = b, b if second is None else second
+        while c in taken:
+            c, tried[s] = s + "-2" * tried.get(s, 0), tried.get(s, 0) + 1
+        want[k] = c
+        taken |= {c} - {None}
+    df = spark.createDataFrame(rows, "k int, b string, second string").repartition(5, "second")
+    got = dedup.distinct_ids(df, F.col("b"), F.col("second"), ["k"])
+    assert got.columns == ["k", "b", "second", "id"]
+    assert {r.k: r.id for r in got.collect()} == want and want[5000] is None
+    ties = spark.createDataFrame([(1, "a"), (1, "a"), (1, "b"), (None, "a")], "k int, b string")
+    assert sorted(r.id for r in dedup.distinct_ids(ties, F.col("b"), F.lit(None).cast("string"), ["k"]).collect()) == ["a", "a-2", "a-2-2", "b"]
+    assert dedup.distinct_ids(ties.where("false"), F.col("b"), F.col("b"), ["k"]).count() == 0
+
+
 # ---- kept aggregates ----
 
 

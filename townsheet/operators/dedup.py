@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from array import array
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from townsheet.operators.store import saved
 
@@ -47,35 +51,73 @@ def venues(df: DataFrame, slug: str, order: list[str]) -> DataFrame:
     return df.groupBy(slug).agg(*[F.min_by(c, o).alias(c) for c in ("name", "kind", "borough")], F.min_by("lat", here).alias("lat"), F.min_by("lon", here).alias("lon"), F.count("*").alias("rows"))
 
 
-#: Rounds of :func:`distinct_ids`: as many as rows of crossing chains ("a" and "a-2", both often) stand in line.
-ROUNDS = 500
+def _dealer():
+    """A pass over rows by stem and turn that adds slot and gone: the number of -2 that a row gets behind the stem, or that it goes on."""
+
+    def run(batches):
+        stem, free = None, array("q")  # free[i]: i if nobody has it, else a later one that may be free
+
+        def first(i: int) -> int:
+            while True:
+                if i >= len(free):
+                    free.extend(range(len(free), i + 1))
+                step = free[i]
+                if step == i:
+                    free[i] = i + 1
+                    return i
+                if step < len(free):
+                    free[i] = free[step]
+                i = step
+
+        for b in batches:
+            slots, gone = [], []
+            for s, came, base, second, stays in zip(*(b.column(c).to_pylist() for c in ("stem", "came", "base_at", "second_at", "stays")), strict=True):
+                if s != stem:
+                    stem, free = s, array("q")
+                taken = not came and base < len(free) and free[base] != base
+                gone.append(taken and not stays)
+                slots.append(None if gone[-1] else first(second if came or taken else base))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(slots, pa.int64()), pa.array(gone, pa.bool_())], [*b.schema.names, "slot", "gone"])
+
+    return run
+
+
+#: Bytes of ids that a task of the last step of :func:`distinct_ids` makes. They grow with the number of rows of a name.
+ID_BYTES = 128_000_000
 
 
 def distinct_ids(df: DataFrame, base: Column, second: Column, order: list[str]) -> DataFrame:
     """Adds id: the first of base, second, second-2, second-2-2 and so on that no earlier row has.
 
-    Rows take turns in ``order``, which must tell them apart. As all ids prefer the earlier row, turns can
-    be replaced by rounds: every row claims its next choice, an id stays with the earliest claimant, the
-    others go on to the choice after; the fixed point is what turns would give. Rows of one base and second
-    claim different choices from the start, so the rounds only settle ids that meet by chance ("a-2" as
-    somebody's own name), not the length of a chain. A row whose second is null goes on from its base.
+    Rows take turns in ``order``, which should tell them apart (rows that it does not go by base and second).
+    An id is a stem and a number of -2 behind it, so rows meet on stems, and a task deals out the numbers of
+    a stem in one pass, whatever the length of its line. A row that finds its base taken and whose second
+    has another stem goes on to that one. Who goes is told by the pass before, so there are as many passes,
+    and two more, as stems hand rows on in a line ("a" to "a-area", and that to "a-area-area"): each settles at least the
+    earliest row that was not yet, and once nobody's lot changes, all is as in turns. A row whose second is
+    null goes on from its base, one whose base is null has no id.
     """
-    spent = [*df.columns]
-    chain = Window.partitionBy("_base", "_second").orderBy(*order)
-    rows = df.withColumns({"_base": base, "_second": F.coalesce(second, base)}).withColumn("_rank", F.row_number().over(chain) - 1)
-    # the first row of a base may have it; all later ones start at their second, by rank within their chain
-    now = saved(rows.withColumn("_at", F.col("_rank").cast("int")), "ids")
-    step = F.when(F.col("_second") == F.col("_base"), F.col("_at")).otherwise(F.col("_at") - 1)
-    name = F.when(F.col("_at") == 0, F.col("_base")).otherwise(F.concat("_second", F.repeat(F.lit("-2"), step)))
-    for _ in range(ROUNDS):
-        claims = now.withColumn("_id", name)
-        first = claims.groupBy("_id").agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n"))
-        if first.where("_n > 1").isEmpty():
-            return claims.select(*spent, F.col("_id").alias("id"))
-        # hot ids are few: a row that must move is known by its claim and order
-        lost = F.coalesce(F.struct(*order) != F.col("_first"), F.lit(False))
-        moved = claims.join(first.where("_n > 1").select("_id", "_first"), "_id", "left").withColumn("_at", F.col("_at") + lost.cast("int"))
-        # within a chain, later rows stay behind earlier ones
-        ahead = F.max(F.col("_at") - F.col("_rank")).over(chain.rowsBetween(Window.unboundedPreceding, 0))
-        now = saved(moved.withColumn("_at", (F.col("_rank") + ahead).cast("int")).select(*now.columns), "ids")
-    raise RuntimeError(f"ids still clash after {ROUNDS} rounds")
+    ends = r"(?:-2)+\z"
+    stem = lambda c: F.regexp_replace(c, ends, "")
+    after = lambda c: ((F.length(c) - F.length(stem(c))) / 2).cast("long")
+    rows = saved(df.withColumns({"_base": base, "_second": F.coalesce(second, base), "_row": F.monotonically_increasing_id()}), "rows")
+    b, s = F.col("_base"), F.col("_second")
+    turn = [f"turn{i}" for i in range(len(order))]
+    state = rows.where("_base is not null").select(
+        "_row", *[F.col(c).alias(t) for c, t in zip(order, turn, strict=True)], stem(b).alias("base_stem"), after(b).alias("base_at"), stem(s).alias("second_stem"), after(s).alias("second_at"),
+        (stem(b) == stem(s)).alias("stays"), F.lit(False).alias("goes"),
+    )
+    while True:
+        claims = state.select("*", F.col("base_stem").alias("stem"), F.lit(False).alias("came")).unionByName(state.where("goes").select("*", F.col("second_stem").alias("stem"), F.lit(True).alias("came")))
+        dealt = claims.repartition("stem").sortWithinPartitions("stem", *turn, "base_at", "base_stem", "second_stem", "second_at", "_row", "came")
+        kinds = T.StructType(claims.schema.fields + [T.StructField("slot", T.LongType()), T.StructField("gone", T.BooleanType())])
+        now = saved(dealt.mapInArrow(_dealer(), kinds), "ids")
+        state = now.where("not came").withColumn("goes", F.col("gone")).select(*state.columns)
+        if now.where("not came and gone <> goes").isEmpty():
+            break
+    found = now.where("slot is not null").select("_row", "stem", "slot")
+    much = found.agg(F.sum(F.octet_length("stem") + 2 * F.col("slot"))).first()[0] or 0
+    # an id is put together where it is returned, in tasks by what it comes to
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), much // ID_BYTES + 1)
+    joined = rows.repartition(n, "_row").join(found.repartition(n, "_row"), "_row", "left")
+    return joined.select(*df.columns, F.concat("stem", F.repeat(F.lit("-2"), F.col("slot").cast("int"))).alias("id"))
