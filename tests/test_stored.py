@@ -1,6 +1,7 @@
 """Published versions, ordered scans, nested markup, cells, text index, kept aggregates, bitmaps, pages."""
 
 import json
+import math
 import random
 
 import pyarrow as pa
@@ -171,6 +172,42 @@ def test_cover_gives_the_same_areas_and_casts_few(spark):
     assert sum(r.cast for r in got) < 0.25 * len(got)
 
 
+def joined(df):
+    """df's rows, and how many rows its joins made."""
+    rows = df.collect()
+    todo, n = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+        if "Join" in node.nodeName():
+            n += node.metrics().apply("numOutputRows").value()
+    return rows, n
+
+
+@pytest.mark.parametrize("limit", [1, 2, 3])
+def test_a_point_meets_spots_and_not_their_stations(spark, limit):
+    rnd = random.Random(7)
+    spots = [(40.7 + rnd.random() / 30, -74.0 + rnd.random() / 30) for _ in range(6)]
+    stations = [(i, *spots[i % 7]) if i % 7 < 6 else (i, None, -74.0) for i in range(700)] + [(13, *spots[2])]
+    rnd.shuffle(stations)
+    points = [(i, 40.69 + rnd.random() / 20, -74.01 + rnd.random() / 20) for i in range(200)] + [(200, None, None), (201, *spots[0])]
+    found = geo.nearest(spark.createDataFrame(points, "id int, lat double, lon double"), spark.createDataFrame(stations, "id int, lat double, lon double"), "id", limit)
+    rows, made = joined(found)
+    want = {}
+    for i, lat, lon in points:
+        if lat is not None:
+            far = sorted((math.sqrt(((lon - x) * geo.LAT_M * math.cos(math.radians(40.7))) ** 2 + ((lat - y) * geo.LAT_M) ** 2), k) for k, y, x in stations if y is not None)
+            if near := [(round(m), k) for m, k in far[:limit] if m <= 1600]:
+                want[i] = near
+    assert {r.id: [tuple(s) for s in r.near] for r in rows} == want and 100 < len(want) < 202
+    assert 0 < made <= len(points) * len(spots) * limit
+
+
 # ---- text ----
 
 

@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 
 #: Metres in a degree at the city's latitude, 40.7 degrees. Fixed values.
 LAT_M = 111_320.0
-LON_M = 111_320.0 * math.cos(math.radians(40.7))
+NARROW = math.cos(math.radians(40.7))
+LON_M = LAT_M * NARROW
 REACH = 1600.0
 
 
 def meters(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    return F.hypot((lon1 - lon2) * LON_M, (lat1 - lat2) * LAT_M)
+    """In the steps of the SQL, so that stations as far as each other are told apart (or not) by the same last bits."""
+    x, y = (lon1 - lon2) * LAT_M * NARROW, (lat1 - lat2) * LAT_M
+    return F.sqrt(x * x + y * y)
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
@@ -127,11 +130,15 @@ def locate_by_cover(points: DataFrame, areas: DataFrame, cells: DataFrame, key:
 def nearest(points: DataFrame, stations: DataFrame, key: str, limit: int = 2, reach: float = REACH) -> DataFrame:
     """key and near, an array of (meters, id) of the closest stations within reach, closest first.
 
-    Stations go to the nine cells around them; a cell is as wide as the reach, so no pair is lost.
+    Stations go to the nine cells around them; a cell is as wide as the reach (and a hair, for rounding), so
+    no pair is lost. Of the stations at one spot only the least ``limit`` ids can be among the closest, so the
+    others stay behind, and a point meets the spots around it, however many stations these hold.
     """
-    high, wide = reach / LAT_M, reach / LON_M
+    high, wide = reach / LAT_M * (1 + 1e-9), reach / LON_M * (1 + 1e-9)
     around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    spread = stations.select(F.col("id").alias("sid"), F.col("lat").alias("slat"), F.col("lon").alias("slon"))
+    spot = Window.partitionBy("slat", "slon").orderBy("sid")
+    spread = stations.select(F.col("id").alias("sid"), F.col("lat").alias("slat"), F.col("lon").alias("slon")).where("slat is not null and slon is not null")
+    spread = spread.withColumn("r", F.row_number().over(spot)).where(F.col("r") <= limit).drop("r")
     spread = spread.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around))
     spread = spread.select("sid", "slat", "slon", (F.floor(F.col("slat") / high) + F.col("dy")).alias("cy"), (F.floor(F.col("slon") / wide) + F.col("dx")).alias("cx"))
     at = points.where("lat is not null and lon is not null").select(key, "lat", "lon", F.floor(F.col("lat") / high).alias("cy"), F.floor(F.col("lon") / wide).alias("cx"))
